@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, media, mixing, packing, pii, secrets, sharding
+from . import exact_dedup, jaccard, language_id, media, mixing, packing, pii, secrets, sharding
 from .common import read
 
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(read(spark, sf_dir, "documents"))
+
+
 def op2_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_histogram_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_guess_cost_secrets, op3_evidence_language_id, op5_cost_packing, op6_netpbm_bmp_tiles, op7_skip_chain_pii, op8_ring_sharding, op9_bloom_dedup, op10_histogram_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partenum_jaccard, op2_guess_cost_secrets, op3_evidence_language_id, op5_cost_packing, op6_netpbm_bmp_tiles, op7_skip_chain_pii, op8_ring_sharding, op9_bloom_dedup, op10_histogram_mixing)}
 
 SQL: dict[str, str] = {
     "op9_bloom_dedup": """
