@@ -19,6 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Arrow batches of few rows from now on, so that long texts do not fill a worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where none is named (local tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)

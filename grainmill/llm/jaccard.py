@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, written
+from .common import bounded_batches, join_groups, written
 from .exact_dedup import FILTER_BITS, PAGE, _places, _power
 
 WORDS = 5
@@ -418,6 +418,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    bounded_batches(df)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
     sets = written(texts.mapInArrow(_sets, "doc_id long, n long, key binary, sketch binary"))
     total = sets.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()

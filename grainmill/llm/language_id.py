@@ -18,6 +18,7 @@ Columns other than those named are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, written
+from .common import bounded_batches, join_groups, written
 
 SAMPLE = 300
 LANGUAGES = 32
@@ -77,12 +78,16 @@ _SCORED = "id long, declared string, host string, suffix string, n long, ll arra
 _SCHEMA = pa.schema([("id", pa.int64()), ("declared", pa.string()), ("host", pa.string()), ("suffix", pa.string()), ("n", pa.int64()), ("ll", pa.list_(pa.float32())), ("top", pa.int32())])
 
 
-def _score(table: np.ndarray):
+_HIDDEN = re.compile(rb"<(script|style)\b.*?</\1>|<[^>]*>|&[a-zA-Z0-9#]+;", re.IGNORECASE | re.DOTALL)
+
+
+def _score(table: np.ndarray, markup: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, ll, top = [], [], []
             for text in batch.column(4):
-                t = trigrams(text.as_py() or b"")
+                raw = text.as_py() or b""
+                t = trigrams(_HIDDEN.sub(b" ", raw) if markup else raw)
                 score = np.zeros(table.shape[1], dtype=np.float32)
                 for k in range(0, len(t), 1 << 16):
                     score += table[t[k : k + (1 << 16)]].sum(0, dtype=np.float64)
@@ -98,14 +103,15 @@ def _log(p: Column) -> Column:
     return F.log(F.greatest(p, F.lit(1e-12)))
 
 
-def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, text: Column, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None) -> DataFrame:
-    """id, language, probability, text_language, declared, host, suffix, n_trigrams, accepted, reason of every row."""
+def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, text: Column, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, markup: bool = False) -> DataFrame:
+    """id, language, probability, text_language, declared, host, suffix, n_trigrams, accepted, reason of every row; of markup, the text between tags."""
     names, table = model
     none = F.lit(None).cast("string")
     if not names:
         return df.select(F.col(id_col).cast("long").alias("id"), none.alias("language"), F.lit(None).cast("double").alias("probability"), none.alias("text_language"), (none if declared is None else declared).alias("declared"), (none if host is None else host).alias("host"), (none if suffix is None else suffix).alias("suffix"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(True).alias("accepted"), none.alias("reason"))
     parts = df.select(F.col(id_col).cast("long").alias("id"), *((none if c is None else c).cast("string").alias(k) for k, c in (("declared", declared), ("host", host), ("suffix", suffix))), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
-    rows = written(parts.mapInArrow(_score(table), _SCORED))
+    bounded_batches(df)
+    rows = written(parts.mapInArrow(_score(table, markup), _SCORED))
     votes = [F.count(F.when(F.col("top") == k, 1)) for k in range(len(names))]
     whole = rows.agg(F.count("*").alias("rows"), *(v.alias(f"v{k}") for k, v in enumerate(votes)), *(F.avg(F.when((F.col("top") == k) & (F.col("n") >= LEAST), F.col("ll")[k] / F.col("n"))).alias(f"m{k}") for k in range(len(names))), *(F.stddev_pop(F.when((F.col("top") == k) & (F.col("n") >= LEAST), F.col("ll")[k] / F.col("n"))).alias(f"s{k}") for k in range(len(names)))).first()
     total = whole["rows"]
@@ -151,13 +157,12 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, te
     return out.select("id", language.alias("language"), F.round("probability", 6).alias("probability"), text_language.alias("text_language"), "declared", "host", "suffix", F.col("n").alias("n_trigrams"), reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
-def page_evidence(pages: DataFrame) -> dict[str, Column]:
+def page_evidence() -> dict:
     """text, declared language, host and suffix of pages with url and html."""
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     host = F.when(host != "", F.regexp_replace(host, r"^(?:www|m)\.", ""))
     declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\slang=[\"']?([a-z]{2,3})", 1))
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>|&[a-zA-Z0-9#]+;", " ")
-    return {"text": text, "declared": F.when(declared != "", declared), "host": host, "suffix": F.substring_index(host, ".", -1)}
+    return {"text": F.col("html"), "markup": True, "declared": F.when(declared != "", declared), "host": host, "suffix": F.substring_index(host, ".", -1)}
 
 
 def accepted_rows(docs: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ room for the whole piece. Pieces that fit nowhere whole are then cut, largest fi
 pads its last sequence only: under SEQUENCE / (tokens of a bin), about 0.1 %. The bin's unfilled sequence is one, by moving what the
 least full ones hold.
 
-Ids are made once by the tokenizer for each distinct pre-token (the byte-level splitter makes pieces independent, so this gives the
-tokenizer's own ids; tests compare both) and kept in a cache of at most CACHE entries a task. Remainders travel as 16-bit ids where the vocabulary allows.
+Remainders travel as 16-bit ids where these suffice, so the shuffle moves about two bytes a token of what is left over.
 
 Null and empty text give the one id END. Rows repeated with one doc_id are packed each on its own. An empty table gives no rows.
 Other columns are ignored.
@@ -16,6 +15,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -26,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SEQUENCE = 2048
 END = 1
 BIN_DOCS = 4096
-CACHE = 400_000
+#: The split of the byte-level vocabulary; possessive, so that it runs in linear time.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 
@@ -39,30 +42,38 @@ def cost(length: np.ndarray | int):
 
 
 class Ids:
-    """Token ids of texts as little-endian 32-bit bytes."""
+    """Token ids of texts, little-endian 32-bit.
+
+    The merges are those of the tokenizer file at path, run by tiktoken, which gives the same ids several times faster;
+    tests hold the two against each other. Special tokens' strings in a text are ordinary text.
+    """
 
     def __init__(self, path: str):
-        import regex
-        from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        parts = self.split(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            fresh = list({p for p in parts if p not in known})
-            for p, x in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                known[p] = np.array(x.ids, dtype="<u4").tobytes()
-            return b"".join([known[p] for p in parts])
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        byte = {c: b for b, c in _byte_letters().items()}
+        ranks = {bytes(byte[c] for c in word): k for word, k in vocab.items() if all(c in byte for c in word)}
+        self.encode = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __call__(self, text: str) -> np.ndarray:
+        return np.array(self.encode(text), dtype="<u4")
+
+
+@functools.lru_cache(maxsize=2)
+def ids_of(path: str) -> Ids:
+    """One tokenizer a worker process and file."""
+    return Ids(path)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: itself, or one past U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 _DOC = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("whole_crc", pa.list_(pa.int64())), ("rest", pa.binary())])
@@ -70,18 +81,18 @@ _DOC = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("whole_cr
 
 def _tokenize(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
-        end = np.array([END], dtype="<u4").tobytes()
+        ids = ids_of(path)
+        end = np.array([END], dtype="<u4")
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 out: list[list] = [[] for _ in _DOC]
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    raw = ids(text.as_py() or "") + end
-                    n = len(raw) // 4
+                    own = np.concatenate([ids(text.as_py() or ""), end])
+                    n = len(own)
                     full = n // length
-                    crc = [zlib.crc32(raw[4 * length * k : 4 * length * (k + 1)]) for k in range(full)]
-                    rest = np.frombuffer(raw, "<u4", offset=4 * length * full)
+                    crc = [zlib.crc32(own[length * k : length * (k + 1)].tobytes()) for k in range(full)]
+                    rest = own[length * full :]
                     for column, value in zip(out, (i, n, crc, rest.astype("<u2").tobytes() if not len(rest) or rest.max() < 65536 else b"\xff" + rest.tobytes()), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _DOC, strict=True)], schema=_DOC)
@@ -187,6 +198,7 @@ def _pack(length: int):
 
 def pack(df: DataFrame, tokenizer: str, length: int = SEQUENCE, bin_docs: int = BIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
+    bounded_batches(df)
     bins = max(1, math.ceil(df.count() / bin_docs))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_tokenize(tokenizer, length), "doc_id long, doc_tokens long, whole_crc array<long>, rest binary")
     order = F.xxhash64("doc_id", "rest", "whole_crc")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
 TRAIN_DOCS = 400
@@ -248,6 +250,7 @@ def _scan(model: dict[str, np.ndarray]):
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_crf of every text."""
+    bounded_batches(df)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).collect()
     return rows.mapInArrow(_scan(train([r["text"] or "" for r in few])), _DDL)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, language_id, media, mixing, packing, pii, secrets, sharding
+from . import exact_dedup, jaccard, language_id, line_templates, media, mixing, packing, pii, secrets, sharding
 from .common import read
 
 
@@ -30,11 +30,16 @@ def op3_evidence_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by all four kinds of evidence, with trigram models of the labelled documents, and the documents themselves."""
     docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
     model = language_id.fit(language_id.sample(docs, "doc_id", "text", "lang"))
-    by_page = language_id.identify(pages, model, "page_id", **language_id.page_evidence(pages))
+    by_page = language_id.identify(pages, model, "page_id", **language_id.page_evidence())
     by_doc = language_id.identify(docs, model, "doc_id", F.col("text"), F.col("lang"), F.col("source"))
     return by_doc.withColumn("kind", F.lit("document")).withColumnRenamed("id", "doc_id").unionByName(by_page.withColumn("kind", F.lit("page")).withColumnRenamed("id", "page_id"), allowMissingColumns=True)
 
 
+def op4_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_templates.drop_recurring(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
+
+
 def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -60,7 +65,7 @@ def op10_histogram_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partenum_jaccard, op2_guess_cost_secrets, op3_evidence_language_id, op5_cost_packing, op6_netpbm_bmp_tiles, op7_skip_chain_pii, op8_ring_sharding, op9_bloom_dedup, op10_histogram_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partenum_jaccard, op2_guess_cost_secrets, op3_evidence_language_id, op4_template_line_dedup, op5_cost_packing, op6_netpbm_bmp_tiles, op7_skip_chain_pii, op8_ring_sharding, op9_bloom_dedup, op10_histogram_mixing)}
 
 SQL: dict[str, str] = {
     "op9_bloom_dedup": """
