@@ -1,6 +1,8 @@
-"""All queries of the reference's operators, and their SQL."""
+"""All queries of the measurement operators, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import scores  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
