@@ -15,7 +15,8 @@ them; a link is then lost only if each of its full groups holds two of the k dif
 Buckets. Signatures travel in blobs by bucket, not as rows. A bucket is read as a stream: runs of equal signatures
 that are longer than SMALL are cut down to their smallest document whenever the buffer is full and given out as parts, so a hot signature
 takes no more memory than others. Runs of at most SMALL documents give their pairs. Longer runs first give pairs with their
-smallest document; those that still hold several components give the pairs between components, in blocks of BLOCK documents.
+smallest document; those that still hold several components give the pairs between components, in blocks of BLOCK documents. Runs
+with one smallest document hold much the same documents, so a pair is given by the first RANKED of these that it shares, once, or by later ones if it shares none of them.
 
 Checks. The parity sketch of a set (bit h mod M flipped by each feature) differs in no more bits than the sets do, which removes most pairs without
 an error; the rest are checked on the whole texts. Components of the links come from alternating large-star and small-star rounds.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_groups, written
@@ -41,6 +42,7 @@ WORDS = 5
 SINGLES = 64
 SMALL = 4
 BLOCK = 1024
+RANKED = 64
 FILL = 1.6  # features of the band's largest set in a partition
 BUFFER = 2_000_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -328,6 +330,7 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         comp = np.array([r[1] for r in rows])
         side = np.array([r[4] for r in rows])
         both = rows[0][6] != rows[0][5]
+        rank, mask = rows[0][7], np.array([r[8] for r in rows], np.int64).view(np.uint64)
         for k, r in enumerate(rows):
             by_bits.setdefault(len(r[3]), []).append(k)
         for bits, own in by_bits.items():
@@ -343,6 +346,8 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 test = (comp[o] != comp[k]) & (4 * np.minimum(n[o], n[k]) >= 3 * np.maximum(n[o], n[k]))
                 if both:
                     test &= side[o] != side[k]
+                common = mask[o] & mask[k]
+                test &= (common == 0) | (common & (~common + np.uint64(1)) == np.uint64(1 << rank) if rank < RANKED else common == 0)
                 hit = np.flatnonzero(test)
                 if len(hit):
                     far = np.bitwise_count(table[m + 1 :][hit] ^ table[m]).sum(1, dtype=np.int64)
@@ -353,12 +358,12 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, key = [], None
     for batch in batches:
         out: list[tuple[int, int]] = []
-        for run, i, j, doc, comp, n, sk, block in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+        for run, i, j, doc, comp, n, sk, block, rank, mask in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
             if (run, i, j) != key:
                 if len(held) > 1:
                     out += group(held)
                 held, key = [], (run, i, j)
-            held.append((doc, comp, n, sk, block, i, j))
+            held.append((doc, comp, n, sk, block, i, j, rank, mask))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=_PAIR)
     if len(held) > 1:
         out = group(held)
@@ -442,10 +447,14 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = written(connected(links))
     held = parts.select("run", F.explode("members").alias("doc_id")).join(to_node, "doc_id").select("run", F.col("node").alias("doc_id")).distinct()
     held = held.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = held.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("run", "size")
-    left = held.join(mixed, "run").join(info, "doc_id")
+    held = written(held)
+    mixed = held.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min("doc_id").alias("center")).filter("lo < hi")
+    mixed = mixed.select("run", "size", "center", (F.row_number().over(Window.partitionBy("center").orderBy("run")) - 1).alias("rank"))
+    left = held.join(mixed, "run")
+    masks = left.filter(F.col("rank") < RANKED).groupBy("center", "doc_id").agg(F.expr("bit_or(shiftleft(1L, rank))").alias("mask"))
+    left = left.join(masks, ["center", "doc_id"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).join(info, "doc_id")
     left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "n", "sketch", "block")
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "n", "sketch", "block", "rank", "mask")
     more = left.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "doc_id").mapInArrow(_between, "a long, b long").distinct()
     links = links.unionByName(checked(texts, written(more.join(links, ["a", "b"], "left_anti"))))
 
