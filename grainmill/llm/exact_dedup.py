@@ -43,6 +43,13 @@ def repeated_filter(hashes: DataFrame, rows: int) -> tuple[DataFrame, int, int]:
     return pages, bits, seen
 
 
+def key_filter(keys: DataFrame, rows: int) -> tuple[DataFrame, int, int]:
+    """The same for membership: pages that the column h of keys passes."""
+    seen, bits = 1 << 62, min(FILTER_BITS, _power(max(PAGE, 16 * rows)))
+    place = keys.select(F.explode(F.array(*_places(F.pmod("h", F.lit(seen)), bits))).alias("q"))
+    return place.groupBy(F.bitmap_bucket_number("q").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("q")).alias("bits")), bits, seen
+
+
 def may_repeat(df: DataFrame, pages: DataFrame, bits: int, seen: int) -> DataFrame:
     """df with a column may: whether its hash h passes the filter."""
     held = None

@@ -8,7 +8,8 @@ MOST_VALUES different words, or when its commonest word makes up less than SAME
 Lines of fewer than MIN_WORDS words stay, and a document's other lines keep their order and their line feeds.
 
 Leaves, not lines, are what a hot line is counted by, with partial sums before each shuffle; recurring templates are joined by hash, the most frequent ones
-(at most HOT_GROUPS of them) by broadcast. Texts meet their dropped line numbers by doc_id.
+(at most HOT_GROUPS of them) by broadcast. Bloom filters of bounded size keep the words of lines in other leaves, and the texts of documents
+that lose nothing, out of every shuffle.
 
 Null text stays null and has no lines; empty text has none to drop. Rows repeated with one doc_id are told apart by their text: equal ones are one document and both lose
 the same lines. A null doc_id is a document of its own text. An empty table gives no rows. Other columns are carried along.
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, join_groups, written
+from .exact_dedup import key_filter, may_repeat
 
 LEADING = 2
 MIN_WORDS = 3
@@ -48,12 +50,13 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lines = texts.select(_key(texts).alias("doc"), F.posexplode(F.split("_text", "\n")).alias("line", "text"))
     lines = lines.withColumn("w", words(F.col("text"))).withColumn("n", F.size("w")).filter(F.col("n") >= MIN_WORDS)
     lead = F.transform(F.slice("w", 1, LEADING), masked)
-    slim = written(lines.select("doc", "line", F.transform("w", masked).alias("w"), F.xxhash64("n", lead).alias("leaf")))
-    by_doc = slim.groupBy("leaf", "doc").agg(F.count("*").alias("lines"))
-    leaves = by_doc.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("lines").alias("lines")).filter(F.col("docs") >= MIN_DOCS)
-    leaves = written(leaves)
-    total = slim.count()
-    inside = join_groups(slim, leaves, "leaf", "lines", total, "doc").filter(F.col("docs").isNotNull()).select("doc", "line", "w", "leaf", "lines")
+    lines = lines.select("doc", "line", F.transform("w", masked).alias("w"), F.xxhash64("n", lead).alias("leaf"))
+    by_doc = lines.groupBy("leaf", "doc").agg(F.count("*").alias("lines"))
+    leaves = written(by_doc.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("lines").alias("lines")).filter(F.col("docs") >= MIN_DOCS))
+    size = leaves.agg(F.count("*").alias("leaves"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")).first()
+    total = max(1, size["lines"])
+    passed = may_repeat(lines.withColumn("h", F.col("leaf")), *key_filter(leaves.select(F.col("leaf").alias("h")), size["leaves"])).filter("may").drop("h", "may")
+    inside = join_groups(passed, leaves, "leaf", "lines", total, "doc").filter(F.col("docs").isNotNull()).select("doc", "line", "w", "leaf", "lines")
     inside = written(inside)
     same = inside.groupBy("leaf", "lines", "w").agg(F.count("*").alias("times"))  # equal lines are counted before their words are spread out
     values = same.select("leaf", "lines", "times", F.posexplode("w").alias("at", "word")).groupBy("leaf", "lines", "at", "word").agg(F.sum("times").alias("times"))
@@ -76,8 +79,14 @@ def drop_recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found, recurring = templates(df, id_col, text_col)
     hit = join_groups(found, recurring, "template", "lines", max(1, found.count()), "doc").filter("docs is not null")
     gone = hit.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("_gone"))
-    rows = df.withColumn("_doc", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
-    out = rows.join(gone, F.col("_doc") == F.col("doc"), "left")
+    gone = written(gone)
+    rows = df.withColumn("h", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))) if "h" not in df.columns else df.withColumnRenamed("h", "_h").withColumn("h", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
+    tested = may_repeat(rows, *key_filter(gone.select(F.col("doc").alias("h")), gone.count()))
     lines = F.split(F.col(text_col), "\n")
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines")
+    kept = [F.col("_h").alias("h") if c == "h" else F.col(c) for c in df.columns]
+    alone = tested.filter(~F.col("may")).select(*kept, n_lines, F.lit(0).alias("n_dropped"))
+    out = tested.filter("may").join(gone, F.col("h") == F.col("doc"), "left")
     left = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("_gone", k)), "\n"))
-    return out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0))).withColumn(text_col, left).select(*df.columns, "n_lines", "n_dropped")
+    kept = [left.alias(c) if c == text_col else k for c, k in zip(df.columns, kept, strict=True)]
+    return alone.unionByName(out.select(*kept, n_lines, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped")))
