@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational, scores  # noqa: F401
+from . import relational, resample, scores  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
