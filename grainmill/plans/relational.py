@@ -12,20 +12,22 @@ from ..operators import relational as re_
 from .registry import C, M, Q, QQ, measures, pairs, query, table
 from .scores import ALL, ranks, rounded
 
-FILTERS = {"all": F.lit(True), "has3d": F.col("l_discount") > 0, "ok_only": F.col("l_returnflag") == "N", "cn9_light": F.col("idx") <= 3, "cn8_heavy": F.col("idx") >= 4}
+def filters():
+    """Named predicates; columns need a session, so they are made when asked for."""
+    return {"all": F.lit(True), "has3d": F.col("l_discount") > 0, "ok_only": F.col("l_returnflag") == "N", "cn9_light": F.col("idx") <= 3, "cn8_heavy": F.col("idx") >= 4}
 
 
 @query(f"WITH {M} SELECT 'all' AS name, count(*) AS n FROM m UNION ALL SELECT 'has3d', count(*) FROM m WHERE l_discount>0 UNION ALL SELECT 'ok_only', count(*) FROM m WHERE l_returnflag='N' UNION ALL SELECT 'cn9_light', count(*) FROM m WHERE idx<=3 UNION ALL SELECT 'cn8_heavy', count(*) FROM m WHERE idx>=4")
 def f1_named_filters(s, d):
-    one = measures(s, d).agg(*(F.count(F.when(c, 1)).alias(k) for k, c in FILTERS.items()))
-    return one.select(F.expr("stack(5, " + ", ".join(f"'{k}', {k}" for k in FILTERS) + ") AS (name, n)"))
+    one = measures(s, d).agg(*(F.count(F.when(c, 1)).alias(k) for k, c in filters().items()))
+    return one.select(F.expr("stack(5, " + ", ".join(f"'{k}', {k}" for k in filters()) + ") AS (name, n)"))
 
 
 @query()
 def f2_matched_coverage(s, d):
     """Heavy groups with the light group nearest in size."""
     m = measures(s, d)
-    sizes = m.groupBy("grp").agg(F.count(F.when(FILTERS["cn8_heavy"], 1)).alias("heavy"), F.count(F.when(FILTERS["cn9_light"], 1)).alias("light")).collect()
+    sizes = m.groupBy("grp").agg(F.count(F.when(filters()["cn8_heavy"], 1)).alias("heavy"), F.count(F.when(filters()["cn9_light"], 1)).alias("light")).collect()
     by = lambda parity: [r for r in sizes if int(r["grp"]) % 2 == parity]
     found = re_.match_sizes([(r["grp"], r["heavy"]) for r in by(0)], [(r["grp"], r["light"]) for r in by(1)], "42")
     return s.createDataFrame(found, "heavy string, light string")

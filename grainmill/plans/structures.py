@@ -18,7 +18,7 @@ AT = """a AS (SELECT label AS build_id, vec_id AS i, CASE vec_id % 5 WHEN 0 THEN
  8*embedding[1]::DOUBLE AS x, 8*embedding[2]::DOUBLE AS y, 8*embedding[3]::DOUBLE AS z, round(embedding[4]::DOUBLE,3) AS charge FROM embeddings),
 c0 AS (SELECT build_id, min_by(i,i) AS ci, min_by(x,i) AS cx, min_by(y,i) AS cy, min_by(z,i) AS cz FROM a WHERE symbol='Er' GROUP BY 1),
 d AS (SELECT a.*, x-cx AS dx, y-cy AS dy, z-cz AS dz, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz)) AS d FROM a JOIN c0 USING (build_id) WHERE i<>ci)"""
-ER = F.col("symbol") == "Er"
+METAL = "symbol = 'Er'"
 
 
 def atoms(s, d, shift: int = 0):
@@ -28,7 +28,7 @@ def atoms(s, d, shift: int = 0):
 
 
 def around(s, d):
-    return ge.to_centre(atoms(s, d), ER)
+    return ge.to_centre(atoms(s, d), F.expr(METAL))
 
 
 @query(f"WITH {AT}, r AS (SELECT *, row_number() OVER (PARTITION BY build_id ORDER BY d, i) AS r FROM d) SELECT build_id, i, symbol, round(d,6) AS d FROM r WHERE r<=9")
@@ -218,7 +218,7 @@ def g29_integral_charge(s, d):
 
 @query(f"WITH {AT}, n AS (SELECT p.build_id, p.i, count(*) AS n, min(q.d) AS nearest FROM d p JOIN d q ON p.build_id=q.build_id AND p.symbol='N' AND q.symbol='O' WHERE sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) < 1.75 GROUP BY 1,2) SELECT b.build_id, count(n.i) AS motifs FROM (SELECT DISTINCT build_id FROM a) b LEFT JOIN n ON n.build_id=b.build_id AND n>=3 AND nearest<3.4 GROUP BY 1")
 def g30_motif_count(s, d):
-    return ge.motif_count(atoms(s, d), ER, "N", "O")
+    return ge.motif_count(atoms(s, d), F.expr(METAL), "N", "O")
 
 
 # ---- scans over text columns made from the tables

@@ -50,8 +50,10 @@ def scan_registry(spark: SparkSession, path: str, schema: str = REGISTRY) -> Dat
 
 def scan_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(records of a directory of one-record JSON files, names of the files that cannot be read)."""
-    df = spark.read.schema(schema + ", _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("_file", F.input_file_name())
-    return df.filter("_bad is null").drop("_bad", "_file"), df.filter("_bad is not null").select(F.element_at(F.split("_file", "/"), -1).alias("file"))
+    text = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
+    df = text.select("_file", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    return df.filter(~bad).select("r.*").drop("_bad"), df.filter(bad).select(F.element_at(F.split("_file", "/"), -1).alias("file"))
 
 
 def nested_records(df: DataFrame, records: str, keys: list[str], values: list[str], ok: str = "ok") -> DataFrame:
@@ -94,13 +96,12 @@ def xyz(df: DataFrame, text: str = "value") -> DataFrame:
 
 
 def scan_xyz(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    df = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     return xyz(df).drop("value")
 
 
 def mol2(df: DataFrame, text: str = "value") -> DataFrame:
     """sections (map of name to its lines) and atoms (name, x, y, z, type) of MOL2 text."""
-    parts = F.filter(F.split(F.col(text), "@<TRIPOS>"), lambda p: F.trim(p) != "")
     body = lambda p: F.filter(F.slice(F.split(p, "\r?\n"), 2, 1 << 30), lambda x: F.trim(x) != "")
     # the text before the first mark is no section; sections of one name are kept as the first
     entries = F.transform(F.slice(F.split(F.col(text), "@<TRIPOS>"), 2, 1 << 30), lambda p: F.struct(F.trim(F.split(p, "\r?\n")[0]).alias("k"), body(p).alias("v")))
@@ -108,12 +109,11 @@ def mol2(df: DataFrame, text: str = "value") -> DataFrame:
     out = df.withColumn("sections", F.map_from_entries(firsts))
     words = F.transform(F.coalesce(F.try_element_at("sections", F.lit("ATOM")), F.array().cast("array<string>")), lambda x: F.split(F.trim(x), r"\s+"))
     atoms = F.transform(words, lambda w: F.struct(F.try_element_at(w, F.lit(2)).alias("name"), *(F.try_element_at(w, F.lit(k)).try_cast("double").alias(c) for k, c in ((3, "x"), (4, "y"), (5, "z"))), F.try_element_at(w, F.lit(6)).alias("type")))
-    del parts
     return out.withColumn("atoms", atoms)
 
 
 def scan_mol2(spark: SparkSession, path: str) -> DataFrame:
-    return mol2(spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())).drop("value")
+    return mol2(spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())).drop("value")
 
 
 # The marks that the external program prints.
