@@ -18,6 +18,9 @@ takes no more memory than others. Runs of at most SMALL documents give their pai
 smallest document; those that still hold several components give the pairs between components, in blocks of BLOCK documents. Runs
 with one smallest document hold much the same documents, so a pair is given by the first RANKED of these that it shares, once, or by later ones if it shares none of them.
 
+This is done twice, first with small sketches to find the members that have a near partner, then for those with sketches
+of FINE bits a difference.
+
 Checks. The parity sketch of a set (bit h mod M flipped by each feature) differs in no more bits than the sets do, which removes most pairs without
 an error; the rest are checked on the whole texts. Components of the links come from alternating large-star and small-star rounds.
 
@@ -42,9 +45,10 @@ WORDS = 5
 SINGLES = 64
 SMALL = 4
 BLOCK = 1024
+FINE = 32
 RANKED = 64
 FILL = 1.6  # features of the band's largest set in a partition
-BUFFER = 2_000_000
+BUFFER = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -70,8 +74,9 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(x)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    bits = _power(4 * (len(s) // 3) + 64)
+def sketch(s: np.ndarray, fine: int = 4) -> bytes:
+    """Parities of the features by hash, `fine` bits or more for each difference that is allowed."""
+    bits = _power(fine * (len(s) // 3) + 64)
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -122,7 +127,7 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 # ---- passes over the texts
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary()), ("fine", pa.binary())])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +137,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             s = shingles(text.as_py() or b"")
-            rows.append((i, len(s), xxh3_128_digest(s.tobytes()), sketch(s)))
+            rows.append((i, len(s), xxh3_128_digest(s.tobytes()), sketch(s), sketch(s, FINE)))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SETS, strict=True)] if rows else [pa.array([], f.type) for f in _SETS], schema=_SETS)
 
 
@@ -320,7 +325,19 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=_PAIR)
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(run, document) of those with such a partner."""
+    for key, found in _found(batches):
+        docs = sorted({x for pair in found for x in pair})
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(docs), pa.int64()), pa.array(docs, pa.int64())], schema=_PAIR)
+
+
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, found in _found(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=_PAIR)
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple[int, int]]]]:
     """Pairs that may link, of different components, of each (run, i, j) in a stream sorted by it; i = j or one of each block."""
 
     def group(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -357,17 +374,14 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, key = [], None
     for batch in batches:
-        out: list[tuple[int, int]] = []
         for run, i, j, doc, comp, n, sk, block, rank, mask in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
             if (run, i, j) != key:
                 if len(held) > 1:
-                    out += group(held)
+                    yield key, group(held)
                 held, key = [], (run, i, j)
             held.append((doc, comp, n, sk, block, i, j, rank, mask))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=_PAIR)
     if len(held) > 1:
-        out = group(held)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=_PAIR)
+        yield key, group(held)
 
 
 # ---- plans
@@ -404,6 +418,13 @@ def checked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(two.select("a", "ta", "b", "tb").mapInArrow(_checked, "a long, b long").distinct())
 
 
+def _blocks(left: DataFrame) -> DataFrame:
+    """Members dealt by run and pair of blocks, in the order that _found() reads."""
+    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "n", "sketch", "block", "rank", "mask")
+    return left.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "doc_id")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of all nodes with an edge (a, b), by alternating stars."""
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
@@ -425,11 +446,11 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_shingles, component_id of every row."""
     bounded_batches(df)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    sets = written(texts.mapInArrow(_sets, "doc_id long, n long, key binary, sketch binary"))
+    sets = written(texts.mapInArrow(_sets, "doc_id long, n long, key binary, sketch binary, fine binary"))
     total = sets.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     full = sets.filter("n > 0 and doc_id is not null")
     copies = written(full.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
-    info = full.join(copies.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").select("doc_id", "n", "sketch").distinct()
+    info = full.join(copies.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").select("doc_id", "n", "sketch", "fine").distinct()
     info = written(info)
     to_node = written(join_groups(full.select("doc_id", F.hex("key").alias("key")), copies.select(F.hex("key").alias("key"), "node", "copies"), "key", "copies", total["rows"], "doc_id").select("doc_id", "node").distinct())
 
@@ -452,10 +473,11 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     mixed = mixed.select("run", "size", "center", (F.row_number().over(Window.partitionBy("center").orderBy("run")) - 1).alias("rank"))
     left = held.join(mixed, "run")
     masks = left.filter(F.col("rank") < RANKED).groupBy("center", "doc_id").agg(F.expr("bit_or(shiftleft(1L, rank))").alias("mask"))
-    left = left.join(masks, ["center", "doc_id"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).join(info, "doc_id")
-    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "n", "sketch", "block", "rank", "mask")
-    more = left.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "doc_id").mapInArrow(_between, "a long, b long").distinct()
+    left = left.join(masks, ["center", "doc_id"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    near = written(_blocks(left.join(info.select("doc_id", "n", "sketch"), "doc_id")).mapInArrow(_near, "run long, doc_id long").distinct())
+    some = near.select("doc_id").distinct()
+    fine = info.join(some, "doc_id", "left_semi").select("doc_id", "n", F.col("fine").alias("sketch"))
+    more = _blocks(left.join(near, ["run", "doc_id"], "left_semi").join(fine, "doc_id")).mapInArrow(_between, "a long, b long").distinct()
     links = links.unionByName(checked(texts, written(more.join(links, ["a", "b"], "left_anti"))))
 
     final = connected(links).select(F.col("node"), F.col("component"))
