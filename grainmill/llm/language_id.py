@@ -7,9 +7,8 @@ by text; a row's own vote is taken out of its host's and suffix's counts. The te
 texts too.
 
 The trigram models are fitted on at most SAMPLE labelled rows a language, those with the smallest hash of their id, for the
-LANGUAGES most frequent labels. identify() rejects a row without letters, one declared as another language than that found with
-probability SURE by all evidence and by the text alone, and one whose mean likelihood a trigram is BELOW standard
-deviations under its language's mean (at least LEAST trigrams); the rest are accepted.
+LANGUAGES most frequent labels. identify() rejects a row without letters, and one that is declared as another language than that
+found with probability SURE by all evidence, with MARGIN nats to the next, and by the text alone; the rest are accepted.
 
 Null or empty text gives no text evidence: the priors decide. Null declaration, suffix or host adds nothing. Ties go to the first
 language by name. Repeated rows each count. An empty table gives no rows; without labelled rows the language is null.
@@ -33,7 +32,7 @@ LANGUAGES = 32
 SLOTS = 1 << 16
 EVIDENCE = 60
 STRENGTH = 20.0
-SURE, BELOW, LEAST = 0.999, 6.0, 60
+SURE, MARGIN = 0.999, 20.0
 _FOLD = np.full(256, 32, dtype=np.uint8)
 for _c in range(256):
     if 97 <= _c <= 122 or _c >= 128:
@@ -113,7 +112,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, te
     bounded_batches(df)
     rows = written(parts.mapInArrow(_score(table, markup), _SCORED))
     votes = [F.count(F.when(F.col("top") == k, 1)) for k in range(len(names))]
-    whole = rows.agg(F.count("*").alias("rows"), *(v.alias(f"v{k}") for k, v in enumerate(votes)), *(F.avg(F.when((F.col("top") == k) & (F.col("n") >= LEAST), F.col("ll")[k] / F.col("n"))).alias(f"m{k}") for k in range(len(names))), *(F.stddev_pop(F.when((F.col("top") == k) & (F.col("n") >= LEAST), F.col("ll")[k] / F.col("n"))).alias(f"s{k}") for k in range(len(names)))).first()
+    whole = rows.agg(F.count("*").alias("rows"), *(v.alias(f"v{k}") for k, v in enumerate(votes))).first()
     total = whole["rows"]
     seen = sum(whole[f"v{k}"] for k in range(len(names)))
     share = [(whole[f"v{k}"] + 1) / (seen + len(names)) for k in range(len(names))]
@@ -147,13 +146,9 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, te
     out = out.withColumn("_text", F.array(*heard)).withColumn("_margin", F.array_max("_text") - F.coalesce(F.expr("try_element_at(sort_array(_text, false), 2)"), F.lit(-1e9)))
     name = F.array(*map(F.lit, names))
     language, text_language = F.element_at(name, F.col("_at")), F.when(F.col("top").isNotNull(), F.element_at(name, F.col("top") + 1))
-    mean = F.array(*(F.lit(whole[f"m{k}"]).cast("double") for k in range(len(names))))
-    spread = F.array(*(F.lit(whole[f"s{k}"]).cast("double") for k in range(len(names))))
-    at = F.col("top")
-    strange = (F.col("n") >= LEAST) & (F.get("_text", at) / F.col("n") < F.get(mean, at) - BELOW * F.greatest(F.get(spread, at), F.lit(0.05)))
     base = F.substring_index(F.lower("declared"), "-", 1)
-    other = F.col("declared").isNotNull() & base.isin(names) & (base != language) & (base != text_language) & (F.col("probability") >= SURE) & (F.col("_margin") >= 20) & (language == text_language)
-    reason = F.when(F.col("n") == 0, "no letters").when(other, "declared otherwise").when(F.coalesce(strange, F.lit(False)), "unlike any language")
+    other = F.col("declared").isNotNull() & base.isin(names) & (base != language) & (base != text_language) & (F.col("probability") >= SURE) & (F.col("_margin") >= MARGIN) & (language == text_language)
+    reason = F.when(F.col("n") == 0, "no letters").when(other, "declared otherwise")
     return out.select("id", language.alias("language"), F.round("probability", 6).alias("probability"), text_language.alias("text_language"), "declared", "host", "suffix", F.col("n").alias("n_trigrams"), reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
