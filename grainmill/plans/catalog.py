@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational, resample, scores, structures  # noqa: F401
+from . import learn, relational, resample, scores, structures  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
