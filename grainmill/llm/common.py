@@ -53,6 +53,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unit_hash(key: Column) -> Column:
+    """A number in [0, 1) by hash: rows under a rate are a fixed sample, found without sending others anywhere."""
+    return F.xxhash64(key) / F.lit(float(1 << 64)) + F.lit(0.5)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; lower() does the same, and faster, where all characters are ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

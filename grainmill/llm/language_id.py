@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_groups, written
+from .common import bounded_batches, join_groups, unit_hash, written
 
 SAMPLE = 300
 LANGUAGES = 32
@@ -63,14 +63,15 @@ def fit(texts: list[tuple[str, str | None]]) -> tuple[list[str], np.ndarray]:
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str | None]]:
     """At most SAMPLE (language, text) a language of the most frequent LANGUAGES."""
     known = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).filter("_lang is not null and _id is not null")
-    top = [r["_lang"] for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()]
+    top = {r["_lang"]: min(1.0, 4 * SAMPLE / r["count"]) for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()}
     if not top:
         return []
+    rate = F.create_map(*(F.lit(x) for pair in top.items() for x in pair))[F.col("_lang")]  # few candidates leave a task
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    few = known.filter(F.col("_lang").isin(top)).withColumn("_rank", rank).filter(F.col("_rank") <= SAMPLE).select("_id").distinct()
+    few = known.filter(F.col("_lang").isin(list(top)) & (unit_hash(F.col("_id")) < rate)).withColumn("_rank", rank).filter(F.col("_rank") <= SAMPLE).select("_id").distinct()
     ids = [r["_id"] for r in few.collect()]  # at most SAMPLE x LANGUAGES
     rows = labelled.filter(F.col(id_col).isin(ids)).select(id_col, lang_col, text_col).dropDuplicates([id_col]).orderBy(id_col).collect()
-    return [(r[lang_col], r[text_col]) for r in rows if r[lang_col] in set(top)]
+    return [(r[lang_col], r[text_col]) for r in rows if r[lang_col] in top]
 
 
 _SCORED = "id long, declared string, host string, suffix string, n long, ll array<float>, top int"
