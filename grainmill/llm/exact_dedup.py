@@ -63,6 +63,15 @@ def may_repeat(df: DataFrame, pages: DataFrame, bits: int, seen: int) -> DataFra
     return df.withColumn("may", held).drop(*[f"_{c}{k}" for k in (0, 1) for c in ("q", "at", "page", "bits", "b")])
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs less those whose id is in the column _id of gone; rows that a Bloom filter of gone rules out are not shuffled."""
+    gone = written(gone.select("_id").distinct())
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("_key"))
+    tested = may_repeat(keyed, *key_filter(gone.select(F.xxhash64("_id").alias("h")), gone.count()))
+    kept = tested.filter("may").join(gone, F.col("_key").eqNullSafe(F.col("_id")), "left_anti")
+    return tested.filter(~F.col("may")).select("_row.*").unionByName(kept.select("_row.*"))
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     text = normal(F.col(text_col))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_groups, written
-from .exact_dedup import FILTER_BITS, PAGE, _places, _power
+from .exact_dedup import FILTER_BITS, PAGE, _places, _power, without
 
 WORDS = 5
 SINGLES = 64
@@ -489,5 +489,4 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those whose component has a smaller doc_id."""
-    gone = components(docs, id_col, text_col).filter("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    return without(docs, components(docs, id_col, text_col).filter("component_id < doc_id").select(F.col("doc_id").alias("_id")), id_col)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_groups, unit_hash, written
+from .exact_dedup import without
 
 SAMPLE = 300
 LANGUAGES = 32
@@ -164,5 +165,4 @@ def page_evidence() -> dict:
 def accepted_rows(docs: DataFrame) -> DataFrame:
     """The documents that identify() accepts, their source standing for the host and lang for the declaration."""
     found = identify(docs, fit(sample(docs, "doc_id", "text", "lang")), "doc_id", F.col("text"), F.col("lang"), F.col("source"))
-    gone = found.filter(~F.col("accepted")).select(F.col("id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return without(docs, found.filter(~F.col("accepted")).select(F.col("id").alias("_id")))

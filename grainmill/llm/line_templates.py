@@ -7,8 +7,8 @@ MOST_VALUES different words, or when its commonest word makes up less than SAME
 "<*>", and must keep at least KEPT of its words. A template that lies in MIN_DOCS documents or more is recurring: its lines go, from all documents.
 Lines of fewer than MIN_WORDS words stay, and a document's other lines keep their order and their line feeds.
 
-Leaves, not lines, are what a hot line is counted by, with partial sums before each shuffle; recurring templates are joined by hash, the most frequent ones
-(at most HOT_GROUPS of them) by broadcast. Bloom filters of bounded size keep the words of lines in other leaves, and the texts of documents
+Leaves with more than one in HOT_GROUPS of the lines are counted with partial sums before the shuffle and their templates broadcast; the
+others' lines are dealt by leaf once. Recurring templates are joined by hash, the most frequent ones (at most HOT_GROUPS of them) by broadcast. Bloom filters of bounded size keep the words of lines in other leaves, and the texts of documents
 that lose nothing, out of every shuffle.
 
 Null text stays null and has no lines; empty text has none to drop. Rows repeated with one doc_id are told apart by their text: equal ones are one document and both lose
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_groups, written
+from .common import HOT_GROUPS, ascii_lower, join_groups, written
 from .exact_dedup import key_filter, may_repeat
 
 LEADING = 2
@@ -31,12 +31,13 @@ SAME = 0.5
 KEPT = 0.6
 
 
-def words(line: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(ascii_lower(line), r"[\x20\x09-\x0D]+", " "), " "), lambda w: w != "")
+def masked(text: Column) -> Column:
+    """text with "<*>" for each word that has a digit; a match starts at a word's start only, so this takes linear time."""
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*+[0-9])[^\x20\x09-\x0D]++", "<*>")).otherwise(text)
 
 
-def masked(w: Column) -> Column:
-    return F.when(w.rlike("[0-9]"), F.lit("<*>")).otherwise(w)
+def words(line: Column) -> Column:
+    return F.split(F.btrim(line, F.lit(" \t\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
 
 
 def _key(df: DataFrame) -> Column:
@@ -48,32 +49,36 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc, line, template) of the lines with a template in the leaves that many documents share, and (template, docs) of the recurring ones."""
     texts = df.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null")
     lines = texts.select(_key(texts).alias("doc"), F.posexplode(F.split("_text", "\n")).alias("line", "text"))
-    lines = lines.withColumn("w", words(F.col("text"))).withColumn("n", F.size("w")).filter(F.col("n") >= MIN_WORDS)
-    lead = F.transform(F.slice("w", 1, LEADING), masked)
-    lines = lines.select("doc", "line", F.transform("w", masked).alias("w"), F.xxhash64("n", lead).alias("leaf"))
-    by_doc = lines.groupBy("leaf", "doc").agg(F.count("*").alias("lines"))
-    leaves = written(by_doc.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("lines").alias("lines")).filter(F.col("docs") >= MIN_DOCS))
+    w = words(F.col("text"))
+    lead = F.transform(F.slice(w, 1, LEADING), lambda x: masked(ascii_lower(x)))
+    # No filter on the leaf here: it would be pushed down and split each line twice. Short lines have a null leaf.
+    lines = lines.select("doc", "line", "text", F.when(F.size(w) >= MIN_WORDS, F.xxhash64(F.size(w), lead)).alias("leaf"))
+    by_doc = lines.select("doc", "leaf").groupBy("leaf", "doc").agg(F.count("*").alias("lines"))
+    leaves = written(by_doc.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("lines").alias("lines")).filter((F.col("docs") >= MIN_DOCS) & F.col("leaf").isNotNull()))
     size = leaves.agg(F.count("*").alias("leaves"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")).first()
-    total = max(1, size["lines"])
-    passed = may_repeat(lines.withColumn("h", F.col("leaf")), *key_filter(leaves.select(F.col("leaf").alias("h")), size["leaves"])).filter("may").drop("h", "may")
-    inside = join_groups(passed, leaves, "leaf", "lines", total, "doc").filter(F.col("docs").isNotNull()).select("doc", "line", "w", "leaf", "lines")
-    inside = written(inside)
-    same = inside.groupBy("leaf", "lines", "w").agg(F.count("*").alias("times"))  # equal lines are counted before their words are spread out
-    values = same.select("leaf", "lines", "times", F.posexplode("w").alias("at", "word")).groupBy("leaf", "lines", "at", "word").agg(F.sum("times").alias("times"))
-    spots = values.groupBy("leaf", "at").agg(F.max(F.col("times") / F.col("lines")).alias("top"), F.count("*").alias("values"))
-    fixed = spots.filter((F.col("values") <= MOST_VALUES) & (F.col("top") >= SAME)).groupBy("leaf").agg(F.sort_array(F.collect_list("at")).alias("fixed"))
-    sized = leaves.select("leaf", "lines").join(fixed, "leaf")
-    named = join_groups(inside.select("doc", "line", "w", "leaf"), sized, "leaf", "lines", total, "doc")
-    shape = F.transform("w", lambda w, k: F.when(F.array_contains("fixed", k) | F.lit(False), w).otherwise(F.lit("<*>")))
-    kept = F.size(F.filter("shape", lambda w: w != "<*>")) / F.size("shape")
-    found = named.withColumn("shape", F.coalesce(shape, F.col("w")))
-    exact = found.select("doc", "line", F.xxhash64(F.lit("line"), "w").alias("template"))
-    general = found.filter(kept >= KEPT).select("doc", "line", F.xxhash64(F.lit("shape"), "shape").alias("template"))
-    found = written(exact.unionByName(general))
-    recurring = found.distinct().groupBy("template", "doc").agg(F.count("*").alias("lines")).groupBy("template").agg(F.count("*").alias("docs"), F.sum("lines").alias("lines")).filter(F.col("docs") >= MIN_DOCS)
+    passed = may_repeat(lines.withColumn("h", F.col("leaf")), *key_filter(leaves.select(F.col("leaf").alias("h")), size["leaves"])).filter("may")
+    inside = written(passed.select("doc", "line", "leaf", masked(ascii_lower(F.col("text"))).alias("text")))
+    hot = F.broadcast(leaves.filter(F.col("lines") > size["lines"] / HOT_GROUPS).select("leaf"))  # HOT_GROUPS rows at most
+    many = inside.join(hot, "leaf", "left_semi")
+    few = inside.join(hot, "leaf", "left_anti").repartition("leaf")  # dealt once: what follows in a leaf shuffles nothing
+    named = many.join(F.broadcast(_fixed(many)), "leaf").unionByName(few.join(_fixed(few), "leaf"))
+    shape = F.transform(w, lambda x, k: F.when(F.array_contains("fixed", k), x).otherwise(F.lit("<*>")))
+    named = named.select("doc", "line", shape.alias("shape"))
+    general = named.filter(F.size(F.filter("shape", lambda x: x != "<*>")) / F.size("shape") >= KEPT).select("doc", "line", F.xxhash64(F.lit("shape"), "shape").alias("template"))
+    found = written(inside.select("doc", "line", F.xxhash64(F.lit("line"), w).alias("template")).unionByName(general))
+    recurring = found.groupBy("template", "doc").agg(F.count("*").alias("lines")).groupBy("template").agg(F.count("*").alias("docs"), F.sum("lines").alias("lines")).filter(F.col("docs") >= MIN_DOCS)
     return found, recurring
 
 
+def _fixed(lines: DataFrame) -> DataFrame:
+    """leaf, fixed: the places of a leaf's fixed words, of the leaves in which they are enough for a template."""
+    spread = lines.select("leaf", F.posexplode(words(F.col("text"))).alias("at", "word")).select("leaf", "at", F.xxhash64("word").alias("word"))
+    values = spread.groupBy("leaf", "at", "word").agg(F.count("*").alias("times"))
+    spots = values.groupBy("leaf", "at").agg(((F.count("*") <= MOST_VALUES) & (F.max("times") / F.sum("times") >= SAME)).alias("same"))
+    by = spots.groupBy("leaf").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("same"), F.col("at")))).alias("fixed"))
+    return by.filter(F.size("fixed") >= KEPT * F.col("n")).select("leaf", "fixed")
+
+
 def drop_recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the recurring lines taken out of the text, and n_lines, n_dropped."""
     found, recurring = templates(df, id_col, text_col)
@@ -86,7 +91,7 @@ def drop_recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines")
     kept = [F.col("_h").alias("h") if c == "h" else F.col(c) for c in df.columns]
     alone = tested.filter(~F.col("may")).select(*kept, n_lines, F.lit(0).alias("n_dropped"))
-    out = tested.filter("may").join(gone, F.col("h") == F.col("doc"), "left")
+    out = tested.filter("may").join(gone.hint("merge"), F.col("h") == F.col("doc"), "left")  # the same plan at every size
     left = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("_gone", k)), "\n"))
     kept = [left.alias(c) if c == text_col else k for c, k in zip(df.columns, kept, strict=True)]
     return alone.unionByName(out.select(*kept, n_lines, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped")))

@@ -14,7 +14,7 @@ thresholds are joined by a shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -45,12 +45,16 @@ def _same(a: str, b: str):
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken (tokens, repeats counted), copies, source of every row."""
+def place(id_col: str) -> Column:
+    """The document's place in its source: HASH_BITS bits of the MD5 of its id."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def thresholds(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size and place of every row; of each source its size, target, whole multiple and largest place that is taken once more)."""
     spark: SparkSession = df.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
-    slim = written(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), h.alias("h")))
+    slim = written(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), place(id_col).alias("h")))
     totals = [(r["source"], r["n"]) for r in slim.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     goal, total = targets(totals), dict(totals)
     whole = {s: int(goal[s] // n) if n else 0 for s, n in totals}
@@ -85,16 +89,26 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
                 edge.pop(s)
             else:
                 edge[s], need[s] = x["bucket"], need[s] - before
-    table = side([(s, total[s], goal[s], whole[s], past[s]) for s in total], "of string, source_size long, target double, whole int, past long")
-    copies = F.col("whole") + (F.col("h") <= F.col("past")).cast("int")
+    return slim, side([(s, total[s], goal[s], whole[s], past[s]) for s in total], "of string, source_size long, target double, whole int, past long")
+
+
+def _copies(h: Column) -> Column:
+    return F.col("whole") + (h <= F.col("past")).cast("int")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken (tokens, repeats counted), copies, source of every row."""
+    slim, table = thresholds(df, id_col, text_col, source_col)
+    copies = _copies(F.col("h"))
     return slim.join(table, _same("source", "of")).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source")
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs as the mix takes them: a row for each time that its document is taken."""
-    copies = mix(docs).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).filter("_copies > 0").distinct()
-    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as the mix takes them: a row for each time that its document is taken. Texts meet thresholds of their source only, so they are not shuffled."""
+    _, table = thresholds(docs, id_col, text_col, source_col)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).cast("string").alias("_source"), place(id_col).alias("_h"))
+    taken = keyed.join(table, _same("_source", "of")).withColumn("_times", _copies(F.col("_h"))).filter("_times > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 SQL = r"""
