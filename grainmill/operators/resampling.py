@@ -18,14 +18,19 @@ from ..functions.scalars import hash32, ratio
 
 
 def moments(pairs: DataFrame, y: str, arms: list[str], keys: list[str]) -> DataFrame:
-    """n, s (sum of y), yy, s_k, y_k, j_k by key: all second moments of y and the arms. y is shifted by its global mean, as the sums would cancel otherwise."""
-    mean = pairs.agg(F.avg(y).alias("_m"))
-    df = pairs.crossJoin(F.broadcast(mean)).withColumn("_y", F.col(y) - F.col("_m"))
-    agg = [F.count("*").alias("n"), F.sum("_y").alias("s"), F.sum(F.col("_y") ** 2).alias("yy"), F.max("_m").alias("m")]
+    """n, s (sum of y), yy, s_k, y_k, j_k by key: all second moments of y and the arms. y counts from its global mean, as the sums would cancel otherwise.
+
+    One pass: the mean comes from the keys' own sums, and moves the keys' stable variances and covariances."""
+    n = F.count("*")
+    agg = [n.alias("n"), F.avg(y).alias("_my"), (F.var_pop(y) * n).alias("_yy")]
     agg += [F.sum(a).alias(f"s_{a}") for a in arms]
-    agg += [F.sum(F.col("_y") * F.col(a)).alias(f"y_{a}") for a in arms]
+    agg += [(F.covar_pop(y, a) * n).alias(f"_y_{a}") for a in arms]
     agg += [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in itertools.combinations_with_replacement(arms, 2)]
-    return df.groupBy(*keys).agg(*agg)
+    by = pairs.groupBy(*keys).agg(*agg)
+    mean = by.agg(ratio(F.sum(F.col("n") * F.col("_my")), F.sum("n")).alias("m"))
+    off = F.col("_my") - F.col("m")
+    cross = [F.col(f"{a}_{b}") for a, b in itertools.combinations_with_replacement(arms, 2)]
+    return by.crossJoin(F.broadcast(mean)).select(*keys, "n", (F.col("n") * off).alias("s"), (F.col("_yy") + F.col("n") * off * off).alias("yy"), "m", *(F.col(f"s_{a}") for a in arms), *((F.col(f"_y_{a}") + off * F.col(f"s_{a}")).alias(f"y_{a}") for a in arms), *cross)
 
 
 def less_own(groups: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,10 +40,12 @@ def less_own(groups: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def arm_moments(pairs: DataFrame, y: str = "dy", arms: tuple[str, ...] = ("dp",), keys: tuple[str, ...] = ("grp",)) -> DataFrame:
-    """n, sy, syy and each arm's squared error by key, y shifted by its global mean."""
-    mean = pairs.agg(F.avg(y).alias("_m"))
-    shifted = pairs.crossJoin(F.broadcast(mean)).withColumn("_y", F.col(y) - F.col("_m"))
-    return shifted.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("_y").alias("sy"), F.sum(F.col("_y") ** 2).alias("syy"), *(F.sum((F.col(y) - F.col(a)) ** 2).alias(f"e_{a}") for a in arms))
+    """n, sy, syy and each arm's squared error by key, y counted from its global mean; one pass. Kept, as draws and scores both read it: a row a key."""
+    n = F.count("*")
+    by = pairs.groupBy(*keys).agg(n.alias("n"), F.avg(y).alias("_my"), (F.var_pop(y) * n).alias("_yy"), *(F.sum((F.col(y) - F.col(a)) ** 2).alias(f"e_{a}") for a in arms))
+    mean = by.agg(ratio(F.sum(F.col("n") * F.col("_my")), F.sum("n")).alias("_m"))
+    off = F.col("_my") - F.col("_m")
+    return by.crossJoin(F.broadcast(mean)).select(*keys, "n", (F.col("n") * off).alias("sy"), (F.col("_yy") + F.col("n") * off * off).alias("syy"), *(f"e_{a}" for a in arms)).persist()
 
 
 def weighted_r2_of(weight: Column, arm: str) -> Column:
