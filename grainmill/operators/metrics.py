@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import with_group
 from ..functions.scalars import average_rank, corr, is_true, mae, median, r2, ratio, rmse, sign_accuracy, sse, sst
 
 
-def centred(df: DataFrame, keys: list[str], columns: list[str], suffix: str = "_c") -> DataFrame:
+def centred(df: DataFrame, key: str, columns: list[str], suffix: str = "_c") -> DataFrame:
     """Each column less its mean by key, beside the column."""
-    w = Window.partitionBy(*keys)
-    return df.withColumns({f"{c}{suffix}": F.col(c) - F.avg(c).over(w) for c in columns})
+    out = with_group(df, key, {f"_mean_{c}": F.avg(c) for c in columns})
+    return out.withColumns({f"{c}{suffix}": F.col(c) - F.col(f"_mean_{c}") for c in columns}).drop(*(f"_mean_{c}" for c in columns))
 
 
 def weighted_r2(df: DataFrame, weight: str) -> DataFrame:
@@ -57,7 +58,7 @@ def errors(df: DataFrame) -> DataFrame:
 
 def pearson(df: DataFrame, group: str = "grp") -> DataFrame:
     """Pooled, and within groups."""
-    return centred(df, [group], ["y", "p"]).agg(corr("y", "p").alias("pearson"), corr("y_c", "p_c").alias("pearson_within"))
+    return centred(df, group, ["y", "p"]).agg(corr("y", "p").alias("pearson"), corr("y_c", "p_c").alias("pearson_within"))
 
 
 def spearman_of(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import with_group
 from ..functions.scalars import average_rank, ratio
 
 
@@ -61,8 +62,7 @@ def equal_group_blend(pairs: DataFrame, base: str, encoders: list[str], weights:
 
 def row_weights(df: DataFrame, scheme: str, group: str = "grp", index: str = "idx") -> DataFrame:
     """weight, mean one: none, group_inv (1 / sqrt of the group's size), group_inv_full (1 / size), index_inv, combo (group_inv x index_inv)."""
-    sizes = {k: F.count("*").over(Window.partitionBy(c)).cast("double") for k, c in (("g", group), ("i", index))}
-    df = df.withColumns({f"_{k}": c for k, c in sizes.items()})
+    df = with_group(with_group(df, group, {"_g": F.count("*").cast("double")}), index, {"_i": F.count("*").cast("double")})
     raw = {"none": F.lit(1.0), "group_inv": 1 / F.sqrt("_g"), "group_inv_full": 1 / F.col("_g"), "index_inv": 1 / F.col("_i"), "combo": 1 / F.sqrt("_g") / F.col("_i")}
     if scheme not in raw:
         raise KeyError(f"no weight scheme {scheme!r}; there are {sorted(raw)}")
@@ -97,9 +97,8 @@ def balanced_weights(df: DataFrame, group: str = "grp") -> DataFrame:
 
 def anchored(df: DataFrame, anchor: str, shape: str, base: str, w: float, block: str = "blk") -> DataFrame:
     """anchor's block mean plus w of shape and 1 - w of base, both less their block means."""
-    win = Window.partitionBy(block)
-    c = lambda x: F.col(x) - F.avg(x).over(win)
-    return df.withColumn("anchored", F.avg(anchor).over(win) + w * c(shape) + (1 - w) * c(base))
+    out = with_group(df, block, {"_a": F.avg(anchor), "_s": F.avg(shape), "_b": F.avg(base)})
+    return out.withColumn("anchored", F.col("_a") + w * (F.col(shape) - F.col("_s")) + (1 - w) * (F.col(base) - F.col("_b"))).drop("_a", "_s", "_b")
 
 
 def reconstruct(deltas: DataFrame, anchors: DataFrame, block: str = "blk") -> DataFrame:

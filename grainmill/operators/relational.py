@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import with_group
 from ..functions.scalars import is_true, ratio
 
 # ---- filters and projections
@@ -153,7 +154,7 @@ def family_line(df: DataFrame, family: str, x: str, y: str) -> DataFrame:
 def without_main_effect(df: DataFrame, key: str, column: str) -> DataFrame:
     """column less its key's mean plus the grand mean."""
     whole = df.agg(F.avg(column).alias("_m"))
-    return df.crossJoin(F.broadcast(whole)).withColumn(column, F.col(column) - F.avg(column).over(Window.partitionBy(key)) + F.col("_m")).drop("_m")
+    return with_group(df, key, {"_g": F.avg(column)}).crossJoin(F.broadcast(whole)).withColumn(column, F.col(column) - F.col("_g") + F.col("_m")).drop("_m", "_g")
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:

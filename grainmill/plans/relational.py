@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import with_group
 from ..functions.scalars import average_rank, clip, corr, finite, first_prefix, hash32, is_true, occurrences
 from ..operators import cells as ce
 from ..operators import metrics as me
@@ -209,8 +210,8 @@ def j17_anti_join(s, d):
 
 @query(f"WITH {M} SELECT row_id, round(avg(y) OVER (PARTITION BY grp),6) AS mean, round(y - avg(y) OVER (PARTITION BY blk),6) AS centred, count(*) OVER (PARTITION BY grp) AS size FROM m")
 def w1_w3_group_broadcast(s, d):
-    m = measures(s, d)
-    return rounded(m.select("row_id", F.avg("y").over(Window.partitionBy("grp")).alias("mean"), (F.col("y") - F.avg("y").over(Window.partitionBy("blk"))).alias("centred"), F.count("*").over(Window.partitionBy("grp")).alias("size")))
+    m = with_group(measures(s, d).select("row_id", "grp", "blk", "y"), "grp", {"mean": F.avg("y"), "size": F.count("*")})
+    return rounded(me.centred(m, "blk", ["y"]).select("row_id", "mean", F.col("y_c").alias("centred"), "size"))
 
 
 @query(f"WITH {Q} SELECT blk, lo, round(dy - avg(dy) OVER (PARTITION BY lo),6) AS residual FROM q")
@@ -294,8 +295,8 @@ def w17_main_effect(s, d):
 
 @query(f"WITH {M} SELECT row_id, round(avg(l_discount) OVER (PARTITION BY blk),6) AS l_discount, round(avg(l_tax) OVER (PARTITION BY blk),6) AS l_tax FROM m")
 def w18_block_means(s, d):
-    w = Window.partitionBy("blk")
-    return rounded(measures(s, d).select("row_id", *(F.avg(c).over(w).alias(c) for c in ("l_discount", "l_tax"))))
+    m = measures(s, d).select("row_id", "blk", F.col("l_discount").alias("a"), F.col("l_tax").alias("b"))
+    return rounded(with_group(m, "blk", {"l_discount": F.avg("a"), "l_tax": F.avg("b")}).select("row_id", "l_discount", "l_tax"))
 
 
 @query("SELECT p_brand, max(CASE WHEN p_size>5 THEN p_retailprice END) AS top FROM part GROUP BY 1 ORDER BY top DESC NULLS LAST, p_brand")

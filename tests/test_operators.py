@@ -172,6 +172,15 @@ def test_weights_average_to_one(spark, study):
         pr.row_weights(df, "other")
 
 
+def test_hot_groups_and_null_keys(spark):
+    from grainmill.functions.joins import with_group
+
+    rows = [(k, "hot" if k < 3000 else None if k < 3100 else f"g{k}", float(k)) for k in range(6000)]
+    df = spark.createDataFrame(rows, "k int, grp string, v double")
+    got = {r["k"]: (r["m"], r["n"]) for r in with_group(df, "grp", {"m": F.avg("v"), "n": F.count("*")}).collect()}
+    assert len(got) == 6000 and got[5] == (1499.5, 3000) and got[3050] == (3049.5, 100) and got[4000] == (4000.0, 1)
+
+
 def test_guards_raise(spark, study):
     df = spark.createDataFrame(study)
     ce.assert_nested(df)
