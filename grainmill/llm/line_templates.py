@@ -29,6 +29,7 @@ MIN_DOCS = 4
 MOST_VALUES = 3
 SAME = 0.5
 KEPT = 0.6
+WHITE = r"\x20\x09-\x0D"
 
 
 def masked(text: Column) -> Column:
@@ -50,14 +51,15 @@ def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = df.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null")
     lines = texts.select(_key(texts).alias("doc"), F.posexplode(F.split("_text", "\n")).alias("line", "text"))
     w = words(F.col("text"))
-    lead = F.transform(F.slice(w, 1, LEADING), lambda x: masked(ascii_lower(x)))
-    # No filter on the leaf here: it would be pushed down and split each line twice. Short lines have a null leaf.
-    lines = lines.select("doc", "line", "text", F.when(F.size(w) >= MIN_WORDS, F.xxhash64(F.size(w), lead)).alias("leaf"))
-    by_doc = lines.select("doc", "leaf").groupBy("leaf", "doc").agg(F.count("*").alias("lines"))
-    leaves = written(by_doc.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("lines").alias("lines")).filter((F.col("docs") >= MIN_DOCS) & F.col("leaf").isNotNull()))
+    # Each line is counted and its first words are cut out once. A filter on the leaf or the count would be pushed down and do it again.
+    n = F.regexp_count("text", F.lit(f"[^{WHITE}]+"))
+    lead = F.regexp_extract("text", f"^[{WHITE}]*+((?:[^{WHITE}]++[{WHITE}]*+){{0,{LEADING}}})", 1)
+    lines = lines.select("doc", "line", "text", n.alias("n"), F.xxhash64(n, words(masked(ascii_lower(lead)))).alias("leaf"))
+    by_doc = lines.select("doc", "leaf", "n").groupBy("leaf", "doc").agg(F.count("*").alias("lines"), F.max("n").alias("n"))
+    leaves = written(by_doc.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("lines").alias("lines"), F.max("n").alias("n")).filter((F.col("docs") >= MIN_DOCS) & (F.col("n") >= MIN_WORDS)).drop("n"))
     size = leaves.agg(F.count("*").alias("leaves"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")).first()
     passed = may_repeat(lines.withColumn("h", F.col("leaf")), *key_filter(leaves.select(F.col("leaf").alias("h")), size["leaves"])).filter("may")
-    inside = written(passed.select("doc", "line", "leaf", masked(ascii_lower(F.col("text"))).alias("text")))
+    inside = written(passed.select("doc", "line", "leaf", "n", masked(ascii_lower(F.col("text"))).alias("text"))).filter(F.col("n") >= MIN_WORDS).drop("n")
     hot = F.broadcast(leaves.filter(F.col("lines") > size["lines"] / HOT_GROUPS).select("leaf"))  # HOT_GROUPS rows at most
     many = inside.join(hot, "leaf", "left_semi")
     few = inside.join(hot, "leaf", "left_anti").repartition("leaf")  # dealt once: what follows in a leaf shuffles nothing
