@@ -465,7 +465,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = pairs.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).filter("a < b").distinct()
     links = _links(texts, info, pairs)
 
-    found = written(connected(links))
+    found = connected(links)  # reads a written table
     held = parts.select("run", F.explode("members").alias("doc_id")).join(to_node, "doc_id").select("run", F.col("node").alias("doc_id")).distinct()
     held = held.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     held = written(held)
