@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB on the smallest tables, and the rest for rows."""
 
+import datetime
 import math
 
 import duckdb
@@ -21,6 +22,8 @@ def duck(sf_dir):
 
 
 def plain(v):
+    if isinstance(v, datetime.datetime):
+        return v.isoformat()
     if v is None or isinstance(v, bool) or isinstance(v, str):
         return v
     if isinstance(v, (list, tuple)):
