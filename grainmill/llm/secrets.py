@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and values in credential contexts judged by the cost of guessing them.
 
 The patterns assign, access and hex give base spans. The method reads values that stand in a credential context (a key
-word, then "=", ":", "is" or a space; or the password part of a URL) and finds by dynamic programming the cheapest way to
+word, perhaps with a suffix as in SECRET_KEY, then "=", ":", "is", "is:" or a space; or the password part of a URL, whose user may be empty) and finds by dynamic programming the cheapest way to
 write the value as a sequence of dictionary words, dates, repeats, keyboard walks and brute-force stretches. A value whose
-log10 guesses are at least MIN_GUESSES becomes a span of kind "guess", unless a base span already covers it.
+log10 guesses are at least MIN_GUESSES becomes a span of kind "guess", unless a base span already covers it. Only after a
+mere space a value of letters alone is taken for prose, whatever its cost, and gives no span.
 
 guess_cost() is min over segmentations of the sum of the segments' log10 costs plus log10(k!) for k segments, in
 O(length x MAX_SEGMENT x segments); values longer than LONG characters are split at LONG and the costs added, so
@@ -32,7 +33,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Lower-case pieces of which at least one is in any text that ASSIGN matches.
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|credentials?|private[_-]?key|access[_-]?key|bearer|auth)[\"']?(?:\x20*[:=]\x20*|\x20is\x20|\x20)[\"']?([!-~]{8,})|://[^\s:/@]{1,64}:([^\s:/@]{6,})@", re.IGNORECASE | re.ASCII)
+#: What may follow a key word in a name, as in SECRET_KEY or token_value2.
+SUFFIX = r"(?:[_-]?(?:keys?|token|secret|value|string|base|id)){0,3}[_-]?[0-9]{0,2}"
+CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|credentials?|private[_-]?key|access[_-]?key|bearer|auth)(?:" + SUFFIX + r"[\"']?(?:\x20is)?\x20*[:=]\x20*|[\"']?\x20is\x20|[\"']?(?P<plain>\x20))[\"']?(?P<value>[!-~]{8,})|://[^\s:/@]*+:(?P<url>[^\s:/@]{6,})@", re.IGNORECASE | re.ASCII)
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "api", "credential", "key", "bearer", "auth", "://")
 MIN_GUESSES = 10.0
 LONG = 256
@@ -150,11 +153,11 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], least: float = MIN_
         return []
     out = []
     for m in CONTEXT.finditer(text):
-        k = 1 if m[1] is not None else 2
+        k = "value" if m["value"] is not None else "url"
         value = m[k].rstrip(".,;:!?\"')")
         start, end = m.start(k), m.start(k) + len(value)
-        mixed = any(c.isdigit() for c in value) or not value.isalpha()
-        if mixed and len(value) >= 6 and not any(a < end and start < b for a, _, b in base) and guess_cost(value) >= least:
+        prose = m["plain"] is not None and value.isalpha()  # "token classification"
+        if not prose and len(value) >= 6 and not any(a < end and start < b for a, _, b in base) and guess_cost(value) >= least:
             out.append((start, end))
     return out
 
