@@ -6,8 +6,9 @@ likelihood of a declaration given a language come from grouped aggregation over
 by text; a row's own vote is taken out of its host's and suffix's counts. The text counts for at most EVIDENCE trigrams, so that other evidence keeps a say in long
 texts too.
 
-The trigram models are fitted on at most SAMPLE labelled rows a language, those with the smallest hash of their id, for the
-LANGUAGES most frequent labels. identify() rejects a row without letters, and one that is declared as another language than that
+The trigram models are fitted on at most SAMPLE labelled rows a language, those with the smallest hash of their id, for every
+language that a label names; labels count by their base code, so "EN" and "en-US" are "en". A model takes 0.26 MB a language. A declaration
+of a language that no label names has no model to be judged by. identify() rejects a row without letters, and one that is declared as another language than that
 found with probability SURE by all evidence, with MARGIN nats to the next, and by the text alone; the rest are accepted.
 
 Null or empty text gives no text evidence: the priors decide. Null declaration, suffix or host adds nothing. Ties go to the first
@@ -29,7 +30,6 @@ from .common import bounded_batches, join_groups, unit_hash, written
 from .exact_dedup import without
 
 SAMPLE = 300
-LANGUAGES = 32
 SLOTS = 1 << 16
 EVIDENCE = 60
 STRENGTH = 20.0
@@ -53,26 +53,33 @@ def trigrams(text: bytes) -> np.ndarray:
 def fit(texts: list[tuple[str, str | None]]) -> tuple[list[str], np.ndarray]:
     """Languages by name and the log-probability of each slot in each, by add-one-half smoothing."""
     names = sorted({lang for lang, _ in texts})
-    counts = np.zeros((SLOTS, len(names)))
+    at = {lang: k for k, lang in enumerate(names)}
+    counts = np.zeros((len(names), SLOTS), dtype=np.int64)
     for lang, text in texts:
         if (t := trigrams((text or "").encode())).size:
-            counts[:, names.index(lang)] += np.bincount(t, minlength=SLOTS)
-    counts += 0.5
-    return names, np.log(counts / counts.sum(0)).astype(np.float32)
+            counts[at[lang]] += np.bincount(t, minlength=SLOTS)
+    table = np.empty((SLOTS, len(names)), dtype=np.float32)
+    for k in range(len(names)):
+        own = counts[k] + 0.5
+        table[:, k] = np.log(own / own.sum())
+    return names, table
+
+
+def base_code(label: Column) -> Column:
+    """The lower-case language of a label such as "en-US" or "EN_gb"; null where none is named."""
+    code = F.regexp_extract(F.lower(F.trim(label)), "^[^-_]*", 0)
+    return F.when(code != "", code)
 
 
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str | None]]:
-    """At most SAMPLE (language, text) a language of the most frequent LANGUAGES."""
-    known = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).filter("_lang is not null and _id is not null")
-    top = {r["_lang"]: min(1.0, 4 * SAMPLE / r["count"]) for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()}
-    if not top:
-        return []
-    rate = F.create_map(*(F.lit(x) for pair in top.items() for x in pair))[F.col("_lang")]  # few candidates leave a task
+    """At most SAMPLE (language, text) of each language."""
+    known = labelled.select(F.col(id_col).alias("_id"), base_code(F.col(lang_col)).alias("_lang")).filter("_lang is not null and _id is not null")
+    rates = known.groupBy("_lang").agg(F.least(F.lit(1.0), F.lit(4.0 * SAMPLE) / F.count("*")).alias("_rate"))  # few candidates leave a task
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    few = known.filter(F.col("_lang").isin(list(top)) & (unit_hash(F.col("_id")) < rate)).withColumn("_rank", rank).filter(F.col("_rank") <= SAMPLE).select("_id").distinct()
-    ids = [r["_id"] for r in few.collect()]  # at most SAMPLE x LANGUAGES
-    rows = labelled.filter(F.col(id_col).isin(ids)).select(id_col, lang_col, text_col).dropDuplicates([id_col]).orderBy(id_col).collect()
-    return [(r[lang_col], r[text_col]) for r in rows if r[lang_col] in top]
+    few = known.join(F.broadcast(rates), "_lang").filter(unit_hash(F.col("_id")) < F.col("_rate")).withColumn("_rank", rank).filter(F.col("_rank") <= SAMPLE).select("_id", "_lang").distinct()
+    rows = labelled.select(F.col(id_col).alias("_id"), base_code(F.col(lang_col)).alias("_lang"), F.col(text_col).alias("_text")).filter("_lang is not null")
+    rows = rows.join(F.broadcast(few), ["_id", "_lang"], "left_semi").dropDuplicates(["_id", "_lang"]).orderBy("_id", "_lang").collect()  # at most SAMPLE a language
+    return [(r["_lang"], r["_text"]) for r in rows]
 
 
 _SCORED = "id long, declared string, host string, suffix string, n long, ll array<float>, top int"
@@ -148,7 +155,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, te
     out = out.withColumn("_text", F.array(*heard)).withColumn("_margin", F.array_max("_text") - F.coalesce(F.expr("try_element_at(sort_array(_text, false), 2)"), F.lit(-1e9)))
     name = F.array(*map(F.lit, names))
     language, text_language = F.element_at(name, F.col("_at")), F.when(F.col("top").isNotNull(), F.element_at(name, F.col("top") + 1))
-    base = F.substring_index(F.lower("declared"), "-", 1)
+    base = base_code(F.col("declared"))
     other = F.col("declared").isNotNull() & base.isin(names) & (base != language) & (base != text_language) & (F.col("probability") >= SURE) & (F.col("_margin") >= MARGIN) & (language == text_language)
     reason = F.when(F.col("n") == 0, "no letters").when(other, "declared otherwise")
     return out.select("id", language.alias("language"), F.round("probability", 6).alias("probability"), text_language.alias("text_language"), "declared", "host", "suffix", F.col("n").alias("n_trigrams"), reason.isNull().alias("accepted"), reason.alias("reason"))
