@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,12 +241,16 @@ def gate_drift(df: DataFrame) -> DataFrame:
     return df.agg(n.alias("ok_rows"), kept.alias("kept_rows"), ((n > 0) & (kept == 0)).alias("drift"))
 
 
-def representation_similarity(vectors: DataFrame, a: str, b: str, key: str = "id") -> DataFrame:
-    """Spearman of the pairwise Euclidean distances under two representations. All pairs of a stated, small set."""
+def representation_similarity(vectors: DataFrame, a: str, b: str, key: str = "id", by: list[str] | None = None) -> DataFrame:
+    """Spearman of the pairwise Euclidean distances under two representations, in each group of by. All pairs of a stated, small set."""
+    by = by or []
     euclid = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v))
-    other = vectors.select(F.col(key).alias("_k"), F.col(a).alias("_a"), F.col(b).alias("_b"))
-    d = vectors.join(other, F.col(key) < F.col("_k")).select(F.round(euclid(a, "_a"), 9).alias("da"), F.round(euclid(b, "_b"), 9).alias("db"))
-    return d.select(average_rank("da").alias("ra"), average_rank("db").alias("rb")).agg(F.count("*").alias("pairs"), corr("ra", "rb").alias("similarity"))
+    other = vectors.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col(key).alias("_k"), F.col(a).alias("_a"), F.col(b).alias("_b"))
+    mates = F.col(key) < F.col("_k")
+    for c in by:
+        mates = mates & (F.col(c) == F.col(f"_by_{c}"))
+    d = vectors.join(other, mates).select(*by, F.round(euclid(a, "_a"), 9).alias("da"), F.round(euclid(b, "_b"), 9).alias("db"))
+    return d.select(*by, average_rank("da", by).alias("ra"), average_rank("db", by).alias("rb")).groupBy(*by).agg(F.count("*").alias("pairs"), corr("ra", "rb").alias("similarity"))
 
 
 def effective_dimension(vectors: DataFrame, vector: str, dims: int) -> DataFrame:
@@ -256,6 +262,36 @@ def effective_dimension(vectors: DataFrame, vector: str, dims: int) -> DataFrame
     return cov.select(ratio(trace * trace, norm).alias("effective_dimension"))
 
 
+def _merge(one: tuple, two: tuple) -> tuple:
+    """(rows, mean, sum of products about the mean) of both."""
+    (n, mean, m2), (k, other, more) = one, two
+    if not n or not k:
+        return two if not n else one
+    step = other - mean
+    return n + k, mean + step * (k / (n + k)), m2 + more + np.outer(step, step) * (n * k / (n + k))
+
+
+def effective_dimension_of_all(vectors: DataFrame, vector: str) -> DataFrame:
+    """effective_dimension of all components: each task sends the moments of its rows, the driver adds them. Null vectors are left out."""
+
+    def moments(batches):
+        own = (0, None, None)
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["v"].to_numpy()).astype(float)
+                mean = x.mean(0)
+                own = _merge(own, (len(x), mean, (x - mean).T @ (x - mean)))
+        if own[0]:
+            yield pd.DataFrame({"n": [own[0]], "mean": [own[1].tobytes()], "m2": [own[2].tobytes()]})
+
+    whole = (0, None, None)
+    for r in vectors.select(F.col(vector).alias("v")).filter("v is not null").mapInPandas(moments, "n long, mean binary, m2 binary").toLocalIterator():
+        mean = np.frombuffer(r["mean"])
+        whole = _merge(whole, (r["n"], mean, np.frombuffer(r["m2"]).reshape(len(mean), -1)))
+    norm = float((whole[2] ** 2).sum()) if whole[0] else 0.0
+    return vectors.sparkSession.createDataFrame([(float(np.trace(whole[2])) ** 2 / norm if norm else None,)], "effective_dimension double")
+
+
 def standard_channels(df: DataFrame, channel: str, value: str) -> DataFrame:
     """log1p, then mean 0 and SD 1 by channel; a constant channel gives null."""
     w = Window.partitionBy(channel)

@@ -1,0 +1,62 @@
+"""Queries over all rows whose namesakes without "_whole" run, as their SQL does, over a fixed subset."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalars import ratio
+from ..operators import geometry as ge
+from ..operators import registry as xr
+from ..operators import relational as re_
+from ..operators.metrics import sst
+from .registry import M, measures, query, table
+from .scores import rounded
+from .structures import RUNS, runs
+
+
+@query("SELECT l_linenumber, l_linestatus FROM lineitem")
+def f4_prefix_projection_whole(s, d):
+    items = table(s, d, "lineitem")
+    return items.select(*re_.prefixed(items, "l_line"))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey, c_nationkey FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey")
+def j1_many_inner_whole(s, d):
+    items = table(s, d, "lineitem").select("l_orderkey", "l_linenumber")
+    orders, customers = table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "customer").select("c_custkey", "c_nationkey")
+    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).select("l_orderkey", "l_linenumber", "o_custkey", "c_nationkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(CASE l_returnflag WHEN 'R' THEN 1.0::DOUBLE WHEN 'A' THEN 2.0::DOUBLE END, 0.0::DOUBLE) AS radius FROM lineitem")
+def j11_lookup_whole(s, d):
+    lookup = s.createDataFrame([("R", 1.0), ("A", 2.0)], "l_returnflag string, r double")
+    return table(s, d, "lineitem").join(F.broadcast(lookup), "l_returnflag", "left").select("l_orderkey", "l_linenumber", F.coalesce("r", F.lit(0.0)).alias("radius"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (round(l_discount,2)*100)::INT || 'e-2' AS k FROM lineitem")
+def c4_number_keys_whole(s, d):
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat((F.round("l_discount", 2) * 100).cast("int").cast("string"), F.lit("e-2")).alias("k"))
+
+
+@query(f"WITH {M}, c2 AS (SELECT idx, grp, strict_blk, avg(y) AS y FROM m GROUP BY ALL), v AS (SELECT idx, grp, count(*) AS n, var_samp(y) AS v FROM c2 GROUP BY idx, grp HAVING count(*)>1) SELECT idx, count(*) AS groups, round(sum(v*(n-1))/sum(n-1),6) AS pooled FROM v GROUP BY idx")
+def r15_condition_level_whole(s, d):
+    c2 = measures(s, d).groupBy("idx", "grp", "strict_blk").agg(F.avg("y").alias("y"))
+    by = c2.groupBy("idx", "grp").agg(F.count("y").alias("n"), sst("y").alias("ss")).filter("n > 1")
+    return rounded(by.groupBy("idx").agg(F.count("*").alias("groups"), ratio(F.sum("ss"), F.sum(F.col("n") - 1)).alias("pooled")))
+
+
+@query(f"WITH {RUNS} SELECT preset, seed, count(*) AS n FROM rn GROUP BY 1,2 HAVING count(*)>1")
+def x5_duplicate_seeds_whole(s, d):
+    return xr.duplicates(runs(s, d), ["preset", "seed"])
+
+
+@query()
+def g26_representation_similarity_whole(s, d):
+    """The two halves of each label's vectors as two representations."""
+    v = table(s, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    return rounded(ge.representation_similarity(v, "a", "b", by=["label"]))
+
+
+@query()
+def g27_effective_dimension_whole(s, d):
+    return rounded(ge.effective_dimension_of_all(table(s, d, "embeddings"), "embedding"))

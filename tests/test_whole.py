@@ -1,0 +1,43 @@
+"""Queries over all rows that have no SQL, against brute force."""
+
+import duckdb
+import numpy as np
+import pytest
+
+from grainmill.plans import catalog
+
+
+@pytest.fixture(scope="module")
+def vectors(sf_dir):
+    rows = duckdb.sql(f"SELECT vec_id, label, embedding FROM '{sf_dir}/embeddings.parquet' ORDER BY 1").fetchall()
+    return [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows], dtype=float)
+
+
+def ranks(x):
+    values, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - (n - 1) / 2)[at]
+
+
+def test_similarity_of_every_label(spark, sf_dir, vectors):
+    _, labels, x = vectors
+    got = {r["label"]: r for r in catalog.QUERIES["g26_representation_similarity_whole"](spark, sf_dir).collect()}
+    assert set(got) == {k for k in labels.tolist() if (labels == k).sum() > 1} and len(got) > 1
+    for label, r in got.items():
+        own = x[labels == label]
+        i, j = np.triu_indices(len(own), 1)
+        a, b = (np.round(np.sqrt(((own[i, s] - own[j, s]) ** 2).sum(1)), 9) for s in (slice(0, 32), slice(32, 64)))
+        assert r["pairs"] == len(i)
+        if len(i) > 2:
+            assert r["similarity"] == pytest.approx(np.corrcoef(ranks(a), ranks(b))[0, 1], abs=1e-4)
+
+
+def test_effective_dimension_of_all_components(spark, sf_dir, vectors):
+    c = np.cov(vectors[2].T, bias=True)
+    assert c.shape == (64, 64)
+    assert catalog.QUERIES["g27_effective_dimension_whole"](spark, sf_dir).first()[0] == pytest.approx(np.trace(c) ** 2 / (c**2).sum(), abs=1e-5)
+
+
+def test_duplicates_past_the_fortieth_event(spark, tmp_path):
+    events = [(k, f"t{k}", 1.0, "{}") for k in range(40)] + [(k, "late", 1.0, "{}") for k in (44, 48)]
+    spark.createDataFrame(events, "event_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["x5_duplicate_seeds_whole"](spark, str(tmp_path)).select("preset", "seed", "n").collect()] == [("late", 0, 2)]
