@@ -58,47 +58,47 @@ def r3_logo_mean(s, d):
 
 
 @query(f"WITH {M}, t AS (SELECT d.range AS draw, g.grp FROM range({DRAWS}) d, (SELECT DISTINCT grp FROM m) g WHERE {h("concat_ws('|','9',d.range,g.grp)")} % 1000 < 200) SELECT draw, round({R2},6) AS r2 FROM t JOIN m USING (grp) GROUP BY draw")
-def r4_holdouts(s, d):
+def r4_holdouts(s, d, draws=DRAWS):
     """R2 of random fifths of the groups, from each group's sums."""
     m = measures(s, d).withColumnsRenamed({"y": "dy", "p": "dp"})
     by = rs.arm_moments(m)
-    held = by.select("grp").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).filter(hash32(F.concat_ws("|", F.lit("9"), "draw", "grp")) % 1000 < 200)
+    held = by.select("grp").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).filter(hash32(F.concat_ws("|", F.lit("9"), "draw", "grp")) % 1000 < 200)
     return rounded(held.withColumn("times", F.lit(1)).join(by, "grp").groupBy(F.col("draw").cast("long").alias("draw")).agg(rs.weighted_r2_of(F.lit(1.0), "dp").alias("r2")))
 
 
 @query(f"WITH {M}, {drawn('m', '11')} SELECT draw, round({boot('(y-p)', 'y')},6) AS r2 FROM dr JOIN m USING (grp) GROUP BY draw")
-def r5_cluster_bootstrap(s, d):
+def r5_cluster_bootstrap(s, d, draws=DRAWS):
     m = measures(s, d).withColumnsRenamed({"y": "dy", "p": "dp"})
     by = rs.arm_moments(m)
-    return rounded(rs.bootstrap_r2(by, rs.draws(by, DRAWS, "11"), ["dp"]).select(F.col("draw").cast("long").alias("draw"), F.col("dp").alias("r2")))
+    return rounded(rs.bootstrap_r2(by, rs.draws(by, draws, "11"), ["dp"]).select(F.col("draw").cast("long").alias("draw"), F.col("dp").alias("r2")))
 
 
 BD = f"b AS (SELECT draw, {boot('(dy-dp)')} AS ra, {boot('(dy-dp2)')} AS rb FROM dr JOIN q USING (grp) GROUP BY draw)"
 
 
 @query(f"WITH {Q}, {drawn('q', '13', 40)}, {BD} SELECT round(quantile_cont(rb-ra,0.05),6) AS lo, round(quantile_cont(rb-ra,0.95),6) AS hi, round(avg(CASE WHEN rb-ra>0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS share_positive FROM b")
-def r6_paired_bootstrap(s, d):
+def r6_paired_bootstrap(s, d, draws=40):
     by = rs.arm_moments(pairs(s, d), arms=("dp", "dp2"))
-    b = rs.bootstrap_r2(by, rs.draws(by, 40, "13"), ["dp", "dp2"])
+    b = rs.bootstrap_r2(by, rs.draws(by, draws, "13"), ["dp", "dp2"])
     return rounded(rs.interval(b.select((F.col("dp2") - F.col("dp")).alias("delta")), "delta"))
 
 
 @query(f"WITH {Q}, {drawn('q', '13')}, {BD} SELECT draw, round(ra,6) AS r2_a, round(rb,6) AS r2_b FROM b")
-def r7_multiplicity_bootstrap(s, d):
+def r7_multiplicity_bootstrap(s, d, draws=DRAWS):
     by = rs.arm_moments(pairs(s, d), arms=("dp", "dp2"))
-    return rounded(rs.bootstrap_r2(by, rs.draws(by, DRAWS, "13"), ["dp", "dp2"]).select(F.col("draw").cast("long").alias("draw"), F.col("dp").alias("r2_a"), F.col("dp2").alias("r2_b")))
+    return rounded(rs.bootstrap_r2(by, rs.draws(by, draws, "13"), ["dp", "dp2"]).select(F.col("draw").cast("long").alias("draw"), F.col("dp").alias("r2_a"), F.col("dp2").alias("r2_b")))
 
 
 @query(f"WITH {Q}, {drawn('q', '13')}, u AS (SELECT draw, grp, 1 AS times FROM dr) SELECT draw, round({boot('(dy-dp)')},6) AS r2 FROM u JOIN q USING (grp) GROUP BY draw")
-def r8_collapsing_bootstrap(s, d):
+def r8_collapsing_bootstrap(s, d, draws=DRAWS):
     by = rs.arm_moments(pairs(s, d))
-    return rounded(rs.bootstrap_r2(by, rs.draws(by, DRAWS, "13", collapse=True), ["dp"]).select(F.col("draw").cast("long").alias("draw"), F.col("dp").alias("r2")))
+    return rounded(rs.bootstrap_r2(by, rs.draws(by, draws, "13", collapse=True), ["dp"]).select(F.col("draw").cast("long").alias("draw"), F.col("dp").alias("r2")))
 
 
 @query(f"WITH {M}, {drawn('m', '17')}, g AS (SELECT grp, avg(abs(y-p)) - avg(abs(y-p2)) AS delta FROM m GROUP BY grp) SELECT draw, round(sum(times*delta)/sum(times),6) AS mean_delta FROM dr JOIN g USING (grp) GROUP BY draw")
-def r9_group_mean_bootstrap(s, d):
+def r9_group_mean_bootstrap(s, d, draws=DRAWS):
     g = measures(s, d).groupBy("grp").agg((F.avg(F.abs(F.col("y") - F.col("p"))) - F.avg(F.abs(F.col("y") - F.col("p2")))).alias("delta"))
-    out = rs.draws(g, DRAWS, "17").join(g, "grp").groupBy("draw").agg((F.sum(F.col("times") * F.col("delta")) / F.sum("times")).alias("mean_delta"))
+    out = rs.draws(g, draws, "17").join(g, "grp").groupBy("draw").agg((F.sum(F.col("times") * F.col("delta")) / F.sum("times")).alias("mean_delta"))
     return rounded(out.withColumn("draw", F.col("draw").cast("long")))
 
 
@@ -106,20 +106,20 @@ CORR_W = "(sum(w)*sum(w*x*z)-sum(w*x)*sum(w*z))/nullif(sqrt((sum(w)*sum(w*x*x)-s
 
 
 @query(f"WITH {Q}, {drawn('q', '19')}, t AS (SELECT draw, times::DOUBLE AS w, dy AS x, dp2 AS z FROM dr JOIN q USING (grp)) SELECT draw, round({CORR_W},6) AS r FROM t GROUP BY draw")
-def r10_correlation_bootstrap(s, d):
+def r10_correlation_bootstrap(s, d, draws=DRAWS):
     q = pairs(s, d)
     by = q.groupBy("grp").agg(F.count("*").alias("n"), F.sum("dy").alias("x"), F.sum("dp2").alias("z"), F.sum(F.col("dy") ** 2).alias("xx"), F.sum(F.col("dp2") ** 2).alias("zz"), F.sum(F.col("dy") * F.col("dp2")).alias("xz"))
-    t = rs.draws(by, DRAWS, "19").join(by, "grp").groupBy("draw").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "x", "z", "xx", "zz", "xz")))
+    t = rs.draws(by, draws, "19").join(by, "grp").groupBy("draw").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "x", "z", "xx", "zz", "xz")))
     r = ratio(F.col("n") * F.col("xz") - F.col("x") * F.col("z"), F.sqrt((F.col("n") * F.col("xx") - F.col("x") ** 2) * (F.col("n") * F.col("zz") - F.col("z") ** 2)))
     return rounded(t.select(F.col("draw").cast("long").alias("draw"), r.alias("r")))
 
 
 @query(f"WITH {Q}, {drawn('q', '23')} SELECT draw, round(({boot('(dy-dp)')}) - ({boot('(dy-dp2)')}) - (({boot('(dy-dp3)')}) - ({boot('(dy-(dp2+dp3)/2)')})),6) AS interaction FROM dr JOIN q USING (grp) GROUP BY draw")
-def r11_interaction_bootstrap(s, d):
+def r11_interaction_bootstrap(s, d, draws=DRAWS):
     """Difference of differences of four arms in one draw."""
     q = pairs(s, d).withColumn("dp4", (F.col("dp2") + F.col("dp3")) / 2)
     by = rs.arm_moments(q, arms=("dp", "dp2", "dp3", "dp4"))
-    b = rs.bootstrap_r2(by, rs.draws(by, DRAWS, "23"), ["dp", "dp2", "dp3", "dp4"])
+    b = rs.bootstrap_r2(by, rs.draws(by, draws, "23"), ["dp", "dp2", "dp3", "dp4"])
     return rounded(b.select(F.col("draw").cast("long").alias("draw"), ((F.col("dp") - F.col("dp2")) - (F.col("dp3") - F.col("dp4"))).alias("interaction")))
 
 
@@ -127,10 +127,10 @@ HALF = f"hv AS (SELECT d.range AS draw, g.grp, ({h("concat_ws('|','29',d.range,g
 
 
 @query(f"WITH {Q}, {HALF}, pf AS (SELECT draw, lo, avg(CASE WHEN half=0 THEN dy END) AS a, avg(CASE WHEN half=1 THEN dy END) AS b FROM hv JOIN q USING (grp) GROUP BY 1,2) SELECT draw, round(corr(a,b),6) AS r FROM pf GROUP BY draw")
-def r12_split_half_profile(s, d):
+def r12_split_half_profile(s, d, draws=DRAWS):
     own = pairs(s, d).groupBy("grp", "lo").agg(F.sum("dy").alias("s"), F.count("*").alias("n"))
     side = lambda v: ratio(F.sum(F.when(F.col("half") == v, F.col("s"))), F.sum(F.when(F.col("half") == v, F.col("n"))))
-    profile = rs.halves(own, DRAWS, "29").join(own, "grp").groupBy("draw", "lo").agg(side(0).alias("a"), side(1).alias("b"))
+    profile = rs.halves(own, draws, "29").join(own, "grp").groupBy("draw", "lo").agg(side(0).alias("a"), side(1).alias("b"))
     return rounded(profile.groupBy(F.col("draw").cast("long").alias("draw")).agg(corr("a", "b").alias("r")))
 
 
@@ -186,9 +186,9 @@ def r18_split_digest(s, d):
 
 
 @query(f"WITH {Q}, {HALF}, e AS (SELECT draw, {DR2.replace('dp', 'dp')} AS ra, {DR2.replace('dp', 'dp2')} AS rb FROM hv JOIN q USING (grp) WHERE half=0 GROUP BY draw) SELECT round(avg(CASE WHEN rb>ra THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS win_rate FROM e")
-def r19_half_win_rate(s, d):
+def r19_half_win_rate(s, d, draws=DRAWS):
     by = rs.arm_moments(pairs(s, d), arms=("dp", "dp2"))
-    half = rs.halves(by, DRAWS, "29").filter("half = 0").withColumn("times", F.lit(1))
+    half = rs.halves(by, draws, "29").filter("half = 0").withColumn("times", F.lit(1))
     return rounded(rs.bootstrap_r2(by, half, ["dp", "dp2"]).agg(F.avg(is_true(F.col("dp2") > F.col("dp"))).alias("win_rate")))
 
 

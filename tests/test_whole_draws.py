@@ -1,0 +1,20 @@
+"""Resampling with the reference's draws: the first draws are those that SQL holds."""
+
+import pytest
+
+from grainmill.plans import catalog, resample
+
+BY_DRAW = {"r4_holdouts": 2000, "r5_cluster_bootstrap": 200, "r7_multiplicity_bootstrap": 400, "r8_collapsing_bootstrap": 300, "r12_split_half_profile": 500}
+
+
+@pytest.mark.parametrize("name", BY_DRAW)
+def test_all_draws_and_the_same_first_ones(name, spark, sf_dir):
+    few = {r["draw"]: tuple(r) for r in catalog.QUERIES[name](spark, sf_dir).collect()}
+    got = {r["draw"]: tuple(r) for r in catalog.QUERIES[f"{name}_whole"](spark, sf_dir).collect()}
+    assert len(got) > 0.99 * BY_DRAW[name] and max(got) == BY_DRAW[name] - 1
+    assert {k: got[k] for k in few} == {k: pytest.approx(v, abs=2e-6) for k, v in few.items()}
+
+
+def test_win_rate_has_two_hundred_halves(spark, sf_dir):
+    rate = catalog.QUERIES["r19_half_win_rate_whole"](spark, sf_dir).first()["win_rate"]
+    assert rate * 200 == pytest.approx(round(rate * 200), abs=1e-3) and resample.DRAWS == 10
