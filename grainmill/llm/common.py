@@ -12,16 +12,24 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A hot group has more than this share of all rows, so there are at most HOT_GROUPS of them.
-HOT_GROUPS = 1000
+HOT_GROUPS = 20_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
-    """Arrow batches of few rows from now on, so that long texts do not fill a worker's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes and rows of an Arrow batch, so that long texts do not fill a worker's memory.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
+_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Bounds the Arrow batches of the session by bytes and rows, unless it has bounds of its own; no result depends on it."""
+    conf = df.sparkSession.conf
+    for key, most in _BATCH.items():
+        if conf.get(key, None) is None:
+            conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,14 +53,39 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives a lost executor, is removed when the driver ends."""
+    """df as a Parquet table in the shared folder: cuts lineage, survives a lost executor, is removed by freed() or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/grainmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _TABLES:
+        atexit.register(_remove_all, spark)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that are written and not yet removed.
+_TABLES: list[str] = []
+
+
+def _remove_all(spark: SparkSession) -> None:
+    for path in _TABLES:
+        _remove(spark, path)
+
+
+def mark() -> int:
+    """A point to which freed() goes back."""
+    return len(_TABLES)
+
+
+def freed(df: DataFrame, since: int) -> DataFrame:
+    """df written, and the tables written since mark() gave `since` removed."""
+    out = written(df)
+    for path in _TABLES[since:-1]:
+        _remove(df.sparkSession, path)
+    del _TABLES[since:-1]
+    return out
+
+
 def unit_hash(key: Column) -> Column:
     """A number in [0, 1) by hash: rows under a rate are a fixed sample, found without sending others anywhere."""
     return F.xxhash64(key) / F.lit(float(1 << 64)) + F.lit(0.5)
@@ -71,8 +104,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     """
     others = [c for c in groups.columns if c != key]
     hot = groups.filter(F.col(size) > F.lit(total / HOT_GROUPS)).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in others])
-    cold = groups.filter(F.col(size) <= F.lit(total / HOT_GROUPS)).select(F.col(key).cast("string").alias("_ck"), *[F.col(c).alias(f"_c_{c}") for c in others])
+    cold = groups.filter(F.col(size) <= F.lit(total / HOT_GROUPS)).select(F.col(key).alias("_ck"), F.lit(0).alias("_cs"), *[F.col(c).alias(f"_c_{c}") for c in others])
     out = rows.join(F.broadcast(hot), rows[key] == F.col("_hk"), "left")
-    out = out.withColumn("_jk", F.when(F.col("_hk").isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("\0"), F.coalesce(F.col(row_key).cast("string"), F.lit("")))))
-    out = out.join(cold, F.col("_jk") == F.col("_ck"), "left")
+    out = out.withColumn("_salt", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.hash(row_key), F.lit(1 << 20))))
+    out = out.join(cold, (F.col(key) == F.col("_ck")) & (F.col("_salt") == F.col("_cs")), "left")
     return out.select(*rows.columns, *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_c_{c}")).alias(c) for c in others])

@@ -1,55 +1,70 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document's set holds 64-bit hashes of its distinct WORDS-word shingles. Two sets link when 7 x |difference| <= |A| + |B|,
-which is a Jaccard similarity of 0.75.
+which is a Jaccard similarity of 0.75. A partner of a set of n features differs from it by k = n // 3 at most.
 
-Signatures. Sizes fall into bands, [B, 16/9 B); a set is in its own band and, when a partner can be smaller than its band, in the
-one below, so two sets that may link are in a common band. A band splits the feature domain into groups of three partitions. Sets
+Frequent features. One pass over all texts counts features in CELLS cells by hash. A cell with more than FREQUENT features, and more
+than CROWDED times the mean, is frequent. Leaving frequent features out of all sets lowers no difference above k, so signatures
+of the others are still complete, and a passage that very many documents share brings none of them together.
+
+Signatures, at every size. Sizes fall into bands, [B, 16/9 B); a set is in its own band and, when a partner can be smaller than its band, in
+the one below, so two sets that may link are in a common band. A band splits the feature domain into groups of three partitions. Sets
 that agree in all but one partition of a group agree on two of the three, so each pair of a group's partitions gives one signature,
-a hash of its features. At a difference of at most k, one of k // 2 + 1 groups differs by one feature at most. A set therefore
-signs its groups in order until k // 2 + 1 of them have two partitions that are not empty, with k = size // 3, the most that a partner
-within the size limits can differ by; empty pairs are not signed, so nothing but shared features brings sets together. Sets of
-fewer than SINGLES features sign single features instead, the k + 1 of lowest hash. A set that runs out of groups signs all of
-them; a link is then lost only if each of its full groups holds two of the k differences, under one case in 10^14 from k = 21 on.
+a hash of its features. At a difference of at most k, one of k // 2 + 1 groups differs by one feature at most. A set
+signs its groups in order until k // 2 + 1 of them have two partitions that are not empty; empty pairs are not signed, so nothing but
+shared features brings sets together. A set that runs out of groups, being short or made of frequent features, signs all of them and its
+k + 1 least features besides, those of frequent cells last: two such sets that link share one of these, and of any other
+two that link the one that stops first shares a signature of its full groups with the other. So no link is lost.
 
 Buckets. Signatures travel in blobs by bucket, not as rows. A bucket is read as a stream: runs of equal signatures
-that are longer than SMALL are cut down to their smallest document whenever the buffer is full and given out as parts, so a hot signature
-takes no more memory than others. Runs of at most SMALL documents give their pairs. Longer runs first give pairs with their
-smallest document; those that still hold several components give the pairs between components, in blocks of BLOCK documents. Runs
-with one smallest document hold much the same documents, so a pair is given by the first RANKED of these that it shares, once, or by later ones if it shares none of them.
-
-This is done twice, first with small sketches to find the members that have a near partner, then for those with sketches
-of FINE bits a difference.
-
-Checks. The parity sketch of a set (bit h mod M flipped by each feature) differs in no more bits than the sets do, which removes most pairs without
-an error; the rest are checked on the whole texts. Components of the links come from alternating large-star and small-star rounds.
-
-Documents with equal sets are one node, so copies are never paired. Null, empty and word-less texts have size 0 and are alone. Rows
-repeated with one doc_id get one component; a null doc_id is alone with a null component. An empty table gives no rows. Other
-columns are ignored by components() and carried along by keep_rows().
+that are longer than SMALL are cut down to their smallest set whenever the buffer is full and given out as parts, so a hot signature
+takes no more memory than others. Runs of at most SMALL sets give their pairs, longer ones first give pairs with their smallest set.
+
+Checks. Pairs pass by size and parity sketch (bit h mod M flipped by each feature), which differs in no more bits than the sets
+do, and then by whole texts, of which a centre's travels once a block of its partners. Each set is first checked against its smallest
+candidate; components of these links leave the pairs between components to be checked, and of the long runs the pairs between
+components, gathered by the runs' smallest set, in blocks of BLOCK sets. A pair inside one component needs no check, so the operator
+gives components and not the number of links. What stays quadratic is a crowd of documents that consist by more than two thirds of
+the same frequent passages and yet do not link: sketches of all its pairs are compared, in blocks.
+
+Equal sets are one node, named by 64 bits of their 128-bit digest; two sets of one name only make more pairs to check, and are paired with each
+other. Null, empty and word-less texts have size 0 and are alone. Ties: a component's name is its smallest doc_id, so the order of rows is
+of no account. Very long texts are cut into shingles in pieces and otherwise treated as others. Rows repeated with one doc_id are one vertex: links of any of its
+texts join its component, and each row is named by its own text's. A null doc_id is alone with a null component. An empty table gives no rows. Other
+columns, of whatever name, are ignored by components() and carried along by keep_rows().
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_groups, written
-from .exact_dedup import FILTER_BITS, PAGE, _places, _power, without
+from .components import connected
+from .exact_dedup import _power, key_filter, may_repeat, without
 
 WORDS = 5
-SINGLES = 64
 SMALL = 4
 BLOCK = 1024
-FINE = 32
-RANKED = 64
+FINE = 32  # sketch bits a difference
+COARSE = 8  # the same between members of long runs
 FILL = 1.6  # features of the band's largest set in a partition
 BUFFER = 500_000
+PIECE = 1 << 18  # bytes of text that are hashed at once
+CELLS, PAGE_CELLS = 1 << 24, 1 << 16
+FREQUENT, CROWDED = 256, 16
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_LOW = np.arange(1, 257, dtype=np.uint64)  # a byte's value in a word's hash, A-Z as a-z
+_LOW[65:91] += np.uint64(32)
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,30 +73,132 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and those of its inverse."""
+    out = []
+    for base in (0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)):
+        x = np.ones(n, np.uint64)
+        x[1:] = np.uint64(base)
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def _word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word of a byte array that ends in white space."""
+    white = _WHITE[buf]
+    edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+    if not white[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return start, np.zeros(0, np.uint64)
+    up, down = _powers(max(2 * PIECE, _power(len(buf))))
+    sums = np.cumsum(_LOW[buf] * up[: len(buf)], dtype=np.uint64)
+    return start, mix((sums[end - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))) * down[start])
+
+
+def word_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text; white space and letters are ASCII's."""
+    hashes, owner, k = [], [], 0
+    while k < len(texts):
+        m, size = k, 0
+        while m < len(texts) and (m == k or size + len(texts[m]) < PIECE):
+            size += len(texts[m]) + 1
+            m += 1
+        if m == k + 1:  # perhaps a long one: cut at white space
+            text, at = texts[k], 0
+            while at < len(text):
+                to = at + PIECE
+                while to < len(text) and text[to] not in b" \t\n\v\f\r":
+                    to += 1
+                h = _word_hashes(np.frombuffer(text[at:to] + b" ", np.uint8))[1]
+                hashes.append(h)
+                owner.append(np.full(len(h), k))
+                at = to
+        else:
+            start, h = _word_hashes(np.frombuffer(b" ".join(texts[k:m]) + b" ", np.uint8))
+            ends = np.cumsum([len(t) + 1 for t in texts[k:m]])
+            hashes.append(h)
+            owner.append(k + np.searchsorted(ends, start, side="right"))
+        k = m
+    w = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    count = np.bincount(np.concatenate(owner), minlength=len(texts)) if hashes else np.zeros(len(texts), np.int64)
+    at = np.concatenate([[0], np.cumsum(count)])
+    x = w[: max(0, len(w) - WORDS + 1)].copy()
+    for k in range(1, WORDS):
+        x = x * _M1 + w[k : len(w) - WORDS + 1 + k] if len(x) else x
+    x = mix(x)
+    out = []
+    for k, n in enumerate(count.tolist()):
+        a = int(at[k])
+        if n >= WORDS:
+            s = np.sort(x[a : a + n - WORDS + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        elif n:
+            one = np.array([n], np.uint64)
+            for h in range(a, a + n):
+                one = mix(one * _M3 + w[h : h + 1])
+            out.append(one)
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
 def shingles(text: bytes) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; bytes.split() and lower() know ASCII white space and letters only."""
-    from xxhash import xxh3_64_intdigest
-
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)
-    span = min(WORDS, n)
-    x = mix(w[: n - span + 1] + np.uint64(span))
-    for k in range(1, span):
-        x = mix(x * _M1 + w[k : n - span + 1 + k])
-    return np.unique(x)
-
-
-def sketch(s: np.ndarray, fine: int = 4) -> bytes:
+    return word_sets([text])[0]
+
+
+def sketch(s: np.ndarray, fine: int = FINE) -> bytes:
     """Parities of the features by hash, `fine` bits or more for each difference that is allowed."""
     bits = _power(fine * (len(s) // 3) + 64)
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
+def folded(n: int, fine: bytes, to: int = COARSE) -> bytes:
+    """A sketch of n features with `to` bits a difference, from one with more."""
+    x = np.frombuffer(fine, np.uint8)
+    while len(x) > max(8, _power(to * (n // 3) + 64) // 8):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
+# ---- frequent features
+
+
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def frequent_cells(marks: bytes | None, s: np.ndarray) -> np.ndarray:
+    """Which features lie in a frequent cell; marks has a bit for each cell."""
+    if marks is None:
+        return np.zeros(len(s), bool)
+    cell = _cell(s)
+    return (np.frombuffer(marks, np.uint8)[cell >> 3] >> (cell & 7).astype(np.uint8)) & np.uint8(1) != 0
+
+
+def _page(counts: np.ndarray) -> bytes:
+    """A page of counts up to 255, as places and counts where most are zero."""
+    held = np.flatnonzero(counts)
+    raw = b"d" + counts.tobytes() if 3 * len(held) > PAGE_CELLS else b"s" + held.astype("<u2").tobytes() + counts[held].tobytes()
+    return zlib.compress(raw, 1)
+
+
+def _add_page(total: np.ndarray, page: bytes) -> None:
+    raw = zlib.decompress(page)
+    if raw[:1] == b"d":
+        total += np.frombuffer(raw, np.uint8, offset=1)
+    else:
+        n = (len(raw) - 1) // 3
+        total[np.frombuffer(raw, "<u2", n, 1)] += np.frombuffer(raw, np.uint8, n, 1 + 2 * n)
+
+
+# ---- signatures
+
+
 def _bounds() -> list[int]:
-    out = [SINGLES]
+    out = [1, 3, 6]
     while out[-1] < 1 << 40:
         out.append(out[-1] * 16 // 9 + 1)
     return out
@@ -91,54 +208,124 @@ BOUNDS = _bounds()
 
 
 def bands(n: int) -> list[int]:
-    """The bands of a set of n features; -1 is that of single features."""
-    import bisect
-
+    """The bands of a set of n features."""
     own = bisect.bisect_right(BOUNDS, n) - 1
-    return [own] if own < 0 or 3 * n > 4 * (BOUNDS[own] - 1) else [own, own - 1]
-
-
-def signatures(s: np.ndarray) -> np.ndarray:
-    """Hashes of all signatures of a sorted set."""
-    n = len(s)
-    if not n:
-        return s
-    need = n // 3 // 2 + 1
-    out = []
-    for band in bands(n):
-        if band < 0:
-            out.append(mix(s[: n // 3 + 1] ^ _M3))
-            continue
-        groups = max(1, int(4 * (BOUNDS[band + 1] - 1) / 3 / (3 * FILL)))
-        place = ((s >> np.uint64(32)) * np.uint64(3 * groups)) >> np.uint64(32)
-        at = np.flatnonzero(np.diff(place, prepend=np.uint64(1 << 63)))
-        content = np.zeros(3 * groups, np.uint64)
-        content[place[at].astype(np.int64)] = np.add.reduceat(mix(s + np.uint64(band + 1)), at) | np.uint64(1)
-        content = content.reshape(groups, 3)
-        good = np.cumsum(np.count_nonzero(content, axis=1) >= 2)
-        past = int(np.searchsorted(good, need)) + 1
-        a, b, c = content[:past].T
-        base = np.arange(min(past, groups), dtype=np.uint64) * np.uint64(4) + np.uint64(band << 40)
-        for k, (x, y) in enumerate(((a, b), (a, c), (b, c))):
-            held = (x | y) != 0
-            out.append(mix(mix(x[held] + base[held] + np.uint64(k)) + y[held]))
-    return np.concatenate(out)
+    return [own] if not own or 3 * n > 4 * (BOUNDS[own] - 1) else [own, own - 1]
+
+
+def groups_of(band: int) -> int:
+    most = 4 * (BOUNDS[band + 1] - 1) // 3
+    return max(most // 3 // 2 + 1, int(most / (3 * FILL)))
+
+
+def signatures(sets: list[np.ndarray], marks: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, number of the set) of all sorted sets together."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sets = [s if len(s) > 2 else s[:0] for s in sets]  # shorter ones link with equal sets only
+    size = np.array([len(s) for s in sets], np.int64)
+    if not size.sum():
+        return none
+    feats = np.concatenate(sets)
+    often = frequent_cells(marks, feats)
+    at = np.concatenate([[0], np.cumsum(size)])
+    cool = feats[~often]
+    cool_at = np.concatenate([[0], np.cumsum(~often)])[at]
+    own, band, pieces = [], [], []
+    for k, n in enumerate(size.tolist()):
+        for b in bands(n) if n else ():
+            own.append(k)
+            band.append(b)
+            pieces.append(cool[cool_at[k] : cool_at[k + 1]])
+    own, band = np.array(own), np.array(band)
+    per = np.array([groups_of(b) for b in range(band.max() + 1)])[band]  # groups of each (set, band)
+    need = size[own] // 3 // 2 + 1
+    s = np.concatenate(pieces)
+    count = np.array([len(p) for p in pieces])
+    first = np.concatenate([[0], np.cumsum(per)])  # of each (set, band), its first group in the row of all groups
+    which = np.repeat(np.arange(len(own)), count)
+    slot = 3 * first[which] + (((s >> np.uint64(32)) * (3 * per[which]).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+    content = np.zeros(3 * first[-1], np.uint64)
+    if len(s):
+        begin = np.flatnonzero(np.diff(slot, prepend=-1))  # sets are sorted, so slots ascend
+        content[slot[begin]] = np.add.reduceat(mix(s + (band[which] + 1).astype(np.uint64)), begin) | np.uint64(1)
+    content = content.reshape(-1, 3)
+    full = (content != 0).sum(1) >= 2
+    pair = np.repeat(np.arange(len(own)), per)
+    before = np.concatenate([[0], np.cumsum(full)])
+    done = before[:-1] - before[first[:-1]][pair]  # full groups of the (set, band) before this one
+    signs = done < need[pair]
+    short = before[first[1:]] - before[first[:-1]] < need
+    base = ((np.arange(len(content)) - first[:-1][pair]) * 4 + (band[pair] << 40)).astype(np.uint64)
+    sigs, ids = [], []
+    for k, (x, y) in enumerate(((0, 1), (0, 2), (1, 2))):
+        held = np.flatnonzero(signs & ((content[:, x] | content[:, y]) != 0))
+        sigs.append(mix(mix(content[held, x] + base[held] + np.uint64(k)) + content[held, y]))
+        ids.append(own[pair[held]])
+    for k in np.unique(own[short]).tolist():
+        a, b = at[k], at[k + 1]
+        order = np.argsort(often[a:b], kind="stable")[: size[k] // 3 + 1]
+        sigs.append(mix(feats[a:b][order] ^ _M3))
+        ids.append(np.full(len(order), k))
+    return np.concatenate(sigs), np.concatenate(ids)
 
 
 # ---- passes over the texts
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary()), ("fine", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("node", pa.int64()), ("fine", pa.binary()), ("page", pa.int32()), ("counts", pa.binary())])
+_SETS_DDL = "doc_id long, n long, key binary, node long, fine binary, page int, counts binary"
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key(s: np.ndarray) -> bytes:
     from xxhash import xxh3_128_digest
 
+    return xxh3_128_digest(s.tobytes())
+
+
+def _node(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each text, and at the end pages of counts by cell."""
+    counts = np.zeros(CELLS, np.uint8)
     for batch in batches:
-        rows = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            s = shingles(text.as_py() or b"")
-            rows.append((i, len(s), xxh3_128_digest(s.tobytes()), sketch(s), sketch(s, FINE)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SETS, strict=True)] if rows else [pa.array([], f.type) for f in _SETS], schema=_SETS)
+        ids = batch.column(0)
+        sets = word_sets([t or b"" for t in batch.column(1).to_pylist()])
+        keys = [_key(s) for s in sets]
+        feats = np.concatenate([s for s, i in zip(sets, ids.is_valid().to_pylist(), strict=True) if i] or [np.zeros(0, np.uint64)])
+        cell, times = np.unique(_cell(feats), return_counts=True)
+        counts[cell] = np.minimum(counts[cell] + times, 255)
+        columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(map(_node, keys), pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=_SETS)
+    pages = counts.reshape(-1, PAGE_CELLS)
+    some = np.flatnonzero(pages.any(1)).tolist()
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), f.type) for f in list(_SETS)[:5]), pa.array(some, pa.int32()), pa.array([_page(pages[k]) for k in some], pa.binary())], schema=_SETS)
+
+
+_MARKS = pa.schema([("page", pa.int32()), ("bits", pa.binary())])
+
+
+def _marks(least: int):
+    """The bits of the cells with more than `least` features, from pages in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            bits = np.packbits(total > least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits], pa.binary())], schema=_MARKS)
+
+        now, total = None, np.zeros(PAGE_CELLS, np.int64)
+        for batch in batches:
+            for page, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if page != now:
+                    if now is not None and (total > least).any():
+                        yield done()
+                    now = page
+                    total[:] = 0
+                _add_page(total, raw.as_py())
+        if now is not None and (total > least).any():
+            yield done()
+
+    return run
 
 
 _BLOBS = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("sigs", pa.binary())])
@@ -154,34 +341,34 @@ def _unplanes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def _sign(bits: int):
+def _sign(bits: int, marks: bytes | None):
     def flush(sigs: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         sig, own = np.concatenate(sigs), np.concatenate(ids)
         bucket = (sig >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
+        order = np.lexsort((sig, bucket))
         sig, own, bucket = ((sig[order] >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), own[order], bucket[order]
         at = np.flatnonzero(np.diff(bucket, prepend=-1))
         for k in range(0, len(at), 4096):
             ends = np.append(at, len(sig))[k : k + 4097]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]]), pa.array([_planes(own[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.array([sig[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], schema=_BLOBS)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]]), pa.array([_planes(own[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.array([_planes(sig[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], schema=_BLOBS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, ids, held = [], [], 0
-        seen: set[bytes] = set()
+        seen: set[int] = set()  # of a flush; an equal set that was signed stands for the others
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(text.as_py() or b"")
-                if i is None or not len(s) or (raw := s.tobytes()[:64] + len(s).to_bytes(8, "big") + s.sum().tobytes()) in seen:
-                    continue  # an equal set of this flush stands for it
-                seen.add(raw)
-                x = signatures(s)
-                sigs.append(x)
-                ids.append(np.full(len(x), i, np.int64))
-                held += len(x)
-                if held >= BUFFER:
-                    yield from flush(sigs, ids)
-                    sigs, ids, held = [], [], 0
-                    seen.clear()
+            fresh: dict[int, np.ndarray] = {}
+            for s in word_sets([t or b"" for t in batch.column(0).to_pylist()]):
+                if len(s) > 2 and (node := _node(_key(s))) not in seen:
+                    fresh.setdefault(node, s)
+            seen.update(fresh)
+            sig, own = signatures(list(fresh.values()), marks)
+            sigs.append(sig)
+            ids.append(np.array(list(fresh), np.int64)[own])
+            held += len(sig)
+            if held >= BUFFER:
+                yield from flush(sigs, ids)
+                sigs, ids, held = [], [], 0
+                seen.clear()
         if held:
             yield from flush(sigs, ids)
 
@@ -266,7 +453,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from now.take()
                 now = _Bucket(bucket)
             before = len(now.parts)
-            now.add(np.frombuffer(sigs.as_py(), np.uint32), _unplanes(ids.as_py(), np.int64))
+            now.add(_unplanes(sigs.as_py(), np.uint32), _unplanes(ids.as_py(), np.int64))
             if len(now.parts) > before:
                 now.split = True
                 yield from now.take()
@@ -301,44 +488,39 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_PAIR_DDL = "a long, b long"
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=_PAIR)
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows with the ids, sizes and sketches of both."""
     for batch in batches:
         a, b, na, sa, nb, sb = (batch.column(k).to_pylist() for k in range(6))
-        kept = [k for k in range(len(a)) if may_link(na[k], sa[k], nb[k], sb[k])]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in kept], pa.int64()) for x in (a, b)], schema=_PAIR)
+        yield _pairs([(min(a[k], b[k]), max(a[k], b[k])) for k in range(len(a)) if a[k] != b[k] and may_link(na[k], sa[k], nb[k], sb[k])])
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
+    """The pairs that link, from rows (a, part, b, text) by a and part, with a's own text, under b null, first."""
+    key, centre = None, []
     for batch in batches:
-        out: list[tuple[int, int]] = []
-        for a, ta, b, tb in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            if len(held) > 64:
-                held.clear()
-            for i, t in ((a, ta), (b, tb)):
-                if i not in held:
-                    held[i] = shingles(t.as_py() or b"")
-            if linked(held[a], held[b]):
-                out.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=_PAIR)
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, document) of those with such a partner."""
-    for key, found in _found(batches):
-        docs = sorted({x for pair in found for x in pair})
-        yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(docs), pa.int64()), pa.array(docs, pa.int64())], schema=_PAIR)
+        a, part, b = (batch.column(k).to_pylist() for k in range(3))
+        sets = word_sets([t or b"" for t in batch.column(3).to_pylist()])
+        out = []
+        for k, s in enumerate(sets):
+            if (a[k], part[k]) != key:
+                key, centre = (a[k], part[k]), []
+            if b[k] is None:
+                centre.append(s)
+            elif any(linked(s, c) for c in centre):
+                out.append((a[k], b[k]))
+        yield _pairs(out)
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, found in _found(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=_PAIR)
-
-
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple[int, int]]]]:
-    """Pairs that may link, of different components, of each (run, i, j) in a stream sorted by it; i = j or one of each block."""
+    """Pairs that may link, of different components and with a run in common, of each (centre, i, j) in a stream sorted by it; i = j or one of each block."""
 
     def group(rows: list[tuple]) -> list[tuple[int, int]]:
         found = []
@@ -347,141 +529,117 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tupl
         comp = np.array([r[1] for r in rows])
         side = np.array([r[4] for r in rows])
         both = rows[0][6] != rows[0][5]
-        rank, mask = rows[0][7], np.array([r[8] for r in rows], np.int64).view(np.uint64)
-        for k, r in enumerate(rows):
-            by_bits.setdefault(len(r[3]), []).append(k)
+        mask = np.array([r[7] for r in rows], np.int64)
+        small = [folded(r[2], r[3]) for r in rows]
+        for k, x in enumerate(small):
+            by_bits.setdefault(len(x), []).append(k)
         for bits, own in by_bits.items():
             words = bits // 8
             wide = own + by_bits.get(2 * bits, [])
             table = np.zeros((len(wide), words), np.uint64)
             for m, k in enumerate(wide):
-                x = np.frombuffer(rows[k][3], np.uint64)
+                x = np.frombuffer(small[k], np.uint64)
                 table[m] = x if len(x) == words else x[:words] ^ x[words:]
             wide_at = np.array(wide)
             for m, k in enumerate(own):
                 o = wide_at[m + 1 :]
-                test = (comp[o] != comp[k]) & (4 * np.minimum(n[o], n[k]) >= 3 * np.maximum(n[o], n[k]))
+                test = (comp[o] != comp[k]) & ((mask[o] & mask[k]) != 0) & (4 * np.minimum(n[o], n[k]) >= 3 * np.maximum(n[o], n[k]))
                 if both:
                     test &= side[o] != side[k]
-                common = mask[o] & mask[k]
-                test &= (common == 0) | (common & (~common + np.uint64(1)) == np.uint64(1 << rank) if rank < RANKED else common == 0)
                 hit = np.flatnonzero(test)
                 if len(hit):
                     far = np.bitwise_count(table[m + 1 :][hit] ^ table[m]).sum(1, dtype=np.int64)
                     for q in o[hit[7 * far <= n[o[hit]] + n[k]]]:
-                        found.append((min(rows[k][0], rows[q][0]), max(rows[k][0], rows[q][0])))
+                        found.append((rows[k][0], rows[q][0]))
         return found
 
     held, key = [], None
     for batch in batches:
-        for run, i, j, doc, comp, n, sk, block, rank, mask in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
-            if (run, i, j) != key:
+        for centre, i, j, node, comp, n, sk, block, mask in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+            if (centre, i, j) != key:
                 if len(held) > 1:
-                    yield key, group(held)
-                held, key = [], (run, i, j)
-            held.append((doc, comp, n, sk, block, i, j, rank, mask))
+                    yield _pairs(group(held))
+                held, key = [], (centre, i, j)
+            held.append((node, comp, n, sk, block, i, j, mask))
     if len(held) > 1:
-        yield key, group(held)
+        yield _pairs(group(held))
 
 
 # ---- plans
 
 
-def _only(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
-    """docs whose id passes a Bloom filter of ids, of FILTER_BITS bits at most; few others pass."""
-    bits = min(FILTER_BITS, _power(max(PAGE, 16 * rows)))
-    place = ids.select(F.explode(F.array(*_places(F.col("id"), bits))).alias("q"))
-    pages = place.groupBy(F.bitmap_bucket_number("q").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("q")).alias("bits"))
-    out = docs
-    for k, q in enumerate(_places(F.col("doc_id"), bits)):
-        side = F.broadcast(pages.select(F.col("page").alias(f"_p{k}"), F.col("bits").alias(f"_x{k}")))
-        out = out.withColumn(f"_q{k}", q).join(side, F.bitmap_bucket_number(f"_q{k}") == F.col(f"_p{k}"))
-        byte = F.conv(F.hex(F.expr(f"substring(_x{k}, cast(bitmap_bit_position(_q{k}) div 8 + 1 as int), 1)")), 16, 10).cast("long")
-        out = out.withColumn(f"_y{k}", byte).filter(F.expr(f"bit_get(_y{k}, cast(bitmap_bit_position(_q{k}) % 8 as int)) = 1"))
-    return out.select(*docs.columns)
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of documents, of pairs of nodes (a, b), that sizes and sketches let through."""
+    for c in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("doc").alias(f"d{c}"), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"s{c}")), c)
+    return pairs.select("da", "db", "na", "sa", "nb", "sb").mapInArrow(_sketched, _PAIR_DDL).distinct()
 
 
-def _links(texts: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a < b) that link, by sketch and then by whole text."""
-    left = info.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = info.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb")
-    return checked(texts, written(both.mapInArrow(_sketched, "a long, b long").distinct()))
+def _links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that link by their whole texts, of a written table; only texts of pairs are shuffled, and a's once a part of its partners."""
+    parted = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int").alias("part"), "b")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = key_filter(ids.select(F.xxhash64("id").alias("h")), max(1, pairs.count()))
+    some = may_repeat(texts, F.xxhash64("doc_id"), *held).filter("_may").select("_row.*")
+    centres = parted.select("a", "part").distinct().join(some, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(None).cast("long").alias("b"), "raw")
+    others = parted.join(some, F.col("b") == F.col("doc_id")).select("a", "part", "b", "raw")
+    dealt = centres.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(_checked, _PAIR_DDL).distinct()
 
 
-def checked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that link, by their whole texts; only texts of pairs are shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = _only(texts, ids, max(1, ids.count())).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    one = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("raw").alias("ta")), "a")
-    two = one.join(some.select(F.col("doc_id").alias("b"), F.col("raw").alias("tb")), "b")
-    return written(two.select("a", "ta", "b", "tb").mapInArrow(_checked, "a long, b long").distinct())
-
-
-def _blocks(left: DataFrame) -> DataFrame:
-    """Members dealt by run and pair of blocks, in the order that _found() reads."""
-    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("run", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component", "n", "sketch", "block", "rank", "mask")
-    return left.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "doc_id")
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) of all nodes with an edge (a, b), by alternating stars."""
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    last = None
-    while True:
-        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if last == (seen["n"], seen["x"]):
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        last = (seen["n"], seen["x"])
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("around"))
-        large = join_groups(both, low, "u", "around", 2 * last[0], "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        under = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("around"))
-        small = join_groups(large, under, "u", "around", last[0], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now = written(small.unionByName(under.select("u", F.col("m").alias("v"))).distinct())
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components so far."""
+    for c in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _crowds(parts: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows for _between(): the members of long runs by the runs' smallest node, where they are in several components, dealt by pair of blocks."""
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(run), 64) as int))")
+    held = parts.select(F.element_at("members", 1).alias("centre"), bit.alias("bit"), F.explode("members").alias("node")).groupBy("centre", "node").agg(F.bit_or("bit").alias("mask"))
+    held = held.join(nodes.select("node", "doc", "n"), "node").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
+    held = written(held.select("centre", "node", "mask", "n", F.coalesce("component", "doc").alias("component")))
+    mixed = held.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo < hi")
+    left = held.join(written(mixed.select("centre", "blocks")), "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = left.join(nodes.select("node", "fine"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "n", "fine", "block", "mask")
+    return left.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "node")
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     bounded_batches(df)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    sets = written(texts.mapInArrow(_sets, "doc_id long, n long, key binary, sketch binary, fine binary"))
+    first = written(texts.mapInArrow(_sets, _SETS_DDL))
+    sets = first.filter("page is null").select("doc_id", "n", "key", "node", "fine")
     total = sets.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    full = sets.filter("n > 0 and doc_id is not null")
-    copies = written(full.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
-    info = full.join(copies.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").select("doc_id", "n", "sketch", "fine").distinct()
-    info = written(info)
-    to_node = written(join_groups(full.select("doc_id", F.hex("key").alias("key")), copies.select(F.hex("key").alias("key"), "node", "copies"), "key", "copies", total["rows"], "doc_id").select("doc_id", "node").distinct())
+    least = max(FREQUENT, CROWDED * int(total["n"]) // CELLS)
+    pages = first.filter("page is not null").select("page", "counts").repartition("page").sortWithinPartitions("page")
+    found = pages.mapInArrow(_marks(least), "page int, bits binary").collect()  # CELLS / 8 bytes at most
+    marks = bytearray(CELLS // 8) if found else None
+    for r in found:
+        marks[r["page"] * (PAGE_CELLS // 8) : (r["page"] + 1) * (PAGE_CELLS // 8)] = r["bits"]
 
+    full = sets.filter("n > 0 and doc_id is not null")
+    nodes = written(full.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("fine").alias("fine")))
     bits = min(24, max(10, (int(total["n"]) // 65536).bit_length()))
-    blobs = texts.mapInArrow(_sign(bits), "bucket long, ids binary, sigs binary")
+    blobs = texts.filter("doc_id is not null").select("raw").mapInArrow(_sign(bits, bytes(marks) if marks else None), "bucket long, ids binary, sigs binary")
     runs = written(blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_runs, _RUNS_DDL))
     parts = runs.filter("run is not null")
     star = parts.select(F.explode(F.slice("members", 2, BLOCK)).alias("b"), F.element_at("members", 1).alias("a")).select("a", "b")
-    pairs = runs.filter("run is null").select("a", "b").unionByName(star).distinct()
-    for c in ("a", "b"):
-        pairs = pairs.join(to_node.select(F.col("doc_id").alias(c), F.col("node").alias(f"n{c}")), c).drop(c)
-    pairs = pairs.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).filter("a < b").distinct()
-    links = _links(texts, info, pairs)
-
-    found = connected(links)  # reads a written table
-    held = parts.select("run", F.explode("members").alias("doc_id")).join(to_node, "doc_id").select("run", F.col("node").alias("doc_id")).distinct()
-    held = held.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    held = written(held)
-    mixed = held.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min("doc_id").alias("center")).filter("lo < hi")
-    mixed = mixed.select("run", "size", "center", (F.row_number().over(Window.partitionBy("center").orderBy("run")) - 1).alias("rank"))
-    left = held.join(mixed, "run")
-    masks = left.filter(F.col("rank") < RANKED).groupBy("center", "doc_id").agg(F.expr("bit_or(shiftleft(1L, rank))").alias("mask"))
-    left = left.join(masks, ["center", "doc_id"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-    near = written(_blocks(left.join(info.select("doc_id", "n", "sketch"), "doc_id")).mapInArrow(_near, "run long, doc_id long").distinct())
-    some = near.select("doc_id").distinct()
-    fine = info.join(some, "doc_id", "left_semi").select("doc_id", "n", F.col("fine").alias("sketch"))
-    more = _blocks(left.join(near, ["run", "doc_id"], "left_semi").join(fine, "doc_id")).mapInArrow(_between, "a long, b long").distinct()
-    links = links.unionByName(checked(texts, written(more.join(links, ["a", "b"], "left_anti"))))
-
-    final = connected(links).select(F.col("node"), F.col("component"))
-    named = copies.join(final, "node", "left").select(F.hex("key").alias("key"), "copies", F.coalesce("component", "node").alias("component_id"))
+    same = nodes.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    pairs = runs.filter("run is null").select("a", "b").unionByName(star).distinct().unionByName(same)
+    near = written(_near(pairs, nodes))
+
+    smallest = written(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = written(_links(texts, smallest))
+    labels = connected(links)
+    more = _near(_crowds(parts, nodes, labels).mapInArrow(_between, _PAIR_DDL).distinct(), nodes)
+    rest = written(_apart(near.unionByName(more), labels).distinct())
+    labels = connected(links.unionByName(_links(texts, rest)))
+
+    named = nodes.join(labels, F.col("doc") == labels["node"], "left").select(F.hex("key").alias("key"), "copies", F.coalesce("component", "doc").alias("component_id"))
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.hex("key")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"))
     out = join_groups(rows, named, "key", "copies", total["rows"], "doc_id")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

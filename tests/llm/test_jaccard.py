@@ -102,17 +102,91 @@ def test_large_groups_in_small_buffers(spark, monkeypatch):
     check(jaccard.components(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
 
 
-def test_signatures_are_shared_by_all_linked_sets():
+def signed(sets, marks=None):
+    sigs, ids = jaccard.signatures(sets, marks)
+    return [set(sigs[ids == k].tolist()) for k in range(len(sets))]
+
+
+@pytest.mark.parametrize("often", [0.0, 0.3, 0.8, 1.0])
+def test_signatures_are_shared_by_all_linked_sets(often):
+    """Of every size, with any share of features in frequent cells."""
     rng = np.random.default_rng(5)
-    for _ in range(400):
-        n = int(rng.choice([1, 2, 3, 7, 20, 31, 32, 33, 41, 42, 43, 57, 75, 101, 300, 1000]))
+    bits = rng.random(jaccard.CELLS) < often
+    marks = np.packbits(bits, bitorder="little").tobytes() if often else None
+    for _ in range(500):
+        n = int(rng.choice([*range(1, 30), 31, 32, 33, 41, 42, 43, 57, 63, 64, 65, 75, 101, 300, 1000]))
         a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
         both = int(np.ceil(0.75 * n)) if rng.random() < 0.5 else n
         b = a[:both] if rng.random() < 0.5 else np.concatenate([a, rng.integers(0, 1 << 64, n // 3, dtype=np.uint64)])
         a, b = np.unique(a), np.unique(b)
-        if jaccard.linked(a, b):
-            assert set(jaccard.signatures(a).tolist()) & set(jaccard.signatures(b).tolist()), (len(a), len(b))
+        if jaccard.linked(a, b) and len(a) != len(b):
+            x, y = signed([a, b], marks)
+            assert x & y, (len(a), len(b))
             assert jaccard.may_link(len(a), jaccard.sketch(a), len(b), jaccard.sketch(b))
+            small = [jaccard.folded(len(s), jaccard.sketch(s)) for s in (a, b)]
+            assert jaccard.may_link(len(a), small[0], len(b), small[1])
+
+
+def test_word_sets_in_pieces(monkeypatch):
+    """Counts agree with plain sets wherever texts are cut, and equal texts have equal sets."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "B", "cc", "d\u00c9", "\x00", "x" * 40]) + rng.choice(["", "\n", "\t\t", "\x0b", " ,"]) for _ in range(rng.randrange(0, 300))) for _ in range(80)] + ["", " ", "y" * 5000, "\x00", "\x00\x00"]
+    raw = [t.encode() for t in texts]
+    whole = jaccard.word_sets(raw)
+    assert [len(s) for s in whole] == [len(plain_set(t)) for t in texts]
+    monkeypatch.setattr(jaccard, "PIECE", 64)
+    for t, s in zip(raw, whole, strict=True):
+        assert (jaccard.word_sets([t.upper() if t.isascii() else t])[0] == s).all()
+    for a, b in zip(jaccard.word_sets(raw), whole, strict=True):
+        assert (a == b).all()
+
+
+def test_a_passage_of_very_many_texts_makes_no_crowd():
+    """Texts with one common passage and else unrelated: features of the passage sign nothing, so runs stay short however many texts share it."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(15))
+    texts = [f"{' '.join(f'w{rng.randrange(10**7)}' for _ in range(35))} {passage}".encode() for _ in range(10_000)]
+    sets = jaccard.word_sets(texts)
+    counts = np.bincount(jaccard._cell(np.concatenate(sets)), minlength=jaccard.CELLS)
+
+    def longest(marks):
+        sigs, _ = jaccard.signatures(sets, marks)
+        return int(np.unique(sigs, return_counts=True)[1].max())
+
+    assert longest(np.packbits(counts > jaccard.FREQUENT, bitorder="little").tobytes()) <= jaccard.SMALL < 2000 < longest(None)
+
+
+def test_counts_of_cells_by_pages():
+    rng = np.random.default_rng(2)
+    for share in (0.001, 0.9):
+        parts = [np.where(rng.random(jaccard.PAGE_CELLS) < share, rng.integers(0, 256, jaccard.PAGE_CELLS), 0).astype(np.uint8) for _ in range(3)]
+        total = np.zeros(jaccard.PAGE_CELLS, np.int64)
+        for p in parts:
+            jaccard._add_page(total, jaccard._page(p))
+        assert (total == sum(p.astype(np.int64) for p in parts)).all()
+
+
+@pytest.mark.parametrize("part", [7, 1 << 16])
+def test_components_of_links(spark, monkeypatch, part):
+    """Paths, stars and random links, in parts of a few links and in one."""
+    from grainmill.llm import components
+
+    monkeypatch.setattr(components, "PART", part)
+    rng = random.Random(part)
+    links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 150)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(400, 400)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {x: got.get(x, x) for x in root} == {x: find(x) for x in root}
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_hostile_rows(spark):
