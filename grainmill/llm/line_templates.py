@@ -1,18 +1,25 @@
 """Line dedup by a log-template tree, in DataFrame operations.
 
 Lines are the pieces between line feeds; words are the pieces between ASCII white space, A-Z lower-cased; a word with a digit is
-variable from the start. The tree has fixed depth: a line's leaf is its number of words and its first LEADING words. In a leaf
-that lies in at least MIN_DOCS documents the words at each position are counted; a position is variable when it has more than
-MOST_VALUES different words, or when its commonest word makes up less than SAME of the leaf's lines. A line's template is its words with the variable ones replaced by
-"<*>", and must keep at least KEPT of its words. A template that lies in MIN_DOCS documents or more is recurring: its lines go, from all documents.
-Lines of fewer than MIN_WORDS words stay, and a document's other lines keep their order and their line feeds.
-
-Leaves with more than one in HOT_GROUPS of the lines are counted with partial sums before the shuffle and their templates broadcast; the
-others' lines are dealt by leaf once. Recurring templates are joined by hash, the most frequent ones (at most HOT_GROUPS of them) by broadcast. Bloom filters of bounded size keep the words of lines in other leaves, and the texts of documents
+variable from the start. The tree has fixed depth: a line's leaf is its number of words and its first LEADING words. A leaf holds as many
+templates as its lines show. Words are counted by leaf and place, so that each word of a line has its support: the lines of the leaf that have it
+at its place. The words that a template keeps are at least the share KEPT of all. So the support that this share of a line's
+words reach is the size of the largest template that the line can belong to; its words of at least the share SAME of that support are
+fixed, the others are variable, and the fixed words with their places are the line's template. Lines of one template
+agree on them whatever other lines, templates or strays the leaf has. A line is a template of its own, too.
+
+A template that lies in MIN_DOCS documents or more is recurring, a line of LONG_WORDS words or more from LONG_DOCS documents on: its lines go, from all
+documents. Lines of fewer than MIN_WORDS words stay, and a document's other lines keep their order and their line feeds.
+
+Lines, templates and documents are named by MD5, 128 bits, so that no two are taken for one. Equal lines are one row while words are
+counted. Sums are partial before each shuffle. Counts meet lines by hash join, those of the most frequent keys (at most HOT_GROUPS) by broadcast, so no leaf, word or
+template is ever dealt to one task. Bloom filters of bounded size keep the words of lines in other leaves, and the texts of documents
 that lose nothing, out of every shuffle.
 
-Null text stays null and has no lines; empty text has none to drop. Rows repeated with one doc_id are told apart by their text: equal ones are one document and both lose
-the same lines. A null doc_id is a document of its own text. An empty table gives no rows. Other columns are carried along.
+Null text stays null and has no lines; empty text has none to drop. A very long text is one row, and its lines are rows like others. Ties do not arise: supports
+are compared, never ranked. Rows repeated with one doc_id are told apart by their text: equal ones are one document and both lose
+the same lines. A null doc_id is a document of its own text. An empty table gives no rows. Other columns are carried along, of whatever name;
+only n_lines and n_dropped of the input give way to those of the result.
 """
 
 from __future__ import annotations
@@ -20,13 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_GROUPS, ascii_lower, join_groups, written
+from .common import ascii_lower, join_groups, written
 from .exact_dedup import key_filter, may_repeat
 
 LEADING = 2
 MIN_WORDS = 3
 MIN_DOCS = 4
-MOST_VALUES = 3
+LONG_WORDS, LONG_DOCS = 50, 2
 SAME = 0.5
 KEPT = 0.6
 WHITE = r"\x20\x09-\x0D"
@@ -41,59 +48,73 @@ def words(line: Column) -> Column:
     return F.split(F.btrim(line, F.lit(" \t\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
 
 
-def _key(df: DataFrame) -> Column:
+def _name(id_: Column, text: Column) -> Column:
     """A name of the document: its doc_id and its text."""
-    return F.xxhash64(F.col("_id"), F.col("_text"))
+    return F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("null")), F.lit("\n"), text))
 
 
-def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc, line, template) of the lines with a template in the leaves that many documents share, and (template, docs) of the recurring ones."""
-    texts = df.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null")
-    lines = texts.select(_key(texts).alias("doc"), F.posexplode(F.split("_text", "\n")).alias("line", "text"))
-    w = words(F.col("text"))
+def _recurs(docs: str, n: str) -> Column:
+    return (F.col(docs) >= MIN_DOCS) | ((F.col(n) >= LONG_WORDS) & (F.col(docs) >= LONG_DOCS))
+
+
+def _inside(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, line, n, leaf, name, text of the lines whose leaf lies in enough documents; the text is masked, its words parted by single spaces."""
+    texts = df.select(_name(F.col(id_col), F.col(text_col)).alias("doc"), F.col(text_col).alias("_text")).filter("_text is not null")
     # Each line is counted and its first words are cut out once. A filter on the leaf or the count would be pushed down and do it again.
     n = F.regexp_count("text", F.lit(f"[^{WHITE}]+"))
     lead = F.regexp_extract("text", f"^[{WHITE}]*+((?:[^{WHITE}]++[{WHITE}]*+){{0,{LEADING}}})", 1)
+    lines = texts.select("doc", F.posexplode(F.split("_text", "\n")).alias("line", "text"))
     lines = lines.select("doc", "line", "text", n.alias("n"), F.xxhash64(n, words(masked(ascii_lower(lead)))).alias("leaf"))
-    by_doc = lines.select("doc", "leaf", "n").groupBy("leaf", "doc").agg(F.count("*").alias("lines"), F.max("n").alias("n"))
-    leaves = written(by_doc.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("lines").alias("lines"), F.max("n").alias("n")).filter((F.col("docs") >= MIN_DOCS) & (F.col("n") >= MIN_WORDS)).drop("n"))
-    size = leaves.agg(F.count("*").alias("leaves"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")).first()
-    passed = may_repeat(lines.withColumn("h", F.col("leaf")), *key_filter(leaves.select(F.col("leaf").alias("h")), size["leaves"])).filter("may")
-    inside = written(passed.select("doc", "line", "leaf", "n", masked(ascii_lower(F.col("text"))).alias("text"))).filter(F.col("n") >= MIN_WORDS).drop("n")
-    hot = F.broadcast(leaves.filter(F.col("lines") > size["lines"] / HOT_GROUPS).select("leaf"))  # HOT_GROUPS rows at most
-    many = inside.join(hot, "leaf", "left_semi")
-    few = inside.join(hot, "leaf", "left_anti").repartition("leaf")  # dealt once: what follows in a leaf shuffles nothing
-    named = many.join(F.broadcast(_fixed(many)), "leaf").unionByName(few.join(_fixed(few), "leaf"))
-    shape = F.transform(w, lambda x, k: F.when(F.array_contains("fixed", k), x).otherwise(F.lit("<*>")))
-    named = named.select("doc", "line", shape.alias("shape"))
-    general = named.filter(F.size(F.filter("shape", lambda x: x != "<*>")) / F.size("shape") >= KEPT).select("doc", "line", F.xxhash64(F.lit("shape"), "shape").alias("template"))
-    found = written(inside.select("doc", "line", F.xxhash64(F.lit("line"), w).alias("template")).unionByName(general))
-    recurring = found.groupBy("template", "doc").agg(F.count("*").alias("lines")).groupBy("template").agg(F.count("*").alias("docs"), F.sum("lines").alias("lines")).filter(F.col("docs") >= MIN_DOCS)
-    return found, recurring
-
-
-def _fixed(lines: DataFrame) -> DataFrame:
-    """leaf, fixed: the places of a leaf's fixed words, of the leaves in which they are enough for a template."""
-    spread = lines.select("leaf", F.posexplode(words(F.col("text"))).alias("at", "word")).select("leaf", "at", F.xxhash64("word").alias("word"))
-    values = spread.groupBy("leaf", "at", "word").agg(F.count("*").alias("times"))
-    spots = values.groupBy("leaf", "at").agg(((F.count("*") <= MOST_VALUES) & (F.max("times") / F.sum("times") >= SAME)).alias("same"))
-    by = spots.groupBy("leaf").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("same"), F.col("at")))).alias("fixed"))
-    return by.filter(F.size("fixed") >= KEPT * F.col("n")).select("leaf", "fixed")
+    by_doc = lines.select(F.xxhash64("doc").alias("h"), "leaf", "n").groupBy("leaf", "h").agg(F.max("n").alias("n"))
+    leaves = written(by_doc.groupBy("leaf").agg(F.count("*").alias("docs"), F.max("n").alias("n")).filter(_recurs("docs", "n") & (F.col("n") >= MIN_WORDS)).select("leaf"))
+    flagged = may_repeat(lines, F.col("leaf"), *key_filter(leaves.select(F.col("leaf").alias("h")), leaves.count())).filter("_may").select("_row.*")
+    text = F.array_join(words(masked(ascii_lower(F.col("text")))), " ")
+    out = flagged.filter(F.col("n") >= MIN_WORDS).select("doc", "line", "n", "leaf", text.alias("text"))
+    return written(out.withColumn("name", F.md5("text")))
+
+
+def _general(inside: DataFrame) -> DataFrame:
+    """name, lines, template of the lines that have one."""
+    rows = written(inside.groupBy("name").agg(F.first("text").alias("text"), F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count("*").alias("lines")))
+    spread = rows.select("name", "leaf", "n", "lines", F.posexplode(F.split("text", " ")).alias("at", "word")).filter("word <> '<*>'")
+    spread = spread.select("name", "n", "lines", F.xxhash64("leaf", "at", "word").alias("spot"))
+    support = spread.groupBy("spot").agg(F.sum("lines").alias("support"), F.count("*").alias("size")).filter("support > 1")
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()["words"]
+    met = join_groups(spread, support, "spot", "size", max(1, total), "name").filter("support is not null")
+    by = met.groupBy("name").agg(F.first("n").alias("n"), F.first("lines").alias("lines"), F.collect_list(F.struct("support", "spot")).alias("spots"))
+    least = F.ceil(F.col("n") * F.lit(KEPT)).cast("int")
+    reach = F.element_at(F.sort_array("spots", asc=False), least)["support"]
+    kept = F.transform(F.array(reach), lambda most: F.filter("spots", lambda x: x["support"] >= SAME * most))[0]  # within the lambda, reach is found once a line
+    fixed = F.sort_array(F.transform(kept, lambda x: x["spot"]))
+    by = by.filter(F.size("spots") >= least)
+    return by.select("name", "lines", F.md5(F.concat_ws(",", F.col("n").cast("string"), F.transform(fixed, lambda x: x.cast("string")))).alias("template"))
+
+
+def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc, line, template of the lines in the leaves that many documents share, and template, lines, docs of the recurring ones)."""
+    inside = _inside(df, id_col, text_col)
+    slim = inside.select("doc", "line", "n", "name")
+    met = join_groups(slim, _general(inside), "name", "lines", max(1, inside.count()), "doc").filter("template is not null").select("doc", "line", F.lit(0).alias("n"), F.concat(F.lit("t"), "template").alias("template"))
+    found = written(slim.select("doc", "line", "n", F.concat(F.lit("l"), "name").alias("template")).unionByName(met))
+    by_doc = found.groupBy("template", "doc").agg(F.count("*").alias("lines"), F.max("n").alias("n"))
+    return found, by_doc.groupBy("template").agg(F.count("*").alias("docs"), F.sum("lines").alias("lines"), F.max("n").alias("n")).filter(_recurs("docs", "n")).select("template", "docs", "lines")
 
 
 def drop_recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the recurring lines taken out of the text, and n_lines, n_dropped."""
     found, recurring = templates(df, id_col, text_col)
-    hit = join_groups(found, recurring, "template", "lines", max(1, found.count()), "doc").filter("docs is not null")
-    gone = hit.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("_gone"))
-    gone = written(gone)
-    rows = df.withColumn("h", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))) if "h" not in df.columns else df.withColumnRenamed("h", "_h").withColumn("h", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
-    tested = may_repeat(rows, *key_filter(gone.select(F.col("doc").alias("h")), gone.count()))
-    lines = F.split(F.col(text_col), "\n")
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines")
-    kept = [F.col("_h").alias("h") if c == "h" else F.col(c) for c in df.columns]
-    alone = tested.filter(~F.col("may")).select(*kept, n_lines, F.lit(0).alias("n_dropped"))
-    out = tested.filter("may").join(gone.hint("merge"), F.col("h") == F.col("doc"), "left")  # the same plan at every size
-    left = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("_gone", k)), "\n"))
-    kept = [left.alias(c) if c == text_col else k for c, k in zip(df.columns, kept, strict=True)]
-    return alone.unionByName(out.select(*kept, n_lines, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped")))
+    hit = join_groups(found.select("doc", "line", "template"), recurring, "template", "lines", max(1, found.count()), "doc").filter("docs is not null")
+    gone = written(hit.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("gone")))
+    name = _name(F.col(id_col), F.col(text_col))
+    flagged = may_repeat(df, F.xxhash64(name), *key_filter(gone.select(F.xxhash64("doc").alias("h")), gone.count()))
+    text = F.col(f"_row.`{text_col}`")
+    lines = F.split(text, "\n")
+
+    def row(left: Column, dropped: Column) -> list[Column]:
+        n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines))
+        return [left.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in df.columns if c not in ("n_lines", "n_dropped")] + [n_lines.alias("n_lines"), dropped.alias("n_dropped")]
+
+    alone = flagged.filter("not _may").select(*row(text, F.lit(0)))
+    met = flagged.filter("_may").withColumn("_name", _name(F.col(f"_row.`{id_col}`"), text)).join(gone.hint("merge"), F.col("_name") == F.col("doc"), "left")  # the same plan at every size
+    left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("gone", k)), "\n"))
+    return alone.unionByName(met.select(*row(left, F.coalesce(F.size("gone"), F.lit(0)))))
