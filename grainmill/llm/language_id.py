@@ -7,7 +7,8 @@ by text; a row's own vote is taken out of its host's and suffix's counts. The te
 texts too.
 
 The trigram models are fitted on at most SAMPLE labelled rows a language, those with the smallest hash of their id, for every
-language that a label names; labels count by their base code, so "EN" and "en-US" are "en". A model takes 0.26 MB a language. A declaration
+language that a label names; labels count by their base code, so "EN" and "en-US" are "en". Their trigrams are counted on executors, and
+only counts, 0.26 MB a language whatever the texts' length, come to the driver. A declaration
 of a language that no label names has no model to be judged by. identify() rejects a row without letters, and one that is declared as another language than that
 found with probability SURE by all evidence, with MARGIN nats to the next, and by the text alone; the rest are accepted.
 
@@ -50,19 +51,28 @@ def trigrams(text: bytes) -> np.ndarray:
     return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
-def fit(texts: list[tuple[str, str | None]]) -> tuple[list[str], np.ndarray]:
-    """Languages by name and the log-probability of each slot in each, by add-one-half smoothing."""
-    names = sorted({lang for lang, _ in texts})
-    at = {lang: k for k, lang in enumerate(names)}
-    counts = np.zeros((len(names), SLOTS), dtype=np.int64)
-    for lang, text in texts:
-        if (t := trigrams((text or "").encode())).size:
-            counts[at[lang]] += np.bincount(t, minlength=SLOTS)
-    table = np.empty((SLOTS, len(names)), dtype=np.float32)
-    for k in range(len(names)):
-        own = counts[k] + 0.5
-        table[:, k] = np.log(own / own.sum())
-    return names, table
+def counts_of(texts: list[str | bytes | None]) -> np.ndarray:
+    """Trigrams of the texts by slot."""
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for text in texts:
+        raw = text.encode() if isinstance(text, str) else text or b""
+        for part in _parts(raw):
+            counts += np.bincount(trigrams(part), minlength=SLOTS)
+    return counts
+
+
+def _parts(raw: bytes, size: int = 1 << 20) -> list[bytes]:
+    """A text in pieces of a bounded size; trigrams across a cut are counted as at an end."""
+    return [raw[k : k + size] for k in range(0, max(1, len(raw)), size)]
+
+
+def fit(counts: list[tuple[str, np.ndarray]]) -> tuple[list[str], np.ndarray]:
+    """Languages by name and the log-probability of each slot in each, by add-one-half smoothing, from (language, trigrams by slot)."""
+    counts = sorted(counts, key=lambda x: x[0])
+    table = np.empty((SLOTS, len(counts)), dtype=np.float32)
+    for k, (_, own) in enumerate(counts):
+        table[:, k] = np.log((own + 0.5) / (own + 0.5).sum())
+    return [lang for lang, _ in counts], table
 
 
 def base_code(label: Column) -> Column:
@@ -71,22 +81,57 @@ def base_code(label: Column) -> Column:
     return F.when(code != "", code)
 
 
-def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str | None]]:
-    """At most SAMPLE (language, text) of each language."""
+_COUNTS = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(language, trigrams by slot) of rows (language, text) in the order of their language."""
+    now, counts = None, np.zeros(SLOTS, np.int64)
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([counts.astype("<u4").tobytes()], pa.binary())], schema=_COUNTS)
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if lang != now:
+                if now is not None:
+                    yield done()
+                now, counts = lang, np.zeros(SLOTS, np.int64)
+            counts += counts_of([text.as_py()])
+    if now is not None:
+        yield done()
+
+
+def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, np.ndarray]]:
+    """Trigram counts of at most SAMPLE rows of each language."""
     known = labelled.select(F.col(id_col).alias("_id"), base_code(F.col(lang_col)).alias("_lang")).filter("_lang is not null and _id is not null")
     rates = known.groupBy("_lang").agg(F.least(F.lit(1.0), F.lit(4.0 * SAMPLE) / F.count("*")).alias("_rate"))  # few candidates leave a task
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
     few = known.join(F.broadcast(rates), "_lang").filter(unit_hash(F.col("_id")) < F.col("_rate")).withColumn("_rank", rank).filter(F.col("_rank") <= SAMPLE).select("_id", "_lang").distinct()
     rows = labelled.select(F.col(id_col).alias("_id"), base_code(F.col(lang_col)).alias("_lang"), F.col(text_col).alias("_text")).filter("_lang is not null")
-    rows = rows.join(F.broadcast(few), ["_id", "_lang"], "left_semi").dropDuplicates(["_id", "_lang"]).orderBy("_id", "_lang").collect()  # at most SAMPLE a language
-    return [(r["_lang"], r["_text"]) for r in rows]
+    rows = rows.join(F.broadcast(few), ["_id", "_lang"], "left_semi").dropDuplicates(["_id", "_lang"]).select("_lang", F.coalesce("_text", F.lit("")).cast("binary").alias("_text"))  # at most SAMPLE a language
+    counted = rows.repartition("_lang").sortWithinPartitions("_lang").mapInArrow(_counted, "lang string, counts binary")
+    return [(r["lang"], np.frombuffer(r["counts"], "<u4").astype(np.int64)) for r in counted.collect()]
 
 
 _SCORED = "id long, declared string, host string, suffix string, n long, ll array<float>, top int"
 _SCHEMA = pa.schema([("id", pa.int64()), ("declared", pa.string()), ("host", pa.string()), ("suffix", pa.string()), ("n", pa.int64()), ("ll", pa.list_(pa.float32())), ("top", pa.int32())])
 
 
-_HIDDEN = re.compile(rb"<(script|style)\b.*?</\1>|<[^>]*>|&[a-zA-Z0-9#]+;", re.IGNORECASE | re.DOTALL)
+_OPEN = re.compile(rb"<(script|style)\b[^<>]*>", re.IGNORECASE)
+_CLOSE = {name: re.compile(rb"</" + name + rb"\b[^<>]*>", re.IGNORECASE) for name in (b"script", b"style")}
+_TAG = re.compile(rb"<[^<>]*>|&[a-zA-Z0-9#]+;")
+
+
+def visible(html: bytes) -> bytes:
+    """What stands between tags, outside scripts and style sheets; one that is never closed hides all that follows."""
+    out, at = [], 0
+    while m := _OPEN.search(html, at):
+        out.append(html[at : m.start()])
+        closed = _CLOSE[m[1].lower()].search(html, m.end())
+        at = closed.end() if closed else len(html)
+    out.append(html[at:])
+    return _TAG.sub(b" ", b" ".join(out))
 
 
 def _score(table: np.ndarray, markup: bool):
@@ -95,13 +140,15 @@ def _score(table: np.ndarray, markup: bool):
             n, ll, top = [], [], []
             for text in batch.column(4):
                 raw = text.as_py() or b""
-                t = trigrams(_HIDDEN.sub(b" ", raw) if markup else raw)
-                score = np.zeros(table.shape[1], dtype=np.float32)
-                for k in range(0, len(t), 1 << 16):
-                    score += table[t[k : k + (1 << 16)]].sum(0, dtype=np.float64)
-                n.append(len(t))
+                score, size = np.zeros(table.shape[1], dtype=np.float32), 0
+                for part in _parts(visible(raw) if markup else raw):
+                    t = trigrams(part)
+                    size += len(t)
+                    for k in range(0, len(t), 1 << 16):
+                        score += table[t[k : k + (1 << 16)]].sum(0, dtype=np.float64)
+                n.append(size)
                 ll.append(score.tolist())
-                top.append(int(score.argmax()) if len(t) else None)
+                top.append(int(score.argmax()) if size else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(k).cast(_SCHEMA.field(k).type) for k in range(4)), pa.array(n, pa.int64()), pa.array(ll, _SCHEMA.field("ll").type), pa.array(top, pa.int32())], schema=_SCHEMA)
 
     return run
@@ -127,7 +174,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, te
     share = [(whole[f"v{k}"] + 1) / (seen + len(names)) for k in range(len(names))]
     for key in ("suffix", "host", "declared"):
         counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(f"{key}_rows"), F.array(*votes).alias(f"{key}_votes"))
-        rows = join_groups(rows, counts, key, f"{key}_rows", total, "id")
+        rows = join_groups(rows, written(counts), key, f"{key}_rows", total, "id")  # a small table is joined without a shuffle
     out = rows
     own = [(F.col("top") == k).cast("int") for k in range(len(names))]
     own = [F.coalesce(o, F.lit(0)) for o in own]

@@ -205,7 +205,7 @@ def test_language_fusion_by_hand(spark):
 
     from pyspark.sql import functions as F
 
-    model = language_id.fit([("aa", "foo bar foo bar baz " * 9), ("bb", "qux quux corge qux " * 9)])
+    model = language_id.fit([(lang, language_id.counts_of([text])) for lang, text in (("aa", "foo bar foo bar baz " * 9), ("bb", "qux quux corge qux " * 9))])
     data = [(1, "foo bar", "aa", "h1"), (2, "qux corge", "bb", "h1"), (3, "foo baz", "aa", "h2"), (4, "", None, "h2"), (5, None, "bb", "h1"), (6, "foo qux", "bb", None)]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, host string")
     got = {r["id"]: r for r in language_id.identify(df, model, "doc_id", F.col("text"), F.col("lang"), F.col("host")).collect()}

@@ -62,10 +62,49 @@ def test_dedup_keeps_one_of_each_text(spark, monkeypatch, bits):
     assert got == sorted(want.values())
 
 
+NAMES = ["doc_id", "text", "_row", "_may", "_id", "h", "may", "_sha", "_page", "_bits", "doc", "gone", "name", "key", "rows", "_h", "times", "part"]
+
+
+def clashing(spark, data):
+    """(doc_id, text) rows with further columns named as the operators name theirs."""
+    return spark.createDataFrame([(i, t, *[f"{c}{k}" for c in NAMES[2:]]) for k, (i, t) in enumerate(data)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in NAMES[2:]))
+
+
+def test_dedup_stage_by_text_and_id(spark):
+    """One row of each text: the largest doc_id, one of the rows that have it, with its own other columns."""
+    data = [(5, "a"), (7, "A"), (5, "b"), (3, "b"), (1, "x"), (1, "x"), (None, "n"), (None, "n"), (None, "m"), (4, "m"), (9, None), (8, ""), *[(20, "hot")] * 40, (2, "alone")]
+    kept = exact_dedup.keep_rows(clashing(spark, data))
+    assert kept.columns == NAMES
+    got = collections.Counter((r["doc_id"], lower(r["text"])) for r in kept.collect())
+    assert got == collections.Counter([(7, "a"), (5, "b"), (1, "x"), (None, "n"), (4, "m"), (9, ""), (20, "hot"), (2, "alone")])
+    own = {(f"_row{k}", f"h{k}"): (i, t) for k, (i, t) in enumerate(data)}
+    assert all(own[r["_row"], r["h"]] == (r["doc_id"], r["text"]) for r in kept.collect())
+
+
+def test_rows_without_some_keep_their_columns(spark):
+    df = clashing(spark, [(k if k % 5 else None, str(k)) for k in range(50)])
+    left = exact_dedup.without(df, spark.createDataFrame([(3,), (4,), (None,)], "_id long"))
+    assert left.columns == NAMES and sorted(r["doc_id"] for r in left.collect()) == [k for k in range(50) if k % 5 and k not in (3, 4)]
+
+
+def test_words_of_the_first_filter_show_every_repeat(spark):
+    """Whatever the width, a value that comes twice is in a word that passes; at full width few others are."""
+    import random
+
+    rng = random.Random(3)
+    values = [rng.randrange(-(2**63), 2**63) for _ in range(3000)]
+    data = values + values[:100] + values[:7] * 20
+    df = spark.createDataFrame([(v,) for v in data], "h long")
+    for rows in (1, 40, len(data)):
+        passed = collections.Counter(r["_row"]["h"] for r in exact_dedup.tested(df, F.col("h"), df, rows).filter("_may").collect())
+        assert set(values[:100]) <= set(passed)
+    assert len(passed) < 400
+
+
 def test_dedup_filter_lets_unique_rows_through(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.xxhash64(exact_dedup.normal(F.col("text"))).alias("h"))
     n = d.count()
-    may = exact_dedup.may_repeat(d, *exact_dedup.repeated_filter(d, n)).filter("may").count()
+    may = exact_dedup.tested(d, F.col("h"), d, n).filter("_may").count()
     repeated = d.groupBy("h").count().filter("count > 1").agg(F.sum("count")).first()[0] or 0
     assert repeated <= may <= repeated + n // 10
 
@@ -135,6 +174,16 @@ def test_shards_hostile(spark):
     assert sharding.ring_shards(empty(spark)).count() == 0
 
 
+def test_shards_of_one_hot_row(spark):
+    """One doc_id, or none, holds most rows, with one text and with many."""
+    data = [(None, "same")] * 3000 + [(7, f"t{k}") for k in range(1500)] + [(k, "x") for k in range(500)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = sharding.ring_shards(df).collect()
+    check_shards(got, data)
+    order = lambda rows: sorted((r["doc_id"] or -1, r["text_crc32"], r["shard"], r["slot"]) for r in rows)
+    assert order(got) == order(sharding.ring_shards(df.repartition(3)).collect())
+
+
 def test_one_more_shard_moves_little():
     import random
 
@@ -178,8 +227,8 @@ def test_mix_against_running_sums(spark, sf_dir):
     data = docs(spark, sf_dir)
     got = {r["doc_id"]: r for r in mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
     by = collections.defaultdict(list)
-    for i, _, s in data:
-        by[s].append((int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), i))
+    for i, t, s in data:
+        by[s].append((int(hashlib.md5(f"{i}|{t or ''}".encode()).hexdigest()[:15], 16), i))
     for own in by.values():
         first = got[own[0][1]]
         whole = int(first["target"] // first["source_size"])
@@ -193,11 +242,19 @@ def test_mix_against_running_sums(spark, sf_dir):
 def test_mix_hostile(spark):
     got = mixing.mix(hostile(spark)).collect()
     assert len(got) == len(rows()) and mixing.mix(empty(spark)).count() == 0
-    once = [r for r in rows() if r[0] is not None and r[0] != 4]
+    once = [r for r in rows() if r[0] != 4]
     check_mix(mixing.mix(spark.createDataFrame(once, SCHEMA)).collect(), [(r[0], r[1], r[3]) for r in once])
     assert mixing.mixed_rows(hostile(spark)).columns == SCHEMA.names
 
 
+def test_mix_of_many_sources_and_of_rows_without_ids(spark):
+    """Sources beyond one range of the sort, null ids that are told apart by text, clashing columns."""
+    data = [(None if k % 3 else k, f"{'w ' * (k % 17)}{k}", f"s{k % 211}" if k % 10 else None, *["x"] * 5) for k in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, key string, rows string, h string, size string, past string")
+    check_mix(mixing.mix(df).collect(), [r[:3] for r in data])
+    assert mixing.mixed_rows(df).columns == df.columns
+
+
 # ---- packing
 
 
@@ -270,33 +327,32 @@ def test_place_fills_all_but_one(seed):
 
 
 def plain_lines(data):
-    """The same rules with dictionaries."""
-    lt = line_templates
-    lines = []
-    for i, text in data:
+    """The tree with dictionaries, by words themselves: what each word's support is, what a line's template keeps, where it recurs."""
+    lines, seen = [], collections.defaultdict(set)
+    for row, (i, text) in enumerate(data):
         for k, line in enumerate((text or "").split("\n") if text is not None else []):
-            w = [("<*>" if re.search("[0-9]", x) else x) for x in re.split(r"[\x20\x09-\x0D]+", lower(line)) if x]
-            if len(w) >= lt.MIN_WORDS:
-                lines.append((i, k, w, (len(w), tuple(w[: lt.LEADING]))))
-    leaf = collections.defaultdict(list)
-    for x in lines:
-        leaf[x[3]].append(x)
-    found = collections.defaultdict(set)
-    for own in leaf.values():
-        if len({x[0] for x in own}) < lt.MIN_DOCS:
+            w = tuple(("<*>" if re.search("[0-9]", x) else x) for x in re.split(r"[\x20\x09-\x0D]+", lower(line)) if x)
+            if len(w) >= 3:
+                lines.append((row, (i, text), k, w))
+                seen[len(w), w[:2]].add((i, text))
+    support = collections.Counter((len(w), w[:2], p, x) for _, _, _, w in lines for p, x in enumerate(w) if x != "<*>")
+    where = collections.defaultdict(set)
+    mine = {}
+    for row, doc, k, w in lines:
+        n = len(w)
+        if len(seen[n, w[:2]]) < (2 if n >= 50 else 4):
             continue
-        values = [collections.Counter(x[2][p] for x in own) for p in range(len(own[0][2]))]
-        fixed = [len(v) <= lt.MOST_VALUES and max(v.values()) / len(own) >= lt.SAME for v in values]
-        for i, k, w, _ in own:
-            shape = [x if f else "<*>" for x, f in zip(w, fixed, strict=True)] if any(fixed) else w
-            found["line", tuple(w)].add((i, k))
-            if sum(x != "<*>" for x in shape) / len(shape) >= lt.KEPT:
-                found["shape", tuple(shape)].add((i, k))
-    gone = set()
-    for own in found.values():
-        if len({i for i, _ in own}) >= lt.MIN_DOCS:
-            gone |= own
-    return {i: (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in data}
+        have = [0 if x == "<*>" else support[n, w[:2], p, x] for p, x in enumerate(w)]
+        ranked = sorted((h for h in have if h > 1), reverse=True)
+        names = [("line", n, w)]
+        least = -(-6 * n // 10)
+        if len(ranked) >= least:
+            names.append(("template", n, tuple((p, x) if 2 * have[p] >= ranked[least - 1] and have[p] > 1 else None for p, x in enumerate(w))))
+        mine[row, k] = names
+        for name in names:
+            where[name].add(doc)
+    gone = {at for at, names in mine.items() if any(len(where[x]) >= (2 if x[0] == "line" and x[1] >= 50 else 4) for x in names)}
+    return {i: (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (row, k) not in gone)) for row, (i, t) in enumerate(data)}
 
 
 def test_lines_query(spark, sf_dir):
@@ -313,6 +369,39 @@ def test_templates_generalise(spark):
     assert got == plain_lines(data)
 
 
+def dropped(spark, data):
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == plain_lines(data)
+    return {i for i, t in got.items() if not t}
+
+
+def test_a_leaf_holds_several_templates(spark):
+    """Three templates of eight words with the same two leading words; strays do not make their words variable."""
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    forms = ["the system has been started by user {}", "the system could not reach its {} today", "the system {} keeps old files for now"]
+    data = [(k, f.format(word())) for k, f in enumerate(f for f in forms for _ in range(8))]
+    assert dropped(spark, data) == set(range(24))
+    strays = [(100 + k, f"the system {' '.join(word() for _ in range(6))}") for k in range(40)]
+    assert dropped(spark, data + strays) == set(range(24))
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    long = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    data = [(1, long + "\nown words of one"), (2, "own words of two\n" + long), (3, "few words shared"), (4, "few words shared"), (5, "few words shared")]
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == plain_lines(data) == {1: "own words of one", 2: "own words of two", **dict(data[2:])}
+
+
+def test_lines_with_clashing_columns(spark):
+    df = clashing(spark, [(k, f"a line of {'abcdefgh'[k % 8]}\nshared by all of them") for k in range(8)]).withColumn("n_lines", F.lit("mine"))
+    got = line_templates.drop_recurring(df)
+    assert got.columns == [*NAMES, "n_lines", "n_dropped"]
+    assert {(r["text"], r["n_lines"], r["n_dropped"], r["doc"]) for r in got.collect()} == {("", 2, 2, f"doc{k}") for k in range(8)}
+
+
 def test_lines_hostile(spark):
     got = line_templates.drop_recurring(hostile(spark))
     assert got.count() == len(rows()) and got.columns == [*SCHEMA.names, "n_lines", "n_dropped"]
