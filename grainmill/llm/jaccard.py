@@ -328,7 +328,8 @@ def _marks(least: int):
     return run
 
 
-_BLOBS = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("sigs", pa.binary())])
+_BLOBS = pa.schema([("bucket", pa.int64()), ("flush", pa.int64()), ("ids", pa.binary()), ("sigs", pa.binary())])
+FLUSH_BITS = 20  # of an id, the place in its flush
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -342,35 +343,47 @@ def _unplanes(raw: bytes, kind: type) -> np.ndarray:
 
 
 def _sign(bits: int, marks: bytes | None):
-    def flush(sigs: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        sig, own = np.concatenate(sigs), np.concatenate(ids)
-        bucket = (sig >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.lexsort((sig, bucket))
-        sig, own, bucket = ((sig[order] >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), own[order], bucket[order]
-        at = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for k in range(0, len(at), 4096):
-            ends = np.append(at, len(sig))[k : k + 4097]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]]), pa.array([_planes(own[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.array([_planes(sig[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], schema=_BLOBS)
+    """Blobs by bucket. A set's id is its place in a flush, so that it takes two bytes a signature, and the flush's number, given once a blob; one more row a flush,
+    of a negative bucket, has the nodes by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         sigs, ids, held = [], [], 0
-        seen: set[int] = set()  # of a flush; an equal set that was signed stands for the others
+        nodes: dict[int, int] = {}  # of a flush; an equal set that was signed stands for the others
+        number = TaskContext.get().partitionId() << 20
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            sig, own = np.concatenate(sigs), np.concatenate(ids)
+            bucket = (sig >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.lexsort((sig, bucket))
+            sig, own, bucket = ((sig[order] >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), own[order], bucket[order]
+            at = np.flatnonzero(np.diff(bucket, prepend=-1))
+            names = np.fromiter(nodes, np.int64, len(nodes))
+            for k in range(0, len(at), 4096):
+                ends = np.append(at, len(sig))[k : k + 4097]
+                cuts = list(zip(ends[:-1], ends[1:], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]]), pa.array([number] * len(cuts), pa.int64()), pa.array([_planes(own[a:b]) for a, b in cuts], pa.binary()), pa.array([_planes(sig[a:b]) for a, b in cuts], pa.binary())], schema=_BLOBS)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - number], pa.int64()), pa.array([number], pa.int64()), pa.array([_planes(names)], pa.binary()), pa.array([b""], pa.binary())], schema=_BLOBS)
+
         for batch in batches:
-            fresh: dict[int, np.ndarray] = {}
+            fresh: list[np.ndarray] = []
+            first = len(nodes)
             for s in word_sets([t or b"" for t in batch.column(0).to_pylist()]):
-                if len(s) > 2 and (node := _node(_key(s))) not in seen:
-                    fresh.setdefault(node, s)
-            seen.update(fresh)
-            sig, own = signatures(list(fresh.values()), marks)
+                if len(s) > 2 and (node := _node(_key(s))) not in nodes:
+                    nodes[node] = len(nodes)
+                    fresh.append(s)
+            sig, own = signatures(fresh, marks)
             sigs.append(sig)
-            ids.append(np.array(list(fresh), np.int64)[own])
+            ids.append((own + first).astype(np.uint32))
             held += len(sig)
             if held >= BUFFER:
-                yield from flush(sigs, ids)
+                yield from flush()
                 sigs, ids, held = [], [], 0
-                seen.clear()
+                nodes.clear()
+                number += 1
         if held:
-            yield from flush(sigs, ids)
+            yield from flush()
 
     return run
 
@@ -444,16 +457,21 @@ class _Bucket:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), runs with their members, and of negative runs the nodes of a flush by place."""
     now: _Bucket | None = None
     for batch in batches:
-        for bucket, ids, sigs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        for bucket, flush, ids, sigs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if bucket < 0:
+                none = pa.nulls(1).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array([bucket], pa.int64()), pa.array([_unplanes(ids.as_py(), np.int64)], _RUNS.field(3).type)], schema=_RUNS)
+                continue
             if now is None or now.bucket != bucket:
                 if now:
                     now.cut(True)
                     yield from now.take()
                 now = _Bucket(bucket)
             before = len(now.parts)
-            now.add(_unplanes(sigs.as_py(), np.uint32), _unplanes(ids.as_py(), np.int64))
+            now.add(_unplanes(sigs.as_py(), np.uint32), _unplanes(ids.as_py(), np.uint32).astype(np.int64) + (flush << FLUSH_BITS))
             if len(now.parts) > before:
                 now.split = True
                 yield from now.take()
@@ -594,10 +612,11 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _crowds(parts: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows for _between(): the members of long runs by the runs' smallest node, where they are in several components, dealt by pair of blocks."""
+def _crowds(parts: DataFrame, named: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows for _between(): the members of long runs by the runs' smallest id, where they are in several components, dealt by pair of blocks."""
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(run), 64) as int))")
-    held = parts.select(F.element_at("members", 1).alias("centre"), bit.alias("bit"), F.explode("members").alias("node")).groupBy("centre", "node").agg(F.bit_or("bit").alias("mask"))
+    held = parts.select(F.element_at("members", 1).alias("centre"), bit.alias("bit"), F.explode("members").alias("id")).groupBy("centre", "id").agg(F.bit_or("bit").alias("mask"))
+    held = held.join(named, "id").groupBy("centre", "node").agg(F.bit_or("mask").alias("mask"))
     held = held.join(nodes.select("node", "doc", "n"), "node").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
     held = written(held.select("centre", "node", "mask", "n", F.coalesce("component", "doc").alias("component")))
     mixed = held.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo < hi")
@@ -624,24 +643,28 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     full = sets.filter("n > 0 and doc_id is not null")
     nodes = written(full.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("fine").alias("fine")))
     bits = min(24, max(10, (int(total["n"]) // 65536).bit_length()))
-    blobs = texts.filter("doc_id is not null").select("raw").mapInArrow(_sign(bits, bytes(marks) if marks else None), "bucket long, ids binary, sigs binary")
+    blobs = texts.filter("doc_id is not null").select("raw").mapInArrow(_sign(bits, bytes(marks) if marks else None), "bucket long, flush long, ids binary, sigs binary")
     runs = written(blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_runs, _RUNS_DDL))
-    parts = runs.filter("run is not null")
+    named = runs.filter("run < 0").select((-1 - F.col("run")).alias("flush"), F.posexplode("members").alias("at", "node")).select((F.shiftleft("flush", FLUSH_BITS) + F.col("at")).alias("id"), "node")
+    parts = runs.filter("run >= 0")
     star = parts.select(F.explode(F.slice("members", 2, BLOCK)).alias("b"), F.element_at("members", 1).alias("a")).select("a", "b")
+    pairs = runs.filter("run is null").select("a", "b").unionByName(star).distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(named.select(F.col("id").alias(c), F.col("node").alias(f"n{c}")), c).drop(c)
+    pairs = pairs.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).filter("a <> b").distinct()
     same = nodes.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    pairs = runs.filter("run is null").select("a", "b").unionByName(star).distinct().unionByName(same)
-    near = written(_near(pairs, nodes))
+    near = written(_near(pairs.unionByName(same), nodes))
 
     smallest = written(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = written(_links(texts, smallest))
     labels = connected(links)
-    more = _near(_crowds(parts, nodes, labels).mapInArrow(_between, _PAIR_DDL).distinct(), nodes)
+    more = _near(_crowds(parts, named, nodes, labels).mapInArrow(_between, _PAIR_DDL).distinct(), nodes)
     rest = written(_apart(near.unionByName(more), labels).distinct())
     labels = connected(links.unionByName(_links(texts, rest)))
 
-    named = nodes.join(labels, F.col("doc") == labels["node"], "left").select(F.hex("key").alias("key"), "copies", F.coalesce("component", "doc").alias("component_id"))
+    classes = nodes.join(labels, F.col("doc") == labels["node"], "left").select(F.hex("key").alias("key"), "copies", F.coalesce("component", "doc").alias("component_id"))
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.hex("key")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"))
-    out = join_groups(rows, named, "key", "copies", total["rows"], "doc_id")
+    out = join_groups(rows, classes, "key", "copies", total["rows"], "doc_id")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
