@@ -1,16 +1,22 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field over the tokens that could be personal data.
 
 Base patterns give email, ip, card and phone spans. The field's nodes are a document's tokens with a digit or an "@";
-consecutive nodes at most GAP characters apart share a chain potential, and each node shares a skip potential with the next node
-that repeats it or resembles it (equal letters and digits, equal last seven digits, equal mailbox name). Labels are O and the four
-kinds. Sum-product messages run ROUNDS times over all documents of a batch at once. A token outside the base spans whose best
-label is not O, with a marginal of at least CERTAIN, becomes a span of kind "crf_" + label; neighbours of one label join.
+consecutive nodes at most GAP characters apart share a chain potential. Tokens that repeat or resemble each other (equal letters
+and digits, equal last seven digits, equal mailbox name) form a group, wherever they stand in the document: each shares the skip potential with the
+group's hub, a node without features of its own, so evidence goes from any member to all others in two steps and edges
+stay linear in the tokens. Tokens of equal letters and digits are one witness: they share one unary score, so many uncertain repeats do not outvote a certain one. Labels are O and the four kinds. Damped sum-product messages run in each document until none changes by more
+than TOLERANCE; crf_rounds tells how many rounds that took (MOST_ROUNDS where loops keep on oscillating).
+
+The base spans are clamped. What the field adds are tokens outside them that are in a group: tokens of equal letters and digits get the label of their
+group's hub, all or none, if its marginal is at least CERTAIN; a token that only resembles others gets its own best label at that marginal. They become spans
+of kind "crf_" + label; neighbours of one label join. A token without a group adds nothing.
 
 train() fits the potentials by pseudo-likelihood on the base spans of at most TRAIN_DOCS documents, those with the smallest
-hash of doc_id; the base spans of all documents are clamped when messages run, so a kind found once reaches its repeats.
+hash of doc_id, in a task of their own; for it, a hub has the mean label of the other members. Only the potentials come to the driver.
 
-Null text is empty and gives zero counts. Texts are scanned whole. Rows are independent given the potentials, so ties, repeated
-rows and extra columns change nothing; an empty table gives no rows.
+Null text is empty and gives zero counts. Texts are scanned whole, in time linear in their length; inference takes documents
+together up to NODES tokens, and a longer one alone. Rows are independent given the potentials, so ties, repeated rows, extra columns and the
+order of rows change nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +35,9 @@ from .common import bounded_batches, unit_hash
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
 TRAIN_DOCS = 400
-GAP, ROUNDS, DAMPING, CERTAIN, CLAMP = 2, 6, 0.3, 0.95, 8.0
+GAP, DAMPING, CERTAIN, CLAMP = 2, 0.5, 0.95, 8.0
+AGREE = 4.0  # added to the skip potential of equal labels
+TOLERANCE, MOST_ROUNDS, NODES = 1e-3, 500, 1 << 15
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _MAILBOX = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 # A run of digits is entered at its start only: a later start in it could not match where the first does not.
@@ -89,6 +97,7 @@ def _keys(token: str) -> list[str]:
     return out
 
 
+#: What _features() gives.
 FEATURES = 26
 
 
@@ -103,14 +112,23 @@ def _features(text: str, a: int, b: int) -> list[float]:
 
 
 class Graph:
-    """Nodes and edges of many documents together."""
+    """Nodes, chain edges and groups of many documents together; hubs are nodes after those of tokens."""
+
+    def __init__(self, texts: list[str], spans: list[list[tuple[int, int, int]]], unary: np.ndarray | None = None):
+        """With potentials, theta has the score of each token's labels and features are not kept."""
+        place, label, chain, scores = [], [], [], []
+        member, hub, exact, hub_doc = [], [], [], []
+        features: list[list[float]] = []
+
+        def flush() -> None:
+            x = np.array(features, dtype=np.float32).reshape(-1, FEATURES)
+            scores.append(x if unary is None else x @ unary)
+            features.clear()
 
-    def __init__(self, texts: list[str], spans: list[list[tuple[int, int, int]]]):
-        self.at: list[tuple[int, int, int]] = []  # document, start, end
-        x, label, chain, skip = [], [], [], []
         for d, text in enumerate(texts):
-            seen: dict[str, int] = {}
-            held, k, before = spans[d], 0, -1
+            groups: dict[str, list[int]] = {}
+            at, before = [0] * len(KINDS), -1
+            held = [[(s, e) for s, k, e in spans[d] if k == kind] for kind in range(len(KINDS))]  # of one kind, spans do not overlap
             for m in _TOKEN.finditer(text):
                 a, b = m.span()
                 while a < b and text[a] in "\"'([{<":
@@ -119,28 +137,40 @@ class Graph:
                     b -= 1
                 if a == b:
                     continue
-                node = len(self.at)
-                while k < len(held) and held[k][2] <= a:
-                    k += 1
-                y = 0
-                for s, kind, e in held[k : k + 4]:
-                    if s < b and a < e:
-                        y = kind + 1
-                        break
-                x.append(_features(text, a, b))
-                label.append(y)
-                if before >= 0 and a - self.at[before][2] <= GAP:
+                node = len(place)
+                hits = []
+                for kind, own in enumerate(held):
+                    while at[kind] < len(own) and own[at[kind]][1] <= a:
+                        at[kind] += 1
+                    if at[kind] < len(own) and own[at[kind]][0] < b:
+                        hits.append((own[at[kind]][0], kind))
+                label.append(min(hits)[1] + 1 if hits else 0)
+                features.append(_features(text, a, b))
+                if len(features) >= 8192:
+                    flush()
+                if before >= 0 and a - place[before][2] <= GAP:
                     chain.append((before, node))
                 before = node
                 for key in _keys(text[a:b]):
-                    if key in seen:
-                        skip.append((seen[key], node))
-                    seen[key] = node
-                self.at.append((d, a, b))
-        self.x = np.array(x, dtype=np.float32).reshape(-1, FEATURES)
+                    groups.setdefault(key, []).append(node)
+                place.append((d, a, b))
+            for key, own in groups.items():
+                if len(own) > 1:
+                    member += own
+                    hub += [len(hub_doc)] * len(own)
+                    exact += [key[0] == "t"] * len(own)
+                    hub_doc.append(d)
+        flush()
+        self.place = place
+        self.tokens = len(place)
         self.label = np.array(label, dtype=np.int64)
         self.chain = np.array(chain, dtype=np.int64).reshape(-1, 2)
-        self.skip = np.unique(np.array(skip, dtype=np.int64).reshape(-1, 2), axis=0)
+        self.member, self.hub, self.exact = np.array(member, dtype=np.int64), np.array(hub, dtype=np.int64), np.array(exact, dtype=bool)
+        self.hubs = len(hub_doc)
+        self.doc = np.array([p[0] for p in place] + hub_doc, dtype=np.int64)
+        rows = np.concatenate(scores)
+        self.x = rows if unary is None else None
+        self.theta = None if unary is None else rows
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -149,17 +179,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], steps: int = 200, rate: float = 1.0, penalty: float = 1e-3) -> dict[str, np.ndarray]:
-    """Potentials by pseudo-likelihood: each label given its token's features and its neighbours' labels."""
+    """Potentials by pseudo-likelihood: each label given its token's features, its neighbours' labels and those of its groups."""
     g = Graph(texts, [base_spans(t) for t in texts])
-    n = len(g.at)
+    n = g.tokens
     if not n:
         return {"unary": np.zeros((FEATURES, LABELS)), "chain": np.zeros((LABELS, LABELS)), "skip": np.zeros((LABELS, LABELS))}
     one = np.eye(LABELS)[g.label]
-    around = np.zeros((3, n, LABELS))  # labels before, after, and over skip edges
+    around = np.zeros((3, n, LABELS))  # labels before, after, and of the other members of groups
     np.add.at(around[0], g.chain[:, 1], one[g.chain[:, 0]])
     np.add.at(around[1], g.chain[:, 0], one[g.chain[:, 1]])
-    np.add.at(around[2], g.skip[:, 0], one[g.skip[:, 1]])
-    np.add.at(around[2], g.skip[:, 1], one[g.skip[:, 0]])
+    if g.hubs:
+        size = np.bincount(g.hub, minlength=g.hubs)
+        whole = np.zeros((g.hubs, LABELS))
+        np.add.at(whole, g.hub, one[g.member])
+        np.add.at(around[2], g.member, (whole[g.hub] - one[g.member]) / (size[g.hub] - 1)[:, None])
     x = np.hstack([g.x, *around])
     weight = 1 / np.maximum(1, np.bincount(g.label, minlength=LABELS))[g.label] ** 0.5
     weight /= weight.sum()
@@ -170,58 +203,81 @@ def train(texts: list[str], steps: int = 200, rate: float = 1.0, penalty: float
         speed = 0.9 * speed - rate * 0.1 * grad
         w += speed
     before, after, skip = np.split(w[FEATURES:], 3)
-    return {"unary": w[:FEATURES], "chain": (before + after.T) / 2, "skip": (skip + skip.T) / 2 + np.eye(LABELS)}
+    skip = (skip + skip.T) / 2
+    np.fill_diagonal(skip, skip.diagonal().mean() + AGREE)  # one agreement is worth as much as another, or the label with more edges would win
+    return {"unary": w[:FEATURES], "chain": (before + after.T) / 2, "skip": skip}
 
 
-def marginals(g: Graph, model: dict[str, np.ndarray], clamped: bool = True) -> np.ndarray:
-    """Each node's label probabilities by loopy sum-product; base labels are held by CLAMP."""
-    n = len(g.at)
-    theta = g.x @ model["unary"]
+def marginals(g: Graph, model: dict[str, np.ndarray], clamped: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(label probabilities of each token and then of each hub, rounds of each document) by loopy sum-product; base labels are held by CLAMP."""
+    n = g.tokens + g.hubs
+    theta = np.zeros((n, LABELS), np.float32)
+    if not n:
+        return theta, np.zeros(0, np.int64)
+    theta[: g.tokens] = g.theta if g.theta is not None else g.x @ model["unary"]
+    theta[g.member[g.exact]] /= np.bincount(g.hub, minlength=g.hubs)[g.hub[g.exact]][:, None]
     if clamped:
         held = np.flatnonzero(g.label)
         theta[held, g.label[held]] += CLAMP
-    if not n:
-        return np.zeros((0, LABELS))
-    source = np.concatenate([g.chain[:, 0], g.chain[:, 1], g.skip[:, 0], g.skip[:, 1]])
-    target = np.concatenate([g.chain[:, 1], g.chain[:, 0], g.skip[:, 1], g.skip[:, 0]])
-    c, s = len(g.chain), len(g.skip)
+    c, s = len(g.chain), len(g.member)
+    hub = g.hub + g.tokens
+    source = np.concatenate([g.chain[:, 0], g.chain[:, 1], g.member, hub])
+    target = np.concatenate([g.chain[:, 1], g.chain[:, 0], hub, g.member])
     back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c])
-    pair = np.exp(np.concatenate([np.repeat(m[None], k, 0) for m, k in ((model["chain"], c), (model["chain"].T, c), (model["skip"], s), (model["skip"].T, s))])) if c + s else np.zeros((0, LABELS, LABELS))
-    message = np.zeros((len(source), LABELS))
+    kind = np.repeat([0, 1, 2, 3], [c, c, s, s])
+    pair = [np.exp(m).astype(np.float32) for m in (model["chain"], model["chain"].T, model["skip"], model["skip"].T)]
+    message = np.zeros((len(source), LABELS), np.float32)
+    rounds = np.zeros(int(g.doc.max()) + 1, np.int64)
 
     def belief() -> np.ndarray:
         total = theta.copy()
         np.add.at(total, target, message)
         return total
 
-    for _ in range(ROUNDS if len(source) else 0):
-        out = belief()[source] - message[back]
+    live = np.arange(len(source))  # edges of the documents that still change
+    of = g.doc[source]
+    for turn in range(1, MOST_ROUNDS + 1):
+        if not len(live):
+            break
+        out = belief()[source[live]] - message[back[live]]
         out = np.exp(out - out.max(1, keepdims=True))
-        fresh = np.log(np.maximum(np.einsum("ek,ekl->el", out, pair), 1e-30))
+        fresh = np.empty_like(out)
+        for k, table in enumerate(pair):
+            rows = kind[live] == k
+            fresh[rows] = np.log(np.maximum(out[rows] @ table, 1e-30))
         fresh -= fresh.max(1, keepdims=True)
-        message = DAMPING * message + (1 - DAMPING) * fresh
-    return _softmax(belief())
+        fresh = np.float32(DAMPING) * message[live] + np.float32(1 - DAMPING) * fresh
+        change = np.zeros(len(rounds))
+        np.maximum.at(change, of[live], np.abs(fresh - message[live]).max(1))
+        message[live] = fresh
+        rounds[np.unique(of[live])] = turn
+        live = live[change[of[live]] > TOLERANCE]
+    return _softmax(belief()), rounds
 
 
-def field_spans(texts: list[str], spans: list[list[tuple[int, int, int]]], model: dict[str, np.ndarray]) -> list[list[tuple[int, int, int]]]:
-    """For each document, (start, number of the label's kind, end) of what the field adds."""
+def field_spans(texts: list[str], spans: list[list[tuple[int, int, int]]], model: dict[str, np.ndarray]) -> tuple[list[list[tuple[int, int, int]]], list[int]]:
+    """For each document (start, number of the label's kind, end) of what the field adds, and its rounds."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    g = Graph(texts, spans)
-    p = marginals(g, model)
-    best = p.argmax(1) if len(p) else np.zeros(0, dtype=int)
-    for node in np.flatnonzero((best > 0) & (g.label == 0)):
-        if p[node, best[node]] < CERTAIN:
-            continue
-        d, a, b = g.at[node]
-        kind = int(best[node]) - 1
-        if out[d] and out[d][-1][1] == kind and a - out[d][-1][2] <= GAP:
+    g = Graph(texts, spans, model["unary"])
+    p, rounds = marginals(g, model)
+    if not g.hubs:
+        return out, [*rounds.tolist(), *[0] * (len(texts) - len(rounds))]
+    by = np.zeros(g.tokens, np.int64) - 1  # of each token in a group, the node that decides: its group's hub, or itself where it only resembles others
+    by[g.member] = g.member
+    by[g.member[g.exact]] = g.hub[g.exact] + g.tokens
+    asked = np.flatnonzero((by >= 0) & (g.label == 0))
+    best = p[by[asked]].argmax(1)
+    sure = (best > 0) & (p[by[asked], best] >= CERTAIN)
+    for node, y in zip(asked[sure].tolist(), best[sure].tolist(), strict=True):
+        d, a, b = g.place[node]
+        if out[d] and out[d][-1][1] == y - 1 and a - out[d][-1][2] <= GAP:
             a = out[d].pop()[0]
-        out[d].append((a, kind, b))
-    return out
+        out[d].append((a, y - 1, b))
+    return out, [*rounds.tolist(), *[0] * (len(texts) - len(rounds))]
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_crf", pa.int64())])
-_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_crf long"
+_OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_crf", pa.int64()), ("crf_rounds", pa.int64())])
+_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_crf long, crf_rounds long"
 _NAMES = (*KINDS, *(f"crf_{k}" for k in KINDS))
 
 
@@ -230,28 +286,48 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _scan(model: dict[str, np.ndarray]):
+    def done(ids: list, texts: list[str], base: list[list[tuple[int, int, int]]]) -> pa.RecordBatch:
+        more, rounds = field_spans(texts, base, model)
+        out: list[list] = [[] for _ in _OUT]
+        for i, own, extra, turns in zip(ids, base, more, rounds, strict=True):
+            counts = [sum(k == n for _, k, _ in own) for n in range(len(KINDS))]
+            every = sorted([*own, *((a, k + len(KINDS), b) for a, k, b in extra)])
+            for column, value in zip(out, (i, *counts, hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(every), len(extra), turns), strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _OUT, strict=True)], schema=_OUT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                base = [base_spans(t) for t in texts]
-                more = field_spans(texts, base, model)
-                out: list[list] = [[] for _ in _OUT]
-                for i, own, extra in zip(batch.column(0).to_pylist(), base, more, strict=True):
-                    counts = [sum(k == n for _, k, _ in own) for n in range(len(KINDS))]
-                    every = sorted([*own, *((a, k + len(KINDS), b) for a, k, b in extra)])
-                    for column, value in zip(out, (i, *counts, hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(every), len(extra)), strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _OUT, strict=True)], schema=_OUT)
+        ids, texts, base, size = [], [], [], 0
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                ids.append(i)
+                texts.append(text)
+                base.append(base_spans(text))
+                size += len(text)
+                if size >= 32 * NODES or len(ids) >= 1024:
+                    yield done(ids, texts, base)
+                    ids, texts, base, size = [], [], [], 0
+        if ids:
+            yield done(ids, texts, base)
 
     return run
 
 
+_MODEL = pa.schema([("name", pa.string()), ("rows", pa.int32()), ("cells", pa.binary())])
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = train([t or "" for batch in batches for t in batch.column(0).to_pylist()])
+    yield pa.RecordBatch.from_arrays([pa.array(list(model)), pa.array([len(m) for m in model.values()], pa.int32()), pa.array([m.astype("<f8").tobytes() for m in model.values()], pa.binary())], schema=_MODEL)
+
+
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_crf of every text."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_crf, crf_rounds of every text."""
     bounded_batches(df)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rate = min(1.0, 4 * train_docs / max(1, rows.count()))  # tasks then hold back all but a few candidates
-    few = rows.filter(unit_hash(F.col("doc_id")) < rate).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).collect()
-    return rows.mapInArrow(_scan(train([r["text"] or "" for r in few])), _DDL)
+    few = rows.filter(unit_hash(F.col("doc_id")) < rate).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_docs)
+    found = few.select("text").coalesce(1).mapInArrow(_trained, "name string, rows int, cells binary").collect()
+    model = {r["name"]: np.frombuffer(r["cells"], "<f8").reshape(r["rows"], LABELS) for r in found}
+    return rows.mapInArrow(_scan(model or train([])), _DDL)
