@@ -1,14 +1,16 @@
 """Media columns: Netpbm and BMP images decoded to numpy arrays, area-resized by integral images, kept as NPY tiles with
 difference hashes.
 
-decode() reads P1 to P6 and BMP of 1, 4, 8, 24 and 32 bits without compression. area_resize() averages the exact area that each
+decode() reads P1 to P6 and BMP of 1, 4, 8, 24 and 32 bits without compression, and of 16 and 32 bits with bit-field masks. area_resize() averages the exact area that each
 target pixel covers, by interpolating in the integral image. tile() gives NPY bytes, difference_hash() 64 bits.
-image_columns() does this for a column of image bytes; write_tiles() writes one NPY file a row through Spark's own file systems.
+image_columns() does this for a column of image bytes; write_tiles() writes a Parquet table of NPY bytes, a tile a row, through Spark's own file systems.
 
 payload_images() stores texts as images: the UTF-8 bytes, padded by zero bytes to a positive multiple of 64, become an
-8-bit grey image 64 pixels wide, a BMP up to BMP_ROWS rows and a binary PGM above; what it returns is computed from the stored bytes.
+8-bit grey image 64 pixels wide, a BMP or a binary PGM by a bit of the payload's CRC-32, so either format holds texts of every length; what it
+returns is computed from the stored bytes.
 
-Null text counts as empty and gives one row of zeros. Null or undecodable image bytes give null columns and an error text.
+Null text counts as empty and gives one row of zeros. Null or undecodable image bytes, samples beyond the header's maximum and sizes that the bytes cannot hold give
+null columns and an error text. Very long texts and images are held one at a time, with eight bytes a pixel for the integral image.
 Rows are independent: repeated rows, ties and extra columns change nothing, an empty table gives no rows.
 """
 
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 WIDTH = 64
-BMP_ROWS = 64
 TILE = 32
 _TOKEN = re.compile(rb"(?:\s|#[^\r\n]*[\r\n])*([^\s#]+)")
 
@@ -65,35 +66,55 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     if w < 1 or h < 1 or not 0 < top < 65536:
         raise ValueError("Netpbm header out of range")
     n = w * h * deep
+    if n > 8 * len(data):
+        raise ValueError("Netpbm samples are cut short")
     if kind == 4:
         line = (w + 7) // 8
         bits = np.frombuffer(data, np.uint8, line * h, at + 1).reshape(h, line)
         values = 1 - np.unpackbits(bits, axis=1)[:, :w].ravel()
     elif kind == 1:
-        values = 1 - (np.frombuffer(re.sub(rb"#[^\r\n]*|\s", b"", data[at:])[:n], np.uint8) - 48)
+        values = 49 - np.frombuffer(re.sub(rb"#[^\r\n]*|\s", b"", data[at:])[:n], np.uint8).astype(np.int64)
     elif kind in (2, 3):
         values = np.array(re.sub(rb"#[^\r\n]*", b"", data[at:]).split()[:n], dtype=np.int64)
     else:
         values = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at + 1)
     if values.size < n:
         raise ValueError("Netpbm samples are cut short")
+    if values.min() < 0 or values.max() > top:
+        raise ValueError("Netpbm sample out of range")
     if top != 255:
         values = (values.astype(np.int64) * 255 + top // 2) // top
     values = values.astype(np.uint8)
     return values.reshape((h, w, 3) if deep == 3 else (h, w))
 
 
+def _channel(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of a mask, spread over 0 to 255."""
+    if not mask:
+        raise ValueError("BMP mask is empty")
+    low = (mask & -mask).bit_length() - 1
+    top = mask >> low
+    return ((((pixels & np.uint32(mask)) >> np.uint32(low)).astype(np.int64) * 255 + top // 2) // top).clip(0, 255).astype(np.uint8)
+
+
 def _decode_bmp(data: bytes) -> np.ndarray:
     (start,), (head, w, h, _, bits, packed) = struct.unpack_from("<I", data, 10), struct.unpack_from("<IiiHHI", data, 14)
-    if head < 40 or packed not in (0, 3) or bits not in (1, 4, 8, 24, 32) or w < 1 or not h:
+    if head < 40 or packed not in (0, 3) or bits not in ((16, 32) if packed else (1, 4, 8, 24, 32)) or w < 1 or not h:
         raise ValueError("BMP of a kind that is not read")
     line = (w * bits + 31) // 32 * 4
+    if start + line * abs(h) > len(data):
+        raise ValueError("BMP rows are cut short")
     rows = np.frombuffer(data, np.uint8, line * abs(h), start).reshape(abs(h), line)
     if h > 0:
         rows = rows[::-1]
+    if packed:
+        pixels = np.ascontiguousarray(rows[:, : w * bits // 8]).view("<u2" if bits == 16 else "<u4").astype(np.uint32)
+        return np.stack([_channel(pixels, mask) for mask in struct.unpack_from("<III", data, 54)], 2)  # the masks follow a header of 40 bytes or are part of a longer one
     if bits >= 24:
         return np.ascontiguousarray(rows[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, 2::-1])
     colours = struct.unpack_from("<I", data, 46)[0] or 1 << bits
+    if 14 + head + colours * 4 > len(data):
+        raise ValueError("BMP palette is cut short")
     palette = np.frombuffer(data, np.uint8, colours * 4, 14 + head).reshape(-1, 4)[:, 2::-1]
     index = rows if bits == 8 else np.stack([(rows >> s) & ((1 << bits) - 1) for s in range(8 - bits, -1, -bits)], 2).reshape(abs(h), -1)
     index = index[:, :w]
@@ -160,7 +181,7 @@ def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flat = grey(image)
                 sums = integral(flat)
                 rows.append((i, *image.shape[:2], 1 if image.ndim == 2 else 3, tile(flat, TILE, sums), difference_hash(flat, sums), None))
-            except (ValueError, struct.error, IndexError, TypeError) as e:
+            except (ValueError, struct.error, IndexError, TypeError, OverflowError) as e:
                 rows.append((i, None, None, None, None, None, str(e)))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _IMAGE, strict=True)] if rows else [pa.array([], f.type) for f in _IMAGE], schema=_IMAGE)
 
@@ -181,7 +202,7 @@ _PAYLOAD = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload
 def store(payload: bytes) -> bytes:
     """The image that holds a payload of whole rows."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    return encode_bmp(image) if image.shape[0] <= BMP_ROWS else encode_pgm(image)
+    return encode_bmp(image) if zlib.crc32(payload) & 1 else encode_pgm(image)
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
