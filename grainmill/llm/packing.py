@@ -9,8 +9,10 @@ least full ones hold.
 
 Remainders travel as 16-bit ids where these suffice, so the shuffle moves about two bytes a token of what is left over.
 
-Null and empty text give the one id END. Rows repeated with one doc_id are packed each on its own. An empty table gives no rows.
-Other columns are ignored.
+Null and empty text give the one id END. A very long text is cut into whole sequences like any other, and only its remainder is shuffled. Rows repeated with one
+doc_id, null included, are packed each on its own: bins are dealt by doc_id and ids, and of equal rows by the SAME-th of a task, so that no bin
+grows with the copies of one row. Ties in cost go to the row that a bin has first, by doc_id, tokens and hash, and to its first sequence. An
+empty table gives no rows. Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import functools
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,7 @@ from .common import bounded_batches
 SEQUENCE = 2048
 END = 1
 BIN_DOCS = 4096
+SAME = 64  # equal rows of a task that share a bin
 #: The split of the byte-level vocabulary; possessive, so that it runs in linear time.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -88,13 +92,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-_DOC = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("whole_crc", pa.list_(pa.int64())), ("rest", pa.binary())])
+_DOC = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("whole_crc", pa.list_(pa.int64())), ("rest", pa.binary()), ("salt", pa.int64())])
 
 
 def _tokenize(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         ids = ids_of(path)
         end = np.array([END], dtype="<u4")
+        task = TaskContext.get().partitionId() + 1
+        seen: Counter[tuple[int | None, int, int]] = Counter()
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
@@ -105,7 +113,10 @@ def _tokenize(path: str, length: int):
                     full = n // length
                     crc = [zlib.crc32(own[length * k : length * (k + 1)].tobytes()) for k in range(full)]
                     rest = own[length * full :]
-                    for column, value in zip(out, (i, n, crc, rest.astype("<u2").tobytes() if not len(rest) or rest.max() < 65536 else b"\xff" + rest.tobytes()), strict=True):
+                    name = (i, n, zlib.crc32(own.tobytes()))
+                    seen[name] += 1
+                    turn = (seen[name] - 1) // SAME
+                    for column, value in zip(out, (i, n, crc, rest.astype("<u2").tobytes() if not len(rest) or rest.max() < 65536 else b"\xff" + rest.tobytes(), turn and task << 32 | turn), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _DOC, strict=True)], schema=_DOC)
 
@@ -212,7 +223,7 @@ def pack(df: DataFrame, tokenizer: str, length: int = SEQUENCE, bin_docs: int =
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     bounded_batches(df)
     bins = max(1, math.ceil(df.count() / bin_docs))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_tokenize(tokenizer, length), "doc_id long, doc_tokens long, whole_crc array<long>, rest binary")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_tokenize(tokenizer, length), "doc_id long, doc_tokens long, whole_crc array<long>, rest binary, salt long")
     order = F.xxhash64("doc_id", "rest", "whole_crc")
-    dealt = docs.withColumn("order", order).withColumn("bin", F.pmod(F.xxhash64(F.lit(7), "doc_id", F.monotonically_increasing_id() % 64), F.lit(bins)))
+    dealt = docs.withColumn("order", order).withColumn("bin", F.pmod(F.xxhash64(F.lit(7), "order", "salt"), F.lit(bins)))
     return dealt.groupBy("bin").applyInPandas(_pack(length), _PIECES)

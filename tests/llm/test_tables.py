@@ -302,6 +302,14 @@ def test_packing_odd_texts(spark):
     assert got.select(F.sum("length")).first()[0] >= len(rows()) and packing.pack(empty(spark), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_spreads_the_copies_of_one_row(spark):
+    data = [(None, "the same text again")] * 4000 + [(k, "x y") for k in range(100)]
+    got = packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartition(2), queries.tokenizer_path(), bin_docs=100).collect()
+    assert len({r["doc_id"] for r in got}) == 101 and sum(r["start"] == 0 for r in got) == len(data)
+    bins = collections.Counter(r["sequence_id"] >> 32 for r in got if r["doc_id"] is None)
+    assert len(bins) > 20 and max(bins.values()) < 1000
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_place_fills_all_but_one(seed):
     import random
