@@ -2,7 +2,7 @@
 
 Pass one is a Bloom filter of one hash with SEEN_BITS bits a row, kept as 64-bit words. Each task builds the words of its own
 rows; words are merged by OR, and the number of rows that set a word against the bits set in it shows a carry: two
-rows on one bit. At that width a word holds two rows on average, so what moves is at most a word and a count a row, and less
+rows on one bit. At that width few words hold two rows that differ, and what moves is at most a word and a count a row, less
 where a task fills words; a dense bitmap a task would be larger. Words with a carry make the second filter. Pass two tests
 each row's word: rows that fail have no equal and go straight through; the others are grouped by the SHA-256 of their text.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, join_groups, written
 
-SEEN_BITS = 32
+SEEN_BITS = 256
 FILTER_BITS = 1 << 28
 PAGE = 32768  # bits of one page made by bitmap_construct_agg
 

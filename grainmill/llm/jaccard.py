@@ -22,9 +22,9 @@ takes no more memory than others. Runs of at most SMALL sets give their pairs, l
 
 Checks. Pairs pass by size and parity sketch (bit h mod M flipped by each feature), which differs in no more bits than the sets
 do, and then by whole texts, of which a centre's travels once a block of its partners. Each set is first checked against its smallest
-candidate; components of these links leave the pairs between components to be checked, and of the long runs the pairs between
-components, gathered by the runs' smallest set, in blocks of BLOCK sets. A pair inside one component needs no check, so the operator
-gives components and not the number of links. What stays quadratic is a crowd of documents that consist by more than two thirds of
+candidate. Then come the other pairs between the components of these links and, of the long runs, gathered by the runs' smallest set
+in blocks of BLOCK sets, as many pairs as may connect components; what is apart after that is checked pair by pair. A pair inside one component needs no
+check, so the operator gives components and not the number of links. What stays quadratic is a crowd of documents that consist by more than two thirds of
 the same frequent passages and yet do not link: sketches of all its pairs are compared, in blocks.
 
 Equal sets are one node, named by 64 bits of their 128-bit digest; two sets of one name only make more pairs to check, and are paired with each
@@ -52,9 +52,8 @@ from .exact_dedup import _power, key_filter, may_repeat, without
 
 WORDS = 5
 SMALL = 4
-BLOCK = 1024
-FINE = 32  # sketch bits a difference
-COARSE = 8  # the same between members of long runs
+BLOCK = 2048
+FINE, LEAST = 32, 2048  # sketch bits a difference, and at least
 FILL = 1.6  # features of the band's largest set in a partition
 BUFFER = 500_000
 PIECE = 1 << 18  # bytes of text that are hashed at once
@@ -149,20 +148,12 @@ def shingles(text: bytes) -> np.ndarray:
     return word_sets([text])[0]
 
 
-def sketch(s: np.ndarray, fine: int = FINE) -> bytes:
-    """Parities of the features by hash, `fine` bits or more for each difference that is allowed."""
-    bits = _power(fine * (len(s) // 3) + 64)
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the features by hash, FINE bits or more for each difference that is allowed."""
+    bits = _power(max(LEAST, FINE * (len(s) // 3)))
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def folded(n: int, fine: bytes, to: int = COARSE) -> bytes:
-    """A sketch of n features with `to` bits a difference, from one with more."""
-    x = np.frombuffer(fine, np.uint8)
-    while len(x) > max(8, _power(to * (n // 3) + 64) // 8):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x.tobytes()
-
-
 # ---- frequent features
 
 
@@ -537,50 +528,59 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(out)
 
 
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that may link, of different components and with a run in common, of each (centre, i, j) in a stream sorted by it; i = j or one of each block."""
+def _between(spanning: bool):
+    """Pairs that may link, of different components and with a run in common, of each (centre, i, j) in a stream sorted by it; i = j or one of each block.
+
+    All of them, or only as many as connect the components that all of them connect."""
 
     def group(rows: list[tuple]) -> list[tuple[int, int]]:
         found = []
-        by_bits: dict[int, list[int]] = {}
+        doc = np.array([r[0] for r in rows])
+        _, root = np.unique([r[1] for r in rows], return_inverse=True)
         n = np.array([r[2] for r in rows])
-        comp = np.array([r[1] for r in rows])
         side = np.array([r[4] for r in rows])
         both = rows[0][6] != rows[0][5]
         mask = np.array([r[7] for r in rows], np.int64)
-        small = [folded(r[2], r[3]) for r in rows]
-        for k, x in enumerate(small):
-            by_bits.setdefault(len(x), []).append(k)
+        by_bits: dict[int, list[int]] = {}
+        for k, r in enumerate(rows):
+            by_bits.setdefault(len(r[3]), []).append(k)
         for bits, own in by_bits.items():
             words = bits // 8
             wide = own + by_bits.get(2 * bits, [])
             table = np.zeros((len(wide), words), np.uint64)
             for m, k in enumerate(wide):
-                x = np.frombuffer(small[k], np.uint64)
+                x = np.frombuffer(rows[k][3], np.uint64)
                 table[m] = x if len(x) == words else x[:words] ^ x[words:]
             wide_at = np.array(wide)
             for m, k in enumerate(own):
                 o = wide_at[m + 1 :]
-                test = (comp[o] != comp[k]) & ((mask[o] & mask[k]) != 0) & (4 * np.minimum(n[o], n[k]) >= 3 * np.maximum(n[o], n[k]))
+                test = (root[o] != root[k]) & ((mask[o] & mask[k]) != 0) & (4 * np.minimum(n[o], n[k]) >= 3 * np.maximum(n[o], n[k]))
                 if both:
                     test &= side[o] != side[k]
                 hit = np.flatnonzero(test)
                 if len(hit):
                     far = np.bitwise_count(table[m + 1 :][hit] ^ table[m]).sum(1, dtype=np.int64)
-                    for q in o[hit[7 * far <= n[o[hit]] + n[k]]]:
-                        found.append((rows[k][0], rows[q][0]))
+                    hit = o[hit[7 * far <= n[o[hit]] + n[k]]]
+                    if spanning and len(hit):
+                        merged, first = np.unique(root[hit], return_index=True)
+                        hit = hit[first]
+                        root[np.isin(root, merged)] = root[k]
+                    found += [(min(a, b), max(a, b)) for a, b in zip(doc[hit].tolist(), [int(doc[k])] * len(hit), strict=True)]
         return found
 
-    held, key = [], None
-    for batch in batches:
-        for centre, i, j, node, comp, n, sk, block, mask in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
-            if (centre, i, j) != key:
-                if len(held) > 1:
-                    yield _pairs(group(held))
-                held, key = [], (centre, i, j)
-            held.append((node, comp, n, sk, block, i, j, mask))
-    if len(held) > 1:
-        yield _pairs(group(held))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            for centre, i, j, doc, comp, n, sk, block, mask in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+                if (centre, i, j) != key:
+                    if len(held) > 1:
+                        yield _pairs(group(held))
+                    held, key = [], (centre, i, j)
+                held.append((doc, comp, n, sk, block, i, j, mask))
+        if len(held) > 1:
+            yield _pairs(group(held))
+
+    return run
 
 
 # ---- plans
@@ -612,18 +612,22 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _crowds(parts: DataFrame, named: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows for _between(): the members of long runs by the runs' smallest id, where they are in several components, dealt by pair of blocks."""
+def _members(parts: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """centre, doc, n, node, mask: the members of long runs by the runs' smallest id; mask has a bit for each run, by hash."""
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(run), 64) as int))")
     held = parts.select(F.element_at("members", 1).alias("centre"), bit.alias("bit"), F.explode("members").alias("id")).groupBy("centre", "id").agg(F.bit_or("bit").alias("mask"))
     held = held.join(named, "id").groupBy("centre", "node").agg(F.bit_or("mask").alias("mask"))
-    held = held.join(nodes.select("node", "doc", "n"), "node").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
-    held = written(held.select("centre", "node", "mask", "n", F.coalesce("component", "doc").alias("component")))
+    return held.join(nodes.select("node", "doc", "n"), "node").select("centre", "doc", "n", "node", "mask")
+
+
+def _crowds(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows for _between(): the members of centres that are in several components, dealt by pair of blocks."""
+    held = members.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = held.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo < hi")
     left = held.join(written(mixed.select("centre", "blocks")), "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = left.join(nodes.select("node", "fine"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "n", "fine", "block", "mask")
-    return left.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "node")
+    left = left.join(nodes.select("node", "doc", "fine"), ["node", "doc"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "component", "n", "fine", "block", "mask")
+    return left.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "doc")
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -655,12 +659,14 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = nodes.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
     near = written(_near(pairs.unionByName(same), nodes))
 
-    smallest = written(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = written(_links(texts, smallest))
+    members = written(_members(parts, named, nodes))
+    links = written(_links(texts, written(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))))
     labels = connected(links)
-    more = _near(_crowds(parts, named, nodes, labels).mapInArrow(_between, _PAIR_DDL).distinct(), nodes)
-    rest = written(_apart(near.unionByName(more), labels).distinct())
-    labels = connected(links.unionByName(_links(texts, rest)))
+    for spanning in (True, False):
+        more = _crowds(members, nodes, labels).mapInArrow(_between(spanning), _PAIR_DDL)
+        rest = written(_apart(near.unionByName(more) if spanning else more, labels).distinct())
+        links = written(links.unionByName(_links(texts, rest)))
+        labels = connected(links)
 
     classes = nodes.join(labels, F.col("doc") == labels["node"], "left").select(F.hex("key").alias("key"), "copies", F.coalesce("component", "doc").alias("component_id"))
     rows = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.hex("key")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"))
