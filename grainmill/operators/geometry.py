@@ -128,13 +128,53 @@ def directions(n: int = 512) -> list[tuple[float, float, float]]:
     return out
 
 
-def placements(around: DataFrame, radii: list[float], n: int = 64, key: str = "build_id") -> DataFrame:
-    """Of each build the point at one of n directions and some radii from the centre whose nearest atom is farthest; ties to the smaller radius, then direction."""
-    trial = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(r).alias("r"), *(F.lit(x * r).alias(c) for x, c in zip(u, "xyz", strict=True))) for k, u in enumerate(directions(n)) for r in radii))).alias("t")
-    d = F.sqrt(sum((F.col(f"d{c}") - F.col(f"t.{c}")) ** 2 for c in "xyz"))
-    by = around.select(key, "dx", "dy", "dz", trial).groupBy(key, "t").agg(F.min(d).alias("clear"))
-    best = by.groupBy(key).agg(F.min_by(F.struct("t", "clear"), F.struct(-F.round("clear", 9), F.col("t.r"), F.col("t.k"))).alias("b"))
-    return best.select(key, F.col("b.t.k").alias("direction"), F.col("b.t.r").alias("radius"), F.col("b.clear").alias("clearance"))
+#: A planar group of four atoms that binds by its first one: the place of each along the direction and across it, in length units.
+PLANAR = ((0.0, 0.0), (1.27, 0.0), (1.9, 1.1), (1.9, -1.1))
+
+
+def poses(radii: list[float], n: int = 512, turns: int = 6, fragment: tuple = PLANAR) -> tuple[list[tuple[int, float, int]], np.ndarray]:
+    """((direction, radius, turn) of each pose, atoms of each pose): a fragment along each of n directions at each radius, turned about the direction."""
+    names, atoms = [], []
+    for k, u in enumerate(directions(n)):
+        u = np.array(u)
+        side = np.cross(u, (0.0, 0.0, 1.0) if abs(u[2]) < 0.9 else (1.0, 0.0, 0.0))
+        side /= np.linalg.norm(side)
+        other = np.cross(u, side)
+        for r in radii:
+            for t in range(turns):
+                angle = np.pi * t / turns
+                across = np.cos(angle) * side + np.sin(angle) * other
+                names.append((k, r, t))
+                atoms.append([(r + along) * u + off * across for along, off in fragment])
+    return names, np.array(atoms)
+
+
+def placements(around: DataFrame, radii: list[float], n: int = 512, turns: int = 6, key: str = "build_id") -> DataFrame:
+    """Of each build the pose of a planar group, over n directions, some radii and turns, whose nearest atom is farthest; ties to the smaller radius, then direction, then turn.
+
+    Atoms meet all poses in blocks; each task keeps one row a pose and build, and the least clearance is taken by partial aggregation, so no build is gathered."""
+    import pandas as pd
+
+    names, atoms = poses(radii, n, turns)
+    kind = dict(around.dtypes)[key]
+    flat = atoms.reshape(-1, 3)
+
+    def run(batches):
+        best: dict = {}
+        for batch in batches:
+            for build, rows in batch.groupby(key, sort=False):
+                points = rows[["dx", "dy", "dz"]].to_numpy(float)
+                for a in range(0, len(points), 64):
+                    d2 = ((flat[:, None, :] - points[None, a : a + 64, :]) ** 2).sum(2).min(1).reshape(len(names), -1).min(1)
+                    best[build] = np.minimum(best[build], d2) if build in best else d2
+        for build, d2 in best.items():
+            yield pd.DataFrame({key: build, "pose": np.arange(len(names)), "clear": np.sqrt(d2)})
+
+    found = around.select(key, "dx", "dy", "dz").mapInPandas(run, f"{key} {kind}, pose int, clear double").groupBy(key, "pose").agg(F.min("clear").alias("clear"))
+    table = around.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(names)], "pose int, direction int, radius double, turn int")
+    named = found.join(F.broadcast(table), "pose")
+    best = named.groupBy(key).agg(F.min(F.struct((-F.round("clear", 9)).alias("_c"), "radius", "direction", "turn", "clear")).alias("b"))
+    return best.select(key, F.col("b.direction").alias("direction"), F.col("b.radius").alias("radius"), F.col("b.turn").alias("turn"), F.col("b.clear").alias("clearance"))
 
 
 def rank_one(start: DataFrame, end: DataFrame, middle: DataFrame, key: str = "build_id") -> DataFrame:
@@ -253,15 +293,6 @@ def representation_similarity(vectors: DataFrame, a: str, b: str, key: str = "id
     return d.select(*by, average_rank("da", by).alias("ra"), average_rank("db", by).alias("rb")).groupBy(*by).agg(F.count("*").alias("pairs"), corr("ra", "rb").alias("similarity"))
 
 
-def effective_dimension(vectors: DataFrame, vector: str, dims: int) -> DataFrame:
-    """(trace C)^2 / ||C||^2 of the covariance C of the vectors: one aggregate of dims x dims covariances, no eigenvalues and no pairs of rows."""
-    wide = vectors.select(*(F.col(vector)[k].cast("double").alias(f"v{k}") for k in range(dims)))
-    cov = wide.agg(*(F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i in range(dims) for j in range(i, dims)))
-    trace = sum(F.col(f"c{i}_{i}") for i in range(dims))
-    norm = sum(F.col(f"c{i}_{i}") ** 2 for i in range(dims)) + 2 * sum((F.col(f"c{i}_{j}") ** 2 for i in range(dims) for j in range(i + 1, dims)), F.lit(0.0))
-    return cov.select(ratio(trace * trace, norm).alias("effective_dimension"))
-
-
 def _merge(one: tuple, two: tuple) -> tuple:
     """(rows, mean, sum of products about the mean) of both."""
     (n, mean, m2), (k, other, more) = one, two
@@ -272,7 +303,7 @@ def _merge(one: tuple, two: tuple) -> tuple:
 
 
 def effective_dimension_of_all(vectors: DataFrame, vector: str) -> DataFrame:
-    """effective_dimension of all components: each task sends the moments of its rows, the driver adds them. Null vectors are left out."""
+    """(trace C)^2 / ||C||^2 of the covariance C of the vectors, without eigenvalues or pairs of rows: each task sends the moments of its rows, the driver adds them. Null vectors are left out."""
 
     def moments(batches):
         own = (0, None, None)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import with_group
+from ..functions.ranks import quantiles, value_ranks
 from ..functions.scalars import average_rank, corr, is_true, mae, median, r2, ratio, rmse, sign_accuracy, sse, sst
 
 
@@ -53,7 +54,8 @@ def block_r2(df: DataFrame, block: str = "blk") -> DataFrame:
 
 
 def errors(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("n"), rmse("y", "p").alias("rmse"), mae("y", "p").alias("mae"), median(F.abs(F.col("y") - F.col("p"))).alias("median_ae"))
+    middle = quantiles(df, F.abs(F.col("y") - F.col("p")), [0.5]).withColumnRenamed("q0", "median_ae")
+    return df.agg(F.count("*").alias("n"), rmse("y", "p").alias("rmse"), mae("y", "p").alias("mae")).crossJoin(F.broadcast(middle))
 
 
 def pearson(df: DataFrame, group: str = "grp") -> DataFrame:
@@ -61,27 +63,26 @@ def pearson(df: DataFrame, group: str = "grp") -> DataFrame:
     return centred(df, group, ["y", "p"]).agg(corr("y", "p").alias("pearson"), corr("y_c", "p_c").alias("pearson_within"))
 
 
-def spearman_of(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
-    """Rank correlation with ties averaged, overall or by key. Overall ranks need one global sort: see spearman_binned for a large table."""
-    by = by or []
+def spearman_of(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """Rank correlation by key with ties averaged; spearman() is that of all rows."""
     ranks = df.select(*by, average_rank(a, by).alias("_a"), average_rank(b, by).alias("_b"))
-    return (ranks.groupBy(*by) if by else ranks.groupBy()).agg(corr("_a", "_b").alias("rho"), F.count("*").alias("n"))
+    return ranks.groupBy(*by).agg(corr("_a", "_b").alias("rho"), F.count("*").alias("n"))
 
 
 def spearman(df: DataFrame, a: str = "y", b: str = "p") -> DataFrame:
-    """Overall rank correlation without a global window: ranks come from counts a distinct value, summed up by buckets of the value range."""
+    """Overall rank correlation with ties averaged. Rows become counts of distinct value pairs before anything is joined, and ranks come from bins of values."""
+    pairs = df.groupBy(a, b).agg(F.count("*").alias("_c"))
 
     def ranked(x: str, name: str) -> DataFrame:
-        counts = df.groupBy(F.col(x).alias(x)).agg(F.count("*").alias("_n"))
-        bounds = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-        spread = counts.crossJoin(F.broadcast(bounds)).withColumn("_bin", F.coalesce(F.floor((F.col(x) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * 4096), F.lit(0)))
-        bins = spread.groupBy("_bin").agg(F.sum("_n").alias("_s"))  # at most 4097 rows
-        before = bins.withColumn("_before", F.sum("_s").over(Window.orderBy("_bin")) - F.col("_s")).select("_bin", "_before")
-        inside = F.sum("_n").over(Window.partitionBy("_bin").orderBy(x)) - F.col("_n")
-        return spread.join(F.broadcast(before), "_bin").withColumn(name, F.col("_before") + inside + (F.col("_n") + 1) / 2).select(x, name)
+        return value_ranks(pairs.groupBy(x).agg(F.sum("_c").alias("_n")), x, "_n", name).select(x, name)
 
-    out = df.select(a, b).join(ranked(a, "_ra"), a).join(ranked(b, "_rb"), b)
-    return out.agg(corr("_ra", "_rb").alias("spearman"))
+    out = pairs.join(ranked(a, "_ra"), a).join(ranked(b, "_rb"), b)
+    n = F.sum("_c")
+    # Ranks have the mean (n + 1) / 2; sums about a row's half of n keep their digits.
+    x, y = (F.col(r) - F.lit(1.0) for r in ("_ra", "_rb"))
+    s = lambda c: F.sum(F.col("_c") * c)
+    cov, vx, vy = n * s(x * y) - s(x) * s(y), n * s(x * x) - s(x) ** 2, n * s(y * y) - s(y) ** 2
+    return out.agg(ratio(cov, F.sqrt(vx) * F.sqrt(vy)).alias("spearman"))
 
 
 def block_kendall(cells: DataFrame, block: str = "blk") -> DataFrame:
@@ -149,7 +150,7 @@ def seed_metrics(pairs: DataFrame, group: str = "grp") -> DataFrame:
 
 def quantile_bins(df: DataFrame, by: str, bins: int) -> DataFrame:
     """df with bin 0 .. bins - 1 by quantile edges of a column: values equal to an edge share a bin, so bins of tied data differ in size."""
-    edges = df.agg(F.percentile(by, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("_edges"))
+    edges = quantiles(df, by, [k / bins for k in range(1, bins)]).select(F.array(*(f"q{k}" for k in range(bins - 1))).alias("_edges"))
     return df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col(by)))).drop("_edges")
 
 

@@ -133,13 +133,7 @@ def antisymmetric_cv(pairs: DataFrame, name: str, left: list[str], right: list[s
 
 def shuffled_control(df: DataFrame, name: str, features: list[str], seed: str = "0", **kwargs) -> tuple[float, float]:
     """(score, score after the target is shuffled among all rows): the second should be near or below 0."""
-    names = df.select("row_id", F.row_number().over(_order(hash32(F.concat_ws("|", F.lit(seed), "row_id")))).alias("_k"))
-    ys = df.select("y", F.row_number().over(_order(F.col("row_id"))).alias("_k"))
-    mixed = df.drop("y").join(names.join(ys, "_k").drop("_k"), "row_id")
-    return cv_score(df, name, features, **kwargs), cv_score(mixed, name, features, **kwargs)
-
-
-def _order(column):
-    from pyspark.sql import Window
+    from .resampling import permuted
 
-    return Window.orderBy(column)
+    mixed = permuted(df, "row_id", "y", seed, []).drop("y").withColumnRenamed("y_shuffled", "y")
+    return cv_score(df, name, features, **kwargs), cv_score(mixed, name, features, **kwargs)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import with_group
-from ..functions.scalars import average_rank, ratio
+from ..functions.ranks import value_ranks
+from ..functions.scalars import ratio
 
 
 def logo_lookup(pairs: DataFrame, key: str, y: str = "dy", group: str = "grp") -> DataFrame:
@@ -47,6 +48,38 @@ def logo_affine(by_group: DataFrame, arm: str, group: str = "grp", intercept: bo
     return t.select(group, ((sy - b * sx) / n).alias("a"), b.alias("b"))
 
 
+def logo_ridge(by_group: DataFrame, arms: list[str], alpha: float = 10.0, least: int = 30, group: str = "grp") -> DataFrame:
+    """group, a, b0, b1, ...: the ridge fit y ~ a + b . arms over the other groups, on arms standardised by these, in closed form from moments by total less own.
+
+    Fewer than `least` rows there give their mean. A row of the table holds all that a fit needs, so a batch of groups is solved at once."""
+    import numpy as np
+    import pandas as pd
+
+    from .resampling import less_own
+
+    t = less_own(by_group, [c for c in by_group.columns if c not in (group, "m", "yy")])
+    kinds = dict(t.dtypes)
+
+    def run(batches):
+        for r in batches:
+            n = np.maximum(r["rest_n"].to_numpy(float), 1)
+            mean = (r["rest_s"] / n + r["m"]).to_numpy(float)
+            s = np.stack([r[f"rest_s_{x}"] for x in arms], 1).astype(float)
+            cov = np.empty((len(r), len(arms), len(arms)))
+            for j, x in enumerate(arms):
+                for k, z in enumerate(arms):
+                    cov[:, j, k] = r[f"rest_{x}_{z}" if j <= k else f"rest_{z}_{x}"] - s[:, j] * s[:, k] / n
+            sd = np.sqrt(np.maximum(np.einsum("njj->nj", cov), 0) / n[:, None])
+            sd = np.where(sd < 1e-8, 1.0, sd)
+            rhs = np.stack([r[f"rest_y_{x}"] + r["m"] * r[f"rest_s_{x}"] for x in arms], 1).astype(float) - s * mean[:, None]
+            w = np.linalg.solve(cov / sd[:, :, None] / sd[:, None, :] + alpha * np.eye(len(arms)), (rhs / sd)[:, :, None])[:, :, 0] / sd
+            w[r["rest_n"].to_numpy() < least] = 0
+            a = mean - (w * s).sum(1) / n
+            yield pd.DataFrame({group: r[group], "a": a, **{f"b{j}": w[:, j] for j in range(len(arms))}})
+
+    return t.mapInPandas(run, f"{group} {kinds[group]}, a double, " + ", ".join(f"b{j} double" for j in range(len(arms))))
+
+
 def equal_group_blend(pairs: DataFrame, base: str, encoders: list[str], weights: list[tuple[float, ...]], y: str = "dy", group: str = "grp") -> DataFrame:
     """For each group the encoder weights with the least mean over other groups of their mean squared error; the base takes the rest."""
     from .resampling import error_of_blend, less_own, grid, moments
@@ -188,5 +221,7 @@ def combined(df: DataFrame, arms: list[str], y: str = "y", group: str = "grp") -
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     """Signed-rank statistic: sums of the average ranks of absolute differences, zeros left out."""
     d = df.select((F.col(a) - F.col(b)).alias("d")).filter("d <> 0").withColumn("ad", F.round(F.abs("d"), 9))
-    r = d.withColumn("r", average_rank("ad"))
-    return r.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("w_minus"))
+    by = d.groupBy("ad").agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"))
+    r = value_ranks(by, "ad", "n")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return r.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), zero(F.col("rank") * F.col("up")).alias("w_plus"), zero(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import placed
 from ..functions.joins import with_group
 from ..functions.scalars import is_true, ratio
 
@@ -173,13 +174,12 @@ def middle_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def decile_pick(df: DataFrame, size: str, order: str, each: int = 3, strata: int = 10) -> DataFrame:
-    """`each` rows of every stratum by size, evenly spaced: the k-th of stratum s has rank round-down of k x rows / each. The table of sizes is ranked as one."""
-    n = df.agg(F.count("*").alias("_n"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(size, order)) - 1).crossJoin(F.broadcast(n))
-    ranked = ranked.withColumn("stratum", F.floor(F.col("_r") * strata / F.col("_n")).cast("int"))
-    w = Window.partitionBy("stratum")
-    ranked = ranked.withColumns({"_k": F.row_number().over(w.orderBy("_r")) - 1, "_m": F.count("*").over(w)})
-    return ranked.filter(F.floor(F.col("_k") * each / F.col("_m")) != F.floor((F.col("_k") - 1) * each / F.col("_m"))).drop("_r", "_k", "_m", "_n")
+    """`each` rows of every stratum by size, evenly spaced: the k-th of stratum s has rank round-down of k x rows / each. Places of a stratum
+    follow from those among all rows, so no stratum is gathered."""
+    ranked = placed(df, size, order).withColumn("stratum", F.floor(F.col("_r") * strata / F.col("_all")).cast("int"))
+    first = lambda s: F.ceil(s * F.col("_all") / strata)  # noqa: E731  the least place of a stratum
+    ranked = ranked.withColumns({"_k": F.col("_r") - first(F.col("stratum")), "_m": first(F.col("stratum") + 1) - first(F.col("stratum"))})
+    return ranked.filter(F.floor(F.col("_k") * each / F.col("_m")) != F.floor((F.col("_k") - 1) * each / F.col("_m"))).drop("_r", "_k", "_m", "_all")
 
 
 def interleaved(df: DataFrame, bucket: str, order: list) -> DataFrame:

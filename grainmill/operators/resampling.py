@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import numbered, placed
 from ..functions.scalars import hash32, ratio
 
 # ---- moments
@@ -33,10 +34,11 @@ def moments(pairs: DataFrame, y: str, arms: list[str], keys: list[str]) -> DataF
     return by.crossJoin(F.broadcast(mean)).select(*keys, "n", (F.col("n") * off).alias("s"), (F.col("_yy") + F.col("n") * off * off).alias("yy"), "m", *(F.col(f"s_{a}") for a in arms), *((F.col(f"_y_{a}") + off * F.col(f"s_{a}")).alias(f"y_{a}") for a in arms), *cross)
 
 
-def less_own(groups: DataFrame, columns: list[str]) -> DataFrame:
-    """Each group with total minus own of some columns, as rest_<column>."""
-    whole = groups.agg(*(F.sum(c).alias(f"_t_{c}") for c in columns))
-    return groups.crossJoin(F.broadcast(whole)).select("*", *((F.col(f"_t_{c}") - F.col(c)).alias(f"rest_{c}") for c in columns)).drop(*(f"_t_{c}" for c in columns))
+def less_own(groups: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """Each group with total minus own of some columns, as rest_<column>; the total is that of all groups, or of those of one stratum."""
+    whole = (groups.groupBy(by) if by else groups).agg(*(F.sum(c).alias(f"_t_{c}") for c in columns))
+    both = groups.join(F.broadcast(whole), by) if by else groups.crossJoin(F.broadcast(whole))
+    return both.select("*", *((F.col(f"_t_{c}") - F.col(c)).alias(f"rest_{c}") for c in columns)).drop(*(f"_t_{c}" for c in columns))
 
 
 def arm_moments(pairs: DataFrame, y: str = "dy", arms: tuple[str, ...] = ("dp",), keys: tuple[str, ...] = ("grp",)) -> DataFrame:
@@ -99,7 +101,21 @@ def spearman_brown(r: Column) -> Column:
 def hash_folds(df: DataFrame, k: int, seed: str, key: str = "grp") -> DataFrame:
     """Groups ranked by hash, rank mod k: folds differ by one group at most."""
     names = df.select(key).distinct()
-    return names.withColumn("fold", ((F.row_number().over(Window.orderBy(hash32(F.concat_ws("|", F.lit(seed), key)), key)) - 1) % k).cast("int"))
+    return numbered(names, hash32(F.concat_ws("|", F.lit(seed), key)), key).withColumn("fold", (F.col("_k") % k).cast("int")).drop("_k")
+
+
+def in_turn(groups: DataFrame, deal, schema: str) -> DataFrame:
+    """What deal makes of the rows of groups, in a task of its own: for rules in which each group's part depends on those dealt before.
+
+    Groups are few beside their rows; they come to one executor, not to the driver."""
+    import pandas as pd
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(deal(list(rows.drop(columns="_one").itertuples(index=False, name=None))), columns=names)
+
+    return groups.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, schema)
 
 
 def balanced_folds(sizes: list[tuple[str, int]], k: int) -> dict[str, int]:
@@ -144,10 +160,11 @@ def even_split(counts: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
     return sides
 
 
-def snake_draft(counts: list[tuple[str, int]], parts: int = 3) -> dict[str, int]:
-    """Parts pick in turn, forwards and backwards, by falling count."""
-    order = sorted(counts, key=lambda x: (-x[1], x[0]))
-    return {name: (i % parts if i // parts % 2 == 0 else parts - 1 - i % parts) for i, (name, _) in enumerate(order)}
+def snake_draft(counts: DataFrame, n: str, parts: int = 3, key: str = "grp") -> DataFrame:
+    """key, part: parts pick in turn, forwards and backwards, by falling count and then name."""
+    order = placed(counts.select(key, (-F.col(n)).cast("double").alias("_c")), "_c", key)
+    turn = F.col("_r") % parts
+    return order.select(key, F.when(F.floor(F.col("_r") / parts) % 2 == 0, turn).otherwise(parts - 1 - turn).cast("int").alias("part"))
 
 
 def digest(df: DataFrame, part: str, key: str) -> DataFrame:
@@ -156,10 +173,15 @@ def digest(df: DataFrame, part: str, key: str) -> DataFrame:
 
 
 def permuted(df: DataFrame, row: str, column: str, seed: str, by: list[str]) -> DataFrame:
-    """column shuffled inside each key: rank by row meets rank by hash."""
-    a = df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(row)))
-    b = df.select(*(F.col(c).alias(f"_b_{c}") for c in by), F.col(column).alias(f"{column}_shuffled"), F.row_number().over(Window.partitionBy(*by).orderBy(hash32(F.concat_ws("|", F.lit(seed), row)), row)).alias("_j"))
-    on = (F.col("_k") == F.col("_j")) if not by else (F.col("_k") == F.col("_j")) & _all(F.col(c) == F.col(f"_b_{c}") for c in by)
+    """column shuffled inside each key: rank by row meets rank by hash. Without keys two hashes rank all rows, by bins of the hash."""
+    mixed = hash32(F.concat_ws("|", F.lit(seed), row))
+    if not by:
+        a = numbered(df, hash32(F.concat_ws("|", F.lit("rows"), row)), row, column)
+        b = numbered(df.select(row, F.col(column).alias(f"{column}_shuffled")), mixed, row, f"{column}_shuffled", name="_j").drop(row)
+        return a.join(b, F.col("_k") == F.col("_j")).drop("_k", "_j")
+    a = df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(row, column)))
+    b = df.select(*(F.col(c).alias(f"_b_{c}") for c in by), F.col(column).alias(f"{column}_shuffled"), F.row_number().over(Window.partitionBy(*by).orderBy(mixed, row, column)).alias("_j"))
+    on = (F.col("_k") == F.col("_j")) & _all(F.col(c) == F.col(f"_b_{c}") for c in by)
     return a.join(b, on).drop("_k", "_j", *(f"_b_{c}" for c in by))
 
 
@@ -202,14 +224,45 @@ def nested_blend(by_group: DataFrame, arms: list[str], weights: list[tuple[float
     return scored.groupBy(key).agg(F.min_by(F.struct("k", *(f"w{j}" for j in range(len(arms))), "sse", "n", "s", "yy"), F.struct(F.round("_rest", 9), "k")).alias("b")).select(key, "b.*")
 
 
-def nnls(gram: np.ndarray, rhs: np.ndarray, ridge: float = 1e-6, steps: int = 2000) -> np.ndarray:
+def nnls(gram: np.ndarray, rhs: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
     """Non-negative least squares by projected gradient on the normal equations, scaled to sum to 1."""
-    a = gram + ridge * np.eye(len(rhs))
-    step = 1 / max(np.linalg.eigvalsh(a)[-1], 1e-12)
-    w = np.full(len(rhs), 1 / len(rhs))
-    for _ in range(steps):
-        w = np.maximum(0, w - step * (a @ w - rhs))
-    return w / w.sum() if w.sum() > 0 else np.full(len(rhs), 1 / len(rhs))
+    return _nnls(np.asarray(gram, float)[None], np.asarray(rhs, float)[None], ridge)[0]
+
+
+def _nnls(gram: np.ndarray, rhs: np.ndarray, ridge: float = 1e-6, sweeps: int = 20_000, tolerance: float = 1e-10) -> np.ndarray:
+    """nnls() of many systems at once: projected gradient steps, one weight at a time with its own exact step, until none moves."""
+    k = rhs.shape[1]
+    a = gram + ridge * np.eye(k)
+    w = np.full(rhs.shape, 1 / k)
+    for _ in range(sweeps):
+        before = w.copy()
+        for j in range(k):
+            w[:, j] = np.maximum(0, w[:, j] - (np.einsum("nk,nk->n", a[:, j], w) - rhs[:, j]) / np.maximum(a[:, j, j], 1e-12))
+        if np.abs(w - before).max(initial=0) <= tolerance:
+            break
+    total = w.sum(1, keepdims=True)
+    return np.where(total > 0, w / np.where(total > 0, total, 1), 1 / k)
+
+
+def nnls_of_rest(table: DataFrame, arms: list[str], keys: list[str], least: int = 20) -> DataFrame:
+    """keys, w0, w1, ...: nnls() of each row's rest_ moments, as less_own() gives them, all rows of a batch at once; fewer than `least` rows there give equal weights."""
+    import pandas as pd
+
+    kinds = dict(table.dtypes)
+
+    def run(batches):
+        for rows in batches:
+            n = len(rows)
+            gram = np.empty((n, len(arms), len(arms)))
+            for j, x in enumerate(arms):
+                for k, z in enumerate(arms):
+                    gram[:, j, k] = rows[f"rest_{x}_{z}" if j <= k else f"rest_{z}_{x}"]
+            rhs = np.stack([rows[f"rest_y_{x}"] + rows["m"] * rows[f"rest_s_{x}"] for x in arms], 1).astype(float)
+            w = _nnls(gram, rhs)
+            w[rows["rest_n"].to_numpy() < least] = 1 / len(arms)
+            yield pd.DataFrame({**{k: rows[k] for k in keys}, **{f"w{j}": w[:, j] for j in range(len(arms))}})
+
+    return table.mapInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"w{j} double" for j in range(len(arms))]))
 
 
 def gram_of(row: dict, arms: list[str], prefix: str = "") -> tuple[np.ndarray, np.ndarray]:

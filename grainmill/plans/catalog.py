@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import learn, relational, resample, scores, streams, structures, whole  # noqa: F401
+from . import learn, relational, resample, scores, stores, streams, structures  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

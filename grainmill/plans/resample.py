@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.scalars import average_rank, corr, hash32, is_true, median, r2, r6, ratio, verdict, z_of_tests
+from ..functions.scalars import average_rank, corr, hash32, is_true, median, r2, r6, ratio, sst, verdict, z_of_tests
 from ..operators import cells as ce
 from ..operators import metrics as me
 from ..operators import predict as pr
@@ -14,7 +14,8 @@ from .registry import C, M, Q, QQ, QS, VALUES, measures, pairs, query, table
 from .scores import ALL, DR2, R2, ranks, rounded
 
 H = "('0x'||substr(md5({}),1,8))::BIGINT"
-DRAWS = 10
+#: Draws of each query, as the reference takes them; no number was found for R11, which takes R7's.
+DRAWS = {"r4": 2000, "r5": 200, "r6": 400, "r7": 400, "r8": 300, "r9": 10_000, "r10": 2000, "r11": 400, "r12": 500, "r19": 200}
 
 
 def h(x):
@@ -25,7 +26,7 @@ def h(x):
 NUM = "gk AS (SELECT grp, row_number() OVER (ORDER BY grp)-1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM {src}))"
 
 
-def drawn(src, seed, n=DRAWS):
+def drawn(src, seed, n):
     return NUM.format(src=src) + f""", sl AS (SELECT d.range AS draw, s.range AS slot FROM range({n}) d, range((SELECT max(n) FROM gk)) s),
 pk AS (SELECT draw, {h(f"concat_ws('|','{seed}',draw,slot)")} % (SELECT max(n) FROM gk) AS k, count(*) AS times FROM sl GROUP BY 1,2), dr AS (SELECT draw, grp, times FROM pk JOIN gk USING (k))"""
 
@@ -41,14 +42,12 @@ def r1_hash_folds(s, d):
 
 @query()
 def r1_balanced_folds(s, d):
-    sizes = [(r["grp"], r["count"]) for r in measures(s, d).groupBy("grp").count().collect()]
-    return s.createDataFrame(sorted(rs.balanced_folds(sizes, 5).items()), "grp string, fold int")
+    return rs.in_turn(measures(s, d).groupBy("grp").count(), lambda rows: sorted(rs.balanced_folds(rows, 5).items()), "grp string, fold int")
 
 
 @query()
 def r2_stratified_folds(s, d):
-    sizes = [(r["grp"], r["l_returnflag"], r["count"]) for r in measures(s, d).groupBy("grp", "l_returnflag").count().collect()]
-    return s.createDataFrame(sorted(rs.stratified_folds(sizes, 5).items()), "grp string, fold int")
+    return rs.in_turn(measures(s, d).groupBy("grp", "l_returnflag").count(), lambda rows: sorted(rs.stratified_folds(rows, 5).items()), "grp string, fold int")
 
 
 @query(f"WITH {Q}, o AS (SELECT grp, count(*) AS n, sum(dy) AS s FROM q GROUP BY grp) SELECT grp, round((sum(s) OVER () - s)/(sum(n) OVER () - n),6) AS mean_of_others FROM o")
@@ -57,8 +56,8 @@ def r3_logo_mean(s, d):
     return rounded(rs.less_own(own, ["n", "s"]).select("grp", ratio("rest_s", "rest_n").alias("mean_of_others")))
 
 
-@query(f"WITH {M}, t AS (SELECT d.range AS draw, g.grp FROM range({DRAWS}) d, (SELECT DISTINCT grp FROM m) g WHERE {h("concat_ws('|','9',d.range,g.grp)")} % 1000 < 200) SELECT draw, round({R2},6) AS r2 FROM t JOIN m USING (grp) GROUP BY draw")
-def r4_holdouts(s, d, draws=DRAWS):
+@query(f"WITH {M}, t AS (SELECT d.range AS draw, g.grp FROM range({DRAWS['r4']}) d, (SELECT DISTINCT grp FROM m) g WHERE {h("concat_ws('|','9',d.range,g.grp)")} % 1000 < 200) SELECT draw, round({R2},6) AS r2 FROM t JOIN m USING (grp) GROUP BY draw")
+def r4_holdouts(s, d, draws=DRAWS["r4"]):
     """R2 of random fifths of the groups, from each group's sums."""
     m = measures(s, d).withColumnsRenamed({"y": "dy", "p": "dp"})
     by = rs.arm_moments(m)
@@ -66,8 +65,8 @@ def r4_holdouts(s, d, draws=DRAWS):
     return rounded(held.withColumn("times", F.lit(1)).join(by, "grp").groupBy(F.col("draw").cast("long").alias("draw")).agg(rs.weighted_r2_of(F.lit(1.0), "dp").alias("r2")))
 
 
-@query(f"WITH {M}, {drawn('m', '11')} SELECT draw, round({boot('(y-p)', 'y')},6) AS r2 FROM dr JOIN m USING (grp) GROUP BY draw")
-def r5_cluster_bootstrap(s, d, draws=DRAWS):
+@query(f"WITH {M}, {drawn('m', '11', DRAWS['r5'])} SELECT draw, round({boot('(y-p)', 'y')},6) AS r2 FROM dr JOIN m USING (grp) GROUP BY draw")
+def r5_cluster_bootstrap(s, d, draws=DRAWS["r5"]):
     m = measures(s, d).withColumnsRenamed({"y": "dy", "p": "dp"})
     by = rs.arm_moments(m)
     return rounded(rs.bootstrap_r2(by, rs.draws(by, draws, "11"), ["dp"]).select(F.col("draw").cast("long").alias("draw"), F.col("dp").alias("r2")))
@@ -76,27 +75,27 @@ def r5_cluster_bootstrap(s, d, draws=DRAWS):
 BD = f"b AS (SELECT draw, {boot('(dy-dp)')} AS ra, {boot('(dy-dp2)')} AS rb FROM dr JOIN q USING (grp) GROUP BY draw)"
 
 
-@query(f"WITH {Q}, {drawn('q', '13', 40)}, {BD} SELECT round(quantile_cont(rb-ra,0.05),6) AS lo, round(quantile_cont(rb-ra,0.95),6) AS hi, round(avg(CASE WHEN rb-ra>0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS share_positive FROM b")
-def r6_paired_bootstrap(s, d, draws=40):
+@query(f"WITH {Q}, {drawn('q', '13', DRAWS['r6'])}, {BD} SELECT round(quantile_cont(rb-ra,0.05),6) AS lo, round(quantile_cont(rb-ra,0.95),6) AS hi, round(avg(CASE WHEN rb-ra>0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS share_positive FROM b")
+def r6_paired_bootstrap(s, d, draws=DRAWS["r6"]):
     by = rs.arm_moments(pairs(s, d), arms=("dp", "dp2"))
     b = rs.bootstrap_r2(by, rs.draws(by, draws, "13"), ["dp", "dp2"])
     return rounded(rs.interval(b.select((F.col("dp2") - F.col("dp")).alias("delta")), "delta"))
 
 
-@query(f"WITH {Q}, {drawn('q', '13')}, {BD} SELECT draw, round(ra,6) AS r2_a, round(rb,6) AS r2_b FROM b")
-def r7_multiplicity_bootstrap(s, d, draws=DRAWS):
+@query(f"WITH {Q}, {drawn('q', '13', DRAWS['r7'])}, {BD} SELECT draw, round(ra,6) AS r2_a, round(rb,6) AS r2_b FROM b")
+def r7_multiplicity_bootstrap(s, d, draws=DRAWS["r7"]):
     by = rs.arm_moments(pairs(s, d), arms=("dp", "dp2"))
     return rounded(rs.bootstrap_r2(by, rs.draws(by, draws, "13"), ["dp", "dp2"]).select(F.col("draw").cast("long").alias("draw"), F.col("dp").alias("r2_a"), F.col("dp2").alias("r2_b")))
 
 
-@query(f"WITH {Q}, {drawn('q', '13')}, u AS (SELECT draw, grp, 1 AS times FROM dr) SELECT draw, round({boot('(dy-dp)')},6) AS r2 FROM u JOIN q USING (grp) GROUP BY draw")
-def r8_collapsing_bootstrap(s, d, draws=DRAWS):
+@query(f"WITH {Q}, {drawn('q', '13', DRAWS['r8'])}, u AS (SELECT draw, grp, 1 AS times FROM dr) SELECT draw, round({boot('(dy-dp)')},6) AS r2 FROM u JOIN q USING (grp) GROUP BY draw")
+def r8_collapsing_bootstrap(s, d, draws=DRAWS["r8"]):
     by = rs.arm_moments(pairs(s, d))
     return rounded(rs.bootstrap_r2(by, rs.draws(by, draws, "13", collapse=True), ["dp"]).select(F.col("draw").cast("long").alias("draw"), F.col("dp").alias("r2")))
 
 
-@query(f"WITH {M}, {drawn('m', '17')}, g AS (SELECT grp, avg(abs(y-p)) - avg(abs(y-p2)) AS delta FROM m GROUP BY grp) SELECT draw, round(sum(times*delta)/sum(times),6) AS mean_delta FROM dr JOIN g USING (grp) GROUP BY draw")
-def r9_group_mean_bootstrap(s, d, draws=DRAWS):
+@query(f"WITH {M}, {drawn('m', '17', DRAWS['r9'])}, g AS (SELECT grp, avg(abs(y-p)) - avg(abs(y-p2)) AS delta FROM m GROUP BY grp) SELECT draw, round(sum(times*delta)/sum(times),6) AS mean_delta FROM dr JOIN g USING (grp) GROUP BY draw")
+def r9_group_mean_bootstrap(s, d, draws=DRAWS["r9"]):
     g = measures(s, d).groupBy("grp").agg((F.avg(F.abs(F.col("y") - F.col("p"))) - F.avg(F.abs(F.col("y") - F.col("p2")))).alias("delta"))
     out = rs.draws(g, draws, "17").join(g, "grp").groupBy("draw").agg((F.sum(F.col("times") * F.col("delta")) / F.sum("times")).alias("mean_delta"))
     return rounded(out.withColumn("draw", F.col("draw").cast("long")))
@@ -105,8 +104,8 @@ def r9_group_mean_bootstrap(s, d, draws=DRAWS):
 CORR_W = "(sum(w)*sum(w*x*z)-sum(w*x)*sum(w*z))/nullif(sqrt((sum(w)*sum(w*x*x)-sum(w*x)*sum(w*x))*(sum(w)*sum(w*z*z)-sum(w*z)*sum(w*z))),0)"
 
 
-@query(f"WITH {Q}, {drawn('q', '19')}, t AS (SELECT draw, times::DOUBLE AS w, dy AS x, dp2 AS z FROM dr JOIN q USING (grp)) SELECT draw, round({CORR_W},6) AS r FROM t GROUP BY draw")
-def r10_correlation_bootstrap(s, d, draws=DRAWS):
+@query(f"WITH {Q}, {drawn('q', '19', DRAWS['r10'])}, t AS (SELECT draw, times::DOUBLE AS w, dy AS x, dp2 AS z FROM dr JOIN q USING (grp)) SELECT draw, round({CORR_W},6) AS r FROM t GROUP BY draw")
+def r10_correlation_bootstrap(s, d, draws=DRAWS["r10"]):
     q = pairs(s, d)
     by = q.groupBy("grp").agg(F.count("*").alias("n"), F.sum("dy").alias("x"), F.sum("dp2").alias("z"), F.sum(F.col("dy") ** 2).alias("xx"), F.sum(F.col("dp2") ** 2).alias("zz"), F.sum(F.col("dy") * F.col("dp2")).alias("xz"))
     t = rs.draws(by, draws, "19").join(by, "grp").groupBy("draw").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "x", "z", "xx", "zz", "xz")))
@@ -114,8 +113,8 @@ def r10_correlation_bootstrap(s, d, draws=DRAWS):
     return rounded(t.select(F.col("draw").cast("long").alias("draw"), r.alias("r")))
 
 
-@query(f"WITH {Q}, {drawn('q', '23')} SELECT draw, round(({boot('(dy-dp)')}) - ({boot('(dy-dp2)')}) - (({boot('(dy-dp3)')}) - ({boot('(dy-(dp2+dp3)/2)')})),6) AS interaction FROM dr JOIN q USING (grp) GROUP BY draw")
-def r11_interaction_bootstrap(s, d, draws=DRAWS):
+@query(f"WITH {Q}, {drawn('q', '23', DRAWS['r11'])} SELECT draw, round(({boot('(dy-dp)')}) - ({boot('(dy-dp2)')}) - (({boot('(dy-dp3)')}) - ({boot('(dy-(dp2+dp3)/2)')})),6) AS interaction FROM dr JOIN q USING (grp) GROUP BY draw")
+def r11_interaction_bootstrap(s, d, draws=DRAWS["r11"]):
     """Difference of differences of four arms in one draw."""
     q = pairs(s, d).withColumn("dp4", (F.col("dp2") + F.col("dp3")) / 2)
     by = rs.arm_moments(q, arms=("dp", "dp2", "dp3", "dp4"))
@@ -123,11 +122,13 @@ def r11_interaction_bootstrap(s, d, draws=DRAWS):
     return rounded(b.select(F.col("draw").cast("long").alias("draw"), ((F.col("dp") - F.col("dp2")) - (F.col("dp3") - F.col("dp4"))).alias("interaction")))
 
 
-HALF = f"hv AS (SELECT d.range AS draw, g.grp, ({h("concat_ws('|','29',d.range,g.grp)")} % 2)::INT AS half FROM range({DRAWS}) d, (SELECT DISTINCT grp FROM q) g)"
+def half_sql(n):
+    return f"hv AS (SELECT d.range AS draw, g.grp, ({h("concat_ws('|','29',d.range,g.grp)")} % 2)::INT AS half FROM range({n}) d, (SELECT DISTINCT grp FROM q) g)"
 
 
-@query(f"WITH {Q}, {HALF}, pf AS (SELECT draw, lo, avg(CASE WHEN half=0 THEN dy END) AS a, avg(CASE WHEN half=1 THEN dy END) AS b FROM hv JOIN q USING (grp) GROUP BY 1,2) SELECT draw, round(corr(a,b),6) AS r FROM pf GROUP BY draw")
-def r12_split_half_profile(s, d, draws=DRAWS):
+
+@query(f"WITH {Q}, {half_sql(DRAWS['r12'])}, pf AS (SELECT draw, lo, avg(CASE WHEN half=0 THEN dy END) AS a, avg(CASE WHEN half=1 THEN dy END) AS b FROM hv JOIN q USING (grp) GROUP BY 1,2) SELECT draw, round(corr(a,b),6) AS r FROM pf GROUP BY draw")
+def r12_split_half_profile(s, d, draws=DRAWS["r12"]):
     own = pairs(s, d).groupBy("grp", "lo").agg(F.sum("dy").alias("s"), F.count("*").alias("n"))
     side = lambda v: ratio(F.sum(F.when(F.col("half") == v, F.col("s"))), F.sum(F.when(F.col("half") == v, F.col("n"))))
     profile = rs.halves(own, draws, "29").join(own, "grp").groupBy("draw", "lo").agg(side(0).alias("a"), side(1).alias("b"))
@@ -157,27 +158,28 @@ def r14_split_half_noise(s, d):
     return rounded(replicate_halves(s, d).agg((F.var_samp(F.col("a") - F.col("b")) / 4).alias("noise")))
 
 
-@query(f"WITH {M}, c2 AS (SELECT grp, strict_blk, avg(y) AS y FROM m WHERE idx=1 GROUP BY ALL), v AS (SELECT grp, count(*) AS n, var_samp(y) AS v FROM c2 GROUP BY grp HAVING count(*)>1) SELECT count(*) AS groups, round(sum(v*(n-1))/sum(n-1),6) AS pooled FROM v")
+@query(f"WITH {M}, c2 AS (SELECT idx, grp, strict_blk, avg(y) AS y FROM m GROUP BY ALL), v AS (SELECT idx, grp, count(*) AS n, var_samp(y) AS v FROM c2 GROUP BY idx, grp HAVING count(*)>1) SELECT idx, count(*) AS groups, round(sum(v*(n-1))/sum(n-1),6) AS pooled FROM v GROUP BY idx")
 def r15_condition_level(s, d):
-    c2 = measures(s, d).filter("idx = 1").groupBy("grp", "strict_blk").agg(F.avg("y").alias("y"))
-    return rounded(me.pooled_sd(c2, ["grp"]).select(F.col("cells").alias("groups"), (F.col("pooled_sd") ** 2).alias("pooled")))
+    c2 = measures(s, d).groupBy("idx", "grp", "strict_blk").agg(F.avg("y").alias("y"))
+    by = c2.groupBy("idx", "grp").agg(F.count("y").alias("n"), sst("y").alias("ss")).filter("n > 1")
+    return rounded(by.groupBy("idx").agg(F.count("*").alias("groups"), ratio(F.sum("ss"), F.sum(F.col("n") - 1)).alias("pooled")))
 
 
 def pair_counts(s, d):
-    m = measures(s, d).select("grp").distinct()
+    """grp, n: the adjacent pairs of every group."""
     n = pairs(s, d).groupBy("grp").agg(F.count("*").alias("n"))
-    return [(r["grp"], r["n"]) for r in m.join(n, "grp", "left").fillna(0).collect()]
+    return measures(s, d).select("grp").distinct().join(n, "grp", "left").fillna(0)
 
 
 @query()
 def r16_even_split(s, d):
-    a, b = rs.even_split(pair_counts(s, d))
-    return s.createDataFrame([(x, "tune") for x in a] + [(x, "confirm") for x in b], "grp string, part string")
+    """Dealt one after the other by falling count, in a task of its own: rows are groups."""
+    return rs.in_turn(pair_counts(s, d).select("grp", "n"), lambda rows: [(x, part) for part, own in zip(("tune", "confirm"), rs.even_split(rows), strict=True) for x in own], "grp string, part string")
 
 
-@query()
+@query(f"WITH {Q}, n AS (SELECT g.grp, count(q.grp) AS n FROM (SELECT DISTINCT grp FROM m) g LEFT JOIN q USING (grp) GROUP BY 1), r AS (SELECT grp, row_number() OVER (ORDER BY n DESC, grp)-1 AS k FROM n) SELECT grp, (CASE WHEN (k//3)%2=0 THEN k%3 ELSE 2-k%3 END)::INT AS part FROM r")
 def r17_snake_draft(s, d):
-    return s.createDataFrame(sorted(rs.snake_draft(pair_counts(s, d)).items()), "grp string, part int")
+    return rs.snake_draft(pair_counts(s, d), "n")
 
 
 @query(f"WITH {M}, f AS (SELECT DISTINCT grp, {h('grp')} % 3 AS part FROM m) SELECT part, sha256(string_agg(grp, chr(10) ORDER BY grp)) AS digest, count(*) AS n FROM f GROUP BY part")
@@ -185,14 +187,14 @@ def r18_split_digest(s, d):
     return rs.digest(measures(s, d).select("grp", (hash32("grp") % 3).alias("part")).distinct(), "part", "grp")
 
 
-@query(f"WITH {Q}, {HALF}, e AS (SELECT draw, {DR2.replace('dp', 'dp')} AS ra, {DR2.replace('dp', 'dp2')} AS rb FROM hv JOIN q USING (grp) WHERE half=0 GROUP BY draw) SELECT round(avg(CASE WHEN rb>ra THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS win_rate FROM e")
-def r19_half_win_rate(s, d, draws=DRAWS):
+@query(f"WITH {Q}, {half_sql(DRAWS['r19'])}, e AS (SELECT draw, {DR2.replace('dp', 'dp')} AS ra, {DR2.replace('dp', 'dp2')} AS rb FROM hv JOIN q USING (grp) WHERE half=0 GROUP BY draw) SELECT round(avg(CASE WHEN rb>ra THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS win_rate FROM e")
+def r19_half_win_rate(s, d, draws=DRAWS["r19"]):
     by = rs.arm_moments(pairs(s, d), arms=("dp", "dp2"))
     half = rs.halves(by, draws, "29").filter("half = 0").withColumn("times", F.lit(1))
     return rounded(rs.bootstrap_r2(by, half, ["dp", "dp2"]).agg(F.avg(is_true(F.col("dp2") > F.col("dp"))).alias("win_rate")))
 
 
-@query()
+@query(f"WITH {M}, a AS (SELECT strict_blk, row_id, y, p, row_number() OVER (PARTITION BY strict_blk ORDER BY row_id, y) AS k, row_number() OVER (PARTITION BY strict_blk ORDER BY {h("concat_ws('|','5',row_id)")}, row_id, y) AS j FROM m), b AS (SELECT x.y, x.p, z.y AS ys FROM a x JOIN a z ON x.strict_blk=z.strict_blk AND x.k=z.j) SELECT count(*) AS n, round({R2},6) AS r2, round(1 - sum((ys-p)*(ys-p)) / nullif(var_pop(ys)*count(ys), 0),6) AS r2_shuffled FROM b")
 def r20_shuffled_target(s, d):
     out = rs.permuted(measures(s, d).select("row_id", "strict_blk", "y", "p"), "row_id", "y", "5", ["strict_blk"])
     return rounded(out.agg(F.count("*").alias("n"), r2("y", "p").alias("r2"), r2("y_shuffled", "p").alias("r2_shuffled")))
@@ -201,7 +203,15 @@ def r20_shuffled_target(s, d):
 # ---- predictors
 
 
-@query()
+def line_cv(rep):
+    """One repeat in SQL: hash folds, a line on the rows of the other folds."""
+    return f"""f{rep} AS (SELECT grp, ((row_number() OVER (ORDER BY {h(f"concat_ws('|','rep{rep}',grp)")}, grp)-1) % 5)::INT AS fold FROM (SELECT DISTINCT grp FROM m)),
+o{rep} AS (SELECT fold, count(*) AS n, sum(y) AS sy, sum(p) AS sx, sum(p*p) AS sxx, sum(p*y) AS sxy FROM m JOIN f{rep} USING (grp) GROUP BY fold),
+t{rep} AS (SELECT fold, sum(n) OVER () - n AS n, sum(sy) OVER () - sy AS sy, sum(sx) OVER () - sx AS sx, sum(sxx) OVER () - sxx AS sxx, sum(sxy) OVER () - sxy AS sxy FROM o{rep}),
+l{rep} AS (SELECT fold, (n*sxy-sx*sy)/(n*sxx-sx*sx) AS b, (sy - (n*sxy-sx*sy)/(n*sxx-sx*sx)*sx)/n AS a FROM t{rep})"""
+
+
+@query(f"WITH {M}, {line_cv(0)}, {line_cv(1)}, e AS (SELECT row_id, y, a + b*p AS oof FROM m JOIN f0 USING (grp) JOIN l0 USING (fold) UNION ALL SELECT row_id, y, a + b*p FROM m JOIN f1 USING (grp) JOIN l1 USING (fold)) SELECT row_id, round(avg(y),6) AS y, round(avg(oof),6) AS oof FROM e GROUP BY row_id")
 def p3_repeated_cv(s, d):
     """Out-of-fold group-size-weighted line fits in two repeats of five folds, averaged by row."""
     m = measures(s, d).select("row_id", "grp", "y", "p")
@@ -333,27 +343,22 @@ def p16_nnls(s, d):
     return s.createDataFrame([tuple(map(float, w))], "w0 double, w1 double, w2 double")
 
 
-def _logo_nnls(rows, arms, key, least=20):
-    """Weights on the other keys' moments; fewer than `least` rows there give equal weights."""
-    grams = [rs.gram_of(r, arms) for r in rows]
-    total, rhs, n = sum(g for g, _ in grams), sum(b for _, b in grams), sum(r["n"] for r in rows)
-    return [(r[key], *map(float, rs.nnls(total - g, rhs - b, steps=300) if n - r["n"] >= least else np.full(len(arms), 1 / len(arms)))) for r, (g, b) in zip(rows, grams, strict=True)]
+def _rest(s, d, arms, keys, by=None):
+    table = rs.moments(pairs(s, d), "dy", arms, keys)
+    return rs.less_own(table, [c for c in table.columns if c not in (*keys, "m", "yy")], by)
 
 
 @query()
 def p17_logo_nnls(s, d):
     arms = ["dp", "dp2", "dp3"]
-    return s.createDataFrame(_logo_nnls(gram_rows(s, d, arms, ["grp"]), arms, "grp"), "grp string, w0 double, w1 double, w2 double")
+    return rs.nnls_of_rest(_rest(s, d, arms, ["grp"]), arms, ["grp"])
 
 
 @query()
 def p18_stratified_stack(s, d):
     """Leave-one-group-out weights fitted apart for each index."""
     arms = ["dp", "dp2"]
-    rows, out = gram_rows(s, d, arms, ["grp", "lo"]), []
-    for lo in sorted({r["lo"] for r in rows}):
-        out += [(g, lo, *w) for g, *w in _logo_nnls([r for r in rows if r["lo"] == lo], arms, "grp")]
-    return s.createDataFrame(out, "grp string, lo int, w0 double, w1 double")
+    return rs.nnls_of_rest(_rest(s, d, arms, ["grp", "lo"], "lo"), arms, ["grp", "lo"])
 
 
 @query()
@@ -376,7 +381,11 @@ def p20_equal_group_blend(s, d):
     return rounded(pr.equal_group_blend(pairs(s, d), "dp", ["dp3"], ENC).select("grp", F.col("w1").alias("w"), "mse"))
 
 
-@query()
+@query(f"""WITH {M}, o AS (SELECT grp, count(*) AS n, sum(y) AS sy, sum((y-p)*(y-p)) AS e0, sum((y-p2)*(y-p2)) AS e1, sum((y-p3)*(y-p3)) AS e2 FROM m GROUP BY grp),
+t AS (SELECT grp, (sum(sy) OVER ()-sy)/(sum(n) OVER ()-n) AS mu, sum(e0) OVER ()-e0 AS r0, sum(e1) OVER ()-e1 AS r1, sum(e2) OVER ()-e2 AS r2 FROM o),
+b AS (SELECT m.*, mu, r0, r1, r2, (p+p2+p3)/3 AS c0, (p/r0+p2/r1+p3/r2)/(1/r0+1/r1+1/r2) AS iv FROM m JOIN t USING (grp)),
+c AS (SELECT y, c0, mu + (iv-mu)/(1+((p-c0)*(p-c0)+(p2-c0)*(p2-c0)+(p3-c0)*(p3-c0))/3) AS c1, CASE least(r0,r1,r2) WHEN r0 THEN p WHEN r1 THEN p2 ELSE p3 END AS c2 FROM b)
+SELECT {', '.join(f'round(1 - sum((y-c{k})*(y-c{k}))/(var_pop(y)*count(*)),6) AS {n}' for k, n in enumerate(('mean', 'inverse_variance', 'best_single')))} FROM c""")
 def p21_combiners(s, d):
     c = pr.combined(measures(s, d), ["p", "p2", "p3"])
     return rounded(c.agg(*(r2("y", a).alias(a) for a in ("mean", "inverse_variance", "best_single"))))
@@ -461,7 +470,7 @@ def p33_corrected_z(s, d):
     return rounded(s.createDataFrame([(n, z_of_tests(n)) for n in (1, 3, 10)], "n_tests int, z double"))
 
 
-@query(f"WITH {Q}, {drawn('q', '13', 40)}, {BD}, i AS (SELECT quantile_cont(rb-ra,0.05) AS lo, quantile_cont(rb-ra,0.95) AS hi FROM b) SELECT CASE WHEN lo>0 THEN 'adds' WHEN hi<0 THEN 'worse' ELSE 'not distinguishable' END AS verdict FROM i")
+@query(f"WITH {Q}, {drawn('q', '13', DRAWS['r6'])}, {BD}, i AS (SELECT quantile_cont(rb-ra,0.05) AS lo, quantile_cont(rb-ra,0.95) AS hi FROM b) SELECT CASE WHEN lo>0 THEN 'adds' WHEN hi<0 THEN 'worse' ELSE 'not distinguishable' END AS verdict FROM i")
 def p34_verdict(s, d):
     by = rs.arm_moments(pairs(s, d), arms=("dp", "dp2"))
     b = rs.bootstrap_r2(by, rs.draws(by, 40, "13"), ["dp", "dp2"]).select((F.col("dp2") - F.col("dp")).alias("delta"))

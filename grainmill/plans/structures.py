@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles
 from ..functions.scalars import hash32, is_true
 from ..operators import geometry as ge
 from ..operators import registry as xr
@@ -135,7 +136,7 @@ def g15_persistence_image(s, d):
 
 @query(f"WITH {PP} SELECT round(quantile_cont(death,0.99),6) AS hi FROM pp")
 def g16_auto_range(s, d):
-    return rounded(persistence(s, d).agg(F.percentile("death", F.lit(0.99)).alias("hi")))
+    return rounded(quantiles(persistence(s, d), "death", [0.99]).withColumnRenamed("q0", "hi"))
 
 
 @query("SELECT doc_id AS build_id, source AS xyz_path, source IS NOT NULL AND source <> '' AS xyz_exists FROM documents")
@@ -192,17 +193,21 @@ def g25_interaction_energy(s, d):
     return ge.interaction_energy(both, "n_chars", "quality", "toxic").select("doc_id", "interaction")
 
 
-@query("""WITH v AS (SELECT vec_id, embedding[1:32] AS a, embedding[33:64] AS b FROM embeddings WHERE label = 3), p AS (SELECT round(sqrt(list_sum(list_transform(range(1,33), lambda k: (x.a[k]::DOUBLE-y.a[k]::DOUBLE)*(x.a[k]::DOUBLE-y.a[k]::DOUBLE)))),9) AS da, round(sqrt(list_sum(list_transform(range(1,33), lambda k: (x.b[k]::DOUBLE-y.b[k]::DOUBLE)*(x.b[k]::DOUBLE-y.b[k]::DOUBLE)))),9) AS db FROM v x JOIN v y ON x.vec_id<y.vec_id),
-r AS (SELECT rank() OVER (ORDER BY da) + (count(*) OVER (PARTITION BY da)-1)/2.0::DOUBLE AS ra, rank() OVER (ORDER BY db) + (count(*) OVER (PARTITION BY db)-1)/2.0::DOUBLE AS rb FROM p) SELECT count(*) AS pairs, round(corr(ra,rb),6) AS similarity FROM r""")
+VEC = "v AS (SELECT label, vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b FROM embeddings)"
+
+
+@query(f"""WITH {VEC}, p AS (SELECT x.label, round(list_distance(x.a, y.a),9) AS da, round(list_distance(x.b, y.b),9) AS db FROM v x JOIN v y ON x.label=y.label AND x.vec_id<y.vec_id),
+r AS (SELECT label, rank() OVER (PARTITION BY label ORDER BY da) + (count(*) OVER (PARTITION BY label, da)-1)/2.0::DOUBLE AS ra, rank() OVER (PARTITION BY label ORDER BY db) + (count(*) OVER (PARTITION BY label, db)-1)/2.0::DOUBLE AS rb FROM p) SELECT label, count(*) AS pairs, round(CASE WHEN var_pop(ra)>0 AND var_pop(rb)>0 THEN corr(ra,rb) END,5) AS similarity FROM r GROUP BY label""")
 def g26_representation_similarity(s, d):
-    """The two halves of one label's vectors as two representations."""
-    v = table(s, d, "embeddings").filter("label = 3").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
-    return rounded(ge.representation_similarity(v, "a", "b"))
+    """The two halves of each label's vectors as two representations."""
+    v = table(s, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    return ge.representation_similarity(v, "a", "b", by=["label"]).withColumn("similarity", F.round("similarity", 5))
 
 
-@query("SELECT round((" + " + ".join(f"var_pop(embedding[{k}]::DOUBLE)" for k in range(1, 9)) + ")^2 / (" + " + ".join(f"covar_pop(embedding[{i}]::DOUBLE, embedding[{j}]::DOUBLE)^2" for i in range(1, 9) for j in range(1, 9)) + "),6) AS effective_dimension FROM embeddings")
+@query("""WITH u AS (SELECT unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v, vec_id FROM embeddings), m AS (SELECT k, avg(v) AS m FROM u GROUP BY k), c AS (SELECT vec_id, u.k, v - m AS v FROM u JOIN m USING (k)), n AS (SELECT count(*) AS n FROM embeddings),
+cov AS (SELECT a.k AS i, b.k AS j, sum(a.v*b.v)/max(n) AS c FROM c a JOIN c b USING (vec_id), n GROUP BY 1,2) SELECT round(pow(sum(CASE WHEN i=j THEN c ELSE 0 END),2)/sum(c*c),6) AS effective_dimension FROM cov""")
 def g27_effective_dimension(s, d):
-    return rounded(ge.effective_dimension(table(s, d, "embeddings"), "embedding", 8))
+    return rounded(ge.effective_dimension_of_all(table(s, d, "embeddings"), "embedding"))
 
 
 @query("SELECT event_id, round((ln(1+abs(value)) - avg(ln(1+abs(value))) OVER w)/nullif(stddev_pop(ln(1+abs(value))) OVER w,0),5) AS standard FROM events WINDOW w AS (PARTITION BY event_type)")
@@ -314,9 +319,9 @@ def x4_cells_by_config(s, d):
     return rounded(xr.cells_by_config(runs(s, d), {"deep": 0}, ["preset", "deep"], "value"))
 
 
-@query(f"WITH {RUNS} SELECT preset, seed, count(*) AS n FROM rn WHERE event_id < 40 GROUP BY 1,2 HAVING count(*)>1")
+@query(f"WITH {RUNS} SELECT preset, seed, count(*) AS n FROM rn GROUP BY 1,2 HAVING count(*)>1")
 def x5_duplicate_seeds(s, d):
-    return xr.duplicates(runs(s, d).filter("event_id < 40"), ["preset", "seed"])
+    return xr.duplicates(runs(s, d), ["preset", "seed"])
 
 
 @query("SELECT p_brand, count(*) AS n, round(avg(p_retailprice),4) AS mean, rank() OVER (ORDER BY round(avg(p_retailprice),4) DESC) AS place FROM part GROUP BY 1")

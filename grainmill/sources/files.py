@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import io
+import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,10 +33,12 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
 
 
 def scan_csvs(spark: SparkSession, paths: list[str], schema: str) -> tuple[DataFrame, list[str]]:
-    """(rows of all files, the files that were empty)."""
+    """(rows of all files, those of the given paths that were empty)."""
     df = scan_csv(spark, paths, schema).withColumn("_file", F.input_file_name())  # type: ignore[arg-type]
-    names = {r["_file"].rsplit("/", 1)[-1] for r in df.select("_file").distinct().collect()}
-    return df.drop("_file"), [p for p in paths if p.rsplit("/", 1)[-1] not in names]
+    given = F.array(*(F.struct(F.lit(len(p)).alias("n"), F.lit(p).alias("p")) for p in paths))
+    of = F.array_max(F.filter(given, lambda g: F.contains(F.col("_file"), F.regexp_replace(g["p"], "^[a-z]+:/*|/$", ""))))["p"]
+    names = {r["_p"] for r in df.select(of.alias("_p")).distinct().collect()}  # as many as the caller gave
+    return df.drop("_file"), [p for p in paths if p not in names]
 
 
 REGISTRY = "spec struct<preset:string,model:string,seed:int>, key string, status string, metrics struct<r2:double,mae:double>, params map<string,string>, error string"
@@ -143,9 +150,63 @@ def resolve(candidates: DataFrame, listing: DataFrame, key: str, path: str = "pa
     return candidates.select(key).distinct().join(best, key, "left")
 
 
+_ARRAYS = "path string, name string, segment long, position long, value double"
+
+
+def scan_arrays(spark: SparkSession, path: str, values: str, ptr: str) -> DataFrame:
+    """path, name, segment, position, value of NPZ files that hold a flat array and, in CSR manner, where its segments begin; an array is one row in memory."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for batch in batches:
+            for where, content in zip(batch["path"], batch["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                    flat, begin = held[values], held[ptr].astype(np.int64)
+                size = np.diff(begin)
+                segment = np.repeat(np.arange(len(size)), size)
+                inside = np.arange(begin[0], begin[-1])
+                yield pd.DataFrame({"path": where, "name": values, "segment": segment, "position": inside - begin[segment], "value": flat[inside].astype(float)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, _ARRAYS)
+
+
 # ---- sinks
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path of its own in the folder that the driver and executors share, removed when the driver ends; where none is named, on a local master only, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            named = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="grainmill-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{named}/grainmill-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
+
+    atexit.register(remove)
+    return path
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One file of bytes, through Spark's own file systems."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -166,8 +227,8 @@ def replace_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV part: reports are small."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV parts with headers, as many as df has: a report that is small comes out as one."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -199,10 +260,12 @@ def xyz_text(df: DataFrame, key: str, atoms: str = "atoms", header: str = "heade
     return df.select(key, F.concat_ws("\n", F.size(atoms).cast("string"), F.concat_ws(" ", F.lit("Properties=species:S:1:pos:R:3:charge:R:1"), F.col(header)), F.array_join(line, "\n")).alias("value"))
 
 
-def markdown(df: DataFrame, columns: list[str], digits: int = 4) -> str:
-    """A small report table; missing values are empty cells."""
+def markdown(df: DataFrame, columns: list[str], digits: int = 4, most: int = 10_000) -> str:
+    """A report table, missing values as empty cells. A table of more than `most` rows is no report and an error."""
     cell = lambda v: "" if v is None or v != v else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
-    rows = [[cell(r[c]) for c in columns] for r in df.select(*columns).collect()]
+    rows = [[cell(r[c]) for c in columns] for r in df.select(*columns).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for a markdown table")
     return "\n".join("| " + " | ".join(x) + " |" for x in [columns, ["---"] * len(columns), *rows])
 
 

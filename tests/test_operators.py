@@ -140,7 +140,7 @@ def test_nnls_against_enumeration():
     assert w == pytest.approx([0.2, 0, 0.8], abs=1e-3)
 
 
-def test_splits():
+def test_splits(spark):
     rng = np.random.default_rng(2)
     counts = [(f"g{k}", int(n)) for k, n in enumerate(rng.integers(0, 40, 60))]
     a, b = rs.even_split(counts)
@@ -148,7 +148,8 @@ def test_splits():
     assert not set(a) & set(b) and set(a) | set(b) == set(n)
     share = sum(n[x] for x in a) / sum(n.values())
     assert 0.45 < share < 0.55
-    parts = rs.snake_draft(counts)
+    parts = {r["grp"]: r["part"] for r in rs.snake_draft(spark.createDataFrame(counts, "grp string, n long"), "n").collect()}
+    assert set(parts) == set(n)
     loads = [sum(n[g] for g, p in parts.items() if p == k) for k in range(3)]
     assert max(loads) - min(loads) < 80
     folds = rs.balanced_folds(counts, 5)
