@@ -337,6 +337,72 @@ def test_language_held_out(spark, sf_dir):
     assert out.filter("language = lang").count() / out.count() > 0.98
 
 
+def plain_fusion(rows, names, table):
+    """id, language and probability of (id, text, declared, host, suffix) rows, by dictionaries."""
+    import math
+
+    n = len(names)
+    heard = {}
+    for i, text, *_ in rows:
+        t = language_id.trigrams(text)
+        ll = table[t].sum(0, dtype=float)
+        heard[i] = (len(t), ll, int(ll.argmax()) if len(t) else None)
+    votes = {"all": [0] * n}
+    for i, _, *keys in rows:
+        top = heard[i][2]
+        if top is not None:
+            for key in ["all", *((kind, k) for kind, k in zip("dhs", keys, strict=True) if k is not None)]:
+                votes.setdefault(key, [0] * n)[top] += 1
+    share = [(v + 1) / (sum(votes["all"]) + n) for v in votes["all"]]
+    out = {}
+    for i, _, declared, host, suffix in rows:
+        size, ll, top = heard[i]
+        own = [int(k == top) for k in range(n)]
+
+        def prior(key, below):
+            held = [a - b for a, b in zip(votes.get(key, [0] * n), own, strict=True)] if key in votes else [0] * n
+            return [(held[k] + 20 * below[k]) / (sum(held) + 20) for k in range(n)]  # noqa: B023
+
+        p = prior(("h", host), prior(("s", suffix), share))
+        logs = [math.log(max(p[k], 1e-12)) + (ll[k] * min(1, 60 / size) if size else 0) for k in range(n)]
+        if declared is not None:
+            logs = [x + math.log(max(1e-12, (votes.get(("d", declared), [0] * n)[k] + 0.5) / (votes["all"][k] + 1))) for k, x in enumerate(logs)]
+        best = max(range(n), key=lambda k: logs[k])
+        out[i] = (names[best], 1 / sum(math.exp(x - logs[best]) for x in logs))
+    return out
+
+
+def test_language_query_against_plain_fusion(spark, sf_dir):
+    """All documents and all pages of the query."""
+    import urllib.parse
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names, table = language_id.fit(language_id.sample(docs, "doc_id", "text", "lang"))
+    got = queries.op3_evidence_language_id(spark, sf_dir).collect()
+    plain = {"document": plain_fusion([(r["doc_id"], (r["text"] or "").encode(), r["lang"], r["source"], None) for r in docs.collect()], names, table)}
+    pages = []
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        host = re.sub(r"^(?:www|m)\.", "", (urllib.parse.urlsplit(r["url"] or "").hostname or "").lower()) or None
+        lang = re.search(r"(?i)<html[^>]*\slang=[\"']?([a-z]{2,3})", r["html"] or "")
+        pages.append((r["page_id"], language_id.visible((r["html"] or "").encode()), lang and lang[1].lower(), host, host and host.rsplit(".", 1)[-1]))
+    plain["page"] = plain_fusion(pages, names, table)
+    assert len(got) == sum(map(len, plain.values()))
+    for r in got:
+        language, p = plain[r["kind"]][r["doc_id"] if r["kind"] == "document" else r["page_id"]]
+        assert r["probability"] == pytest.approx(p, abs=2e-4)
+        assert r["language"] == language or p < 0.51
+
+
+def test_visible_text_in_linear_time():
+    import time
+
+    assert language_id.visible(b"a<script x>no</SCRIPT >b<style>no</style>c<p>d&amp;e").split() == [b"a", b"b", b"c", b"d", b"e"]
+    assert language_id.visible(b"a<script>never closed <p>x").split() == [b"a"]
+    began = time.time()
+    language_id.visible(b"<script>" * 100_000 + b"<" * 500_000 + b"<style>x" * 50_000)
+    assert time.time() - began < 5
+
+
 def test_language_fusion_by_hand(spark):
     """Priors, declarations and text against the same sums in plain Python."""
     import math
