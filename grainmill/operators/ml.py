@@ -6,7 +6,10 @@ Fits run on the cluster; the driver only loops over folds. Missing features are
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -79,14 +82,58 @@ def cv_score(df: DataFrame, name: str, features: list[str], **kwargs) -> float:
 
 def search(df: DataFrame, name: str, features: list[str], trials: int = 8, seed: str = "0", **kwargs) -> list[tuple[dict, float]]:
     """A fixed random part of the model's grid, best first: trials are taken in the order of their hash."""
-    import hashlib
-
     space = SPACES[name]
     grid = [dict(zip(space, v, strict=True)) for v in itertools.product(*space.values())]
     grid.sort(key=lambda p: hashlib.md5(f"{seed}|{sorted(p.items())}".encode()).hexdigest())
     return sorted(((p, cv_score(df, name, features, **kwargs, **p)) for p in grid[:trials]), key=lambda x: -x[1])
 
 
+#: Continuous and whole-number ranges of the study: (low, high, whole, by powers of ten).
+RANGES = {"ridge": {"regParam": (1e-4, 1.0, False, True)}, "elasticnet": {"regParam": (1e-4, 1.0, False, True), "elasticNetParam": (0.0, 1.0, False, False)}, "rf": {"numTrees": (10, 60, True, False), "maxDepth": (3, 8, True, False)}, "gbt": {"maxIter": (5, 30, True, False), "maxDepth": (2, 5, True, False)}}
+
+
+def propose(space: dict[str, tuple], done: list[tuple[dict, float]], number: int, seed: str = "0", start: int = 5, candidates: int = 24) -> dict:
+    """Parameters of the next trial: by hash at first, then the candidate that lies densest among the best quarter of trials against the rest (a tree of Parzen estimators)."""
+    import numpy as np
+
+    rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}|{number}".encode()).digest()[:8], "big"))
+    unit = {k: (lambda v, s=s: (math.log10(v) - math.log10(s[0])) / (math.log10(s[1]) - math.log10(s[0])) if s[3] else (v - s[0]) / (s[1] - s[0])) for k, s in space.items()}
+
+    def value(k: str, u: float):
+        low, high, whole, logs = space[k]
+        v = 10 ** (math.log10(low) + u * (math.log10(high) - math.log10(low))) if logs else low + u * (high - low)
+        return int(round(v)) if whole else float(v)
+
+    if len(done) < start:
+        return {k: value(k, float(rng.random())) for k in space}
+    ranked = sorted(done, key=lambda x: -x[1])
+    cut = max(1, len(ranked) // 4)
+    out = {}
+    for k in space:
+        good, rest = (np.array([unit[k](p[k]) for p, _ in part]) for part in (ranked[:cut], ranked[cut:]))
+        width = max(0.05, 1 / math.sqrt(len(done)))
+        trial = np.clip(rng.choice(good, candidates) + rng.normal(size=candidates) * width, 0, 1)
+        density = lambda at: np.exp(-((trial[:, None] - at[None]) ** 2) / (2 * width * width)).mean(1) + 1e-12  # noqa: B023, E731
+        out[k] = value(k, float(trial[np.argmax(density(good) / density(rest))]))
+    return out
+
+
+def study(df: DataFrame, name: str, features: list[str], trials: int, store: str, seed: str = "0", score: Callable | None = None, **kwargs) -> list[tuple[dict, float]]:
+    """Trials of a model's parameters, best first. Each finished trial is a line of JSON in the store, so a study that was cut short goes on where it stopped."""
+    spark = df.sparkSession
+    score = score or (lambda params: cv_score(df, name, features, **kwargs, **params))
+    schema = "number int, model string, seed string, params string, score double"
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    held = spark.read.schema(schema).json(store).collect() if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else []
+    found = {r["number"]: (json.loads(r["params"]), r["score"]) for r in held if r["model"] == name and r["seed"] == seed}
+    for number in range(trials):
+        if number not in found:
+            params = propose(RANGES[name], [found[k] for k in sorted(found) if k < number], number, seed)
+            found[number] = (params, float(score(params)))
+            spark.createDataFrame([(number, name, seed, json.dumps(params), found[number][1])], schema).coalesce(1).write.mode("append").json(store)
+    return sorted(found.values(), key=lambda x: -x[1])
+
+
 def forward_blocks(df: DataFrame, name: str, blocks: dict[str, list[str]], tolerance: float = 1e-3, **kwargs) -> list[tuple[str, float]]:
     """Blocks of features in the order in which they raise the score, until none adds more than the tolerance."""
     chosen, best = [], float("-inf")

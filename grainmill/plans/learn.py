@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r2
 from ..operators import ml
 from ..operators import predict as pr
 from ..operators import resampling as rs
+from ..sources import files
 from .registry import Q, measures, pairs, query
 from .scores import rounded
 
@@ -34,6 +37,13 @@ def p2_grid_search(s, d):
     return s.createDataFrame([(str(p), float(x)) for p, x in found], "params string, r2 double")
 
 
+@query()
+def p2_study(s, d):
+    """Six trials of a resumable study, the last ones proposed by those before."""
+    found = ml.study(rows(s, d), "ridge", FEATURES, 6, files.scratch(s), folds=3)
+    return s.createDataFrame([(json.dumps(p), float(x)) for p, x in found], "params string, r2 double")
+
+
 @query()
 def p26_antisymmetric_model(s, d):
     """Pair differences learnt from both sides' features."""

@@ -58,6 +58,8 @@ def measured(duck, sql):
 
 def kkt(gram, rhs, w, slack):
     """Whether w is optimal among non-negative weights, up to its scale: gradients vanish where it is positive and push down elsewhere."""
+    if rhs.max() <= 0:  # no arm helps: all weights are 0, which the rule turns into equal ones
+        return bool(np.allclose(w, 1 / len(w)))
     scale = float(w @ rhs) / float(w @ gram @ w)
     slope = gram @ (w * scale) - rhs
     size = np.abs(rhs).max()
@@ -236,10 +238,34 @@ def test_linear_models_against_least_squares(spark, sf_dir, learnt):
         assert got["n"] == len(y) and got["r2"] == pytest.approx(want, abs=0.05 if name == "huber" else 0.01)
     for name in ("rf", "gbt"):
         assert want - 0.1 < rows(spark, sf_dir, f"p1_model_{name}")[0]["r2"] <= 1
+    tried = rows(spark, sf_dir, "p2_study")
+    assert len(tried) == 6 and tried[0]["r2"] == pytest.approx(want, abs=0.01)
     grid = rows(spark, sf_dir, "p2_grid_search")
     assert [r["r2"] for r in grid] == sorted((r["r2"] for r in grid), reverse=True) and grid[0]["r2"] == pytest.approx(want, abs=0.01)
 
 
+def test_study_goes_on_and_finds_the_best(spark, tmp_path):
+    """A known best point is approached; finished trials are read, not run again."""
+    import math
+
+    from grainmill.operators import ml
+
+    calls = []
+
+    def score(p):
+        calls.append(p)
+        return -((math.log10(p["regParam"]) + 2.5) ** 2) - (p["elasticNetParam"] - 0.3) ** 2
+
+    df = spark.range(1)
+    run = lambda n: ml.study(df, "elasticnet", [], n, f"{tmp_path}/study", score=score)
+    first = run(6)
+    assert len(calls) == 6 and len(first) == 6
+    best = run(30)
+    assert len(calls) == 30 and best[0][1] >= first[0][1] and best[0][1] > -0.05
+    assert run(30) == best and len(calls) == 30
+    assert all(1e-4 <= p["regParam"] <= 1 and 0 <= p["elasticNetParam"] <= 1 for p in calls)
+
+
 def test_forward_blocks_and_importance_against_least_squares(spark, sf_dir, learnt):
     x, y, fold = learnt
     alone = {"size": score(y, line_cv(x[:, :1], y, fold)), "price": score(y, line_cv(x[:, 1:], y, fold))}
