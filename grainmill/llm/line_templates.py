@@ -11,10 +11,10 @@ agree on them whatever other lines, templates or strays the leaf has. A line is
 A template that lies in MIN_DOCS documents or more is recurring, a line of LONG_WORDS words or more from LONG_DOCS documents on: its lines go, from all
 documents. Lines of fewer than MIN_WORDS words stay, and a document's other lines keep their order and their line feeds.
 
-Lines, templates and documents are named by MD5, 128 bits, so that no two are taken for one. Equal lines are one row while words are
-counted; a word and its place have 64 bits, whose chance meetings could only raise a support. Sums are partial before each shuffle. Supports above one make a Bloom filter,
-which each line's words are tested by where the line stands; only lines with enough shared words for a template meet the counts themselves, by hash join, and those of the most
-frequent keys (at most HOT_GROUPS) by broadcast, so no leaf, word or template is ever dealt to one task. Bloom filters of bounded size keep the words of lines in other leaves, and the texts of documents
+Lines, templates and documents are named by MD5, 128 bits, so that no two are taken for one. Equal lines are one row, with a count, before supports are
+made. A leaf of few distinct lines (NARROW of them, NARROW_WORDS words at most) is a row in which its lines are compared; the words of larger leaves are counted
+by leaf and place with partial sums before the shuffle and meet their lines by hash join, those of the most frequent keys (at most HOT_GROUPS) by
+broadcast. Both give the same templates, and no leaf, word or template that grows with the table is dealt to one task. Bloom filters of bounded size keep lines in other leaves, and the texts of documents
 that lose nothing, out of every shuffle.
 
 Null text stays null and has no lines; empty text has none to drop. A very long text is one row, and its lines are rows like others. Ties do not arise: supports
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, join_groups, written
-from .exact_dedup import FILTER_BITS, PAGE, _power, key_filter, may_repeat
+from .exact_dedup import key_filter, may_repeat
 
 LEADING = 2
 MIN_WORDS = 3
@@ -37,7 +37,8 @@ MIN_DOCS = 4
 LONG_WORDS, LONG_DOCS = 50, 2
 SAME = 0.5
 KEPT = 0.6
-GROUP_BITS = 12
+#: Distinct lines, and words of them, of a leaf whose lines are compared in one row.
+NARROW, NARROW_WORDS = 64, 1 << 16
 WHITE = r"\x20\x09-\x0D"
 
 
@@ -80,57 +81,42 @@ def _inside(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(out.withColumn("name", F.md5("text")))
 
 
-def _spot(leaf: Column, at: Column, word: Column) -> Column:
-    """64 bits that name a word's place in a leaf; the first GROUP_BITS are the leaf's, so that a line's spots are in one group."""
-    low = (1 << (64 - GROUP_BITS)) - 1
-    return leaf.bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(leaf, at, word).bitwiseAND(F.lit(low)))
-
-
-def _group(spot: Column, groups: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(spot, 64 - GROUP_BITS), F.lit(groups)).cast("int")
-
-
-def _shared(spots: DataFrame, rows: int) -> tuple[DataFrame, str]:
-    """(pages of a Bloom filter of a column spot by group, as arrays of 64-bit words; the SQL test of a spot s of a group's row)."""
-    pages = min(FILTER_BITS, _power(16 * max(rows, 1))) // PAGE or 1
-    each = min(pages, 16)
-    groups = min(pages // each, 1 << GROUP_BITS)
-    page = F.pmod(F.xxhash64("spot", F.lit(1)), F.lit(each)).cast("int").alias("page")
-    bits = F.explode(F.array(*(F.pmod(F.xxhash64("spot", F.lit(k)), F.lit(PAGE)) for k in (2, 3)))).alias("bit")
-    held = spots.select(_group(F.col("spot"), groups).alias("group"), page, bits).groupBy("group", "page").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    none = spots.sparkSession.range(groups * each).select((F.col("id") / each).cast("int").alias("group"), (F.col("id") % each).cast("int").alias("page"), F.unhex(F.repeat(F.lit("00"), F.lit(PAGE // 8))).alias("bits"))
-    every = held.unionByName(none).groupBy("group", "page").agg(F.bitmap_or_agg("bits").alias("bits"))
-    words = F.expr(f"transform(sequence(0, {PAGE // 64 - 1}), k -> cast(conv(hex(substring(bits, 8 * k + 1, 8)), 16, -10) as long))")
-    by = every.select("group", F.struct("page", words.alias("words")).alias("p")).groupBy("group").agg(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["words"]).alias("pages"))
-
-    def one(k: int) -> str:
-        place = f"pmod(xxhash64(s, {k}), {PAGE})"
-        return f"bit_get(pages[cast(pmod(xxhash64(s, 1), {each}) as int)][cast({place} div 64 as int)], cast((7 - {place} div 8 % 8) * 8 + {place} % 8 as int)) = 1"
-
-    return by.withColumn("groups", F.lit(groups)), f"filter(spots, s -> {one(2)} and {one(3)})"
-
-
 def _general(inside: DataFrame) -> DataFrame:
     """name, lines, template of the lines that have one."""
-    rows = inside.groupBy("name").agg(F.first("text").alias("text"), F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count("*").alias("lines"))
-    spots = F.transform(F.split("text", " "), lambda w, k: F.when(w != "<*>", _spot(F.col("leaf"), k, w)))
-    rows = written(rows.select("name", "n", "lines", F.array_compact(spots).alias("spots")).filter(F.size("spots") > 0))
+    rows = written(inside.groupBy("leaf", "name").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.count("*").alias("lines")))
+    sizes = rows.groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1")  # a line that is alone in its leaf is its own template
+    met = join_groups(rows, sizes, "leaf", "size", max(1, rows.count()), "name").filter("size is not null")
+    narrow = (F.col("size") <= NARROW) & (F.col("size") * F.col("n") <= NARROW_WORDS)
+    return _narrow(met.filter(narrow)).unionByName(_wide(met.filter(~narrow)))
+
+
+def _narrow(rows: DataFrame) -> DataFrame:
+    """Templates of leaves that fit in a row: supports come from comparing its lines."""
+    line = F.struct("name", "n", "lines", F.split("text", " ").alias("words"))
+    leaves = rows.select("leaf", line.alias("line")).groupBy("leaf").agg(F.collect_list("line").alias("ls"))
+    have = "transform(me.words, (w, p) -> if(w = '<*>', 0L, aggregate(ls, 0L, (s, o) -> s + if(o.words[p] = w, o.lines, 0L))))"
+    own = leaves.select("leaf", F.explode(F.expr(f"transform(ls, me -> struct(me.name, me.n, me.lines, me.words, {have} as have))")).alias("me")).select("leaf", "me.*")
+    least = F.ceil(F.col("n") * F.lit(KEPT)).cast("int")
+    own = own.withColumn("reach", F.element_at(F.sort_array("have", asc=False), least)).filter("reach > 1")
+    # As an argument of the lambda, reach is found once a line and not once a word.
+    shape = F.expr(f"transform(array(reach), r -> array_join(transform(words, (w, p) -> if(have[p] > 1 and have[p] >= {SAME} * r, w, '<*>')), ' '))[0]")
+    return own.select("name", "lines", F.md5(F.concat_ws(" ", F.lit("narrow"), F.col("leaf").cast("string"), shape)).alias("template"))
+
+
+def _wide(rows: DataFrame) -> DataFrame:
+    """Templates of other leaves: words are counted by leaf and place in two steps, and meet their lines again. A line is named by 60 bits of its name meanwhile."""
+    rows = rows.select("leaf", "text", "n", "lines", "name", F.conv(F.substring("name", 1, 15), 16, 10).cast("long").alias("id"))
+    spread = rows.select("id", "leaf", "lines", F.posexplode(F.split("text", " ")).alias("at", "word")).filter("word <> '<*>'")
+    spread = spread.select("id", "lines", F.xxhash64("leaf", "at", "word").alias("spot"))
+    support = spread.groupBy("spot").agg(F.sum("lines").alias("support"), F.count("*").alias("size")).filter("support > 1")
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()["words"]
+    met = join_groups(spread.select("id", "spot"), support, "spot", "size", max(1, total), "id").filter("support is not null")
+    by = met.groupBy("id").agg(F.collect_list(F.struct("support", "spot")).alias("spots")).join(rows.select("id", "name", "n", "lines"), "id")
     least = F.ceil(F.col("n") * F.lit(KEPT)).cast("int")
-    support = rows.select("lines", F.explode("spots").alias("spot")).groupBy("spot").agg(F.sum("lines").alias("support"), F.count("*").alias("size"))
-    support = written(support.filter("support > 1"))
-    held, test = _shared(support.select("spot"), support.count())
-    groups = held.select("groups").first()["groups"]
-    # Lines without enough words that the filter lets through have no template and are not shuffled.
-    near = rows.withColumn("group", _group(F.col("spots")[0], groups)).join(F.broadcast(held.drop("groups")), "group").withColumn("spots", F.expr(test))
-    near = written(near.select("name", "n", "lines", "spots").filter(F.size("spots") >= least))
-    total = near.agg(F.coalesce(F.sum(F.size("spots")), F.lit(0)).alias("n")).first()["n"]
-    met = join_groups(near.select("name", "n", "lines", F.explode("spots").alias("spot")), support, "spot", "size", max(1, total), "name").filter("support is not null")
-    by = met.groupBy("name").agg(F.first("n").alias("n"), F.first("lines").alias("lines"), F.collect_list(F.struct("support", "spot")).alias("spots"))
-    reach = F.element_at(F.sort_array("spots", asc=False), least)["support"]
-    kept = F.transform(F.array(reach), lambda most: F.filter("spots", lambda x: x["support"] >= SAME * most))[0]  # within the lambda, reach is found once a line
-    fixed = F.sort_array(F.transform(kept, lambda x: x["spot"]))
-    by = by.filter(F.size("spots") >= least)
-    return by.select("name", "lines", F.md5(F.concat_ws(",", F.col("n").cast("string"), F.transform(fixed, lambda x: x.cast("string")))).alias("template"))
+    by = by.filter(F.size("spots") >= least).withColumn("reach", F.element_at(F.sort_array("spots", asc=False), least)["support"])
+    fixed = F.expr(f"sort_array(transform(filter(spots, x -> x.support >= {SAME} * reach), x -> x.spot))")
+    name = F.concat_ws(",", F.lit("wide"), F.col("n").cast("string"), F.transform(fixed, lambda x: x.cast("string")))
+    return written(by.select("name", "n", "lines", "spots", "reach")).select("name", "lines", F.md5(name).alias("template"))
 
 
 def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
