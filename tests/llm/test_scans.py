@@ -320,11 +320,40 @@ def test_area_resize_against_plain_means():
     assert np.allclose(media.area_resize(image, 5, 7), fine.reshape(5, 12, 7, 18).mean((1, 3)))
 
 
-@pytest.mark.parametrize("make", ["secret_scan", "personal_data", "payload_images"])
-def test_hostile_rows(spark, make):
-    f = {"secret_scan": secrets.secret_scan, "personal_data": pii.personal_data, "payload_images": media.payload_images}[make]
-    assert f(hostile(spark)).count() == len(rows())
-    assert f(empty(spark)).count() == 0
+def hostile_want():
+    """(doc_id, text) of the hostile rows as the scans read them."""
+    return [(r[0], r[1] or "") for r in rows()]
+
+
+def test_secrets_of_hostile_rows(spark):
+    import collections
+
+    got = secrets.secret_scan(hostile(spark)).collect()
+    want = collections.Counter((i, digest(plain_secrets(t), list(secrets.KINDS))) for i, t in hostile_want())
+    assert collections.Counter((r["doc_id"], r["base_sha256"]) for r in got) == want
+    assert all(set(filter(None, r["spans"].split(","))) >= set() and r["n_guess"] >= 0 for r in got) and secrets.secret_scan(empty(spark)).count() == 0
+
+
+def test_personal_data_of_hostile_rows(spark):
+    import collections
+
+    got = pii.personal_data(hostile(spark)).collect()
+    want = collections.Counter((i, digest(plain_pii(t), list(pii.KINDS))) for i, t in hostile_want())
+    assert collections.Counter((r["doc_id"], r["base_sha256"]) for r in got) == want
+    by = {}
+    for r in got:  # equal rows have equal spans
+        assert by.setdefault((r["doc_id"], r["base_sha256"]), r["spans"]) == r["spans"]
+    assert pii.personal_data(empty(spark)).count() == 0
+
+
+def test_payloads_of_hostile_rows(spark):
+    import collections
+
+    got = media.payload_images(hostile(spark)).collect()
+    pad = lambda raw: raw + bytes(-len(raw) % 64 if raw else 64)
+    want = collections.Counter((i, len(t.encode()), hashlib.sha256(pad(t.encode())).hexdigest()) for i, t in hostile_want())
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["payload_sha256"]) for r in got) == want
+    assert media.payload_images(empty(spark)).count() == 0
 
 
 def test_language_held_out(spark, sf_dir):
