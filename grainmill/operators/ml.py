@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32, r2
+from ..sources.files import stored
 from .resampling import hash_folds
 
 
@@ -66,7 +67,7 @@ def grouped_cv(df: DataFrame, name: str, features: list[str], folds: int = 5, re
     """row_id, y, grp, oof: out-of-fold predictions averaged over repeats; groups never lie on both sides. clip winsorises the training target from below."""
     out = None
     for rep in range(repeats):
-        dealt = df.join(hash_folds(df, folds, f"{seed}|{rep}"), "grp")
+        dealt = stored(df.join(hash_folds(df, folds, f"{seed}|{rep}"), "grp"))
         for k in range(folds):
             train = dealt.filter(F.col("fold") != k)
             if clip is not None:
@@ -151,7 +152,7 @@ def permutation_importance(df: DataFrame, name: str, features: list[str], folds:
     """feature, drop: loss of R2 when a feature is shuffled inside the held-out fold, by rank of a hash."""
     from .resampling import permuted
 
-    dealt = df.join(hash_folds(df, folds, seed), "grp")
+    dealt = stored(df.join(hash_folds(df, folds, seed), "grp"))
     scored = None
     for k in range(folds):
         model = pipeline(name, features, **params).fit(dealt.filter(F.col("fold") != k))

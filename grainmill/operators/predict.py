@@ -166,25 +166,30 @@ def reversed_copies(pairs: DataFrame, swap: list[tuple[str, str]], negate: list[
 
 
 def transitive_scores(pairs: DataFrame, keys: list[str], a: str, b: str, value: str) -> DataFrame:
-    """Least-squares item scores of the pair values of each key: score_a - score_b is nearest to value, scores of a component sum to 0."""
+    """Least-squares item scores of the pair values of each key: score_a - score_b is nearest to value, scores of a component sum to 0.
+
+    Conjugate gradients on the pairs themselves: memory is linear in a key's pairs, and no matrix of its items is made."""
     import pandas as pd
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        items = sorted({*rows[a], *rows[b]})
-        at = {x: k for k, x in enumerate(items)}
-        lap, rhs = np.zeros((len(items),) * 2), np.zeros(len(items))
-        for x, y, v in zip(rows[a], rows[b], rows[value], strict=True):
-            i, j = at[x], at[y]
-            lap[i, i] += 1
-            lap[j, j] += 1
-            lap[i, j] -= 1
-            lap[j, i] -= 1
-            rhs[i] += v
-            rhs[j] -= v
-        score = np.linalg.pinv(lap) @ rhs
-        return pd.DataFrame([(*key, x, float(score[at[x]])) for x in items], columns=[*keys, "item", "score"])
+        items, at = np.unique(np.concatenate([rows[a], rows[b]]), return_inverse=True)
+        i, j, n = at[: len(rows)], at[len(rows) :], len(items)
+        spread = lambda v: np.bincount(i, v, n) - np.bincount(j, v, n)
+        left = spread(rows[value].to_numpy(float))
+        score, way, size = np.zeros(n), left.copy(), left @ left
+        least = 1e-26 * size
+        for _ in range(20 * n):
+            if size <= least:
+                break
+            turned = spread(way[i] - way[j])
+            step = size / (way @ turned)
+            score += step * way
+            left = left - step * turned
+            size, before = left @ left, size
+            way = left + size / before * way
+        return pd.DataFrame([(*key, x, float(v)) for x, v in zip(items.tolist(), score, strict=True)], columns=[*keys, "item", "score"])
 
     kinds = dict(pairs.dtypes)
     return pairs.select(*keys, a, b, value).groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", item {kinds[a]}, score double")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import numbered, placed
 from ..functions.scalars import hash32, ratio
+from ..sources.files import stored
 
 # ---- moments
 
@@ -42,12 +43,12 @@ def less_own(groups: DataFrame, columns: list[str], by: str | None = None) -> Da
 
 
 def arm_moments(pairs: DataFrame, y: str = "dy", arms: tuple[str, ...] = ("dp",), keys: tuple[str, ...] = ("grp",)) -> DataFrame:
-    """n, sy, syy and each arm's squared error by key, y counted from its global mean; one pass. Kept, as draws and scores both read it: a row a key."""
+    """n, sy, syy and each arm's squared error by key, y counted from its global mean; one pass. Stored, as draws and scores both read it: a row a key."""
     n = F.count("*")
     by = pairs.groupBy(*keys).agg(n.alias("n"), F.avg(y).alias("_my"), (F.var_pop(y) * n).alias("_yy"), *(F.sum((F.col(y) - F.col(a)) ** 2).alias(f"e_{a}") for a in arms))
     mean = by.agg(ratio(F.sum(F.col("n") * F.col("_my")), F.sum("n")).alias("_m"))
     off = F.col("_my") - F.col("_m")
-    return by.crossJoin(F.broadcast(mean)).select(*keys, "n", (F.col("n") * off).alias("sy"), (F.col("_yy") + F.col("n") * off * off).alias("syy"), *(f"e_{a}" for a in arms)).persist()
+    return stored(by.crossJoin(F.broadcast(mean)).select(*keys, "n", (F.col("n") * off).alias("sy"), (F.col("_yy") + F.col("n") * off * off).alias("syy"), *(f"e_{a}" for a in arms)))
 
 
 def weighted_r2_of(weight: Column, arm: str) -> Column:

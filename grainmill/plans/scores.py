@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import corr, is_true, r6, ratio
 from ..operators import cells as ce
 from ..operators import metrics as me
+from ..sources.files import stored
 from .registry import C, M, Q, QQ, QS, VALUES, measures, pairs, query, table
 
 
@@ -139,9 +140,11 @@ round((SELECT 1 - sum((yc-pc)*(yc-pc))/sum(yc*yc) FROM bw),6) AS r2_block, round
 aq.*, sp.* FROM (SELECT count(*) AS adjacent_n, round({DR2},6) AS adjacent_r2, round(avg(abs(dy-dp)),6) AS adjacent_mae, round(avg(CASE WHEN sign(dy)=sign(dp) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS adjacent_sign_accuracy, round(stddev_pop(dy),6) AS adjacent_true_sd, round(corr(dy,dp),6) AS adjacent_pearson FROM q) aq,
 (SELECT count(*) AS separation_pairs, count(DISTINCT blk) AS separation_blocks, round(avg(abs(dy-dp)),6) AS separation_mae, round({DR2},6) AS separation_r2, round(avg(CASE WHEN sign(dy)=sign(dp) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS separation_sign_accuracy FROM ap) sp""")
 def a18_full_metrics(s, d):
-    m = measures(s, d)
-    c = ce.collapse(m, ["y", "p"])
-    return rounded(me.full_metrics(m, c, pairs(s, d), ce.all_pairs(c, ["y", "p"])))
+    """Rows and cells are made once and stored, as nine scores read them."""
+    m = stored(measures(s, d).select("grp", "blk", "idx", "y", "p"))
+    c = stored(ce.collapse(m, ["y", "p"]))
+    near = ce.adjacent(c, ["y", "p"]).withColumnsRenamed({"d_y": "dy", "d_p": "dp"})
+    return rounded(me.full_metrics(m, c, near, ce.all_pairs(c, ["y", "p"])))
 
 
 @query(f"WITH {M}, w AS (SELECT grp, y, p, y - avg(y) OVER (PARTITION BY grp) AS yc, p - avg(p) OVER (PARTITION BY grp) AS pc FROM m) SELECT round(1 - sum((y-p)*(y-p))/(var_pop(y)*count(*)),6) AS r2, round(1 - sum((yc-pc)*(yc-pc))/sum(yc*yc),6) AS r2_within FROM w")

@@ -197,6 +197,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table at scratch(): what several plans read is computed once, and survives a lost executor."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """One file of bytes, through Spark's own file systems."""
     fs, p = _fs(spark, path)
