@@ -5,9 +5,11 @@ Frames carry the columns of roles.Roles: row_id, grp, blk, strict_blk, idx and v
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hash32
+
 
 def collapse(df: DataFrame, values: list[str], block: str = "blk", keys: tuple[str, ...] = ("grp",)) -> DataFrame:
     """A mean a value, block and index; dealt by block once, so what works inside blocks afterwards shuffles nothing."""
@@ -45,12 +47,24 @@ def all_pairs(cells: DataFrame, values: list[str], block: str = "blk") -> DataFr
     return cells.join(other, (F.col(block) == F.col("_b")) & (F.col("idx") < F.col("hi"))).select("grp", block, F.col("idx").alias("lo"), "hi", (F.col("hi") - F.col("idx")).alias("gap"), *((F.col(v) - F.col(f"_{v}")).alias(f"d_{v}") for v in values))
 
 
-def ordered_pairs(rows: DataFrame, value: str, rank: Column, most: int, block: str = "blk") -> DataFrame:
-    """Ordered pairs i <> j of a block's rows; at most `most` a block, those first by rank(a, b), a sampling limit."""
-    a = rows.select(F.col(block).alias("blk"), F.col("row_id").alias("i"), F.col(value).alias("a"))
-    b = rows.select(F.col(block).alias("_b"), F.col("row_id").alias("j"), F.col(value).alias("b"))
-    both = a.join(b, (F.col("blk") == F.col("_b")) & (F.col("i") != F.col("j"))).withColumn("_r", F.row_number().over(Window.partitionBy("blk").orderBy(rank, "i", "j")))
-    return both.filter(F.col("_r") <= most).select("blk", "i", "j", (F.col("a") - F.col("b")).alias("delta"))
+def ordered_pairs(rows: DataFrame, value: str, most: int, block: str = "blk", order: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """Ordered pairs i <> j of a block's rows; of a block with more than `most`, which is a sampling limit, that many at random.
+
+    A block's pairs are numbered, and numbers are drawn by hash before any rows are paired: of at most 8 x `most` pairs by rank of their hash, of
+    more by 2 x `most` + 16 draws, the first `most` different ones of which stand. So the work is bounded by `most` a block, not by its square."""
+    w = Window.partitionBy("blk")
+    numbered = rows.select(F.col(block).alias("blk"), F.col("row_id").alias("id"), F.col(value).alias("v"), *(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)))
+    numbered = numbered.select("blk", "id", "v", (F.row_number().over(w.orderBy(*(f"_o{k}" for k in range(len(order))))) - 1).cast("long").alias("r"))
+    blocks = numbered.groupBy("blk").agg(F.count("*").alias("n")).filter("n > 1").withColumn("pairs", F.col("n") * (F.col("n") - 1))
+    few = F.col("pairs") <= 8 * most
+    slots = blocks.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.when(few, F.col("pairs")).otherwise(2 * most + 16) - 1)))
+    hashed = hash32(F.concat_ws("|", "blk", F.col("t").cast("string")))
+    drawn = slots.select("blk", "n", F.when(few, F.col("t")).otherwise(hashed % F.col("pairs")).alias("k"), F.when(few, hashed).otherwise(F.col("t")).alias("at")).groupBy("blk", "n", "k").agg(F.min("at").alias("at"))
+    taken = drawn.withColumn("_r", F.row_number().over(w.orderBy("at", "k"))).filter(F.col("_r") <= most)
+    left, right = F.floor(F.col("k") / (F.col("n") - 1)), F.col("k") % (F.col("n") - 1)
+    taken = taken.select("blk", left.alias("a"), (right + (right >= left).cast("long")).alias("b"))
+    ends = {c: numbered.select("blk", F.col("r").alias(c), F.col("id").alias(x), F.col("v").alias(f"v{c}")) for c, x in (("a", "i"), ("b", "j"))}
+    return taken.join(ends["a"], ["blk", "a"]).join(ends["b"], ["blk", "b"]).select("blk", "i", "j", (F.col("va") - F.col("vb")).alias("delta"))
 
 
 def endpoint_coverage(df: DataFrame, block: str = "blk") -> DataFrame:

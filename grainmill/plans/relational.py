@@ -144,9 +144,12 @@ def j9_all_pairs(s, d):
     return rounded(ce.all_pairs(ce.collapse(measures(s, d), ["y"]), ["y"]).select("blk", "lo", "hi", F.col("d_y").alias("dy")))
 
 
-@query(f"WITH {M}, p AS (SELECT a.strict_blk AS blk, a.row_id AS i, b.row_id AS j, a.y - b.y AS delta, ('0x'||substr(md5(a.row_id||'|'||b.row_id),1,8))::BIGINT AS h FROM m a JOIN m b ON a.strict_blk=b.strict_blk AND a.row_id<>b.row_id), r AS (SELECT *, row_number() OVER (PARTITION BY blk ORDER BY h, i, j) AS r FROM p) SELECT blk, i, j, round(delta,6) AS delta FROM r WHERE r<=12")
+@query(f"""WITH {M}, o AS (SELECT strict_blk AS blk, row_id, y, row_number() OVER (PARTITION BY strict_blk ORDER BY row_id, y)-1 AS r FROM m), b AS (SELECT blk, count(*) AS n, count(*)*(count(*)-1) AS pairs FROM o GROUP BY 1 HAVING count(*)>1),
+t AS (SELECT blk, n, pairs, unnest(range(CASE WHEN pairs <= 96 THEN pairs ELSE 40 END)) AS t FROM b), h AS (SELECT *, ('0x'||substr(md5(concat_ws('|',blk,t)),1,8))::BIGINT AS h FROM t),
+d AS (SELECT blk, n, CASE WHEN pairs <= 96 THEN t ELSE h % pairs END AS k, min(CASE WHEN pairs <= 96 THEN h ELSE t END) AS pos FROM h GROUP BY 1,2,3), x AS (SELECT *, row_number() OVER (PARTITION BY blk ORDER BY pos, k) AS place, k//(n-1) AS a, k%(n-1) AS c FROM d)
+SELECT x.blk, p.row_id AS i, q.row_id AS j, round(p.y-q.y,6) AS delta FROM x JOIN o p ON p.blk=x.blk AND p.r=x.a JOIN o q ON q.blk=x.blk AND q.r=x.c+(x.c>=x.a)::INT WHERE place<=12""")
 def j10_ordered_pairs(s, d):
-    return rounded(ce.ordered_pairs(measures(s, d), "y", hash32(F.concat_ws("|", "i", "j")), 12, "strict_blk"))
+    return rounded(ce.ordered_pairs(measures(s, d), "y", 12, "strict_blk", ("row_id", "y")))
 
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(CASE l_returnflag WHEN 'R' THEN 1.0::DOUBLE WHEN 'A' THEN 2.0::DOUBLE END, 0.0::DOUBLE) AS radius FROM lineitem")
