@@ -1,9 +1,9 @@
 """Connected components of a table of links, by contraction.
 
-A round reads the links in parts of at most PART rows. A part is contracted to a forest: each of its nodes points to the smallest node that
+A round reads the links where they stand, in parts of at most PART rows. A part is contracted to a forest: each of its nodes points to the smallest node that
 the part connects it with. A node with several such roots, of several parts, keeps the smallest and links the others to it; these links
 go on to the next round, with the pointers of nodes that are roots themselves, until one part holds all. Labels follow the
-pointers back, last round first. Parts are dealt by hash, so a node with many links is spread over all of them, and no task
+pointers back, last round first. Links are not dealt by node, so one with many links lies in as many parts as they do, and no task
 holds more than PART links.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-PART = 1 << 16
+PART = 1 << 18
 _EDGE = pa.schema([("node", pa.int64()), ("root", pa.int64())])
 
 
@@ -51,9 +51,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a.append(batch.column(0).to_numpy())
         b.append(batch.column(1).to_numpy())
         held += batch.num_rows
-        if held >= PART:
-            yield part(a, b)
-            a, b, held = [], [], 0
+        while held >= PART:
+            x, y = np.concatenate(a), np.concatenate(b)
+            yield part([x[:PART]], [y[:PART]])
+            a, b, held = [x[PART:]], [y[PART:]], held - PART
     if held:
         yield part(a, b)
 
@@ -64,10 +65,10 @@ def connected(links: DataFrame) -> DataFrame:
     rounds: list[DataFrame] = []
     n = now.count()
     while n:
-        parts = -(-n // PART)
-        found = now.repartition(parts, F.xxhash64("a", "b")).select("a", "b").mapInArrow(_contract, "node long, root long")
+        whole = n <= PART
+        found = (now.coalesce(1) if whole else now).mapInArrow(_contract, "node long, root long")
         rounds.append(written(found.groupBy("node").agg(F.collect_set("root").alias("roots")).select("node", F.array_min("roots").alias("root"), "roots")))
-        if parts == 1:
+        if whole:
             break
         several = rounds[-1].filter(F.size("roots") > 1).select(F.col("root").alias("a"), F.explode("roots").alias("b")).filter("a <> b")
         inner = rounds[-1].join(rounds[-1].select(F.explode("roots").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b"))
