@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, written
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -231,7 +231,17 @@ def dictionary(df: DataFrame, text_col: str = "text", size: int = DICTIONARY) ->
     """The most frequent words of all texts, in order of their frequency."""
     bounded_batches(df)
     counts = df.select(F.col(text_col).alias("text")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.filter(F.col("n") >= MIN_TIMES).orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = written(counts.filter(F.col("n") >= MIN_TIMES))
+    step = F.floor(F.log2("n") * 16).cast("int")
+    steps = sorted(((r["step"], r["words"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)  # a thousand at most
+    total, least = 0, 0
+    for least, words in steps:
+        total += words
+        if total >= size:
+            break
+    # Words of the steps that are wanted pass one task, which holds and sends `size` of them.
+    few = counts.filter(step >= least).coalesce(1).orderBy(F.desc("n"), "word").limit(size)
+    return [r["word"] for r in few.collect()]
 
 
 def _joined(spans: list[tuple[int, int, int]], names: tuple[str, ...]) -> str:
