@@ -84,7 +84,7 @@ def _inside(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _general(inside: DataFrame) -> DataFrame:
     """name, lines, template of the lines that have one."""
     rows = written(inside.groupBy("leaf", "name").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.count("*").alias("lines")))
-    sizes = rows.groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1")  # a line that is alone in its leaf is its own template
+    sizes = rows.groupBy("leaf").agg(F.count("*").alias("size"), F.sum("lines").alias("all")).filter("size > 1")  # a line that is alone in its leaf is its own template
     met = join_groups(rows, sizes, "leaf", "size", max(1, rows.count()), "name").filter("size is not null")
     narrow = (F.col("size") <= NARROW) & (F.col("size") * F.col("n") <= NARROW_WORDS)
     return _narrow(met.filter(narrow)).unionByName(_wide(met.filter(~narrow)))
@@ -104,19 +104,24 @@ def _narrow(rows: DataFrame) -> DataFrame:
 
 
 def _wide(rows: DataFrame) -> DataFrame:
-    """Templates of other leaves: words are counted by leaf and place in two steps, and meet their lines again. A line is named by 60 bits of its name meanwhile."""
-    rows = rows.select("leaf", "text", "n", "lines", "name", F.conv(F.substring("name", 1, 15), 16, 10).cast("long").alias("id"))
-    spread = rows.select("id", "leaf", "lines", F.posexplode(F.split("text", " ")).alias("at", "word")).filter("word <> '<*>'")
-    spread = spread.select("id", "lines", F.xxhash64("leaf", "at", "word").alias("spot"))
+    """Templates of other leaves: words are counted by leaf and place in two steps, and meet their lines again. A line is named by 60 bits of its name meanwhile.
+
+    The leading words are in all lines of the leaf, so their support is known and only the others are laid out."""
+    rows = rows.select("leaf", "n", "lines", "all", "name", F.split("text", " ").alias("words"), F.conv(F.substring("name", 1, 15), 16, 10).cast("long").alias("id"))
+    places = F.expr(f"filter(transform(words, (w, p) -> struct(p as at, w as word)), x -> x.at >= {LEADING} and x.word <> '<*>')")
+    spread = rows.select("id", "leaf", "lines", F.explode(places).alias("x")).select("id", "lines", F.xxhash64("leaf", "x.at", "x.word").alias("spot"))
     support = spread.groupBy("spot").agg(F.sum("lines").alias("support"), F.count("*").alias("size")).filter("support > 1")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()["words"]
     met = join_groups(spread.select("id", "spot"), support, "spot", "size", max(1, total), "id").filter("support is not null")
-    by = met.groupBy("id").agg(F.collect_list(F.struct("support", "spot")).alias("spots")).join(rows.select("id", "name", "n", "lines"), "id")
-    least = F.ceil(F.col("n") * F.lit(KEPT)).cast("int")
-    by = by.filter(F.size("spots") >= least).withColumn("reach", F.element_at(F.sort_array("spots", asc=False), least)["support"])
+    by = met.groupBy("id").agg(F.collect_list(F.struct("support", "spot")).alias("spots"))
+    lead = F.expr(f"size(filter(slice(words, 1, {LEADING}), w -> w <> '<*>'))")
+    by = rows.select("id", "leaf", "name", "n", "lines", "all", lead.alias("lead")).join(by, "id", "left")
+    least = F.ceil(F.col("n") * F.lit(KEPT)).cast("int") - F.col("lead")
+    reach = F.when(least <= 0, F.col("all")).otherwise(F.try_element_at(F.sort_array("spots", asc=False), F.greatest(least, F.lit(1)))["support"])
+    by = written(by.select("leaf", "name", "n", "lines", F.coalesce("spots", F.array().cast("array<struct<support:bigint,spot:bigint>>")).alias("spots"), reach.alias("reach")).filter("reach > 1"))
     fixed = F.expr(f"sort_array(transform(filter(spots, x -> x.support >= {SAME} * reach), x -> x.spot))")
-    name = F.concat_ws(",", F.lit("wide"), F.col("n").cast("string"), F.transform(fixed, lambda x: x.cast("string")))
-    return written(by.select("name", "n", "lines", "spots", "reach")).select("name", "lines", F.md5(name).alias("template"))
+    name = F.concat_ws(",", F.lit("wide"), F.col("leaf").cast("string"), F.transform(fixed, lambda x: x.cast("string")))
+    return by.select("name", "lines", F.md5(name).alias("template"))
 
 
 def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
