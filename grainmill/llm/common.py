@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -32,6 +33,25 @@ def bounded_batches(df: DataFrame) -> None:
             conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Freed memory of this process to the system."""
+    import pyarrow as pa
+
+    with contextlib.suppress(Exception):
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run):
+    """run, a function for mapInArrow, whose worker gives freed memory back when the task ends: workers outlive their tasks."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where none is named (local tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import frugal, written
 
 PART = 1 << 18
 _EDGE = pa.schema([("node", pa.int64()), ("root", pa.int64())])
@@ -66,7 +66,7 @@ def connected(links: DataFrame) -> DataFrame:
     n = now.count()
     while n:
         whole = n <= PART
-        found = (now.coalesce(1) if whole else now).mapInArrow(_contract, "node long, root long")
+        found = (now.coalesce(1) if whole else now).mapInArrow(frugal(_contract), "node long, root long")
         rounds.append(written(found.groupBy("node").agg(F.collect_set("root").alias("roots")).select("node", F.array_min("roots").alias("root"), "roots")))
         if whole:
             break

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_groups, written
+from .common import bounded_batches, frugal, join_groups, written
 from .components import connected
 from .exact_dedup import _power, key_filter, may_repeat, without
 
@@ -590,7 +590,7 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of documents, of pairs of nodes (a, b), that sizes and sketches let through."""
     for c in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("doc").alias(f"d{c}"), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"s{c}")), c)
-    return pairs.select("da", "db", "na", "sa", "nb", "sb").mapInArrow(_sketched, _PAIR_DDL).distinct()
+    return pairs.select("da", "db", "na", "sa", "nb", "sb").mapInArrow(frugal(_sketched), _PAIR_DDL).distinct()
 
 
 def _links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -602,7 +602,7 @@ def _links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     centres = parted.select("a", "part").distinct().join(some, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(None).cast("long").alias("b"), "raw")
     others = parted.join(some, F.col("b") == F.col("doc_id")).select("a", "part", "b", "raw")
     dealt = centres.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(_checked, _PAIR_DDL).distinct()
+    return dealt.mapInArrow(frugal(_checked), _PAIR_DDL).distinct()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -634,12 +634,12 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_shingles, component_id of every row."""
     bounded_batches(df)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    first = written(texts.mapInArrow(_sets, _SETS_DDL))
+    first = written(texts.mapInArrow(frugal(_sets), _SETS_DDL))
     sets = first.filter("page is null").select("doc_id", "n", "key", "node", "fine")
     total = sets.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     least = max(FREQUENT, CROWDED * int(total["n"]) // CELLS)
     pages = first.filter("page is not null").select("page", "counts").repartition("page").sortWithinPartitions("page")
-    found = pages.mapInArrow(_marks(least), "page int, bits binary").collect()  # CELLS / 8 bytes at most
+    found = pages.mapInArrow(frugal(_marks(least)), "page int, bits binary").collect()  # CELLS / 8 bytes at most
     marks = bytearray(CELLS // 8) if found else None
     for r in found:
         marks[r["page"] * (PAGE_CELLS // 8) : (r["page"] + 1) * (PAGE_CELLS // 8)] = r["bits"]
@@ -647,8 +647,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     full = sets.filter("n > 0 and doc_id is not null")
     nodes = written(full.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("fine").alias("fine")))
     bits = min(24, max(10, (int(total["n"]) // 65536).bit_length()))
-    blobs = texts.filter("doc_id is not null").select("raw").mapInArrow(_sign(bits, bytes(marks) if marks else None), "bucket long, flush long, ids binary, sigs binary")
-    runs = written(blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_runs, _RUNS_DDL))
+    blobs = texts.filter("doc_id is not null").select("raw").mapInArrow(frugal(_sign(bits, bytes(marks) if marks else None)), "bucket long, flush long, ids binary, sigs binary")
+    runs = written(blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_runs), _RUNS_DDL))
     named = runs.filter("run < 0").select((-1 - F.col("run")).alias("flush"), F.posexplode("members").alias("at", "node")).select((F.shiftleft("flush", FLUSH_BITS) + F.col("at")).alias("id"), "node")
     parts = runs.filter("run >= 0")
     star = parts.select(F.explode(F.slice("members", 2, BLOCK)).alias("b"), F.element_at("members", 1).alias("a")).select("a", "b")
@@ -663,7 +663,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = written(_links(texts, written(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))))
     labels = connected(links)
     for spanning in (True, False):
-        more = _crowds(members, nodes, labels).mapInArrow(_between(spanning), _PAIR_DDL)
+        more = _crowds(members, nodes, labels).mapInArrow(frugal(_between(spanning)), _PAIR_DDL)
         rest = written(_apart(near.unionByName(more) if spanning else more, labels).distinct())
         links = written(links.unionByName(_links(texts, rest)))
         labels = connected(links)

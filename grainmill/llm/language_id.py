@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_groups, unit_hash, written
+from .common import bounded_batches, frugal, join_groups, unit_hash, written
 from .exact_dedup import without
 
 SAMPLE = 300
@@ -110,7 +110,7 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> li
     few = known.join(F.broadcast(rates), "_lang").filter(unit_hash(F.col("_id")) < F.col("_rate")).withColumn("_rank", rank).filter(F.col("_rank") <= SAMPLE).select("_id", "_lang").distinct()
     rows = labelled.select(F.col(id_col).alias("_id"), base_code(F.col(lang_col)).alias("_lang"), F.col(text_col).alias("_text")).filter("_lang is not null")
     rows = rows.join(F.broadcast(few), ["_id", "_lang"], "left_semi").dropDuplicates(["_id", "_lang"]).select("_lang", F.coalesce("_text", F.lit("")).cast("binary").alias("_text"))  # at most SAMPLE a language
-    counted = rows.repartition("_lang").sortWithinPartitions("_lang").mapInArrow(_counted, "lang string, counts binary")
+    counted = rows.repartition("_lang").sortWithinPartitions("_lang").mapInArrow(frugal(_counted), "lang string, counts binary")
     return [(r["lang"], np.frombuffer(r["counts"], "<u4").astype(np.int64)) for r in counted.collect()]
 
 
@@ -166,7 +166,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, te
         return df.select(F.col(id_col).cast("long").alias("id"), none.alias("language"), F.lit(None).cast("double").alias("probability"), none.alias("text_language"), (none if declared is None else declared).alias("declared"), (none if host is None else host).alias("host"), (none if suffix is None else suffix).alias("suffix"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(True).alias("accepted"), none.alias("reason"))
     parts = df.select(F.col(id_col).cast("long").alias("id"), *((none if c is None else c).cast("string").alias(k) for k, c in (("declared", declared), ("host", host), ("suffix", suffix))), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
     bounded_batches(df)
-    rows = written(parts.mapInArrow(_score(table, markup), _SCORED))
+    rows = written(parts.mapInArrow(frugal(_score(table, markup)), _SCORED))
     votes = [F.count(F.when(F.col("top") == k, 1)) for k in range(len(names))]
     whole = rows.agg(F.count("*").alias("rows"), *(v.alias(f"v{k}") for k, v in enumerate(votes))).first()
     total = whole["rows"]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, frugal
 
 WIDTH = 64
 TILE = 32
@@ -188,7 +188,7 @@ def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def image_columns(df: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
     """id, height, width, channels, npy, dhash, error of each image."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(bytes_col).alias("data")).mapInArrow(_images, "id long, height int, width int, channels int, npy binary, dhash string, error string")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(bytes_col).alias("data")).mapInArrow(frugal(_images), "id long, height int, width int, channels int, npy binary, dhash string, error string")
 
 
 def write_tiles(images: DataFrame, path: str) -> None:
@@ -223,4 +223,4 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def payload_images(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every text."""
     bounded_batches(df)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(_payloads, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(frugal(_payloads), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, frugal
 
 SEQUENCE = 2048
 END = 1
@@ -223,7 +223,7 @@ def pack(df: DataFrame, tokenizer: str, length: int = SEQUENCE, bin_docs: int =
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     bounded_batches(df)
     bins = max(1, math.ceil(df.count() / bin_docs))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_tokenize(tokenizer, length), "doc_id long, doc_tokens long, whole_crc array<long>, rest binary, salt long")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(_tokenize(tokenizer, length)), "doc_id long, doc_tokens long, whole_crc array<long>, rest binary, salt long")
     order = F.xxhash64("doc_id", "rest", "whole_crc")
     dealt = docs.withColumn("order", order).withColumn("bin", F.pmod(F.xxhash64(F.lit(7), "order", "salt"), F.lit(bins)))
     return dealt.groupBy("bin").applyInPandas(_pack(length), _PIECES)

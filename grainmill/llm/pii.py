@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, unit_hash
+from .common import bounded_batches, frugal, unit_hash
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
@@ -328,6 +328,6 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rate = min(1.0, 4 * train_docs / max(1, rows.count()))  # tasks then hold back all but a few candidates
     few = rows.filter(unit_hash(F.col("doc_id")) < rate).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_docs)
-    found = few.select("text").coalesce(1).mapInArrow(_trained, "name string, rows int, cells binary").collect()
+    found = few.select("text").coalesce(1).mapInArrow(frugal(_trained), "name string, rows int, cells binary").collect()
     model = {r["name"]: np.frombuffer(r["cells"], "<f8").reshape(r["rows"], LABELS) for r in found}
-    return rows.mapInArrow(_scan(model or train([])), _DDL)
+    return rows.mapInArrow(frugal(_scan(model or train([]))), _DDL)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, frugal, written
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -230,7 +230,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dictionary(df: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> list[str]:
     """The most frequent words of all texts, in order of their frequency."""
     bounded_batches(df)
-    counts = df.select(F.col(text_col).alias("text")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = df.select(F.col(text_col).alias("text")).mapInArrow(frugal(_count_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written(counts.filter(F.col("n") >= MIN_TIMES))
     step = F.floor(F.log2("n") * 16).cast("int")
     steps = sorted(((r["step"], r["words"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)  # a thousand at most
@@ -275,4 +275,4 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess of every text; words by rank, or those of the texts themselves."""
     bounded_batches(df)
     ranks = words_by_rank(dictionary(df, text_col) if words is None else words)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan(ranks), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(_scan(ranks)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
