@@ -12,9 +12,9 @@ A template that lies in MIN_DOCS documents or more is recurring, a line of LONG_
 documents. Lines of fewer than MIN_WORDS words stay, and a document's other lines keep their order and their line feeds.
 
 Lines, templates and documents are named by MD5, 128 bits, so that no two are taken for one. Equal lines are one row, with a count, before supports are
-made. A leaf of few distinct lines (NARROW of them, NARROW_WORDS words at most) is a row in which its lines are compared; the words of larger leaves are counted
-by leaf and place with partial sums before the shuffle and meet their lines by hash join, those of the most frequent keys (at most HOT_GROUPS) by
-broadcast. Both give the same templates, and no leaf, word or template that grows with the table is dealt to one task. Bloom filters of bounded size keep lines in other leaves, and the texts of documents
+made. A leaf's distinct lines are rows of BLOCK lines (and BLOCK_WORDS words) at most, in which words are counted by comparing lines. A leaf of one block needs no more; the
+counts of others are laid out, a row a different word and block, summed over the leaf with partial sums before the shuffle, and meet their blocks by hash join, those of
+the most frequent keys (at most HOT_GROUPS) by broadcast. So no leaf, word or template that grows with the table is dealt to one task. Bloom filters of bounded size keep lines in other leaves, and the texts of documents
 that lose nothing, out of every shuffle.
 
 Null text stays null and has no lines; empty text has none to drop. A very long text is one row, and its lines are rows like others. Ties do not arise: supports
@@ -37,8 +37,8 @@ MIN_DOCS = 4
 LONG_WORDS, LONG_DOCS = 50, 2
 SAME = 0.5
 KEPT = 0.6
-#: Distinct lines, and words of them, of a leaf whose lines are compared in one row.
-NARROW, NARROW_WORDS = 64, 1 << 16
+#: Distinct lines, and words of them, that are compared in one row.
+BLOCK, BLOCK_WORDS = 64, 1 << 16
 WHITE = r"\x20\x09-\x0D"
 
 
@@ -72,9 +72,9 @@ def _inside(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = F.regexp_count("text", F.lit(f"[^{WHITE}]+"))
     lead = F.regexp_extract("text", f"^[{WHITE}]*+((?:[^{WHITE}]++[{WHITE}]*+){{0,{LEADING}}})", 1)
     lines = texts.select("doc", F.posexplode(F.split("_text", "\n")).alias("line", "text"))
-    lines = lines.select("doc", "line", "text", n.alias("n"), F.xxhash64(n, words(masked(ascii_lower(lead)))).alias("leaf"))
+    lines = lines.select("doc", "line", "text", n.alias("n"), F.when(n >= MIN_WORDS, F.xxhash64(n, words(masked(ascii_lower(lead))))).alias("leaf"))
     by_doc = lines.select(F.xxhash64("doc").alias("h"), "leaf", "n").groupBy("leaf", "h").agg(F.max("n").alias("n"))
-    leaves = written(by_doc.groupBy("leaf").agg(F.count("*").alias("docs"), F.max("n").alias("n")).filter(_recurs("docs", "n") & (F.col("n") >= MIN_WORDS)).select("leaf"))
+    leaves = written(by_doc.groupBy("leaf").agg(F.count("*").alias("docs"), F.max("n").alias("n")).filter(_recurs("docs", "n") & F.col("leaf").isNotNull()).select("leaf"))
     flagged = may_repeat(lines, F.col("leaf"), *key_filter(leaves.select(F.col("leaf").alias("h")), leaves.count())).filter("_may").select("_row.*")
     text = tidy(masked(ascii_lower(F.col("text"))))
     out = flagged.filter(F.col("n") >= MIN_WORDS).select("doc", "line", "n", "leaf", text.alias("text"))
@@ -84,44 +84,42 @@ def _inside(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _general(inside: DataFrame) -> DataFrame:
     """name, lines, template of the lines that have one."""
     rows = written(inside.groupBy("leaf", "name").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.count("*").alias("lines")))
-    sizes = rows.groupBy("leaf").agg(F.count("*").alias("size"), F.sum("lines").alias("all")).filter("size > 1")  # a line that is alone in its leaf is its own template
+    sizes = rows.groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1")  # a line that is alone in its leaf is its own template
     met = join_groups(rows, sizes, "leaf", "size", max(1, rows.count()), "name").filter("size is not null")
-    narrow = (F.col("size") <= NARROW) & (F.col("size") * F.col("n") <= NARROW_WORDS)
-    return _narrow(met.filter(narrow)).unionByName(_wide(met.filter(~narrow)))
-
-
-def _narrow(rows: DataFrame) -> DataFrame:
-    """Templates of leaves that fit in a row: supports come from comparing its lines."""
+    # A leaf of few lines is one block; others have as many as keep blocks small.
+    each = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_WORDS) / F.col("n"))))
+    blocks = F.ceil(F.col("size") / each)
     line = F.struct("name", "n", "lines", F.split("text", " ").alias("words"))
-    leaves = rows.select("leaf", line.alias("line")).groupBy("leaf").agg(F.collect_list("line").alias("ls"))
-    have = "transform(me.words, (w, p) -> if(w = '<*>', 0L, aggregate(ls, 0L, (s, o) -> s + if(o.words[p] = w, o.lines, 0L))))"
-    own = leaves.select("leaf", F.explode(F.expr(f"transform(ls, me -> struct(me.name, me.n, me.lines, me.words, {have} as have))")).alias("me")).select("leaf", "me.*")
+    dealt = met.withColumn("whole", blocks <= 1).withColumn("block", F.pmod(F.xxhash64("name"), blocks).cast("int"))
+    held = written(dealt.groupBy("leaf", "block", "whole").agg(F.collect_list(line).alias("ls")))
+    one = "aggregate(ls, 0L, (s, o) -> s + if(o.words[p] = w, o.lines, 0L))"
+    alone = held.filter("whole").select("leaf", F.explode(F.expr(_lines(one))).alias("me"))
+    parts = held.filter("not whole")
+    known = "filter(known[p], x -> x.word = w)[0].support"
+    apart = parts.join(_known(parts, one), ["leaf", "block"]).select("leaf", F.explode(F.expr(_lines(known))).alias("me"))
+    own = alone.unionByName(apart).select("leaf", "me.*")
     least = F.ceil(F.col("n") * F.lit(KEPT)).cast("int")
     own = own.withColumn("reach", F.element_at(F.sort_array("have", asc=False), least)).filter("reach > 1")
     # As an argument of the lambda, reach is found once a line and not once a word.
     shape = F.expr(f"transform(array(reach), r -> array_join(transform(words, (w, p) -> if(have[p] > 1 and have[p] >= {SAME} * r, w, '<*>')), ' '))[0]")
-    return own.select("name", "lines", F.md5(F.concat_ws(" ", F.lit("narrow"), F.col("leaf").cast("string"), shape)).alias("template"))
-
-
-def _wide(rows: DataFrame) -> DataFrame:
-    """Templates of other leaves: words are counted by leaf and place in two steps, and meet their lines again. A line is named by 60 bits of its name meanwhile.
-
-    The leading words are in all lines of the leaf, so their support is known and only the others are laid out."""
-    rows = rows.select("leaf", "n", "lines", "all", "name", F.split("text", " ").alias("words"), F.conv(F.substring("name", 1, 15), 16, 10).cast("long").alias("id"))
-    places = F.expr(f"filter(transform(words, (w, p) -> struct(p as at, w as word)), x -> x.at >= {LEADING} and x.word <> '<*>')")
-    spread = rows.select("id", "leaf", "lines", F.explode(places).alias("x")).select("id", "lines", F.xxhash64("leaf", "x.at", "x.word").alias("spot"))
-    support = spread.groupBy("spot").agg(F.sum("lines").alias("support"), F.count("*").alias("size")).filter("support > 1")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()["words"]
-    met = join_groups(spread.select("id", "spot"), support, "spot", "size", max(1, total), "id").filter("support is not null")
-    by = met.groupBy("id").agg(F.collect_list(F.struct("support", "spot")).alias("spots"))
-    lead = F.expr(f"size(filter(slice(words, 1, {LEADING}), w -> w <> '<*>'))")
-    by = rows.select("id", "leaf", "name", "n", "lines", "all", lead.alias("lead")).join(by, "id", "left")
-    least = F.ceil(F.col("n") * F.lit(KEPT)).cast("int") - F.col("lead")
-    reach = F.when(least <= 0, F.col("all")).otherwise(F.try_element_at(F.sort_array("spots", asc=False), F.greatest(least, F.lit(1)))["support"])
-    by = written(by.select("leaf", "name", "n", "lines", F.coalesce("spots", F.array().cast("array<struct<support:bigint,spot:bigint>>")).alias("spots"), reach.alias("reach")).filter("reach > 1"))
-    fixed = F.expr(f"sort_array(transform(filter(spots, x -> x.support >= {SAME} * reach), x -> x.spot))")
-    name = F.concat_ws(",", F.lit("wide"), F.col("leaf").cast("string"), F.transform(fixed, lambda x: x.cast("string")))
-    return by.select("name", "lines", F.md5(name).alias("template"))
+    return own.select("name", "lines", F.md5(F.concat_ws(" ", F.col("leaf").cast("string"), shape)).alias("template"))
+
+
+def _lines(support: str) -> str:
+    """SQL: a block's lines, each with the support of its words; that of a word w at a place p is the expression given."""
+    return f"transform(ls, me -> struct(me.name, me.n, me.lines, me.words, transform(me.words, (w, p) -> if(w = '<*>', 0L, {support})) as have))"
+
+
+def _known(parts: DataFrame, one: str) -> DataFrame:
+    """leaf, block, known: by place the words of a block with their support in the whole leaf.
+
+    Words are counted inside blocks first, so that a row is laid out a different word and block; sums over a leaf's blocks meet the blocks again."""
+    places = f"transform(sequence(0, size(ls[0].words) - 1), p -> transform(array_distinct(transform(ls, o -> o.words[p])), w -> struct(p as at, w as word, {one} as lines)))"
+    laid = written(parts.select("leaf", "block", F.explode(F.expr(f"flatten({places})")).alias("x")).select("leaf", "block", "x.*", F.xxhash64("leaf", "x.at", "x.word").alias("spot")))
+    support = laid.groupBy("spot").agg(F.sum("lines").alias("support"), F.count("*").alias("size"))
+    met = join_groups(laid.select("leaf", "block", "at", "word", "spot"), support, "spot", "size", max(1, laid.count()), "block")
+    by = met.groupBy("leaf", "block", "at").agg(F.collect_list(F.struct("word", "support")).alias("ws"))
+    return by.groupBy("leaf", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "ws"))), lambda k: k["ws"]).alias("known"))
 
 
 def templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
