@@ -396,13 +396,13 @@ def test_a_leaf_holds_several_templates(spark):
     assert dropped(spark, data + strays) == set(range(24))
 
 
-@pytest.mark.parametrize("narrow", [(0, 0), (64, 30), (64, 1 << 16)])
-def test_templates_of_narrow_and_wide_leaves_agree(spark, monkeypatch, narrow):
-    """Whether a leaf's lines are compared in a row or its words are counted apart, or some of each."""
+@pytest.mark.parametrize("narrow", [(1, 1), (3, 30), (64, 1 << 16)])
+def test_templates_of_one_and_many_blocks_agree(spark, monkeypatch, narrow):
+    """Whether a leaf's lines are compared in one row or counts of many are summed, or some of each."""
     import random
 
-    monkeypatch.setattr(line_templates, "NARROW", narrow[0])
-    monkeypatch.setattr(line_templates, "NARROW_WORDS", narrow[1])
+    monkeypatch.setattr(line_templates, "BLOCK", narrow[0])
+    monkeypatch.setattr(line_templates, "BLOCK_WORDS", narrow[1])
     rng = random.Random(6)
     pick = lambda k: rng.choice(["ab", "cd", "ef", "gh", "x1", "yz", "qq"][:k])
     data = [(k, "\n".join(" ".join(["go", pick(2), *(pick(rng.choice([1, 2, 7])) for _ in range(rng.choice([3, 4, 8, 60])))]) for _ in range(rng.randrange(4)))) for k in range(150)]
