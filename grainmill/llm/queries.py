@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, language_id, line_templates, media, mixing, packing, pii, secrets, sharding
+from . import exact_dedup, importance, jaccard, language_id, line_templates, media, mixing, packing, pii, quality_rules, secrets, sharding
 from .common import read
 
 
@@ -65,7 +65,19 @@ def op10_histogram_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_partenum_jaccard, op2_guess_cost_secrets, op3_evidence_language_id, op4_template_line_dedup, op5_cost_packing, op6_netpbm_bmp_tiles, op7_skip_chain_pii, op8_ring_sharding, op9_bloom_dedup, op10_histogram_mixing)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(read(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_partenum_jaccard, op2_guess_cost_secrets, op3_evidence_language_id, op4_template_line_dedup, op5_cost_packing, op6_netpbm_bmp_tiles,
+    op7_skip_chain_pii, op8_ring_sharding, op9_bloom_dedup, op10_histogram_mixing, op11_quality_rules, op12_importance_resampling,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 SQL: dict[str, str] = {
     "op9_bloom_dedup": """
@@ -73,4 +85,6 @@ SQL: dict[str, str] = {
         g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.x) AS text_sha256 FROM t JOIN g USING (x)""",
     "op10_histogram_mixing": "SELECT doc_id, size, source_size, round(target, 6) AS target, taken FROM (" + mixing.SQL + ")",
+    "op11_quality_rules": quality_rules.sql(),
+    "op12_importance_resampling": importance.sql(),
 }
