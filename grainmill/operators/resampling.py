@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.digests import ordered_digest
 from ..functions.ranks import numbered, placed
 from ..functions.scalars import hash32, ratio
 from ..sources.files import stored
@@ -169,8 +170,8 @@ def snake_draft(counts: DataFrame, n: str, parts: int = 3, key: str = "grp") ->
 
 
 def digest(df: DataFrame, part: str, key: str) -> DataFrame:
-    """SHA-256 of each part's sorted keys, a line each."""
-    return df.groupBy(part).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(key))), 256).alias("digest"), F.count("*").alias("n"))
+    """SHA-256 of each part's sorted keys, a line each; keys are hashed as a stream in the order of their bytes."""
+    return ordered_digest(stored(df.select(part, key)), [part], [key], F.col(key), "\n")
 
 
 def permuted(df: DataFrame, row: str, column: str, seed: str, by: list[str]) -> DataFrame:
