@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, importance, jaccard, language_id, line_templates, media, mixing, packing, pii, quality_rules, secrets, sharding
+from . import exact_dedup, importance, jaccard, language_id, line_templates, media, mixing, packing, pii, prefix_trie, quality_rules, secrets, sharding
 from .common import read
 
 
@@ -73,9 +73,14 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(read(spark, sf_dir, "conversations")))
+
+
 _ALL = (
     op1_partenum_jaccard, op2_guess_cost_secrets, op3_evidence_language_id, op4_template_line_dedup, op5_cost_packing, op6_netpbm_bmp_tiles,
     op7_skip_chain_pii, op8_ring_sharding, op9_bloom_dedup, op10_histogram_mixing, op11_quality_rules, op12_importance_resampling,
+    op13_prefix_trie,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -87,4 +92,5 @@ SQL: dict[str, str] = {
     "op10_histogram_mixing": "SELECT doc_id, size, source_size, round(target, 6) AS target, taken FROM (" + mixing.SQL + ")",
     "op11_quality_rules": quality_rules.sql(),
     "op12_importance_resampling": importance.sql(),
+    "op13_prefix_trie": prefix_trie.SQL,
 }
