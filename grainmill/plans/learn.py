@@ -7,11 +7,11 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r2
-from ..operators import ml
+from ..operators import boosting, ml
 from ..operators import predict as pr
 from ..operators import resampling as rs
 from ..sources import files
-from .registry import Q, measures, pairs, query
+from .registry import M, Q, measures, pairs, query
 from .scores import rounded
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -31,6 +31,30 @@ for _name in ("ridge", "elasticnet", "huber", "rf", "gbt"):
     _model_query(_name)
 
 
+#: Trees, leaves, levels and bins of the boosters' queries; the learners' own defaults are larger.
+SMALL = {"trees": 8, "leaves": 8, "depth": 3, "bins": 32}
+
+
+def _booster_query(name, **params):
+    @query(None, f"p1_model_{name}")
+    def run(s, d):
+        return rounded(ml.grouped_cv(rows(s, d), name, FEATURES, folds=3, **SMALL, **params).agg(F.count("*").alias("n"), r2("y", "oof").alias("r2")))
+
+
+_booster_query("hgb")
+_booster_query("lgbm_dart", drop=0.3)
+_booster_query("catboost")
+
+
+@query(f"""WITH {M}, r AS (SELECT row_id, min(l_returnflag) AS c, avg(y) AS y FROM m GROUP BY row_id),
+o AS (SELECT *, coalesce(sum(y) OVER w, 0) AS s, count(*) OVER w AS n FROM (SELECT *, ('0x' || substr(md5('0|' || row_id), 1, 8))::BIGINT AS h FROM r) WINDOW w AS (PARTITION BY c ORDER BY h, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT row_id, c, round((s + (SELECT avg(y) FROM r)) / (n + 1), 5) AS encoded FROM o""")
+def p1_ordered_category(s, d):
+    """A row's return flag as the mean target of the rows with that flag that come before it in the order of a hash."""
+    r = measures(s, d).groupBy("row_id").agg(F.min("l_returnflag").alias("c"), F.avg("y").alias("y"))
+    return boosting.ordered_statistic(r, "c").select("row_id", "c", F.round("encoded", 5).alias("encoded"))
+
+
 @query()
 def p2_grid_search(s, d):
     found = ml.search(rows(s, d), "ridge", FEATURES, trials=3, folds=3)
