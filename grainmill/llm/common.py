@@ -120,11 +120,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     """rows left-joined with groups, which has one row per key and the group's size in a column of that name.
 
     Groups of more than total / HOT_GROUPS rows are at most HOT_GROUPS in number, so these are broadcast;
-    the rest are joined by a shuffle, in which the hot rows are spread by row_key.
+    the rest are joined by a shuffle, in which the hot rows are spread by row_key. (The salt of groups is always 0, but not a literal:
+    Spark would leave that out of the join's keys, and deal hot rows by their group.)
     """
     others = [c for c in groups.columns if c != key]
     hot = groups.filter(F.col(size) > F.lit(total / HOT_GROUPS)).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in others])
-    cold = groups.filter(F.col(size) <= F.lit(total / HOT_GROUPS)).select(F.col(key).alias("_ck"), F.lit(0).alias("_cs"), *[F.col(c).alias(f"_c_{c}") for c in others])
+    cold = groups.filter(F.col(size) <= F.lit(total / HOT_GROUPS)).select(F.col(key).alias("_ck"), F.pmod(F.hash(key), F.lit(1)).alias("_cs"), *[F.col(c).alias(f"_c_{c}") for c in others])
     out = rows.join(F.broadcast(hot), rows[key] == F.col("_hk"), "left")
     out = out.withColumn("_salt", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.hash(row_key), F.lit(1 << 20))))
     out = out.join(cold, (F.col(key) == F.col("_ck")) & (F.col("_salt") == F.col("_cs")), "left")

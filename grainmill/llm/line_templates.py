@@ -2,11 +2,12 @@
 
 Lines are the pieces between line feeds; words are the pieces between ASCII white space, A-Z lower-cased; a word with a digit is
 variable from the start. The tree has fixed depth: a line's leaf is its number of words and its first LEADING words. A leaf holds as many
-templates as its lines show. Words are counted by leaf and place, so that each word of a line has its support: the lines of the leaf that have it
-at its place. The words that a template keeps are at least the share KEPT of all. So the support that this share of a line's
-words reach is the size of the largest template that the line can belong to; its words of at least the share SAME of that support are
-fixed, the others are variable, and the fixed words with their places are the line's template. Lines of one template
-agree on them whatever other lines, templates or strays the leaf has. A line is a template of its own, too.
+templates as its lines show. Words after the leading ones are counted by leaf and place, so that each has its support: the lines of the leaf that have it
+at its place. A template keeps at least the share KEPT of these words, and LEAST of them: what a leaf's lines have by being there, their
+leading words, says nothing. So the support that this many of a line's words reach is the size of the largest template that the line
+can belong to; its words of at least the share SAME of that support are fixed, the others are variable, and the fixed words with
+their places are the line's template. Lines of one template agree on them whatever other lines, templates or strays the leaf has, and
+lines that share an opening only have none. A line is a template of its own, too.
 
 A template that lies in MIN_DOCS documents or more is recurring, a line of LONG_WORDS words or more from LONG_DOCS documents on: its lines go, from all
 documents. Lines of fewer than MIN_WORDS words stay, and a document's other lines keep their order and their line feeds.
@@ -36,7 +37,7 @@ MIN_WORDS = 3
 MIN_DOCS = 4
 LONG_WORDS, LONG_DOCS = 50, 2
 SAME = 0.5
-KEPT = 0.6
+KEPT, LEAST = 0.5, 2  # of the words after the leading ones
 #: Distinct lines, and words of them, that are compared in one row.
 BLOCK, BLOCK_WORDS = 64, 1 << 16
 WHITE = r"\x20\x09-\x0D"
@@ -95,26 +96,26 @@ def _general(inside: DataFrame) -> DataFrame:
     one = "aggregate(ls, 0L, (s, o) -> s + if(o.words[p] = w, o.lines, 0L))"
     alone = held.filter("whole").select("leaf", F.explode(F.expr(_lines(one))).alias("me"))
     parts = held.filter("not whole")
-    known = "filter(known[p], x -> x.word = w)[0].support"
+    known = f"filter(known[p - {LEADING}], x -> x.word = w)[0].support"
     apart = parts.join(_known(parts, one), ["leaf", "block"]).select("leaf", F.explode(F.expr(_lines(known))).alias("me"))
     own = alone.unionByName(apart).select("leaf", "me.*")
-    least = F.ceil(F.col("n") * F.lit(KEPT)).cast("int")
-    own = own.withColumn("reach", F.element_at(F.sort_array("have", asc=False), least)).filter("reach > 1")
+    least = F.greatest(F.lit(LEAST), F.ceil((F.col("n") - LEADING) * F.lit(KEPT)).cast("int"))
+    own = own.withColumn("reach", F.get(F.sort_array("have", asc=False), least - 1)).filter("reach > 1")
     # As an argument of the lambda, reach is found once a line and not once a word.
-    shape = F.expr(f"transform(array(reach), r -> array_join(transform(words, (w, p) -> if(have[p] > 1 and have[p] >= {SAME} * r, w, '<*>')), ' '))[0]")
+    shape = F.expr(f"transform(array(reach), r -> array_join(transform(words, (w, p) -> if(p < {LEADING} or have[p] > 1 and have[p] >= {SAME} * r, w, '<*>')), ' '))[0]")
     return own.select("name", "lines", F.md5(F.concat_ws(" ", F.col("leaf").cast("string"), shape)).alias("template"))
 
 
 def _lines(support: str) -> str:
     """SQL: a block's lines, each with the support of its words; that of a word w at a place p is the expression given."""
-    return f"transform(ls, me -> struct(me.name, me.n, me.lines, me.words, transform(me.words, (w, p) -> if(w = '<*>', 0L, {support})) as have))"
+    return f"transform(ls, me -> struct(me.name, me.n, me.lines, me.words, transform(me.words, (w, p) -> if(p < {LEADING} or w = '<*>', 0L, {support})) as have))"
 
 
 def _known(parts: DataFrame, one: str) -> DataFrame:
     """leaf, block, known: by place the words of a block with their support in the whole leaf.
 
     Words are counted inside blocks first, so that a row is laid out a different word and block; sums over a leaf's blocks meet the blocks again."""
-    places = f"transform(sequence(0, size(ls[0].words) - 1), p -> transform(array_distinct(transform(ls, o -> o.words[p])), w -> struct(p as at, w as word, {one} as lines)))"
+    places = f"transform(sequence({LEADING}, size(ls[0].words) - 1), p -> transform(array_distinct(transform(ls, o -> o.words[p])), w -> struct(p as at, w as word, {one} as lines)))"
     laid = written(parts.select("leaf", "block", F.explode(F.expr(f"flatten({places})")).alias("x")).select("leaf", "block", "x.*", F.xxhash64("leaf", "x.at", "x.word").alias("spot")))
     support = laid.groupBy("spot").agg(F.sum("lines").alias("support"), F.count("*").alias("size"))
     met = join_groups(laid.select("leaf", "block", "at", "word", "spot"), support, "spot", "size", max(1, laid.count()), "block")

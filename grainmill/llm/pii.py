@@ -44,7 +44,7 @@ _MAILBOX = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_TOKEN, _TELLING = re.compile(r"\S+"), re.compile(r"[0-9@]")
 _CUES = re.compile(r"(?:phone|tel|call|fax|mobile|e-?mail|mail|contact|card|visa|account|iban|ip|address|server|host)\W*\Z", re.IGNORECASE)
 
 
@@ -131,6 +131,8 @@ class Graph:
             held = [[(s, e) for s, k, e in spans[d] if k == kind] for kind in range(len(KINDS))]  # of one kind, spans do not overlap
             for m in _TOKEN.finditer(text):
                 a, b = m.span()
+                if not _TELLING.search(text, a, b):
+                    continue
                 while a < b and text[a] in "\"'([{<":
                     a += 1
                 while b > a and text[b - 1] in "\"')]}>.,;:!?#*$%&":

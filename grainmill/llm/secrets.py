@@ -192,11 +192,14 @@ def context_values(text: str) -> Iterator[tuple[int, int, bool]]:
 
 def guess_spans(text: str, base: list[tuple[int, int, int]], least: float = MIN_GUESSES, ranks: dict[str, float] = RANKS, longest: int = WORD[1]) -> list[tuple[int, int]]:
     """(start, end) of context values that are hard to guess and outside the base spans."""
-    out = []
+    out, k, past = [], 0, 0  # past: the furthest end of the base spans that begin before the value ends
     for start, end, plain in context_values(text):
+        while k < len(base) and base[k][0] < end:
+            past = max(past, base[k][2])
+            k += 1
         value = text[start:end]
         prose = plain and value.isalpha()  # "token classification"
-        if not prose and end - start >= 6 and not any(a < end and start < b for a, _, b in base) and guess_cost(value, ranks, longest) >= least:
+        if not prose and end - start >= 6 and past <= start and guess_cost(value, ranks, longest) >= least:
             out.append((start, end))
     return out
 
@@ -239,8 +242,8 @@ def dictionary(df: DataFrame, text_col: str = "text", size: int = DICTIONARY) ->
         total += words
         if total >= size:
             break
-    # Words of the steps that are wanted pass one task, which holds and sends `size` of them.
-    few = counts.filter(step >= least).coalesce(1).orderBy(F.desc("n"), "word").limit(size)
+    # Tasks read and filter the counts; only words of the steps that are wanted pass one task, which holds and sends `size` of them.
+    few = counts.filter(step >= least).repartition(1).sortWithinPartitions(F.desc("n"), "word").limit(size)
     return [r["word"] for r in few.collect()]
 
 

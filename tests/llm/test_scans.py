@@ -464,3 +464,46 @@ def test_language_fusion_by_hand(spark):
 def test_language_hostile(spark):
     assert language_id.accepted_rows(hostile(spark)).columns == hostile(spark).columns
     assert language_id.accepted_rows(empty(spark)).count() == 0
+
+
+def test_a_text_without_spaces_takes_linear_time():
+    import time
+
+    from grainmill.llm import pii
+
+    text = "字" * 500_000 + "a" * 500_000
+    began = time.time()
+    assert pii.base_spans(text) == []
+    assert [len(m[0]) for t in (text, text + "1") for m in pii._TOKEN.finditer(t) if pii._TELLING.search(t, *m.span())] == [1_000_001]
+    assert time.time() - began < 5
+
+
+def test_many_values_take_linear_time():
+    import time
+
+    from grainmill.llm import secrets
+
+    text = " ".join(f"password={k:06d}abc" if k % 2 else f"bearer {k:06d}" for k in range(100_000))
+    base = secrets.base_spans(text)
+    began = time.time()
+    found = secrets.guess_spans(text, base, least=float("inf"))
+    assert time.time() - began < 30 and found == [] and len(base) == 50_000
+
+
+def test_values_that_meet_base_spans_of_any_kind():
+    """Walking both in order finds the same as looking through all base spans for each value."""
+    import random
+
+    from grainmill.llm import secrets
+
+    rng = random.Random(5)
+    parts = ["password=", "token: ", "secret is ", "://u:", "AKIA", "ABCDEFGHIJKLMNOP12", "0123456789abcdef01234567", "xK9#qLw2", "@h ", " ", "bearer ", "pwd="]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(25))
+        base = secrets.base_spans(text)
+        want = []
+        for a, b, plain in secrets.context_values(text):
+            value = text[a:b]
+            if not (plain and value.isalpha()) and b - a >= 6 and all(y <= a or x >= b for x, _, y in base) and secrets.guess_cost(value, secrets.RANKS, secrets.WORD[1]) >= secrets.MIN_GUESSES:
+                want.append((a, b))
+        assert secrets.guess_spans(text, base) == want

@@ -350,12 +350,13 @@ def plain_lines(data):
         n = len(w)
         if len(seen[n, w[:2]]) < (2 if n >= 50 else 4):
             continue
-        have = [0 if x == "<*>" else support[n, w[:2], p, x] for p, x in enumerate(w)]
-        ranked = sorted((h for h in have if h > 1), reverse=True)
+        # What tells a template are words that other lines of the leaf have too, beyond the two that put them there.
+        shared = {p: support[n, w[:2], p, x] for p, x in enumerate(w) if p > 1 and x != "<*>" and support[n, w[:2], p, x] > 1}
         names = [("line", n, w)]
-        least = -(-6 * n // 10)
-        if len(ranked) >= least:
-            names.append(("template", n, tuple((p, x) if 2 * have[p] >= ranked[least - 1] and have[p] > 1 else None for p, x in enumerate(w))))
+        least = max(2, (n - 2 + 1) // 2)
+        if len(shared) >= least:
+            reach = sorted(shared.values())[-least]
+            names.append(("template", n, w[:2], tuple((p, w[p]) for p, h in shared.items() if 2 * h >= reach)))
         mine[row, k] = names
         for name in names:
             where[name].add(doc)
@@ -410,6 +411,19 @@ def test_templates_of_one_and_many_blocks_agree(spark, monkeypatch, narrow):
     assert gone and len(gone) < len(data)
 
 
+def test_lines_that_share_an_opening_stay(spark):
+    """Distinct short lines with one usual opening, many of them, beside templates of the same leaves that go."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    prose = ["I think so", "I think not", "i think maybe", "I THINK tomorrow"] + [f"I think {word()}" for _ in range(30)]
+    prose += [f"you know nothing {word()} {word()}" for _ in range(30)] + [f"we saw the {word()}" for _ in range(30)] + [f"it was {word()} {word()} {word()} {word()}" for _ in range(30)]
+    data = list(enumerate(prose)) + [(1000 + k, f"you know that {word()} sleeps") for k in range(6)] + [(2000 + k, f"it was read by {word()} again") for k in range(6)]
+    assert dropped(spark, data) == {i for i, _ in data if i >= 1000}
+    assert dropped(spark, list(enumerate(["I think so", "I think not", "i think maybe", "I THINK tomorrow"]))) == set()
+
+
 def test_long_lines_recur_from_two_documents_on(spark):
     long = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
     data = [(1, long + "\nown words of one"), (2, "own words of two\n" + long), (3, "few words shared"), (4, "few words shared"), (5, "few words shared")]
@@ -418,7 +432,7 @@ def test_long_lines_recur_from_two_documents_on(spark):
 
 
 def test_lines_with_clashing_columns(spark):
-    df = clashing(spark, [(k, f"a line of {'abcdefgh'[k % 8]}\nshared by all of them") for k in range(8)]).withColumn("n_lines", F.lit("mine"))
+    df = clashing(spark, [(k, f"a line of words for {'abcdefgh'[k % 8]}\nshared by all of them") for k in range(8)]).withColumn("n_lines", F.lit("mine"))
     got = line_templates.drop_recurring(df)
     assert got.columns == [*NAMES, "n_lines", "n_dropped"]
     assert {(r["text"], r["n_lines"], r["n_dropped"], r["doc"]) for r in got.collect()} == {("", 2, 2, f"doc{k}") for k in range(8)}
