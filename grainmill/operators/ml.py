@@ -1,4 +1,4 @@
-"""Model zoo on pyspark.ml and the boosters of this package, grouped cross-validation, feature selection and permutation importance.
+"""Model zoo on pyspark.ml and the learners of this package, grouped cross-validation, feature selection and permutation importance.
 
 Models are named; an unknown name, or a model that cannot take sample weights, is an error rather than a silent refit without them.
 Fits run on the cluster; the driver only loops over folds. Missing features are imputed by the training fold's medians.
@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash32, r2
 from ..sources.files import stored
 from .boosting import LEARNERS, boost
+from .neighbours import knn_cv
+from .perceptron import mlp
 from .resampling import hash_folds
+from .support import svr
 
 
 def _zoo() -> dict[str, Callable]:
@@ -47,7 +50,7 @@ WEIGHTED = {"linear", "ridge", "elasticnet", "huber", "glm", "tree", "rf", "extr
 def make_model(name: str, weight: str | None = None, **params):
     zoo = _zoo()
     if name not in zoo:
-        raise KeyError(f"no model {name!r}; there are {sorted([*zoo, *LEARNERS])}, of which boosters are fitted by grouped_cv() or boosting.fit()")
+        raise KeyError(f"no model {name!r}; there are {sorted([*zoo, *LEARNERS, *OWN])}, of which {sorted([*LEARNERS, *OWN])} are fitted by grouped_cv()")
     if weight and name not in WEIGHTED:
         raise ValueError(f"model {name!r} takes no sample weights")
     extra = {"weightCol": weight} if weight else {}
@@ -70,8 +73,8 @@ def grouped_cv(df: DataFrame, name: str, features: list[str], folds: int = 5, re
     out = None
     for rep in range(repeats):
         dealt = stored(df.join(hash_folds(df, folds, f"{seed}|{rep}"), "grp"))
-        if name in LEARNERS:
-            one = _boosted(dealt, name, features, folds, f"{seed}|{rep}", weight, clip, params)
+        if name in LEARNERS or name in OWN:
+            one = _at_once(dealt, name, features, folds, f"{seed}|{rep}", weight, clip, params)
             out = one if out is None else out.unionByName(one)
             continue
         for k in range(folds):
@@ -83,10 +86,21 @@ def grouped_cv(df: DataFrame, name: str, features: list[str], folds: int = 5, re
     return out.groupBy("row_id").agg(F.first("y").alias("y"), F.first("grp").alias("grp"), F.avg("oof").alias("oof"))
 
 
-def _boosted(dealt: DataFrame, name: str, features: list[str], folds: int, seed: str, weight: str | None, clip: float | None, params: dict) -> DataFrame:
-    """row_id, y, grp, oof of a booster of all folds at once; missing features stay missing."""
+#: Learners of this package besides the boosters; they take no sample weights.
+OWN: dict[str, Callable] = {
+    "knn": lambda d, x, folds, **p: knn_cv(d, x, **p),
+    "svr": lambda d, x, folds, **p: svr(d, x, folds, **p)[1],
+    "mlp": lambda d, x, folds, **p: mlp(d, x, folds, **p)[1],
+}
+
+
+def _at_once(dealt: DataFrame, name: str, features: list[str], folds: int, seed: str, weight: str | None, clip: float | None, params: dict) -> DataFrame:
+    """row_id, y, grp, oof of a learner that fits all folds at once."""
+    if name in OWN and weight:
+        raise ValueError(f"model {name!r} takes no sample weights")
     train = dealt if clip is None else dealt.withColumn("y", F.greatest("y", F.lit(-abs(clip))))
-    found = boost(train, features, replace(LEARNERS[name], **{"seed": seed, **params}), folds, weight)[1].select("row_id", "y", "grp", "oof")
+    found = OWN[name](train, features, folds, **params) if name in OWN else boost(train, features, replace(LEARNERS[name], **{"seed": seed, **params}), folds, weight)[1]
+    found = found.select("row_id", "y", "grp", "oof")
     if clip is None:
         return found
     return found.drop("y").join(dealt.select(F.col("row_id").cast("string").alias("row_id"), "y"), "row_id").select("row_id", "y", "grp", "oof")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +10,12 @@ def spec_key(*parts) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def job_grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
-    """All combinations of the axes' values."""
-    kinds = {str: "string", int: "int", float: "double", bool: "boolean"}
-    schema = ", ".join(f"{k} {kinds[type(v[0])]}" for k, v in axes.items())
-    return spark.createDataFrame(list(itertools.product(*axes.values())), schema)
+def job_grid(settings: DataFrame, axes: list[str]) -> DataFrame:
+    """All combinations of the values that the axes have in a table of settings, null left out; an axis' values are few and stand in one row."""
+    out = settings.agg(*(F.collect_set(c).alias(c) for c in axes))
+    for c in axes:
+        out = out.withColumn(c, F.explode(c))
+    return out
 
 
 def shard_slice(df: DataFrame, order: list[str], shard: int, shards: int) -> DataFrame:

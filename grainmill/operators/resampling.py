@@ -6,6 +6,7 @@ groups, whose cost does not depend on the number of pairs. A group drawn twice c
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -87,10 +88,38 @@ def interval(samples: DataFrame, column: str, low: float = 0.05, high: float = 0
     return samples.agg(F.percentile(column, F.lit(low)).alias("lo"), F.percentile(column, F.lit(high)).alias("hi"), F.avg(F.when(F.col(column) > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("share_positive"))
 
 
-def halves(groups: DataFrame, n_draws: int, seed: str, key: str = "grp") -> DataFrame:
-    """draw, key, half: groups dealt to two halves by hash."""
-    names = groups.select(key).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    return names.select("draw", key, (hash32(F.concat_ws("|", F.lit(seed), "draw", key)) % 2).cast("int").alias("half"))
+def hashed_sums(by: DataFrame, columns: list[str], n_draws: int, seed: str, modulus: int, below: int, key: str = "grp", index: str | None = None) -> DataFrame:
+    """draw, index, inside, columns: sums over the groups whose hash of seed, draw and key, modulo `modulus`, is below `below`, and over the others.
+
+    Each task multiplies its groups' values with their places in the draws and sends a row a draw, index and side, not one a group and draw. by has
+    a row a group and index; indices are few (one a position of a series)."""
+    rows = by.select(F.col(key).cast("string").alias("_k"), (F.col(index) if index else F.lit(0)).cast("long").alias("_i"), *(F.col(c).cast("double").alias(c) for c in columns))
+    parts = int(by.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            names, at = np.unique(np.array(batch.column("_k").to_pylist(), dtype=object), return_inverse=True)
+            inside = np.empty((n_draws, len(names)), dtype=bool)
+            for g, name in enumerate(names):
+                tail = f"|{name}".encode()
+                inside[:, g] = [int.from_bytes(hashlib.md5(b"%s|%d%s" % (seed.encode(), d, tail)).digest()[:4], "big") % modulus < below for d in range(n_draws)]
+            value = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+            place = batch.column("_i").to_numpy(zero_copy_only=False)
+            for i in np.unique(place):
+                on = place == i
+                both = totals.setdefault(int(i), np.zeros((2, n_draws, len(columns))))
+                mask = inside[:, at[on]].astype(float)
+                both[1] += mask @ value[on]
+                both[0] += (1 - mask) @ value[on]
+        for i, both in totals.items():
+            for side in (0, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_draws)), pa.array(np.full(n_draws, i)), pa.array(np.full(n_draws, bool(side))), *(pa.array(both[side, :, c]) for c in range(len(columns)))], names=["draw", "index", "inside", *columns])
+
+    sums = rows.repartition(parts, "_k").mapInArrow(run, "draw long, index long, inside boolean, " + ", ".join(f"{c} double" for c in columns))
+    return sums.groupBy("draw", "index", "inside").agg(*(F.sum(c).alias(c) for c in columns))
 
 
 def spearman_brown(r: Column) -> Column:

@@ -7,11 +7,11 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r2
-from ..operators import boosting, ml
+from ..operators import boosting, ml, neighbours
 from ..operators import predict as pr
 from ..operators import resampling as rs
 from ..sources import files
-from .registry import M, Q, measures, pairs, query
+from .registry import M, Q, measures, pairs, query, table
 from .scores import rounded
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -41,6 +41,32 @@ def _booster_query(name, **params):
         return rounded(ml.grouped_cv(rows(s, d), name, FEATURES, folds=3, **SMALL, **params).agg(F.count("*").alias("n"), r2("y", "oof").alias("r2")))
 
 
+@query(None, "p1_model_knn")
+def _knn(s, d):
+    """Each row by the ten nearest rows of other folds."""
+    return rounded(ml.grouped_cv(rows(s, d), "knn", FEATURES, folds=3).agg(F.count("*").alias("n"), r2("y", "oof").alias("r2")))
+
+
+@query(None, "p1_model_svr")
+def _svr(s, d):
+    return rounded(ml.grouped_cv(rows(s, d), "svr", FEATURES, folds=3, rounds=6).agg(F.count("*").alias("n"), r2("y", "oof").alias("r2")))
+
+
+@query(None, "p1_model_mlp")
+def _mlp(s, d):
+    return rounded(ml.grouped_cv(rows(s, d), "mlp", FEATURES, folds=3, passes=25).agg(F.count("*").alias("n"), r2("y", "oof").alias("r2")))
+
+
+@query("""WITH d AS (SELECT a.vec_id, b.vec_id AS neighbour, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))) AS distance
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour)::INT AS rank, neighbour, round(distance, 5) AS distance FROM d
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) <= 5""")
+def p1_nearest_vectors(s, d):
+    """The five nearest other vectors of each."""
+    near = neighbours.k_nearest(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.lit(0.0).alias("value")), 5)
+    return near.select(F.col("id").alias("vec_id"), "rank", "neighbour", F.round("distance", 5).alias("distance"))
+
+
 _booster_query("hgb")
 _booster_query("lgbm_dart", drop=0.3)
 _booster_query("catboost")

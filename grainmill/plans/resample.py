@@ -15,7 +15,7 @@ from .scores import ALL, DR2, R2, ranks, rounded
 
 H = "('0x'||substr(md5({}),1,8))::BIGINT"
 #: Draws of each query, as the reference takes them; no number was found for R11, which takes R7's.
-DRAWS = {"r4": 2000, "r5": 200, "r6": 400, "r7": 400, "r8": 300, "r9": 10_000, "r10": 2000, "r11": 400, "r12": 500, "r19": 200}
+DRAWS = {"r4": 2000, "r5": 200, "r6": 400, "r7": 400, "r8": 300, "r9": 10_000, "r10": 2000, "r11": 400, "r12": 500, "r19": 200, "p25": 400}
 
 
 def h(x):
@@ -59,10 +59,9 @@ def r3_logo_mean(s, d):
 @query(f"WITH {M}, t AS (SELECT d.range AS draw, g.grp FROM range({DRAWS['r4']}) d, (SELECT DISTINCT grp FROM m) g WHERE {h("concat_ws('|','9',d.range,g.grp)")} % 1000 < 200) SELECT draw, round({R2},6) AS r2 FROM t JOIN m USING (grp) GROUP BY draw")
 def r4_holdouts(s, d, draws=DRAWS["r4"]):
     """R2 of random fifths of the groups, from each group's sums."""
-    m = measures(s, d).withColumnsRenamed({"y": "dy", "p": "dp"})
-    by = rs.arm_moments(m)
-    held = by.select("grp").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).filter(hash32(F.concat_ws("|", F.lit("9"), "draw", "grp")) % 1000 < 200)
-    return rounded(held.withColumn("times", F.lit(1)).join(by, "grp").groupBy(F.col("draw").cast("long").alias("draw")).agg(rs.weighted_r2_of(F.lit(1.0), "dp").alias("r2")))
+    by = rs.arm_moments(measures(s, d).withColumnsRenamed({"y": "dy", "p": "dp"}))
+    held = rs.hashed_sums(by, ["n", "sy", "syy", "e_dp"], draws, "9", 1000, 200).filter("inside and n > 0")
+    return rounded(held.groupBy("draw").agg(rs.weighted_r2_of(F.lit(1.0), "dp").alias("r2")))
 
 
 @query(f"WITH {M}, {drawn('m', '11', DRAWS['r5'])} SELECT draw, round({boot('(y-p)', 'y')},6) AS r2 FROM dr JOIN m USING (grp) GROUP BY draw")
@@ -130,9 +129,10 @@ def half_sql(n):
 @query(f"WITH {Q}, {half_sql(DRAWS['r12'])}, pf AS (SELECT draw, lo, avg(CASE WHEN half=0 THEN dy END) AS a, avg(CASE WHEN half=1 THEN dy END) AS b FROM hv JOIN q USING (grp) GROUP BY 1,2) SELECT draw, round(corr(a,b),6) AS r FROM pf GROUP BY draw")
 def r12_split_half_profile(s, d, draws=DRAWS["r12"]):
     own = pairs(s, d).groupBy("grp", "lo").agg(F.sum("dy").alias("s"), F.count("*").alias("n"))
-    side = lambda v: ratio(F.sum(F.when(F.col("half") == v, F.col("s"))), F.sum(F.when(F.col("half") == v, F.col("n"))))
-    profile = rs.halves(own, draws, "29").join(own, "grp").groupBy("draw", "lo").agg(side(0).alias("a"), side(1).alias("b"))
-    return rounded(profile.groupBy(F.col("draw").cast("long").alias("draw")).agg(corr("a", "b").alias("r")))
+    sums = rs.hashed_sums(own, ["s", "n"], draws, "29", 2, 1, index="lo")
+    side = lambda inside: F.max(F.when(F.col("inside") == inside, ratio("s", "n")))
+    profile = sums.groupBy("draw", "index").agg(side(True).alias("a"), side(False).alias("b"))
+    return rounded(profile.groupBy("draw").agg(corr("a", "b").alias("r")))
 
 
 RH = f"rk AS (SELECT strict_blk, idx, y, row_number() OVER (PARTITION BY strict_blk, idx ORDER BY {h("row_id")}, row_id) AS r, count(*) OVER (PARTITION BY strict_blk, idx) AS n FROM m), ch AS (SELECT strict_blk, idx, avg(CASE WHEN r <= n//2 THEN y END) AS a, avg(CASE WHEN r > n//2 THEN y END) AS b FROM rk WHERE n>1 GROUP BY 1,2)"
@@ -190,8 +190,9 @@ def r18_split_digest(s, d):
 @query(f"WITH {Q}, {half_sql(DRAWS['r19'])}, e AS (SELECT draw, {DR2.replace('dp', 'dp')} AS ra, {DR2.replace('dp', 'dp2')} AS rb FROM hv JOIN q USING (grp) WHERE half=0 GROUP BY draw) SELECT round(avg(CASE WHEN rb>ra THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS win_rate FROM e")
 def r19_half_win_rate(s, d, draws=DRAWS["r19"]):
     by = rs.arm_moments(pairs(s, d), arms=("dp", "dp2"))
-    half = rs.halves(by, draws, "29").filter("half = 0").withColumn("times", F.lit(1))
-    return rounded(rs.bootstrap_r2(by, half, ["dp", "dp2"]).agg(F.avg(is_true(F.col("dp2") > F.col("dp"))).alias("win_rate")))
+    half = rs.hashed_sums(by, ["n", "sy", "syy", "e_dp", "e_dp2"], draws, "29", 2, 1).filter("inside and n > 0")
+    scores = half.groupBy("draw").agg(*(rs.weighted_r2_of(F.lit(1.0), a).alias(a) for a in ("dp", "dp2")))
+    return rounded(scores.agg(F.avg(is_true(F.col("dp2") > F.col("dp"))).alias("win_rate")))
 
 
 @query(f"WITH {M}, a AS (SELECT strict_blk, row_id, y, p, row_number() OVER (PARTITION BY strict_blk ORDER BY row_id, y) AS k, row_number() OVER (PARTITION BY strict_blk ORDER BY {h("concat_ws('|','5',row_id)")}, row_id, y) AS j FROM m), b AS (SELECT x.y, x.p, z.y AS ys FROM a x JOIN a z ON x.strict_blk=z.strict_blk AND x.k=z.j) SELECT count(*) AS n, round({R2},6) AS r2, round(1 - sum((ys-p)*(ys-p)) / nullif(var_pop(ys)*count(ys), 0),6) AS r2_shuffled FROM b")
@@ -436,13 +437,13 @@ def p24_calibration_isotonic(s, d):
     return rounded(out.agg(F.count("*").alias("n"), r2("label", "prediction").alias("r2")))
 
 
-@query(f"WITH {Q}, o AS (SELECT grp, sum(dp*dy) AS xy, sum(dp*dp) AS xx FROM q GROUP BY grp), f AS (SELECT grp, (sum(xy) OVER ()-xy)/(sum(xx) OVER ()-xx) AS b FROM o), x AS (SELECT q.grp, dy, dp, b*dp AS dc FROM q JOIN f USING (grp)), {drawn('q', '31', 40)}, b AS (SELECT draw, ({boot('(dy-dc)')}) - ({boot('(dy-dp)')}) AS gain FROM dr JOIN x USING (grp) GROUP BY draw) SELECT round(quantile_cont(gain,0.05),6) AS lo, round(quantile_cont(gain,0.95),6) AS hi, round(avg(CASE WHEN gain>0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS share_positive FROM b")
+@query(f"WITH {Q}, o AS (SELECT grp, sum(dp*dy) AS xy, sum(dp*dp) AS xx FROM q GROUP BY grp), f AS (SELECT grp, (sum(xy) OVER ()-xy)/(sum(xx) OVER ()-xx) AS b FROM o), x AS (SELECT q.grp, dy, dp, b*dp AS dc FROM q JOIN f USING (grp)), {drawn('q', '31', DRAWS['p25'])}, b AS (SELECT draw, ({boot('(dy-dc)')}) - ({boot('(dy-dp)')}) AS gain FROM dr JOIN x USING (grp) GROUP BY draw) SELECT round(quantile_cont(gain,0.05),6) AS lo, round(quantile_cont(gain,0.95),6) AS hi, round(avg(CASE WHEN gain>0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS share_positive FROM b")
 def p25_calibration_gain(s, d):
     q = pairs(s, d)
     fit = pr.logo_affine(rs.moments(q, "dy", ["dp"], ["grp"]), "dp", intercept=False)
     x = q.join(fit, "grp").withColumn("dc", F.col("b") * F.col("dp"))
     by = rs.arm_moments(x, arms=("dp", "dc"))
-    b = rs.bootstrap_r2(by, rs.draws(by, 40, "31"), ["dp", "dc"])
+    b = rs.bootstrap_r2(by, rs.draws(by, DRAWS["p25"], "31"), ["dp", "dc"])
     return rounded(rs.interval(b.select((F.col("dc") - F.col("dp")).alias("gain")), "gain"))
 
 
@@ -465,15 +466,25 @@ def p28_balanced_weights(s, d):
     return rounded(pr.balanced_weights(measures(s, d).select("row_id", "grp")).select("row_id", "weight"))
 
 
-@query(f"SELECT n_tests, round(z,6) AS z FROM (VALUES {', '.join(f'({n}, {z_of_tests(n)!r}::DOUBLE)' for n in (1, 3, 10))}) t(n_tests, z)")
+@query(f"""WITH z AS (SELECT * FROM (VALUES {', '.join(f'({n}, {z_of_tests(n)!r}::DOUBLE)' for n in range(1, 65))}) t(n_tests, z)),
+t AS (SELECT event_type AS preset, count(DISTINCT user_id % 50)::INT AS n_tests FROM events GROUP BY 1) SELECT preset, n_tests, round(z, 6) AS z FROM t JOIN z USING (n_tests)""")
 def p33_corrected_z(s, d):
-    return rounded(s.createDataFrame([(n, z_of_tests(n)) for n in (1, 3, 10)], "n_tests int, z double"))
+    """For each preset of the registry, the bound that its number of tests (settings that were tried) asks for."""
+    tried = table(s, d, "events").groupBy(F.col("event_type").alias("preset")).agg(F.countDistinct(F.col("user_id") % 50).cast("int").alias("n_tests"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([z_of_tests(n) for n in batch.column("n_tests").to_pylist()], pa.float64())], names=["preset", "n_tests", "z"])
+
+    return rounded(tried.mapInArrow(run, "preset string, n_tests int, z double"))
 
 
 @query(f"WITH {Q}, {drawn('q', '13', DRAWS['r6'])}, {BD}, i AS (SELECT quantile_cont(rb-ra,0.05) AS lo, quantile_cont(rb-ra,0.95) AS hi FROM b) SELECT CASE WHEN lo>0 THEN 'adds' WHEN hi<0 THEN 'worse' ELSE 'not distinguishable' END AS verdict FROM i")
 def p34_verdict(s, d):
     by = rs.arm_moments(pairs(s, d), arms=("dp", "dp2"))
-    b = rs.bootstrap_r2(by, rs.draws(by, 40, "13"), ["dp", "dp2"]).select((F.col("dp2") - F.col("dp")).alias("delta"))
+    b = rs.bootstrap_r2(by, rs.draws(by, DRAWS["r6"], "13"), ["dp", "dp2"]).select((F.col("dp2") - F.col("dp")).alias("delta"))
     return rs.interval(b, "delta").select(verdict("lo", "hi").alias("verdict"))
 
 

@@ -304,9 +304,9 @@ def x1_spec_key(s, d):
     return table(s, d, "events").select("event_id", xr.spec_key("event_type", F.col("user_id"), F.col("event_id") % 4).alias("key"))
 
 
-@query("SELECT p.v AS preset, m.v AS model, s.range::INT AS seed FROM (SELECT unnest(['a','b','c']) AS v) p, (SELECT unnest(['gbt','ridge']) AS v) m, range(4) s")
+@query(f"WITH {RUNS} SELECT p.preset, m.deep, s.seed FROM (SELECT DISTINCT preset FROM rn) p, (SELECT DISTINCT deep FROM rn WHERE deep IS NOT NULL) m, (SELECT DISTINCT seed FROM rn) s")
 def x2_job_grid(s, d):
-    return xr.job_grid(s, {"preset": ["a", "b", "c"], "model": ["gbt", "ridge"], "seed": [0, 1, 2, 3]})
+    return xr.job_grid(runs(s, d), ["preset", "deep", "seed"])
 
 
 @query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey)-1 AS r FROM customer) WHERE r % 8 = 3")
