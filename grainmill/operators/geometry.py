@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import average_rank, corr, is_true, ratio
+from ..sources.files import stored
 
 
 def distance(a: str, b: str) -> Column:
@@ -216,30 +217,126 @@ def boundary_degrees(tri: DataFrame, key: str = "build_id") -> DataFrame:
     return tri.select(key, "a", "b", "c", edge).select(key, "a", "b", "c", F.explode("e").alias("v")).groupBy(key, "a", "b", "c", "v").agg(F.count("*").alias("n"))
 
 
-def spanning_tree(edges: DataFrame, key: str = "build_id") -> DataFrame:
-    """Minimum spanning forest (key, i, j, dist) of each build: the finite H0 deaths. A build is one group in memory."""
-    import pandas as pd
+def _roots(picks: DataFrame, key: str) -> DataFrame:
+    """key, c, root: where the components' picks c -> o lead. Of two that pick each other the smaller is a root; paths are halved each round."""
+    back = picks.select(F.col(key).alias("_k"), F.col("c").alias("_c"), F.col("o").alias("_o"))
+    met = picks.join(back, (F.col(key) == F.col("_k")) & (F.col("o") == F.col("_c")))
+    now = stored(met.select(key, "c", F.when((F.col("_o") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("root")))
+    while True:
+        ahead = now.select(F.col(key).alias("_k"), F.col("c").alias("_c"), F.col("root").alias("_r"))
+        new = stored(now.join(ahead, (F.col(key) == F.col("_k")) & (F.col("root") == F.col("_c"))).select(key, "c", F.col("_r").alias("root"), (F.col("_r") != F.col("root")).alias("moved")))
+        now = new.drop("moved")
+        if new.filter("moved").isEmpty():
+            return now
+
+
+def _joined(edges: DataFrame, comp: DataFrame, key: str) -> tuple[DataFrame | None, DataFrame]:
+    """(key, i, j, dist of the edges that join components at least cost, None if there are none; key, i, c: the components then), by Boruvka's rounds.
+
+    In a round every component picks its least edge to another, in the order of dist, i, j; picks are aggregated, so no component is gathered. A
+    round leaves half of the components at most."""
+    tree = None
+    end = lambda side, name: comp.select(F.col(key).alias(f"_k{side}"), F.col("i").alias(f"_{side}"), F.col("c").alias(name))
+    while True:
+        both = edges.join(end("i", "a"), (F.col(key) == F.col("_ki")) & (F.col("i") == F.col("_i"))).join(end("j", "b"), (F.col(key) == F.col("_kj")) & (F.col("j") == F.col("_j")))
+        apart = both.filter("a <> b").select(key, "i", "j", "dist", F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o")), F.struct(F.col("b").alias("c"), F.col("a").alias("o")))).alias("s"))
+        picks = stored(apart.groupBy(key, F.col("s.c").alias("c")).agg(F.min(F.struct("dist", "i", "j", F.col("s.o").alias("o"))).alias("e")).select(key, "c", "e.*"))
+        if picks.isEmpty():
+            return tree, comp
+        found = picks.select(key, "i", "j", "dist").distinct()
+        tree = found if tree is None else tree.unionByName(found)
+        root = _roots(picks.select(key, "c", "o"), key).select(F.col(key).alias("_k"), F.col("c").alias("_c"), "root")
+        comp = stored(comp.join(root, (F.col(key) == F.col("_k")) & (F.col("c") == F.col("_c")), "left").select(key, "i", F.coalesce("root", "c").alias("c")))
+
+
+def spanning_tree(points: DataFrame, radius: float, key: str = "build_id") -> DataFrame:
+    """Minimum spanning tree (key, i, j, dist; ties by i, j) of each build's points: the finite H0 deaths.
+
+    Edges come from a radius join. Where a build is still in parts, the radius grows fourfold for it, and only longer edges are looked at: any shorter
+    one lies inside a part. The first radius decides how much is joined, not what comes out. Points without finite coordinates are left out."""
+    from .relational import radius_join
+
+    finite = F.lit(True)
+    for c in "xyz":
+        finite = finite & F.col(c).isNotNull() & (F.abs(c) < float("inf"))
+    left = stored(points.filter(finite).select(key, "i", *"xyz"))
+    comp, tree, below = left.select(key, "i", F.col("i").alias("c")), None, -1.0
+    while True:
+        edges = stored(radius_join(left, radius, key).filter(F.col("dist") > below))
+        found, comp = _joined(edges, comp, key)
+        if found is not None:
+            tree = found if tree is None else tree.unionByName(found)
+        parts = comp.groupBy(key).agg(F.count_distinct("c").alias("n")).filter("n > 1").select(key)
+        left = stored(left.join(parts, key, "left_semi"))
+        if left.isEmpty():
+            return tree if tree is not None else edges
+        below, radius = radius, 4 * radius
+
+
+def components(points: DataFrame, radius: float, key: str = "build_id") -> tuple[DataFrame, DataFrame]:
+    """(key, i, j, dist: pairs within the radius; key, i, c: the component of each point)."""
+    from .relational import radius_join
+
+    edges = stored(radius_join(points, radius, key))
+    return edges, _joined(edges, points.select(key, "i", F.col("i").alias("c")), key)[1]
+
 
-    kind = dict(edges.dtypes)
+def reduced(edges: list[tuple]) -> list[tuple[float, float | None]]:
+    """(birth, death) of the cycles of (i, j, dist), the Rips complex of these edges: triangles' boundaries are reduced over two elements; cycles that no triangle fills have no death.
 
-    def solve(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        root: dict = {}
+    A column is a whole number whose bits are edges in the order of dist, i, j; its lead is the highest bit."""
+    order = sorted(edges, key=lambda e: (e[2], e[0], e[1]))
+    place, near = {(i, j): k for k, (i, j, _) in enumerate(order)}, {}
+    for i, j, _ in order:
+        near.setdefault(i, set()).add(j)
+    columns = []
+    for i, j, _ in order:
+        for k in near.get(i, set()) & near.get(j, set()):
+            sides = sorted((place[i, j], place[i, k], place[j, k]))
+            columns.append((sides[2], sides[1], sides[0]))
+    lead: dict[int, int] = {}
+    out = []
+    for top, mid, low in sorted(columns):
+        column = (1 << top) | (1 << mid) | (1 << low)
+        while column and (high := column.bit_length() - 1) in lead:
+            column ^= lead[high]
+        if column:
+            lead[high] = column
+            if order[high][2] < order[top][2]:
+                out.append((order[high][2], order[top][2]))
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k, (i, j, dist) in enumerate(order):
+        a, b = find(i), find(j)
+        if a != b:
+            root[a] = b
+        elif k not in lead:
+            out.append((dist, None))
+    return out
+
+
+def cycles(points: DataFrame, radius: float, key: str = "build_id") -> DataFrame:
+    """key, birth, death of the H1 classes of each build's Rips complex up to the radius; those that live on at the radius have no death.
+
+    A cycle lies in one component at the radius, so components are reduced each by itself; the radius bounds their size."""
+    import pandas as pd
 
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+    edges, comp = components(points, radius, key)
+    of = comp.select(F.col(key).alias("_k"), F.col("i").alias("_i"), "c")
+    rows = edges.join(of, (F.col(key) == F.col("_k")) & (F.col("i") == F.col("_i"))).select(key, "c", "i", "j", "dist")
 
-        out = []
-        for r in rows.sort_values(["dist", "i", "j"]).itertuples():
-            a, b = find(r.i), find(r.j)
-            if a != b:
-                root[a] = b
-                out.append((k[0], r.i, r.j, r.dist))
-        return pd.DataFrame(out, columns=[key, "i", "j", "dist"])
+    def solve(name: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        found = reduced(list(group[["i", "j", "dist"]].itertuples(index=False, name=None)))
+        return pd.DataFrame({key: [name[0]] * len(found), "birth": [x for x, _ in found], "death": [y for _, y in found]}).astype({"birth": float, "death": float})
 
-    return edges.select(key, "i", "j", "dist").groupBy(key).applyInPandas(solve, f"{key} {kind[key]}, i {kind['i']}, j {kind['j']}, dist double")
+    out = rows.groupBy(key, "c").applyInPandas(solve, f"{key} {dict(points.dtypes)[key]}, birth double, death double")
+    return out.select(key, "birth", F.when(~F.isnan("death"), F.col("death")).alias("death"))
 
 
 # Aliases of the quality table's columns, and its gate.

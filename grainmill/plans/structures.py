@@ -115,10 +115,24 @@ def g13_family_key(s, d):
 @query()
 def g14_spanning_tree(s, d):
     """Deaths of connected components: the minimum spanning tree of each build's points."""
-    a = atoms(s, d)
-    b = a.select("build_id", F.col("i").alias("j"), *(F.col(c).alias(f"b{c}") for c in "xyz"))
-    dist = F.sqrt(sum((F.col(c) - F.col(f"b{c}")) ** 2 for c in "xyz"))
-    return rounded(ge.spanning_tree(a.join(b, "build_id").filter("i < j").select("build_id", "i", "j", dist.alias("dist"))))
+    return rounded(ge.spanning_tree(atoms(s, d), 0.5))
+
+
+@query()
+def g14_cycles(s, d):
+    """Births and deaths of the cycles of each build's points, up to a distance."""
+    return rounded(ge.cycles(atoms(s, d), REACH))
+
+
+#: Distance up to which cycles are followed.
+REACH = 0.9
+
+
+@query()
+def g15_image_of_cycles(s, d):
+    """The persistence image of the cycles themselves; those that live on die at the reach."""
+    found = ge.cycles(atoms(s, d), REACH).withColumn("death", F.coalesce("death", F.lit(REACH)))
+    return rounded(ge.persistence_image(found, 8, 0.0, REACH, 0.1))
 
 
 PP = "pp AS (SELECT label AS build_id, abs(embedding[1]::DOUBLE)*4 AS birth, abs(embedding[1]::DOUBLE)*4 + abs(embedding[2]::DOUBLE)*4 AS death FROM embeddings)"
