@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import with_group
 from ..functions.ranks import value_ranks
+from ..functions.tails import normal_tails
 from ..functions.scalars import ratio
 
 
@@ -225,8 +226,21 @@ def combined(df: DataFrame, arms: list[str], y: str = "y", group: str = "grp") -
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     """Signed-rank statistic: sums of the average ranks of absolute differences, zeros left out."""
+    return _signed_ranks(df, a, b).select("n", "w_plus", "w_minus")
+
+
+def _signed_ranks(df: DataFrame, a: str, b: str) -> DataFrame:
     d = df.select((F.col(a) - F.col(b)).alias("d")).filter("d <> 0").withColumn("ad", F.round(F.abs("d"), 9))
     by = d.groupBy("ad").agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"))
     r = value_ranks(by, "ad", "n")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    return r.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), zero(F.col("rank") * F.col("up")).alias("w_plus"), zero(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"))
+    ties = zero((F.pow("n", F.lit(3.0)) - F.col("n")) / 48)
+    return r.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), zero(F.col("rank") * F.col("up")).alias("w_plus"), zero(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"), ties.alias("_ties"))
+
+
+def wilcoxon_test(df: DataFrame, a: str, b: str) -> DataFrame:
+    """n, w_plus, w_minus, z, p: the signed-rank statistic by the normal law, its variance less that of ties; null without differences."""
+    n = F.col("n").cast("double")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties")
+    out = _signed_ranks(df, a, b).withColumn("z", ratio(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(var)))
+    return out.select("n", "w_plus", "w_minus", "z", F.when(F.col("z").isNotNull(), normal_tails(F.col("z"))).alias("p"))

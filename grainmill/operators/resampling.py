@@ -198,6 +198,101 @@ def snake_draft(counts: DataFrame, n: str, parts: int = 3, key: str = "grp") ->
     return order.select(key, F.when(F.floor(F.col("_r") / parts) % 2 == 0, turn).otherwise(parts - 1 - turn).cast("int").alias("part"))
 
 
+def lightest(k: int):
+    """The rule that gives a group to the lightest of k parts, the first of equal ones, and its first state: the loads less the least."""
+
+    def rule(state: tuple, n: int) -> tuple[int, tuple]:
+        part = state.index(min(state))
+        loads = [x + n * (i == part) for i, x in enumerate(state)]
+        return part, tuple(x - min(loads) for x in loads)
+
+    return rule, (0,) * k
+
+
+def alternating(k: int = 2):
+    """lightest(k), but groups of size 0 take turns."""
+    light, start = lightest(k)
+
+    def rule(state: tuple, n: int) -> tuple[int, tuple]:
+        loads, turn = state
+        if not n:
+            return turn, (loads, (turn + 1) % k)
+        part, loads = light(loads, n)
+        return part, (loads, turn)
+
+    return rule, (start, 0)
+
+
+#: Slots of the three-way draft: the first part picks twice as often, forwards and backwards.
+SLOTS = (0, 0, 1, 2, 2, 1, 0, 0)
+
+
+def draft(slots: tuple[int, ...] = SLOTS):
+    """A group goes to the part of its slot, unless that part is ahead of the lightest by more than the group: then to the lightest. Groups of size 0 take turns."""
+    k = max(slots) + 1
+
+    def rule(state: tuple, n: int) -> tuple[int, tuple]:
+        loads, at, turn = state
+        if not n:
+            return turn, (loads, at, (turn + 1) % k)
+        part = slots[at]
+        if loads[part] > min(loads) + n:
+            part = loads.index(min(loads))
+        new = [x + n * (i == part) for i, x in enumerate(loads)]
+        return part, (tuple(x - min(new) for x in new), (at + 1) % len(slots), turn)
+
+    return rule, ((0,) * k, 0, 0)
+
+
+def pattern(rule, state: tuple, n: int, times: int) -> tuple[list[int], list[int], tuple]:
+    """(first parts, then repeating parts, state after) of dealing `times` groups of size n: states come again, so a run of any length is short."""
+    seen, parts = {state: 0}, []
+    while len(parts) < times:
+        part, state = rule(state, n)
+        parts.append(part)
+        if state in seen:
+            first = seen[state]
+            for _ in range((times - first) % (len(parts) - first)):
+                state = rule(state, n)[1]
+            return parts[:first], parts[first:], state
+        seen[state] = len(parts)
+    return parts, [], state
+
+
+def dealt(groups: DataFrame, n: str, ruled: tuple, key: str = "grp") -> DataFrame:
+    """key, part: groups by falling n and then name, one after the other by a rule and its first state.
+
+    One task runs the rule over the table of sizes, a row a size, and leaves a pattern for each; a group's part is read off at its rank
+    among those of its size. Ranks come from a sort by ranges, so no task has all groups."""
+    rule, start = ruled
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(groups.select(key, F.col(n).cast("long").alias("_n")).repartitionByRange(parts, F.desc("_n"), F.asc(key)).withColumn("_p", F.spark_partition_id()))
+    sizes = rows.groupBy("_n").agg(F.count("*").alias("_times"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        state, before = start, 0
+        for batch in batches:
+            out = []
+            for size, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first, cycle, state = pattern(rule, state, size, times)
+                out.append((size, before, first, cycle))
+                before += times
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["_s", "_start", "_first", "_cycle"])
+
+    patterns = sizes.repartition(1).sortWithinPartitions(F.desc("_n")).mapInArrow(run, "_s long, _start long, _first array<int>, _cycle array<int>")
+    counts = rows.groupBy("_p").agg(F.count("*").alias("_c"))
+    ahead = counts.select(F.col("_p").alias("_q"), (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_ahead"))  # a row a partition
+    place = F.col("_ahead") + F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("_n"), key)) - 1
+    met = rows.join(F.broadcast(ahead), F.col("_p") == F.col("_q")).withColumn("_k", place).join(patterns, F.col("_n") == F.col("_s"))
+    rank, first = F.col("_k") - F.col("_start"), F.size("_first")
+    later = F.get("_cycle", (F.pmod(rank - first, F.greatest(F.size("_cycle"), F.lit(1)))).cast("int"))
+    return met.select(key, F.when(rank < first, F.get("_first", rank.cast("int"))).otherwise(later).alias("part"))
+
+
 def digest(df: DataFrame, part: str, key: str) -> DataFrame:
     """SHA-256 of each part's sorted keys, a line each; keys are hashed as a stream in the order of their bytes."""
     return ordered_digest(stored(df.select(part, key)), [part], [key], F.col(key), "\n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import tails
 from ..functions.scalars import average_rank, corr, hash32, is_true, median, r2, r6, ratio, sst, verdict, z_of_tests
 from ..operators import cells as ce
 from ..operators import metrics as me
@@ -42,7 +43,8 @@ def r1_hash_folds(s, d):
 
 @query()
 def r1_balanced_folds(s, d):
-    return rs.in_turn(measures(s, d).groupBy("grp").count(), lambda rows: sorted(rs.balanced_folds(rows, 5).items()), "grp string, fold int")
+    """Groups by falling size, each to the lightest fold."""
+    return rs.dealt(measures(s, d).groupBy("grp").count(), "count", rs.lightest(5)).withColumnRenamed("part", "fold")
 
 
 @query()
@@ -173,13 +175,24 @@ def pair_counts(s, d):
 
 @query()
 def r16_even_split(s, d):
-    """Dealt one after the other by falling count, in a task of its own: rows are groups."""
-    return rs.in_turn(pair_counts(s, d).select("grp", "n"), lambda rows: [(x, part) for part, own in zip(("tune", "confirm"), rs.even_split(rows), strict=True) for x in own], "grp string, part string")
+    """Groups by falling count of pairs, each to the lighter side; those without pairs alternate."""
+    return rs.dealt(pair_counts(s, d), "n", rs.alternating()).select("grp", F.element_at(F.array(F.lit("tune"), F.lit("confirm")), F.col("part") + 1).alias("part"))
 
 
-@query(f"WITH {Q}, n AS (SELECT g.grp, count(q.grp) AS n FROM (SELECT DISTINCT grp FROM m) g LEFT JOIN q USING (grp) GROUP BY 1), r AS (SELECT grp, row_number() OVER (ORDER BY n DESC, grp)-1 AS k FROM n) SELECT grp, (CASE WHEN (k//3)%2=0 THEN k%3 ELSE 2-k%3 END)::INT AS part FROM r")
+#: The draft's rule row by row: k counts groups, a, b and c are the parts' loads, z the groups without pairs so far.
+DRAFT = f"""WITH RECURSIVE {Q}, n AS (SELECT g.grp, count(q.grp) AS n FROM (SELECT DISTINCT grp FROM m) g LEFT JOIN q USING (grp) GROUP BY 1),
+o AS (SELECT grp, n, row_number() OVER (ORDER BY n DESC, grp) AS k FROM n),
+st AS (SELECT 0::BIGINT AS k, '' AS grp, -1 AS part, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, 0 AS z
+  UNION ALL SELECT k, grp, p, a + CASE p WHEN 0 THEN n ELSE 0 END, b + CASE p WHEN 1 THEN n ELSE 0 END, c + CASE p WHEN 2 THEN n ELSE 0 END, z + (n = 0)::INT
+  FROM (SELECT *, CASE WHEN n = 0 THEN z % 3 WHEN [a, b, c][w + 1] > least(a, b, c) + n THEN list_position([a, b, c], least(a, b, c)) - 1 ELSE w END::INT AS p
+    FROM (SELECT o.k, o.grp, o.n, st.a, st.b, st.c, st.z, [0, 0, 1, 2, 2, 1, 0, 0][(st.k % 8 + 1)::INT] AS w FROM st JOIN o ON o.k = st.k + 1)))
+SELECT grp, part FROM st WHERE k > 0"""
+
+
+@query(DRAFT)
 def r17_snake_draft(s, d):
-    return rs.snake_draft(pair_counts(s, d), "n")
+    """A three-way draft by falling count of pairs, in which a part that is too far ahead of the lightest gives up its turn."""
+    return rs.dealt(pair_counts(s, d), "n", rs.draft())
 
 
 @query(f"WITH {M}, f AS (SELECT DISTINCT grp, {h('grp')} % 3 AS part FROM m) SELECT part, sha256(string_agg(grp, chr(10) ORDER BY grp)) AS digest, count(*) AS n FROM f GROUP BY part")
@@ -510,6 +523,26 @@ def t1_shape_f(s, d):
     return rounded(mu.agg((ratio(a - b, g) / ratio(b, F.sum("n") - g - 1)).alias("f")))
 
 
+@query()
+def t1_shape_test(s, d):
+    """The probability of t1_shape_f's F, or more, if positions had no means of their own."""
+    q = pairs(s, d)
+    n = q.agg(F.count("*").alias("n"), F.count_distinct("lo").alias("g"))
+    return t1_shape_f(s, d).crossJoin(F.broadcast(n)).select("f", tails.f_tail(F.col("f"), F.col("g"), F.col("n") - F.col("g") - 1).alias("p"))
+
+
+@query()
+def t2_wilcoxon_test(s, d):
+    t = pairs(s, d).groupBy("grp").agg(F.avg(F.abs(F.col("dy") - F.col("dp"))).alias("a"), F.avg(F.abs(F.col("dy") - F.col("dp2"))).alias("b"))
+    return pr.wilcoxon_test(t, "a", "b")
+
+
+@query()
+def t3_correlation_test(s, d):
+    t = t3_correlation_t(s, d)
+    return t.select("n", "r", "t", tails.t_tails(F.col("t"), F.col("n") - 2).alias("p"))
+
+
 @query(f"WITH {Q}, t AS (SELECT grp, avg(abs(dy-dp)) AS a, avg(abs(dy-dp2)) AS b FROM q GROUP BY grp), x AS (SELECT a-b AS d, round(abs(a-b),9) AS ad FROM t WHERE a-b<>0), r AS (SELECT d, rank() OVER (ORDER BY ad) + (count(*) OVER (PARTITION BY ad)-1)/2.0::DOUBLE AS r FROM x) SELECT count(*) AS n, round(sum(CASE WHEN d>0 THEN r ELSE 0 END),6) AS w_plus, round(sum(CASE WHEN d<0 THEN r ELSE 0 END),6) AS w_minus FROM r")
 def t2_wilcoxon(s, d):
     t = pairs(s, d).groupBy("grp").agg(F.avg(F.abs(F.col("dy") - F.col("dp"))).alias("a"), F.avg(F.abs(F.col("dy") - F.col("dp2"))).alias("b"))

@@ -311,3 +311,46 @@ def test_quantile_bins_keep_ties_together(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 1, 1, 1, 2, 3]], "v double")
     got = {(r["v"], r["bin"]) for r in me.quantile_bins(df, "v", 3).collect()}
     assert len({b for v, b in got if v == 1}) == 1
+
+
+def dealt_plainly(counts, ruled):
+    rule, state = ruled
+    out = {}
+    for name, n in sorted(counts, key=lambda x: (-x[1], x[0])):
+        out[name], state = rule(state, n)
+    return out
+
+
+@pytest.mark.parametrize("name", ["lightest", "alternating", "draft"])
+def test_dealing_by_sizes_is_dealing_one_by_one(spark, name):
+    """Long runs of equal sizes, a giant, sizes that fall by leaps, groups of size 0."""
+    ruled = {"lightest": rs.lightest(5), "alternating": rs.alternating(), "draft": rs.draft()}[name]
+    rng = np.random.default_rng(8)
+    sizes = [*rng.integers(0, 12, 500).tolist(), *[1] * 700, *[7] * 300, 900, 250, *rng.integers(0, 300, 40).tolist()]
+    counts = [(f"g{k:04d}", int(n)) for k, n in enumerate(rng.permutation(sizes))]
+    got = {r["grp"]: r["part"] for r in rs.dealt(spark.createDataFrame(counts, "grp string, n long").repartition(7), "n", ruled).collect()}
+    assert got == dealt_plainly(counts, ruled)
+
+
+def test_rules_against_their_plain_forms():
+    rng = np.random.default_rng(1)
+    counts = [(f"g{k:03d}", int(n)) for k, n in enumerate(rng.integers(0, 30, 200))]
+    assert dealt_plainly(counts, rs.lightest(5)) == rs.balanced_folds(counts, 5)
+    sides = rs.even_split(counts)
+    assert dealt_plainly(counts, rs.alternating()) == {g: k for k, own in enumerate(sides) for g in own}
+    load, zero, slots = [0, 0, 0], 0, [0, 0, 1, 2, 2, 1, 0, 0]
+    for k, (g, n) in enumerate(sorted(counts, key=lambda x: (-x[1], x[0]))):
+        part = dealt_plainly(counts, rs.draft())[g] if k % 20 == 0 or not n else None
+        want = zero % 3 if not n else slots[k % 8] if load[slots[k % 8]] <= min(load) + n else load.index(min(load))
+        assert part is None or part == want
+        load[want] += n
+        zero += not n
+
+
+def test_a_pattern_of_any_length_is_short():
+    first, cycle, state = rs.pattern(rs.draft()[0], ((40, 3, 0), 5, 1), 7, 10**9)
+    assert len(first) + len(cycle) < 200
+    rule, one = rs.draft()[0], ((40, 3, 0), 5, 1)
+    for k in range(500):
+        part, one = rule(one, 7)
+        assert part == (first[k] if k < len(first) else cycle[(k - len(first)) % len(cycle)])
