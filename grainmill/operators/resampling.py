@@ -266,7 +266,7 @@ def dealt(groups: DataFrame, n: str, ruled: tuple, key: str = "grp") -> DataFram
     among those of its size. Ranks come from a sort by ranges, so no task has all groups."""
     rule, start = ruled
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(groups.select(key, F.col(n).cast("long").alias("_n")).repartitionByRange(parts, F.desc("_n"), F.asc(key)).withColumn("_p", F.spark_partition_id()))
+    rows = stored(groups.select(key, F.col(n).cast("long").alias("_n")).repartitionByRange(parts, F.desc("_n"), F.asc(key)).withColumn("_bin", F.spark_partition_id()))
     sizes = rows.groupBy("_n").agg(F.count("*").alias("_times"))
 
     def run(batches):
@@ -284,10 +284,10 @@ def dealt(groups: DataFrame, n: str, ruled: tuple, key: str = "grp") -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["_s", "_start", "_first", "_cycle"])
 
     patterns = sizes.repartition(1).sortWithinPartitions(F.desc("_n")).mapInArrow(run, "_s long, _start long, _first array<int>, _cycle array<int>")
-    counts = rows.groupBy("_p").agg(F.count("*").alias("_c"))
-    ahead = counts.select(F.col("_p").alias("_q"), (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_ahead"))  # a row a partition
-    place = F.col("_ahead") + F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("_n"), key)) - 1
-    met = rows.join(F.broadcast(ahead), F.col("_p") == F.col("_q")).withColumn("_k", place).join(patterns, F.col("_n") == F.col("_s"))
+    counts = rows.groupBy("_bin").agg(F.count("*").alias("_c"))
+    ahead = counts.select(F.col("_bin").alias("_at"), (F.sum("_c").over(Window.orderBy("_bin")) - F.col("_c")).alias("_ahead"))  # a row a partition
+    place = F.col("_ahead") + F.row_number().over(Window.partitionBy("_bin").orderBy(F.desc("_n"), key)) - 1
+    met = rows.join(F.broadcast(ahead), F.col("_bin") == F.col("_at")).withColumn("_k", place).join(patterns, F.col("_n") == F.col("_s"))
     rank, first = F.col("_k") - F.col("_start"), F.size("_first")
     later = F.get("_cycle", (F.pmod(rank - first, F.greatest(F.size("_cycle"), F.lit(1)))).cast("int"))
     return met.select(key, F.when(rank < first, F.get("_first", rank.cast("int"))).otherwise(later).alias("part"))
