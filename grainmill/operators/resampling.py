@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.digests import ordered_digest
+from ..functions.hashes import digits, hash32_rows
 from ..functions.ranks import numbered, placed
 from ..functions.scalars import hash32, ratio
 from ..sources.files import stored
@@ -61,21 +63,116 @@ def weighted_r2_of(weight: Column, arm: str) -> Column:
 # ---- draws
 
 
+def in_order(groups: DataFrame, key: str = "grp") -> tuple[DataFrame, int]:
+    """(groups with their place _k, from 0, in the order of key, nulls last; how many there are). A row a group; ranges are sorted apart, so no task has all names."""
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(stored(groups).repartitionByRange(parts, F.asc_nulls_last(key)).withColumn("_bin", F.spark_partition_id()))
+    counts = rows.groupBy("_bin").agg(F.count("*").alias("_c"))
+    ahead = stored(counts.select(F.col("_bin").alias("_at"), "_c", (F.sum("_c").over(Window.orderBy("_bin")) - F.col("_c")).alias("_ahead")))  # a row a partition
+    place = F.col("_ahead") + F.row_number().over(Window.partitionBy("_bin").orderBy(F.asc_nulls_last(key))) - 1
+    return rows.join(F.broadcast(ahead), F.col("_bin") == F.col("_at")).withColumn("_k", place).drop("_bin", "_at", "_c", "_ahead"), ahead.agg(F.sum("_c")).first()[0] or 0
+
+
 def draws(groups: DataFrame, n_draws: int, seed: str, key: str = "grp", collapse: bool = False) -> DataFrame:
-    """draw, key, times: as many groups as there are, drawn with replacement by hash. collapse is the audit form in which repeats count once."""
-    names = groups.select(key).distinct()
-    n = names.count()
-    width = max(1, -(-n // 100_000))  # ranks come from counts of hash buckets, so no task sorts all names
-    bucket = (hash32(key) % width).cast("int")
-    sized = names.groupBy(bucket.alias("_b")).count()
-    start = sized.withColumn("_start", F.sum("count").over(Window.orderBy("_b")) - F.col("count")).select("_b", "_start")
-    numbered = names.withColumn("_b", bucket).join(F.broadcast(start), "_b").withColumn("_k", F.col("_start") + F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1).select(key, "_k")
+    """draw, key, times: as many groups as there are, drawn with replacement by hash. collapse is the audit form in which repeats count once.
+
+    A row a draw and group: drawn_sums() is for sums over the groups."""
+    names, n = in_order(groups.select(key).distinct(), key)
     slots = groups.sparkSession.range(n).withColumnRenamed("id", "slot").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     picked = slots.select("draw", (hash32(F.concat_ws("|", F.lit(seed), "draw", "slot")) % F.lit(n)).alias("_k"))
     times = picked.groupBy("draw", "_k").agg(F.count("*").alias("times"))
     if collapse:
         times = times.withColumn("times", F.lit(1).cast("long"))
-    return times.join(numbered, "_k").select("draw", key, "times")
+    return times.hint("shuffle_hash").join(names.filter(F.col(key).isNotNull()), "_k").select("draw", key, "times")
+
+
+#: Groups of one block of drawn_sums(); slots that one row hashes; draws whose counts in a block one task adds up.
+BLOCK, SLOTS_A_ROW, DRAWS_A_TASK = 65_536, 1_048_576, 256
+
+
+def _picks(batches, seed: str, n: int):
+    """(block, band, draw, counts) of the slots and draws of each row: how often every place of a block is some slot's hash modulo n, as compressed bytes."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for first, last, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found: dict[int, list[np.ndarray]] = {}
+            for at, draw in digits(np.arange(first, last)):
+                for _, slot in digits(np.arange(low, high)):
+                    head = np.frombuffer(f"{seed}|".encode(), dtype=np.uint8)
+                    a, b, c = len(head), len(head) + draw.shape[1] + 1, len(head) + draw.shape[1] + 1 + slot.shape[1]
+                    rows = np.full((len(draw), len(slot), c), ord("|"), dtype=np.uint8)
+                    rows[:, :, :a], rows[:, :, a : b - 1], rows[:, :, b:] = head, draw[:, None, :], slot
+                    for d, k in zip(at, (hash32_rows(rows.reshape(-1, c)) % n).reshape(len(draw), -1), strict=True):
+                        found.setdefault(first + int(d), []).append(k)
+            out = []
+            for draw, places in found.items():
+                k = np.concatenate(places)
+                block = (k // BLOCK).astype(np.uint16)
+                k = (k % BLOCK)[np.argsort(block, kind="stable")]
+                sizes = np.bincount(block)
+                for of, part in enumerate(np.split(k, np.cumsum(sizes)[:-1])):
+                    counts = np.bincount(part)
+                    while counts.any():
+                        out.append((of, draw // DRAWS_A_TASK, draw, zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)))
+                        counts = counts - np.minimum(counts, 255)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["_block", "_band", "draw", "_counts"])
+
+
+def drawn_sums(by: DataFrame, columns: list[str], n_draws: int, seed: str, key: str = "grp", collapse: bool = False) -> DataFrame:
+    """draw, times, columns: sums over the groups of each draw, a group as often as drawn; times is the number of groups drawn. The draws are those of draws(); by has a row a group.
+
+    Groups are numbered in order and packed into blocks. Slots are hashed in tasks, a few draws or a part of one at a time, and counted; a draw's counts
+    in a block, compressed to a quarter of a byte a group, meet the block's values, where its sums are counts times values. No task holds more than a
+    block with some draws, and a row a draw and block leaves it. Null values add nothing."""
+    import pandas as pd
+
+    spark, width = by.sparkSession, len(columns)
+    rows, n = in_order(by.select(key, *(F.col(c).cast("double").alias(c) for c in columns)), key)
+    named = rows.filter(F.col(key).isNotNull()).select((F.col("_k") % BLOCK).cast("int").alias("_place"), F.floor(F.col("_k") / BLOCK).alias("_block"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        values = np.zeros((int(rows["_place"].max()) + 1, width + 1))
+        values[rows["_place"], 0], values[rows["_place"], 1:] = 1, rows[columns]
+        return pd.DataFrame({"_block": rows["_block"][:1], "_values": [values.tobytes()]})
+
+    bands = range(-(-n_draws // DRAWS_A_TASK))
+    blocks = named.groupBy("_block").applyInPandas(pack, "_block long, _values binary").withColumn("_band", F.explode(F.array(*(F.lit(b).cast("long") for b in bands))))
+    some = max(1, min(n_draws, SLOTS_A_ROW // max(n, 1)))
+    pieces, parts = -(-n // SLOTS_A_ROW), -(-n_draws // some)
+    task = spark.range(pieces * parts, numPartitions=max(1, min(pieces * parts, 4096)))
+    draw, slot = F.floor(F.col("id") / max(pieces, 1)) * some, (F.col("id") % max(pieces, 1)) * SLOTS_A_ROW
+    task = task.select(draw, F.least(draw + some, F.lit(n_draws)), slot, F.least(slot + SLOTS_A_ROW, F.lit(n)))
+    counts = task.mapInArrow(lambda batches: _picks(batches, seed, n), "_block long, _band long, draw long, _counts binary")
+
+    def add(drawn: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(drawn) or not len(block):
+            return pd.DataFrame(columns=["draw", "times", *columns])
+        values = np.frombuffer(block["_values"].iloc[0]).reshape(-1, width + 1)
+        finite, out = np.isfinite(values).all(), []
+        for of, rows in drawn.groupby("draw"):
+            counts = np.zeros(BLOCK)
+            for packed in rows["_counts"]:
+                one = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+                counts[: len(one)] += one
+            counts = counts[: len(values)]
+            if collapse:
+                counts = np.minimum(counts, 1)
+            on = slice(None) if finite else counts > 0  # 0 times infinity is no 0
+            out.append((of, *(counts[on] @ values[on])))
+        return pd.DataFrame(out, columns=["draw", "times", *columns])
+
+    schema = "draw long, " + ", ".join(f"{c} double" for c in ("times", *columns))
+    sums = counts.groupBy("_block", "_band").cogroup(blocks.groupBy("_block", "_band")).applyInPandas(add, schema)
+    return sums.groupBy("draw").agg(*(F.sum(c).alias(c) for c in ("times", *columns))).filter("times > 0")
+
+
+def bootstrap(by_group: DataFrame, arms: list[str], n_draws: int, seed: str, key: str = "grp", collapse: bool = False) -> DataFrame:
+    """R2 of each arm in each draw of draws(), from the groups' moments."""
+    sums = drawn_sums(by_group, ["n", "sy", "syy", *(f"e_{a}" for a in arms)], n_draws, seed, key, collapse)
+    left = F.col("syy") - F.col("sy") * F.col("sy") / F.nullif(F.col("n"), F.lit(0.0))
+    return sums.select("draw", *((1 - ratio(f"e_{a}", left)).alias(a) for a in arms))
 
 
 def bootstrap_r2(by_group: DataFrame, drawn: DataFrame, arms: list[str], key: str = "grp") -> DataFrame:

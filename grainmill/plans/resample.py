@@ -23,7 +23,7 @@ def h(x):
     return H.format(x)
 
 
-#: Groups numbered as the draws number them: by hash bucket (one bucket up to 100,000 groups) and name.
+#: Groups numbered as the draws number them: by name.
 NUM = "gk AS (SELECT grp, row_number() OVER (ORDER BY grp)-1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM {src}))"
 
 
@@ -456,7 +456,7 @@ def p25_calibration_gain(s, d):
     fit = pr.logo_affine(rs.moments(q, "dy", ["dp"], ["grp"]), "dp", intercept=False)
     x = q.join(fit, "grp").withColumn("dc", F.col("b") * F.col("dp"))
     by = rs.arm_moments(x, arms=("dp", "dc"))
-    b = rs.bootstrap_r2(by, rs.draws(by, DRAWS["p25"], "31"), ["dp", "dc"])
+    b = rs.bootstrap(by, ["dp", "dc"], DRAWS["p25"], "31")
     return rounded(rs.interval(b.select((F.col("dc") - F.col("dp")).alias("gain")), "gain"))
 
 
