@@ -109,9 +109,9 @@ CORR_W = "(sum(w)*sum(w*x*z)-sum(w*x)*sum(w*z))/nullif(sqrt((sum(w)*sum(w*x*x)-s
 def r10_correlation_bootstrap(s, d, draws=DRAWS["r10"]):
     q = pairs(s, d)
     by = q.groupBy("grp").agg(F.count("*").alias("n"), F.sum("dy").alias("x"), F.sum("dp2").alias("z"), F.sum(F.col("dy") ** 2).alias("xx"), F.sum(F.col("dp2") ** 2).alias("zz"), F.sum(F.col("dy") * F.col("dp2")).alias("xz"))
-    t = rs.draws(by, draws, "19").join(by, "grp").groupBy("draw").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "x", "z", "xx", "zz", "xz")))
+    t = rs.drawn_sums(by, ["n", "x", "z", "xx", "zz", "xz"], draws, "19")
     r = ratio(F.col("n") * F.col("xz") - F.col("x") * F.col("z"), F.sqrt((F.col("n") * F.col("xx") - F.col("x") ** 2) * (F.col("n") * F.col("zz") - F.col("z") ** 2)))
-    return rounded(t.select(F.col("draw").cast("long").alias("draw"), r.alias("r")))
+    return rounded(t.select("draw", r.alias("r")))
 
 
 @query(f"WITH {Q}, {drawn('q', '23', DRAWS['r11'])} SELECT draw, round(({boot('(dy-dp)')}) - ({boot('(dy-dp2)')}) - (({boot('(dy-dp3)')}) - ({boot('(dy-(dp2+dp3)/2)')})),6) AS interaction FROM dr JOIN q USING (grp) GROUP BY draw")
