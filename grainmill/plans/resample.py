@@ -92,7 +92,7 @@ def r7_multiplicity_bootstrap(s, d, draws=DRAWS["r7"]):
 @query(f"WITH {Q}, {drawn('q', '13', DRAWS['r8'])}, u AS (SELECT draw, grp, 1 AS times FROM dr) SELECT draw, round({boot('(dy-dp)')},6) AS r2 FROM u JOIN q USING (grp) GROUP BY draw")
 def r8_collapsing_bootstrap(s, d, draws=DRAWS["r8"]):
     by = rs.arm_moments(pairs(s, d))
-    return rounded(rs.bootstrap_r2(by, rs.draws(by, draws, "13", collapse=True), ["dp"]).select(F.col("draw").cast("long").alias("draw"), F.col("dp").alias("r2")))
+    return rounded(rs.bootstrap(by, ["dp"], draws, "13", collapse=True).select("draw", F.col("dp").alias("r2")))
 
 
 @query(f"WITH {M}, {drawn('m', '17', DRAWS['r9'])}, g AS (SELECT grp, avg(abs(y-p)) - avg(abs(y-p2)) AS delta FROM m GROUP BY grp) SELECT draw, round(sum(times*delta)/sum(times),6) AS mean_delta FROM dr JOIN g USING (grp) GROUP BY draw")
