@@ -98,8 +98,8 @@ def r8_collapsing_bootstrap(s, d, draws=DRAWS["r8"]):
 @query(f"WITH {M}, {drawn('m', '17', DRAWS['r9'])}, g AS (SELECT grp, avg(abs(y-p)) - avg(abs(y-p2)) AS delta FROM m GROUP BY grp) SELECT draw, round(sum(times*delta)/sum(times),6) AS mean_delta FROM dr JOIN g USING (grp) GROUP BY draw")
 def r9_group_mean_bootstrap(s, d, draws=DRAWS["r9"]):
     g = measures(s, d).groupBy("grp").agg((F.avg(F.abs(F.col("y") - F.col("p"))) - F.avg(F.abs(F.col("y") - F.col("p2")))).alias("delta"))
-    out = rs.draws(g, draws, "17").join(g, "grp").groupBy("draw").agg((F.sum(F.col("times") * F.col("delta")) / F.sum("times")).alias("mean_delta"))
-    return rounded(out.withColumn("draw", F.col("draw").cast("long")))
+    sums = rs.drawn_sums(g.withColumn("known", F.col("delta").isNotNull()), ["delta", "known"], draws, "17")
+    return rounded(sums.select("draw", F.when(F.col("known") > 0, F.col("delta") / F.col("times")).alias("mean_delta")))
 
 
 CORR_W = "(sum(w)*sum(w*x*z)-sum(w*x)*sum(w*z))/nullif(sqrt((sum(w)*sum(w*x*x)-sum(w*x)*sum(w*x))*(sum(w)*sum(w*z*z)-sum(w*z)*sum(w*z))),0)"
