@@ -497,7 +497,7 @@ def p33_corrected_z(s, d):
 @query(f"WITH {Q}, {drawn('q', '13', DRAWS['r6'])}, {BD}, i AS (SELECT quantile_cont(rb-ra,0.05) AS lo, quantile_cont(rb-ra,0.95) AS hi FROM b) SELECT CASE WHEN lo>0 THEN 'adds' WHEN hi<0 THEN 'worse' ELSE 'not distinguishable' END AS verdict FROM i")
 def p34_verdict(s, d):
     by = rs.arm_moments(pairs(s, d), arms=("dp", "dp2"))
-    b = rs.bootstrap_r2(by, rs.draws(by, DRAWS["r6"], "13"), ["dp", "dp2"]).select((F.col("dp2") - F.col("dp")).alias("delta"))
+    b = rs.bootstrap(by, ["dp", "dp2"], DRAWS["r6"], "13").select((F.col("dp2") - F.col("dp")).alias("delta"))
     return rs.interval(b, "delta").select(verdict("lo", "hi").alias("verdict"))
 
 
