@@ -70,7 +70,7 @@ def r4_holdouts(s, d, draws=DRAWS["r4"]):
 def r5_cluster_bootstrap(s, d, draws=DRAWS["r5"]):
     m = measures(s, d).withColumnsRenamed({"y": "dy", "p": "dp"})
     by = rs.arm_moments(m)
-    return rounded(rs.bootstrap_r2(by, rs.draws(by, draws, "11"), ["dp"]).select(F.col("draw").cast("long").alias("draw"), F.col("dp").alias("r2")))
+    return rounded(rs.bootstrap(by, ["dp"], draws, "11").select("draw", F.col("dp").alias("r2")))
 
 
 BD = f"b AS (SELECT draw, {boot('(dy-dp)')} AS ra, {boot('(dy-dp2)')} AS rb FROM dr JOIN q USING (grp) GROUP BY draw)"
