@@ -119,8 +119,8 @@ def r11_interaction_bootstrap(s, d, draws=DRAWS["r11"]):
     """Difference of differences of four arms in one draw."""
     q = pairs(s, d).withColumn("dp4", (F.col("dp2") + F.col("dp3")) / 2)
     by = rs.arm_moments(q, arms=("dp", "dp2", "dp3", "dp4"))
-    b = rs.bootstrap_r2(by, rs.draws(by, draws, "23"), ["dp", "dp2", "dp3", "dp4"])
-    return rounded(b.select(F.col("draw").cast("long").alias("draw"), ((F.col("dp") - F.col("dp2")) - (F.col("dp3") - F.col("dp4"))).alias("interaction")))
+    b = rs.bootstrap(by, ["dp", "dp2", "dp3", "dp4"], draws, "23")
+    return rounded(b.select("draw", ((F.col("dp") - F.col("dp2")) - (F.col("dp3") - F.col("dp4"))).alias("interaction")))
 
 
 def half_sql(n):
