@@ -79,7 +79,7 @@ BD = f"b AS (SELECT draw, {boot('(dy-dp)')} AS ra, {boot('(dy-dp2)')} AS rb FROM
 @query(f"WITH {Q}, {drawn('q', '13', DRAWS['r6'])}, {BD} SELECT round(quantile_cont(rb-ra,0.05),6) AS lo, round(quantile_cont(rb-ra,0.95),6) AS hi, round(avg(CASE WHEN rb-ra>0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS share_positive FROM b")
 def r6_paired_bootstrap(s, d, draws=DRAWS["r6"]):
     by = rs.arm_moments(pairs(s, d), arms=("dp", "dp2"))
-    b = rs.bootstrap_r2(by, rs.draws(by, draws, "13"), ["dp", "dp2"])
+    b = rs.bootstrap(by, ["dp", "dp2"], draws, "13")
     return rounded(rs.interval(b.select((F.col("dp2") - F.col("dp")).alias("delta")), "delta"))
 
 
