@@ -86,7 +86,7 @@ def r6_paired_bootstrap(s, d, draws=DRAWS["r6"]):
 @query(f"WITH {Q}, {drawn('q', '13', DRAWS['r7'])}, {BD} SELECT draw, round(ra,6) AS r2_a, round(rb,6) AS r2_b FROM b")
 def r7_multiplicity_bootstrap(s, d, draws=DRAWS["r7"]):
     by = rs.arm_moments(pairs(s, d), arms=("dp", "dp2"))
-    return rounded(rs.bootstrap_r2(by, rs.draws(by, draws, "13"), ["dp", "dp2"]).select(F.col("draw").cast("long").alias("draw"), F.col("dp").alias("r2_a"), F.col("dp2").alias("r2_b")))
+    return rounded(rs.bootstrap(by, ["dp", "dp2"], draws, "13").select("draw", F.col("dp").alias("r2_a"), F.col("dp2").alias("r2_b")))
 
 
 @query(f"WITH {Q}, {drawn('q', '13', DRAWS['r8'])}, u AS (SELECT draw, grp, 1 AS times FROM dr) SELECT draw, round({boot('(dy-dp)')},6) AS r2 FROM u JOIN q USING (grp) GROUP BY draw")
