@@ -5,6 +5,8 @@ the triangle over the pivot); a cell is searched only if no rule shows that all
 plane between the two pivots. Points then meet the cells that are left, both cut into chunks of CHUNK rows, so that a crowded cell is many
 tasks; each pair of chunks gives its k best, and the best of these are the answer. Ties in distance go to the smaller id.
 
+Equal points of one part are one site, which is searched once and found by its k smallest ids: no other of them can be among the k nearest.
+
 Pivots are PIVOTS points of the smallest hash; what comes to the driver is k + 1 distances a pivot and part. No result depends on the choice of pivots.
 """
 
@@ -87,25 +89,26 @@ def search(x: np.ndarray, cell: np.ndarray, part: np.ndarray, pivots: np.ndarray
     return out
 
 
-def k_nearest(points: DataFrame, k: int, part: str | None = None, pivots: int | None = None) -> DataFrame:
-    """id, rank, neighbour, distance, value of the k nearest points of each (fewer where there are fewer), from id, x (array<double>), value.
+def _near_sites(points: DataFrame, k: int, apart: bool, pivots: int | None) -> tuple[DataFrame, DataFrame]:
+    """(x, part, site: the smallest id of each site; site, rank, neighbour, distance, value of the points nearest to it), from id, x, value, part.
 
-    With part (whole numbers from 0, a few) a point meets those of other parts only; without, all but itself. Rows with a null id or x are left out, ids are unique."""
-    points = points.filter("id is not null and x is not null").select("id", F.col("x").cast("array<double>").alias("x"), F.col("value").cast("double").alias("value"), (F.col(part).cast("int") if part else F.lit(0)).alias("part"))
-    points = stored(points)
-    chosen = points.orderBy(hash32(F.col("id").cast("string")), "id").limit(pivots or PIVOTS).select("x").collect()
+    Apart, they are the k nearest of other parts; else the k + 1 nearest of all, the site's own points among them."""
     id_type = points.schema["id"].dataType.simpleString()
+    most = k if apart else k + 1  # a point finds itself among the others of its part
+    first = F.row_number().over(Window.partitionBy("x", "part").orderBy("id"))
+    kept = stored(points.withColumn("_r", first).filter(F.col("_r") <= most))
+    sites = kept.filter("_r = 1").select("x", "part", F.col("id").alias("site"))
+    chosen = kept.filter("_r = 1").orderBy(hash32(F.col("id").cast("string")), "id").limit(pivots or PIVOTS).select("x").collect()
     result = f"id {id_type}, neighbour {id_type}, distance double, value double"
     if not chosen:
-        return points.sparkSession.createDataFrame([], f"id {id_type}, rank int, neighbour {id_type}, distance double, value double")
+        return sites, points.sparkSession.createDataFrame([], f"site {id_type}, rank int, neighbour {id_type}, distance double, value double")
     centre = np.unique(np.array([r["x"] for r in chosen], float), axis=0)
-    dealt = _cells(points, centre)
-    most = k if part else k + 1  # a point finds itself among the others of its part
+    dealt = _cells(kept, centre)
     found, rings = _rings(dealt, most), {}
     for p in {r["part"] for r in found}:
         low, high, least = np.full(len(centre), np.inf), np.full(len(centre), -np.inf), np.full((len(centre), most), np.inf)
         for r in found:
-            if not part or r["part"] != p:
+            if not apart or r["part"] != p:
                 c = r["cell"]
                 low[c], high[c] = min(low[c], r["low"]), max(high[c], r["high"])
                 least[c] = np.sort(np.concatenate([least[c], r["least"]]))[:most]
@@ -120,14 +123,13 @@ def k_nearest(points: DataFrame, k: int, part: str | None = None, pivots: int |
                 row, cell = np.nonzero(search(_matrix(batch.column("x")), own, of, centre, rings, most))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("id", "x", "part")), pa.array(cell, pa.int32())], names=["id", "x", "part", "cell"])
 
-    asked = stored(dealt.mapInArrow(sent, f"id {id_type}, x array<double>, part int, cell int"))
+    asked = stored(dealt.filter("_r = 1").mapInArrow(sent, f"id {id_type}, x array<double>, part int, cell int"))
     chunks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
     sizes = F.broadcast(chunks(dealt, "theirs").join(chunks(asked, "mine"), "cell"))  # a row a pivot
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = asked.join(sizes, "cell").select("id", "x", "part", "cell", spread("mine").alias("a"), every("theirs").alias("b"))
     right = dealt.join(sizes, "cell").select("id", "x", "part", "value", "cell", spread("theirs").alias("b"), every("mine").alias("a"))
-    apart = bool(part)
 
     def best(mine, theirs):
         import pyarrow as pa
@@ -138,25 +140,40 @@ def k_nearest(points: DataFrame, k: int, part: str | None = None, pivots: int |
         theirs, mine = theirs.sort_by("id"), mine.combine_chunks()
         d = distances(_matrix(mine["x"].combine_chunks()), _matrix(theirs["x"].combine_chunks()))
         if apart:
-            barred = mine["part"].to_numpy()[:, None] == theirs["part"].to_numpy()[None]
-        else:
-            barred = np.array(mine["id"].to_pylist(), object)[:, None] == np.array(theirs["id"].to_pylist(), object)[None]
-        d[barred.astype(bool)] = np.inf
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+            d[mine["part"].to_numpy()[:, None] == theirs["part"].to_numpy()[None]] = np.inf
+        at = np.argsort(d, axis=1, kind="stable")[:, :most]
         near = np.take_along_axis(d, at, 1)
         row, col = np.nonzero(np.isfinite(near))
         there = pa.array(at[row, col])
         return pa.table([mine["id"].take(pa.array(row)), theirs["id"].take(there), pa.array(near[row, col]), theirs["value"].take(there)], names=names)
 
     pairs = left.groupBy("cell", "a", "b").cogroup(right.groupBy("cell", "a", "b")).applyInArrow(best, result)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))  # k rows a chunk that was searched
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "neighbour", "distance", "value")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))  # `most` rows a chunk that was searched
+    return sites, pairs.withColumn("rank", rank).filter(F.col("rank") <= most).select(F.col("id").alias("site"), "rank", "neighbour", "distance", "value")
+
+
+def k_nearest(points: DataFrame, k: int, part: str | None = None, pivots: int | None = None) -> DataFrame:
+    """id, rank, neighbour, distance, value of the k nearest points of each (fewer where there are fewer), from id, x (array<double>), value.
+
+    With part (whole numbers from 0, a few) a point meets those of other parts only; without, all but itself. Rows with a null id or x are left out, ids are unique."""
+    points = points.filter("id is not null and x is not null").select("id", F.col("x").cast("array<double>").alias("x"), F.col("value").cast("double").alias("value"), (F.col(part).cast("int") if part else F.lit(0)).alias("part"))
+    points = stored(points)
+    sites, near = _near_sites(points, k, bool(part), pivots)
+    every = points.select("id", "x", "part").join(sites, ["x", "part"]).select("id", "site").join(near, "site").drop("site")
+    if not part:
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))  # k + 1 rows a point
+        every = every.filter(F.col("id") != F.col("neighbour")).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return every.select("id", "rank", "neighbour", "distance", "value")
 
 
 def knn_cv(dealt: DataFrame, features: list[str], k: int = 10) -> DataFrame:
     """row_id, y, grp, fold, oof: each row by the k nearest of other folds, weighted by 1 / distance; rows at distance 0 alone count where there are any."""
     rows = standardised(dealt, features).select(F.col("row_id").cast("string").alias("row_id"), F.col("y").cast("double").alias("y"), "grp", "fold", "x")
-    near = k_nearest(rows.select(F.col("row_id").alias("id"), "x", F.col("y").alias("value"), F.col("fold").alias("part")), k, "part")
+    rows = stored(rows)
+    known = rows.filter("row_id is not null and x is not null").select(F.col("row_id").alias("id"), "x", F.col("y").alias("value"), F.col("fold").cast("int").alias("part"))
+    sites, near = _near_sites(known, k, True, None)
     equal = F.col("distance") == 0
     mean = F.coalesce(F.avg(F.when(equal, F.col("value"))), F.sum(F.when(~equal, F.col("value") / F.col("distance"))) / F.sum(F.when(~equal, 1 / F.col("distance"))))
-    return rows.drop("x").join(near.groupBy(F.col("id").alias("row_id")).agg(mean.alias("oof")), "row_id", "left")
+    found = sites.join(near.groupBy("site").agg(mean.alias("_oof")), "site").select("x", F.col("part").alias("_part"), "_oof")
+    both = rows.withColumn("_fold", F.col("fold").cast("int")).join(found.withColumnRenamed("x", "_x"), (F.col("x") == F.col("_x")) & (F.col("_fold") == F.col("_part")), "left")
+    return both.select("row_id", "y", "grp", "fold", F.when(F.col("row_id").isNotNull(), F.col("_oof")).alias("oof"))

@@ -40,6 +40,21 @@ def test_fewer_points_than_neighbours(spark):
     assert neighbours.k_nearest(df.filter("id < 0"), 5).count() == 0
 
 
+def test_equal_points_are_searched_once(spark):
+    """Many copies of a few points: chunks meet sites and their smallest ids, not all pairs of copies."""
+    rows = [(k, [float(k % 4), 0.0], float(k), k % 3) for k in range(6000)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, value double, part int")
+    sites, near = neighbours._near_sites(df, 5, True, None)
+    assert sites.count() == 12 and near.count() == 60
+    got = {}
+    for r in neighbours.k_nearest(df, 5, "part").filter("id in (0, 5999)").collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"], r["distance"]))
+    for i, found in got.items():
+        others = sorted((abs(k % 4 - i % 4), k) for k in range(6000) if k % 3 != i % 3)[:5]
+        assert sorted(found) == [(r, k, float(d)) for r, (d, k) in enumerate(others, 1)]
+    assert len(got) == 2
+
+
 def test_most_cells_are_not_searched():
     """The bounds hold for each point's true neighbours and spare most cells."""
     rng = np.random.default_rng(2)
