@@ -169,31 +169,49 @@ def reversed_copies(pairs: DataFrame, swap: list[tuple[str, str]], negate: list[
 def transitive_scores(pairs: DataFrame, keys: list[str], a: str, b: str, value: str) -> DataFrame:
     """Least-squares item scores of the pair values of each key: score_a - score_b is nearest to value, scores of a component sum to 0.
 
-    Conjugate gradients on the pairs themselves: memory is linear in a key's pairs, and no matrix of its items is made."""
+    Conjugate gradients on the pairs themselves, for all keys of a batch at once: no matrix of items is made, and a task holds a batch and the
+    pairs of one key that goes on in the next."""
+    import numpy as np
     import pandas as pd
 
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        items, at = np.unique(np.concatenate([rows[a], rows[b]]), return_inverse=True)
-        i, j, n = at[: len(rows)], at[len(rows) :], len(items)
+    def solve(rows: pd.DataFrame, key: np.ndarray) -> pd.DataFrame:
+        ends = pd.DataFrame({"key": np.concatenate([key, key]), "item": pd.concat([rows[a], rows[b]], ignore_index=True)})
+        at = ends.groupby(["key", "item"], sort=False, dropna=False).ngroup().to_numpy()
+        i, j, n = at[: len(rows)], at[len(rows) :], at.max() + 1
+        named = np.unique(at, return_index=True)[1]
+        of, m = ends["key"].to_numpy()[named], key.max() + 1
         spread = lambda v: np.bincount(i, v, n) - np.bincount(j, v, n)
         left = spread(rows[value].to_numpy(float))
-        score, way, size = np.zeros(n), left.copy(), left @ left
-        least = 1e-26 * size
-        for _ in range(20 * n):
-            if size <= least:
-                break
+        score, way, size = np.zeros(n), left.copy(), np.bincount(of, left * left, m)
+        score[np.isnan(size[of])] = np.nan
+        least, most, turn = 1e-26 * size, 20 * np.bincount(of, minlength=m), 0
+        while (live := (size > least) & (turn < most)).any():
             turned = spread(way[i] - way[j])
-            step = size / (way @ turned)
+            step = np.divide(size, np.bincount(of, way * turned, m), out=np.zeros(m), where=live)[of]
             score += step * way
             left = left - step * turned
-            size, before = left @ left, size
-            way = left + size / before * way
-        return pd.DataFrame([(*key, x, float(v)) for x, v in zip(items.tolist(), score, strict=True)], columns=[*keys, "item", "score"])
+            size, before = np.bincount(of, left * left, m), size
+            way = left + np.divide(size, before, out=np.zeros(m), where=live)[of] * way
+            turn += 1
+        out = rows[keys].iloc[named % len(rows)].reset_index(drop=True)
+        out["item"], out["score"] = ends["item"].to_numpy()[named], score
+        return out
+
+    def run(batches):
+        held = None
+        for rows in batches:
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            key = rows.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            last = np.flatnonzero(key == key[-1])[0] if len(rows) else 0  # rows are in the order of keys
+            held = rows.iloc[last:]
+            if last:
+                yield solve(rows.iloc[:last].reset_index(drop=True), key[:last])
+        if held is not None and len(held):
+            yield solve(held.reset_index(drop=True), np.zeros(len(held), dtype=int))
 
     kinds = dict(pairs.dtypes)
-    return pairs.select(*keys, a, b, value).groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", item {kinds[a]}, score double")
+    dealt = pairs.select(*keys, a, b, value).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", item {kinds[a]}, score double")
 
 
 def seed_ensemble(runs: DataFrame, expected: int, row: str = "row_id", seed: str = "seed", value: str = "oof") -> DataFrame:
