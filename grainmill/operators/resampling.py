@@ -185,6 +185,10 @@ def interval(samples: DataFrame, column: str, low: float = 0.05, high: float = 0
     return samples.agg(F.percentile(column, F.lit(low)).alias("lo"), F.percentile(column, F.lit(high)).alias("hi"), F.avg(F.when(F.col(column) > 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("share_positive"))
 
 
+#: Hashes that a task of hashed_sums() takes at once.
+HASHES = 65_536
+
+
 def hashed_sums(by: DataFrame, columns: list[str], n_draws: int, seed: str, modulus: int, below: int, key: str = "grp", index: str | None = None) -> DataFrame:
     """draw, index, inside, columns: sums over the groups whose hash of seed, draw and key, modulo `modulus`, is below `below`, and over the others.
 
@@ -197,12 +201,21 @@ def hashed_sums(by: DataFrame, columns: list[str], n_draws: int, seed: str, modu
         import pyarrow as pa
 
         totals: dict[int, np.ndarray] = {}
+        head, numbers = np.frombuffer(f"{seed}|".encode(), dtype=np.uint8), digits(np.arange(n_draws))
         for batch in batches:
             names, at = np.unique(np.array(batch.column("_k").to_pylist(), dtype=object), return_inverse=True)
             inside = np.empty((n_draws, len(names)), dtype=bool)
-            for g, name in enumerate(names):
-                tail = f"|{name}".encode()
-                inside[:, g] = [int.from_bytes(hashlib.md5(b"%s|%d%s" % (seed.encode(), d, tail)).digest()[:4], "big") % modulus < below for d in range(n_draws)]
+            tails = [f"|{name}".encode() for name in names]
+            for length in {len(t) for t in tails}:
+                those = [g for g, t in enumerate(tails) if len(t) == length]
+                tail = np.frombuffer(b"".join(tails[g] for g in those), dtype=np.uint8).reshape(len(those), length)
+                for drawn, draw in numbers:
+                    step = max(1, HASHES // len(those))
+                    for k in range(0, len(drawn), step):
+                        some = draw[k : k + step]
+                        rows = np.empty((len(some), len(those), len(head) + some.shape[1] + length), dtype=np.uint8)
+                        rows[:, :, : len(head)], rows[:, :, len(head) : -length], rows[:, :, -length:] = head, some[:, None], tail
+                        inside[np.ix_(drawn[k : k + step], those)] = (hash32_rows(rows.reshape(-1, rows.shape[2])) % modulus < below).reshape(len(some), -1)
             value = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)
             place = batch.column("_i").to_numpy(zero_copy_only=False)
             for i in np.unique(place):

@@ -1,6 +1,7 @@
 """Sums over drawn groups against draws made one by one."""
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -49,3 +50,12 @@ def test_sums_are_those_of_draws(spark):
         got = {r["draw"]: (r["times"], r["v"]) for r in rs.drawn_sums(by, ["v"], 30, "x", collapse=collapse).collect()}
         assert got == want
     assert rs.drawn_sums(by.limit(0), ["v"], 3, "x").count() == 0
+
+
+def test_sides_of_hashed_groups(spark):
+    """Names of several lengths, some too long for one block of MD5, and more draws than one pass takes."""
+    names = ["a", "bb", "é", "x" * 60, *(f"g{k}" for k in range(700))]
+    by = spark.createDataFrame([(n, float(k)) for k, n in enumerate(names)], "grp string, v double").repartition(3)
+    got = {r["draw"]: r["v"] for r in rs.hashed_sums(by, ["v"], 120, "9", 1000, 200).filter("inside").collect()}
+    want = {d: sum(k for k, n in enumerate(names) if literal(f"9|{d}|{n}".encode()) % 1000 < 200) for d in range(120)}
+    assert got == want
