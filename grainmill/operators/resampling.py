@@ -271,24 +271,47 @@ def balanced_folds(sizes: list[tuple[str, int]], k: int) -> dict[str, int]:
 
 def stratified_folds(sizes: list[tuple[str, str, int]], k: int) -> dict[str, int]:
     """Groups with counts by stratum: each to the fold where the spread of stratum shares grows least."""
-    strata = sorted({s for _, s, _ in sizes})
-    by: dict[str, np.ndarray] = {}
+    strata, names = sorted({s for _, s, _ in sizes}), sorted({g for g, _, _ in sizes})
+    row, column = ({x: n for n, x in enumerate(of)} for of in (names, strata))
+    by = np.zeros((len(names), len(strata)))
     for g, s, n in sizes:
-        by.setdefault(g, np.zeros(len(strata)))[strata.index(s)] += n
-    total = np.maximum(sum(by.values()), 1)
-    load, out = np.zeros((k, len(strata))), {}
-    for g in sorted(by, key=lambda g: (-by[g].std(), -by[g].sum(), g)):
-        score = []
-        for f in range(k):
-            trial = load.copy()
-            trial[f] += by[g]
-            score.append(((trial / total).std(0).mean(), load[f].sum(), f))
-        f = min(score)[2]
-        out[g] = f
+        by[row[g], column[s]] += n
+    return dict(zip(names, _stratified(by, k).tolist(), strict=True))
+
+
+def _stratified(by: np.ndarray, k: int) -> np.ndarray:
+    """The fold of each row of by, which has the counts of a group by stratum; rows are in the order of names, which breaks ties."""
+    strata = by.shape[1]
+    total, loads = np.maximum(by.sum(0), 1), [0.0] * k
+    load, every, own, out = np.zeros((k, strata)), np.empty((k, k, strata)), np.arange(k), np.zeros(len(by), dtype=np.int32)
+    for g in np.lexsort((np.arange(len(by)), -by.sum(1), -by.std(1))):
+        every[:] = load
+        every[own, own] += by[g]  # trial f has the group in fold f
+        share = every / total
+        apart = share - (np.add.reduce(share, 1) / k)[:, None]
+        spread = np.add.reduce(np.sqrt(np.add.reduce(apart * apart, 1) / k), 1) / strata
+        out[g] = f = min(zip(spread.tolist(), loads, range(k), strict=True))[2]
         load[f] += by[g]
+        loads[f] = load[f].sum()
     return out
 
 
+def stratified_fold_table(counts: DataFrame, k: int, key: str = "grp", stratum: str = "stratum", n: str = "n") -> DataFrame:
+    """key, fold by stratified_folds(), from a row a group and stratum (null is one, the last): in one executor task, which holds the names and a number a group and stratum."""
+
+    def run(rows):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows = rows.combine_chunks()
+        names, strata = (pc.unique(rows[c]).sort() for c in ("_g", "_s"))
+        by = np.zeros((len(names), len(strata)))
+        np.add.at(by, tuple(pc.index_in(rows[c], of).to_numpy() for c, of in (("_g", names), ("_s", strata))), rows["_n"].to_numpy())
+        return pa.table([names, pa.array(_stratified(by, k))], names=[key, "fold"])
+
+    return counts.select(F.lit(1).alias("_one"), F.col(key).alias("_g"), F.col(stratum).alias("_s"), F.col(n).alias("_n")).groupBy("_one").applyInArrow(run, f"{key} {dict(counts.dtypes)[key]}, fold int")
+
+
 def even_split(counts: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
     """Two sides of like pair counts: the next group by falling count goes to the lighter side, groups without pairs alternate."""
     sides: tuple[list[str], list[str]] = ([], [])

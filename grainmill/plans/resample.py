@@ -49,7 +49,7 @@ def r1_balanced_folds(s, d):
 
 @query()
 def r2_stratified_folds(s, d):
-    return rs.in_turn(measures(s, d).groupBy("grp", "l_returnflag").count(), lambda rows: sorted(rs.stratified_folds(rows, 5).items()), "grp string, fold int")
+    return rs.stratified_fold_table(measures(s, d).groupBy("grp", "l_returnflag").agg(F.count("*").alias("n")), 5, stratum="l_returnflag")
 
 
 @query(f"WITH {Q}, o AS (SELECT grp, count(*) AS n, sum(dy) AS s FROM q GROUP BY grp) SELECT grp, round((sum(s) OVER () - s)/(sum(n) OVER () - n),6) AS mean_of_others FROM o")

@@ -52,6 +52,41 @@ def test_sums_are_those_of_draws(spark):
     assert rs.drawn_sums(by.limit(0), ["v"], 3, "x").count() == 0
 
 
+def stratified_plainly(sizes, k):
+    strata = sorted({s for _, s, _ in sizes})
+    by = {}
+    for g, s, n in sizes:
+        by.setdefault(g, np.zeros(len(strata)))[strata.index(s)] += n
+    total, load, out = np.maximum(sum(by.values()), 1), np.zeros((k, len(strata))), {}
+    for g in sorted(by, key=lambda g: (-by[g].std(), -by[g].sum(), g)):
+        score = []
+        for f in range(k):
+            trial = load.copy()
+            trial[f] += by[g]
+            score.append(((trial / total).std(0).mean(), load[f].sum(), f))
+        f = min(score)[2]
+        out[g] = f
+        load[f] += by[g]
+    return out
+
+
+def test_stratified_folds_are_the_plain_ones_in_less_time(spark):
+    rng = np.random.default_rng(5)
+    for strata, k in ((1, 2), (3, 5), (9, 4)):
+        sizes = [(f"g{g}", f"s{s}", int(rng.integers(0, 9))) for g in range(60) for s in range(strata)]
+        assert rs.stratified_folds(sizes, k) == stratified_plainly(sizes, k)
+        got = rs.stratified_fold_table(spark.createDataFrame(sizes, "grp string, stratum string, n long"), k).collect()
+        assert {r["grp"]: r["fold"] for r in got} == stratified_plainly(sizes, k)
+    odd = spark.createDataFrame([("a", "x", 3), ("a", None, 1), (None, "x", 3), ("b", None, 2)], "grp string, stratum string, n long")
+    assert {r["grp"] for r in rs.stratified_fold_table(odd, 2).collect()} == {"a", "b", None}
+    sizes = [(f"g{g}", s, int(rng.integers(0, 60))) for g in range(6000) for s in "ANR"]
+    began = time.process_time()
+    new = rs.stratified_folds(sizes, 5)
+    middle = time.process_time()
+    assert new == stratified_plainly(sizes, 5)
+    assert 2 * (middle - began) < time.process_time() - middle
+
+
 def test_sides_of_hashed_groups(spark):
     """Names of several lengths, some too long for one block of MD5, and more draws than one pass takes."""
     names = ["a", "bb", "é", "x" * 60, *(f"g{k}" for k in range(700))]
