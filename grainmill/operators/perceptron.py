@@ -129,6 +129,7 @@ def mlp(dealt: DataFrame, features: list[str], folds: int = 1, hidden: tuple[int
     Targets are centred and scaled inside; a fold whose stopping groups are empty stops at its own loss."""
     layout = shapes(len(features), hidden)
     blocks = packed(stopping_groups(standardised(dealt, features), folds, share, str(seed)), ["stop"])
+    numbers = blocks.select("x", "y", "fold", "stop")  # passes do not read the names of rows and groups
     size = sum(a * b + b for a, b in layout)
     centre = dealt.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
     mean, scale = float(centre["m"] or 0.0), float(centre["s"] or 1.0) or 1.0
@@ -155,7 +156,7 @@ def mlp(dealt: DataFrame, features: list[str], folds: int = 1, hidden: tuple[int
                             total[k] += np.concatenate([[loss, train.sum(), 0.5 * error @ error, held.sum()], slope])
             yield pa.RecordBatch.from_pydict({"part": [total.tobytes()]})
 
-        total = summed(blocks.mapInArrow(run, "part binary"), "part").reshape(folds, -1)
+        total = summed(numbers.mapInArrow(run, "part binary"), "part").reshape(folds, -1)
         for k, f in enumerate(fits):
             if not f.done and len(total):
                 loss, n, stop, held = total[k, :4]
