@@ -7,8 +7,10 @@ driver. All folds of a cross-validation grow in the same passes, so these number
 Leaf-wise growth by levels: a node's gain does not depend on others, so the driver replays best-first growth with the gains it knows and
 asks for those of the nodes that it would reach, until none is unknown. Missing values have a bin of their own and go to the side with the higher gain.
 
-Sums of trees are written with the blocks each EVERY trees; younger trees are applied on the way. With dropout each row keeps its leaf in
-every tree, so that trees are taken out and rescaled without descending again. Ordered boosting deals rows to segments by hash: a row's gradient
+A block holds each different row of bins once, and which of them each row has: trees are descended by different rows of bins, whose values and sums
+each row then looks up. Names of rows and groups stay in a table that passes do not read.
+
+Sums of trees are written with the blocks each EVERY trees; younger trees, and older ones that dropout takes out or rescales, are applied on the way. Ordered boosting deals rows to segments by hash: a row's gradient
 comes from leaf values of earlier segments only, so its own target never reaches it; held-out rows and the model use all segments.
 
 Bin edges are quantiles of the features of all rows; targets of held-out rows are not used anywhere.
@@ -172,6 +174,15 @@ def _binned(x, cuts: list[float], missing: int) -> np.ndarray:
     return np.where(np.isnan(v), missing, np.searchsorted(cuts, v, side="left")).astype(np.uint16)
 
 
+def _different(bins: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the different rows of bins, which one each row is); rows are numbers in base width where these fit."""
+    if width ** bins.shape[1] >= 1 << 62:
+        return np.unique(bins, axis=0, return_inverse=True)
+    code = bins.astype(np.int64) @ (width ** np.arange(bins.shape[1], dtype=np.int64))
+    _, first, which = np.unique(code, return_index=True, return_inverse=True)
+    return bins[first], which
+
+
 def _blocks(df: DataFrame, features: list[str], cuts: list[list[float]], p: Boosting, folds: int, base: list[float], weight: str | None) -> DataFrame:
     """ids and groups of a block's rows, their arrays, and total: the sum of trees of each fold's model (base at first)."""
     missing, segments, hashed = p.bins, max(1, p.segments), hash32(F.concat_ws("|", F.lit(p.seed), F.col("row_id").cast("string")))
@@ -183,8 +194,9 @@ def _blocks(df: DataFrame, features: list[str], cuts: list[list[float]], p: Boos
             if batch.num_rows:
                 col = lambda name, kind: np.asarray(batch.column(name).to_numpy(zero_copy_only=False), dtype=kind)  # noqa: E731, B023
                 bins = np.stack([_binned(batch.column(f"_x{k}"), cuts[k], missing) for k in range(len(features))], axis=1)
+                bins, which = _different(bins, missing + 1)
                 total = np.tile(np.array(base), (batch.num_rows, 1))
-                arrays = [bins, col("y", "f8"), col("_w", "f8"), col("fold", "i4"), col("_hash", "i8"), (col("_hash", "i8") % segments).astype("i4"), total, np.zeros((0, folds, batch.num_rows), np.uint16)]
+                arrays = [bins, which.ravel().astype("i4"), col("y", "f8"), col("_w", "f8"), col("fold", "i4"), col("_hash", "i8"), (col("_hash", "i8") % segments).astype("i4"), total]
                 ids, grp = (pa.array([batch.column(c)], pa.list_(pa.string())) for c in ("row_id", "grp"))
                 yield pa.RecordBatch.from_arrays([ids, grp, *(pa.array([np.ascontiguousarray(a).tobytes()]) for a in arrays)], names=["ids", "grp", *ARRAYS])
 
@@ -194,44 +206,40 @@ def _blocks(df: DataFrame, features: list[str], cuts: list[list[float]], p: Boos
     return slim.mapInArrow(run, "ids array<string>, grp array<string>, " + ", ".join(f"{a} binary" for a in ARRAYS))
 
 
-ARRAYS = ("bins", "y", "w", "fold", "hash", "segment", "total", "leaves")
+ARRAYS = ("bins", "which", "y", "w", "fold", "hash", "segment", "total")
 
 
 class _Block:
-    """A block's arrays, with total brought up to date by the trees that are not yet written."""
+    """A block's arrays, with total brought up to date by the trees that are not yet written and those rescaled since.
+
+    bins are the different rows of bins and which the one of each row; trees' values are added up by the former (and segment), then looked up."""
 
     def __init__(self, row: dict, features: int, folds: int, state: _State):
         read = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
-        self.y, self.w, self.fold, self.hash, self.segment = read("y", "f8"), read("w", "f8"), read("fold", "i4"), read("hash", "i8"), read("segment", "i4")
-        n = len(self.y)
-        self.bins, self.missing = read("bins", np.uint16).reshape(n, features), state.p.bins
-        self.total = read("total", "f8").reshape(n, folds).copy()
-        self.leaves = read("leaves", np.uint16).reshape(-1, folds, n)
-        held = self.leaves.shape[0]
-        young = [[t.leaves(self.bins, self.missing) for t in trees] for trees in state.trees[state.written :]]
-        self.kept = list(self.leaves) if state.keep else []
-        if state.keep:
-            self.kept += [np.array(x, np.uint16) for x in young]
+        self.which, self.y, self.w, self.fold, self.hash, self.segment = read("which", "i4"), read("y", "f8"), read("w", "f8"), read("fold", "i4"), read("hash", "i8"), read("segment", "i4")
+        self.bins, self.missing = read("bins", np.uint16).reshape(-1, features), state.p.bins
+        self.total = read("total", "f8").reshape(len(self.y), folds).copy()
         for k in range(folds):
-            segment = np.where(self.fold == k, -1, self.segment)
-            for trees, found in zip(state.trees[state.written :], young, strict=True):
-                self.total[:, k] += self._value(trees[k], found[k], segment) * trees[k].scale
-            if state.keep:
-                for t in range(held):
-                    moved = state.trees[t][k].scale - state.scales[t][k]
-                    if moved:
-                        self.total[:, k] += self._value(state.trees[t][k], self.kept[t][k], segment) * moved
-        self.folds = folds
-
-    @staticmethod
-    def _value(tree: Tree, leaf: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        return tree.value[leaf, np.minimum(segment, tree.value.shape[1] - 1)]
+            parts = [(t, trees[k].scale - (state.scales[t][k] if t < state.written else 0.0)) for t, trees in enumerate(state.trees)]
+            self.total[:, k] += self._sum(state, k, [(t, by) for t, by in parts if by])
+
+    def _sum(self, state: _State, k: int, parts: list[tuple[int, float]]) -> np.ndarray | float:
+        """What some trees of fold k's model, each times a number, give every row."""
+        if not parts:
+            return 0.0
+        values = 0.0
+        for t, by in parts:
+            tree = state.trees[t][k]
+            values = values + tree.value[tree.leaves(self.bins, self.missing)] * by
+        if values.shape[1] == 1:
+            return values[:, 0][self.which]
+        last = values.shape[1] - 1
+        return values.ravel()[self.which * np.int64(last + 1) + np.where(self.fold == k, last, self.segment)]
 
     def gradient(self, state: _State, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(gradient, weight) of the squared error for fold k's next tree; 0 for held-out rows and rows not drawn."""
-        p, now, segment = state.p, self.total[:, k], np.where(self.fold == k, -1, self.segment)
-        for t in state.dropped:
-            now = now - self._value(state.trees[t][k], self.kept[t][k], segment) * state.trees[t][k].scale
+        p = state.p
+        now = self.total[:, k] - self._sum(state, k, [(t, state.trees[t][k].scale) for t in state.dropped])
         w = self.w * (self.fold != k)
         if p.rows < 1:
             mixed = (self.hash * 2654435761 + len(state.trees) * 40503) % 1_000_003
@@ -244,7 +252,6 @@ class _State:
     """What tasks need to bring a block up to date: all trees by number and fold, how many are written, scales at that time, trees dropped now."""
 
     p: Boosting
-    keep: bool
     trees: list[list[Tree]]
     written: int
     scales: list[list[float]]
@@ -272,10 +279,11 @@ def _histograms(blocks: DataFrame, features: int, folds: int, state: _State, gro
                     of = np.full(len(growing[k].feature), -1)
                     of[list(slots[k])] = list(slots[k].values())
                     slot = of[growing[k].nodes(block.bins, block.missing)]
-                    inside = np.flatnonzero((slot >= 0) & (w > 0))
+                    inside = np.flatnonzero(slot >= 0)
+                    by = [np.bincount(block.which, weight, len(slot))[inside] for weight in (g, w, w > 0)]
                     for f in columns:
                         key = slot[inside] * width + block.bins[inside, f]
-                        for at, weight in enumerate((g[inside], w[inside], None)):
+                        for at, weight in enumerate(by):
                             sums[k, f][at] += np.bincount(key, weight, len(slots[k]) * width)
         if sums:
             fold, feature = (pa.array([key[j] for key in sums], pa.int32()) for j in (0, 1))
@@ -353,7 +361,7 @@ def _by_segment(blocks: DataFrame, features: int, folds: int, state: _State, gro
                 block = _Block(row, features, folds, state)
                 for k in range(folds):
                     g, w = block.gradient(state, k)
-                    key = grown[k].leaves(block.bins, block.missing) * segments + block.segment
+                    key = grown[k].leaves(block.bins, block.missing)[block.which] * segments + block.segment
                     for at, weight in enumerate((g, w)):
                         sums[k][at] += np.bincount(key, weight, sizes[k] * segments)
         fold = np.concatenate([np.full(n * segments, k) for k, n in enumerate(sizes)])
@@ -373,7 +381,7 @@ def _by_segment(blocks: DataFrame, features: int, folds: int, state: _State, gro
 
 
 def _rewritten(blocks: DataFrame, features: int, folds: int, state: _State) -> DataFrame:
-    """blocks with up-to-date totals, and leaves of all trees where they are kept."""
+    """blocks with up-to-date totals."""
     names = blocks.columns
 
     def run(batches):
@@ -382,8 +390,7 @@ def _rewritten(blocks: DataFrame, features: int, folds: int, state: _State) -> D
         for batch in batches:
             for i, row in enumerate(batch.to_struct_array()):
                 block = _Block(row, features, folds, state)
-                new = {"total": block.total.tobytes(), "leaves": np.array(block.kept, np.uint16).tobytes()}
-                yield pa.RecordBatch.from_arrays([pa.array([new[n]], pa.binary()) if n in new else batch.column(n).slice(i, 1) for n in names], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([block.total.tobytes()], pa.binary()) if n == "total" else batch.column(n).slice(i, 1) for n in names], names=names)
 
     return stored(blocks.mapInArrow(run, blocks.schema))
 
@@ -439,10 +446,11 @@ def boost(dealt: DataFrame, features: list[str], p: Boosting, folds: int = 1, we
     held = per.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     per.set("spark.sql.execution.arrow.maxRecordsPerBatch", BLOCK_ROWS)
     try:
-        blocks = stored(_blocks(dealt, features, cuts, p, folds, base, weight))
+        every = stored(_blocks(dealt, features, cuts, p, folds, base, weight))
     finally:
         per.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
-    state = _State(p, p.drop > 0, [], 0, [])
+    blocks, count = every.select(*ARRAYS), len(features)
+    state = _State(p, [], 0, [])
     for number in range(p.trees):
         columns = _drawn(p, number, len(features), p.columns, "columns")
         dropped = tuple(t for t in range(number) if int(hashlib.md5(f"{p.seed}|drop|{number}|{t}".encode()).hexdigest()[:8], 16) < p.drop * (1 << 32)) if p.drop else ()
@@ -467,21 +475,22 @@ def boost(dealt: DataFrame, features: list[str], p: Boosting, folds: int = 1, we
             for tree in grown:
                 tree.scale = 1 / (len(dropped) + 1)
         state.trees.append(grown)
-        if len(state.trees) - state.written == EVERY or number == p.trees - 1:
+        if len(state.trees) - state.written == EVERY and number < p.trees - 1:
             blocks = _rewritten(blocks, len(features), folds, replace(state, dropped=()))
             state = replace(state, written=len(state.trees), scales=[[t.scale for t in trees] for trees in state.trees])
 
+    state = replace(state, written=0, scales=[], dropped=())
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for row in batch.to_struct_array():
-                y, fold = np.frombuffer(row["y"].as_buffer(), "f8"), np.frombuffer(row["fold"].as_buffer(), "i4")
-                total = np.frombuffer(row["total"].as_buffer(), "f8").reshape(len(y), folds)
-                oof = total[np.arange(len(y)), np.maximum(fold, 0)]
-                yield pa.RecordBatch.from_arrays([row["ids"].values, pa.array(y), row["grp"].values, pa.array(fold), pa.array(oof)], names=["row_id", "y", "grp", "fold", "oof"])
+                block = _Block(row, count, folds, state)
+                oof = block.total[np.arange(len(block.y)), np.maximum(block.fold, 0)]
+                yield pa.RecordBatch.from_arrays([row["ids"].values, pa.array(block.y), row["grp"].values, pa.array(block.fold), pa.array(oof)], names=["row_id", "y", "grp", "fold", "oof"])
 
-    return Model(p, features, cuts, base, state.trees), blocks.mapInArrow(run, "row_id string, y double, grp string, fold int, oof double")
+    return Model(p, features, cuts, base, state.trees), every.mapInArrow(run, "row_id string, y double, grp string, fold int, oof double")
 
 
 def fit(df: DataFrame, features: list[str], p: Boosting, weight: str | None = None) -> Model:
