@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ranks import placed
 from ..functions.joins import with_group
 from ..functions.scalars import is_true, ratio
+from ..sources.files import stored
 
 # ---- filters and projections
 
@@ -154,6 +155,48 @@ def radius_join(points: DataFrame, radius: float, key: str = "build_id") -> Data
     return a.join(b, [key, "gx", "gy", "gz"]).filter("i < j").select(key, "i", "j", d.alias("dist")).filter(F.col("dist") <= radius)
 
 
+#: Finest halving of a build's side whose cells are counted.
+HALVINGS = 20
+
+
+def near_pairs(points: DataFrame, k: int, key: str = "build_id", digits: int = 9) -> DataFrame:
+    """key, i, j, dist of each point's k nearest in three dimensions (all, where a build has fewer), dist rounded, ties by j; points without finite coordinates are left out.
+
+    A build's cube is halved again and again. The finest cell of a point that holds k + 1 points bounds its k-th distance by the cell's diagonal, so the
+    27 cells of twice that side around it hold the answer; where no such cell is small enough, the whole build does. Equal points are one site, which is
+    searched once and found by its k + 1 smallest ids. Crowds of different points inside a 2^-20th of the side are compared with each other."""
+    finite = F.lit(True)
+    for c in "xyz":
+        finite = finite & F.col(c).isNotNull() & (F.abs(c) < float("inf"))
+    zero = lambda c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)).alias(c)  # noqa: E731  -0.0 is 0.0
+    order = F.row_number().over(Window.partitionBy(key, *"xyz").orderBy("i"))
+    every = stored(points.filter(finite).select(key, "i", *(zero(c) for c in "xyz")).withColumn("_r", order))
+    box = every.groupBy(key).agg(*(F.min(c).alias(f"l{c}") for c in "xyz"), F.greatest(*(F.max(c) - F.min(c) for c in "xyz")).alias("side"))
+    side = F.when(F.col("side") > 0, F.col("side") * (1 + 1e-9)).otherwise(1.0)
+    fine = [F.floor((F.col(c) - F.col(f"l{c}")) / side * (1 << HALVINGS)).cast("long").alias(f"g{c}") for c in "xyz"]
+    kept = stored(every.filter(F.col("_r") <= k + 1).join(box, key).select(key, "i", *"xyz", "_r", side.alias("side"), *fine))
+    cell = [F.expr(f"shiftright(g{c}, {HALVINGS} - level)").alias(f"c{c}") for c in "xyz"]
+    at = ["level", "cx", "cy", "cz"]
+    levels = kept.withColumn("level", F.explode(F.sequence(F.lit(2), F.lit(HALVINGS)))).select(key, "i", "_r", *"xyz", "level", *cell)
+    full = levels.groupBy(key, *at).agg(F.count("*").alias("n")).filter(F.col("n") > k).drop("n")
+    own = levels.filter("_r = 1").join(full, [key, *at], "left_semi").groupBy(key, "i").agg(F.max("level").alias("level"))
+    sites = kept.filter("_r = 1").join(own, [key, "i"], "left").withColumn("level", F.coalesce(F.col("level") - 1, F.lit(0)))
+    reach = F.when(F.col("level") > 0, F.col("side") * F.expr("pow(2.0D, -1 - level)") * 1.7320508076 * (1 + 1e-9) + 10.0**-digits).otherwise(float("inf"))
+    sites = stored(sites.select(key, F.col("i").alias("site"), *(F.col(c).alias(f"a{c}") for c in "xyz"), "level", reach.alias("reach"), *cell))
+    used = [r["level"] for r in sites.select("level").distinct().collect()]  # at most HALVINGS
+    asked = sites
+    for c in "xyz":
+        step = F.when(F.col("level") == 0, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, (-1, 0, 1))))
+        asked = asked.withColumn("_d", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_d")).drop("_d")
+    there = kept.withColumn("level", F.explode(F.array(*map(F.lit, used or [0])))).select(key, F.col("i").alias("j"), *"xyz", "level", *cell)
+    raw = F.sqrt(sum((F.col(f"a{c}") - F.col(c)) ** 2 for c in "xyz"))
+    met = asked.join(there, [key, *at]).filter(raw <= F.col("reach")).select(key, "site", "j", F.round(raw, digits).alias("dist"))
+    best = met.withColumn("_n", F.row_number().over(Window.partitionBy(key, "site").orderBy("dist", "j"))).filter(F.col("_n") <= k + 1).select(key, "site", "j", "dist")
+    named = every.select(key, "i", *"xyz").join(sites.select(key, "site", *(F.col(f"a{c}").alias(c) for c in "xyz")), [key, *"xyz"]).select(key, "i", "site")
+    out = named.join(best, [key, "site"]).filter("i <> j")
+    return out.withColumn("_n", F.row_number().over(Window.partitionBy(key, "i").orderBy("dist", "j"))).filter(F.col("_n") <= k).select(key, "i", "j", "dist")
+
+
 def nearest_graph(distances: DataFrame, k: int, key: str = "build_id") -> DataFrame:
     """Undirected edges i < j from each node's k nearest, ties by number; distances holds both directions."""
     rank = F.row_number().over(Window.partitionBy(key, "i").orderBy("dist", "j"))
