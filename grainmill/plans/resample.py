@@ -11,6 +11,7 @@ from ..operators import cells as ce
 from ..operators import metrics as me
 from ..operators import predict as pr
 from ..operators import resampling as rs
+from ..sources.files import stored
 from .registry import C, M, Q, QQ, QS, VALUES, measures, pairs, query, table
 from .scores import ALL, DR2, R2, ranks, rounded
 
@@ -441,7 +442,7 @@ def p24_calibration_isotonic(s, d):
     """Isotonic calibration in five group folds, by pyspark.ml."""
     from pyspark.ml.regression import IsotonicRegression
 
-    q = pairs(s, d).select("grp", F.col("dy").alias("label"), "dp").withColumn("fold", hash32("grp") % 5)
+    q = stored(pairs(s, d).select(F.col("dy").alias("label"), "dp", (hash32("grp") % 5).alias("fold")))
     out = None
     for fold in range(5):
         model = IsotonicRegression(featuresCol="dp").fit(q.filter(F.col("fold") != fold).select("label", "dp"))
