@@ -190,7 +190,8 @@ def near_pairs(points: DataFrame, k: int, key: str = "build_id", digits: int = 9
         asked = asked.withColumn("_d", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("_d")).drop("_d")
     there = kept.withColumn("level", F.explode(F.array(*map(F.lit, used or [0])))).select(key, F.col("i").alias("j"), *"xyz", "level", *cell)
     raw = F.sqrt(sum((F.col(f"a{c}") - F.col(c)) ** 2 for c in "xyz"))
-    met = asked.join(there, [key, *at]).filter(raw <= F.col("reach")).select(key, "site", "j", F.round(raw, digits).alias("dist"))
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of one's own: both sides are small beside what they make
+    met = asked.repartition(parts, key, *at).join(there.repartition(parts, key, *at), [key, *at]).filter(raw <= F.col("reach")).select(key, "site", "j", F.round(raw, digits).alias("dist"))
     best = met.withColumn("_n", F.row_number().over(Window.partitionBy(key, "site").orderBy("dist", "j"))).filter(F.col("_n") <= k + 1).select(key, "site", "j", "dist")
     named = every.select(key, "i", *"xyz").join(sites.select(key, "site", *(F.col(f"a{c}").alias(c) for c in "xyz")), [key, *"xyz"]).select(key, "i", "site")
     out = named.join(best, [key, "site"]).filter("i <> j")
