@@ -11,7 +11,7 @@ import itertools
 import json
 import math
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,11 +68,31 @@ def pipeline(name: str, features: list[str], weight: str | None = None, scale: b
     return Pipeline(stages=[*stages, make_model(name, weight, **params)])
 
 
-def grouped_cv(df: DataFrame, name: str, features: list[str], folds: int = 5, repeats: int = 1, seed: str = "0", weight: str | None = None, clip: float | None = None, **params) -> DataFrame:
-    """row_id, y, grp, oof: out-of-fold predictions averaged over repeats; groups never lie on both sides. clip winsorises the training target from below."""
-    out = None
-    for rep in range(repeats):
-        dealt = stored(df.join(hash_folds(df, folds, f"{seed}|{rep}"), "grp"))
+@dataclass(frozen=True)
+class Deal:
+    """Rows with their fold, a stored table a repeat, and whether no row_id occurs twice."""
+
+    parts: list[DataFrame]
+    unique: bool
+
+
+def deal(df: DataFrame, folds: int = 5, repeats: int = 1, seed: str = "0") -> Deal:
+    """The folds of grouped_cv(), which several models may share: df is computed once. That ids differ is seen by their 64-bit hashes; where two of these meet, it is not taken for granted."""
+    df = stored(df)
+    twice = df.groupBy(F.xxhash64(F.col("row_id").cast("string")).alias("h")).agg(F.count("*").alias("n")).filter("n > 1")
+    return Deal([stored(df.join(hash_folds(df, folds, f"{seed}|{rep}"), "grp")) for rep in range(repeats)], twice.isEmpty())
+
+
+def _deal(df: DataFrame, options: dict) -> Deal:
+    return deal(df, **{k: options[k] for k in ("folds", "repeats", "seed") if k in options})
+
+
+def grouped_cv(df: DataFrame, name: str, features: list[str], folds: int = 5, repeats: int = 1, seed: str = "0", weight: str | None = None, clip: float | None = None, dealt: Deal | None = None, **params) -> DataFrame:
+    """row_id, y, grp, oof: out-of-fold predictions averaged over repeats; groups never lie on both sides. clip winsorises the training target from below.
+
+    dealt: what deal() made of df with the same folds, repeats and seed. One prediction a row needs no average, so its rows are not shuffled again."""
+    out, whole = None, dealt or deal(df, folds, repeats, seed)
+    for rep, dealt in enumerate(whole.parts):
         if name in LEARNERS or name in OWN:
             one = _at_once(dealt, name, features, folds, f"{seed}|{rep}", weight, clip, params)
             out = one if out is None else out.unionByName(one)
@@ -83,6 +103,8 @@ def grouped_cv(df: DataFrame, name: str, features: list[str], folds: int = 5, re
                 train = train.withColumn("y", F.greatest("y", F.lit(-abs(clip))))
             one = pipeline(name, features, weight, **params).fit(train).transform(dealt.filter(F.col("fold") == k)).select("row_id", "y", "grp", F.col("_prediction").alias("oof"))
             out = one if out is None else out.unionByName(one)
+    if whole.unique and repeats == 1:
+        return out.select("row_id", "y", "grp", "oof")
     return out.groupBy("row_id").agg(F.first("y").alias("y"), F.first("grp").alias("grp"), F.avg("oof").alias("oof"))
 
 
@@ -115,7 +137,8 @@ def search(df: DataFrame, name: str, features: list[str], trials: int = 8, seed:
     space = SPACES[name]
     grid = [dict(zip(space, v, strict=True)) for v in itertools.product(*space.values())]
     grid.sort(key=lambda p: hashlib.md5(f"{seed}|{sorted(p.items())}".encode()).hexdigest())
-    return sorted(((p, cv_score(df, name, features, **kwargs, **p)) for p in grid[:trials]), key=lambda x: -x[1])
+    dealt = _deal(df, kwargs)
+    return sorted(((p, cv_score(df, name, features, dealt=dealt, **kwargs, **p)) for p in grid[:trials]), key=lambda x: -x[1])
 
 
 #: Continuous and whole-number ranges of the study: (low, high, whole, by powers of ten).
@@ -151,7 +174,14 @@ def propose(space: dict[str, tuple], done: list[tuple[dict, float]], number: int
 def study(df: DataFrame, name: str, features: list[str], trials: int, store: str, seed: str = "0", score: Callable | None = None, **kwargs) -> list[tuple[dict, float]]:
     """Trials of a model's parameters, best first. Each finished trial is a line of JSON in the store, so a study that was cut short goes on where it stopped."""
     spark = df.sparkSession
-    score = score or (lambda params: cv_score(df, name, features, **kwargs, **params))
+    dealt = []  # once, and only if a trial is left
+
+    def scored(params: dict) -> float:
+        if not dealt:
+            dealt.append(_deal(df, kwargs))
+        return cv_score(df, name, features, dealt=dealt[0], **kwargs, **params)
+
+    score = score or scored
     schema = "number int, model string, seed string, params string, score double"
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     held = spark.read.schema(schema).json(store).collect() if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else []
@@ -166,9 +196,9 @@ def study(df: DataFrame, name: str, features: list[str], trials: int, store: str
 
 def forward_blocks(df: DataFrame, name: str, blocks: dict[str, list[str]], tolerance: float = 1e-3, **kwargs) -> list[tuple[str, float]]:
     """Blocks of features in the order in which they raise the score, until none adds more than the tolerance."""
-    chosen, best = [], float("-inf")
+    chosen, best, dealt = [], float("-inf"), _deal(df, kwargs)
     while len(chosen) < len(blocks):
-        trials = {b: cv_score(df, name, [c for x in [*(c for c, _ in chosen), b] for c in blocks[x]], **kwargs) for b in blocks if b not in dict(chosen)}
+        trials = {b: cv_score(df, name, [c for x in [*(c for c, _ in chosen), b] for c in blocks[x]], dealt=dealt, **kwargs) for b in blocks if b not in dict(chosen)}
         block = max(trials, key=lambda b: (trials[b], b))
         if trials[block] <= best + tolerance:
             break
