@@ -13,7 +13,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32, r2
@@ -97,6 +97,10 @@ def grouped_cv(df: DataFrame, name: str, features: list[str], folds: int = 5, re
             one = _at_once(dealt, name, features, folds, f"{seed}|{rep}", weight, clip, params)
             out = one if out is None else out.unionByName(one)
             continue
+        if set(params) <= ON_SUMS.get(name, set()) and (equal := _equal_rows(dealt, features)) is not None:
+            one = _on_sums(dealt, equal, name, features, folds, weight, clip, **params)
+            out = one if out is None else out.unionByName(one)
+            continue
         for k in range(folds):
             train = dealt.filter(F.col("fold") != k)
             if clip is not None:
@@ -108,6 +112,73 @@ def grouped_cv(df: DataFrame, name: str, features: list[str], folds: int = 5, re
     return out.groupBy("row_id").agg(F.first("y").alias("y"), F.first("grp").alias("grp"), F.avg("oof").alias("oof"))
 
 
+#: Models whose trees need sums of equal rows only, and the parameters for which that holds.
+ON_SUMS = {"gbt": {"maxIter", "maxDepth", "seed"}, "rf": {"numTrees", "maxDepth", "seed"}}
+
+#: Rows to a different one of their features, from which on trees grow on sums.
+CROWDED = 8
+
+
+def _equal_rows(dealt: DataFrame, features: list[str]) -> DataFrame | None:
+    """The features' different rows and their number `_n`, if there are few of them beside all rows."""
+    equal = stored(dealt.groupBy(*features).agg(F.count("*").alias("_n")))
+    size = equal.agg(F.count("*").alias("rows"), F.sum("_n").alias("all")).first()
+    return equal if size["rows"] and size["rows"] * CROWDED <= size["all"] else None
+
+
+def _poisson(row: str, salt: str) -> Column:
+    """How often a row is drawn with replacement, by hash: Poisson of mean 1."""
+    u = F.shiftrightunsigned(F.xxhash64(F.col(row), F.lit(salt)), 11) / F.lit(float(1 << 53))
+    below, term, out = 0.0, math.exp(-1), None
+    for n in range(18):
+        below += term
+        term /= n + 1
+        out = F.when(u < below, float(n)) if out is None else out.when(u < below, float(n))
+    return out.otherwise(18.0)
+
+
+def _on_sums(dealt: DataFrame, equal: DataFrame, name: str, features: list[str], folds: int, weight: str | None, clip: float | None, **params) -> DataFrame:
+    """row_id, y, grp, oof of trees that are fitted on a weight and a mean target for each different row of the features.
+
+    Variance inside equal rows adds the same to a node and to its parts, and residuals of squared loss are linear in the target, so splits and leaves are those of
+    the rows themselves; but split candidates come of all different rows, not of a sample. A forest's bootstrap draws rows, so each of its trees has sums of its own."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, VectorAssembler
+
+    y = F.col("y") if clip is None else F.greatest("y", F.lit(-abs(clip)))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    seed, trees = params.get("seed", 0), params.get("numTrees", 20) if name == "rf" else 1
+    drawn = dealt.withColumns({"_y": y, "_w": w, "_h": F.xxhash64(F.col("row_id").cast("string"))})
+    times = [F.col("_w") * _poisson("_h", f"{seed}|{t}") for t in range(trees)] if name == "rf" else [F.col("_w")]
+    names = [(f"_w{t}", f"_s{t}") for t in range(trees)]
+    drawn = drawn.select("fold", *features, "_y", *(x.alias(n) for x, (n, _) in zip(times, names, strict=True)))
+    sums = stored(drawn.groupBy("fold", *features).agg(F.count_if(F.col("_y").isNull() | F.isnan("_y")).alias("_odd"), *(c for n, s in names for c in (F.sum(n).alias(n), F.sum(F.col(n) * F.col("_y")).alias(s)))).coalesce(8))
+    if not sums.filter("_odd > 0").isEmpty():
+        raise ValueError("labels must not be null or NaN")
+    lacking = F.lit(False)
+    for c in features:
+        lacking = lacking | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    whole = equal.filter(lacking).isEmpty()  # then no medians of all rows are needed
+    filled, found = [f"_f_{c}" for c in features], None
+    grown = {"numTrees": 1, "bootstrap": False, "featureSubsetStrategy": "onethird" if trees > 1 else "all"} if name == "rf" else {}
+    for k in range(folds):
+        imputer = Imputer(inputCols=features, outputCols=filled, strategy="median").fit(sums.limit(1) if whole else dealt.filter(F.col("fold") != k))
+        full = Pipeline(stages=[imputer, VectorAssembler(inputCols=filled, outputCol="_features")]).fit(sums)
+        train = stored(full.transform(sums.filter(F.col("fold") != k)).groupBy("_features").agg(*(F.sum(c).alias(c) for pair in names for c in pair)).coalesce(8))
+        held, marks = full.transform(sums.filter(F.col("fold") == k)).select("fold", *features, "_features"), []
+        for t, (n, s) in enumerate(names):
+            model = make_model(name, "_weight", **{**params, **grown, "seed": seed + t}).setPredictionCol(f"_p{t}")
+            held = model.fit(train.filter(F.col(n) > 0).select("_features", F.col(n).alias("_weight"), (F.col(s) / F.col(n)).alias("y"))).transform(held)
+            marks.append(F.col(f"_p{t}"))
+        one = held.select("fold", *features, (sum(marks) / len(marks)).alias("oof"))
+        found = one if found is None else found.unionByName(one)
+    found = stored(found.select(F.col("fold").alias("_fold"), *(F.col(c).alias(f"_x_{c}") for c in features), "oof"))
+    on = F.col("fold") == F.col("_fold")
+    for c in features:
+        on = on & F.col(c).eqNullSafe(F.col(f"_x_{c}"))
+    return dealt.join(found, on).select("row_id", "y", "grp", "oof")
+
+
 #: Learners of this package besides the boosters; they take no sample weights.
 OWN: dict[str, Callable] = {
     "knn": lambda d, x, folds, **p: knn_cv(d, x, **p),
