@@ -20,7 +20,7 @@ from ..functions.scalars import hash32
 from ..sources.files import stored
 from .packed import standardised
 
-PIVOTS, CHUNK, SLACK, ROOM = 64, 1024, 1e-9, 1 << 22
+PIVOTS, CHUNK, SLACK, ROOM, BLOCK = 64, 16384, 1e-9, 1 << 22, 1 << 19
 
 
 def _matrix(column) -> np.ndarray:
@@ -35,6 +35,41 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest(a: np.ndarray, b: np.ndarray, k: int, barred=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the k nearest rows of b to each of a (fewer where there are fewer), in order of distance and then of b; barred(rows of a, rows of b) marks pairs that may not meet.
+
+    Matrix products give every squared distance but for a rounding error with a known bound; only rows that may be among the k nearest within it are looked at by differences."""
+    known, there = (np.flatnonzero(np.isfinite(x).all(1)) for x in (a, b))
+    a, b = a[known], b[there]
+    with np.errstate(over="ignore"):
+        na, nb = ((x * x).sum(1) for x in (a, b))
+    safe = len(a) and len(b) and np.isfinite(na.max() + nb.max())  # else squares overflow, and all pairs are looked at
+    out, step, error = [], max(1, BLOCK // max(1, len(b))), 8 * (a.shape[1] + 8) * np.finfo(float).eps
+    some, piece = max(k, len(b) // 2), max(1, ROOM // max(1, a.shape[1]))  # the k-th of a part is no smaller than the k-th of all
+    for s in range(0, len(a) if len(b) else 0, step):
+        part = a[s : s + step]
+        low = -2 * (part @ b.T) if safe else np.zeros((len(part), len(b)))
+        if barred is not None:
+            low[barred(known[s : s + step], there)] = np.inf
+        bound = np.full(len(part), np.inf)
+        if safe:
+            low += (1 - error) * nb
+            low += (1 - error) * na[s : s + step, None]
+            if some < len(b):
+                bound = np.partition(low[:, :some], k - 1, axis=1)[:, k - 1] + 2 * error * (na[s : s + step] + nb.max())
+        at = np.flatnonzero(low <= bound[:, None])
+        row, col = np.divmod(at[low.ravel()[at] != np.inf], len(b))
+        d = np.empty(len(row))
+        for t in range(0, len(row), piece):
+            d[t : t + piece] = np.sqrt(((part[row[t : t + piece]] - b[col[t : t + piece]]) ** 2).sum(1))
+        row, col, d = (x[np.isfinite(d)] for x in (row, col, d))
+        order = np.lexsort((col, d, row))
+        row, col, d = row[order], col[order], d[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((known[row[first] + s], there[col[first]], d[first]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
 def _cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """points with cell and its distance `own` from the pivot."""
     schema = points.schema
@@ -138,14 +173,10 @@ def _near_sites(points: DataFrame, k: int, apart: bool, pivots: int | None) -> t
         if not len(mine) or not len(theirs):
             return pa.table({n: pa.array([], t) for n, t in zip(names, (mine.schema.field("id").type if len(mine) else theirs.schema.field("id").type,) * 2 + (pa.float64(),) * 2, strict=True)})
         theirs, mine = theirs.sort_by("id"), mine.combine_chunks()
-        d = distances(_matrix(mine["x"].combine_chunks()), _matrix(theirs["x"].combine_chunks()))
-        if apart:
-            d[mine["part"].to_numpy()[:, None] == theirs["part"].to_numpy()[None]] = np.inf
-        at = np.argsort(d, axis=1, kind="stable")[:, :most]
-        near = np.take_along_axis(d, at, 1)
-        row, col = np.nonzero(np.isfinite(near))
-        there = pa.array(at[row, col])
-        return pa.table([mine["id"].take(pa.array(row)), theirs["id"].take(there), pa.array(near[row, col]), theirs["value"].take(there)], names=names)
+        of, to = mine["part"].to_numpy(), theirs["part"].to_numpy()
+        row, col, near = nearest(_matrix(mine["x"].combine_chunks()), _matrix(theirs["x"].combine_chunks()), most, (lambda r, c: of[r][:, None] == to[c][None]) if apart else None)
+        there = pa.array(col)
+        return pa.table([mine["id"].take(pa.array(row)), theirs["id"].take(there), pa.array(near), theirs["value"].take(there)], names=names)
 
     pairs = left.groupBy("cell", "a", "b").cogroup(right.groupBy("cell", "a", "b")).applyInArrow(best, result)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))  # `most` rows a chunk that was searched
