@@ -13,9 +13,10 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import spread
 from ..functions.scalars import hash32, r2
 from ..sources.files import stored
 from .boosting import LEARNERS, boost
@@ -74,13 +75,15 @@ class Deal:
 
     parts: list[DataFrame]
     unique: bool
+    rows: int = 0
 
 
 def deal(df: DataFrame, folds: int = 5, repeats: int = 1, seed: str = "0") -> Deal:
     """The folds of grouped_cv(), which several models may share: df is computed once. That ids differ is seen by their 64-bit hashes; where two of these meet, it is not taken for granted."""
     df = stored(df)
-    twice = df.groupBy(F.xxhash64(F.col("row_id").cast("string")).alias("h")).agg(F.count("*").alias("n")).filter("n > 1")
-    return Deal([stored(df.join(hash_folds(df, folds, f"{seed}|{rep}"), "grp")) for rep in range(repeats)], twice.isEmpty())
+    n = df.count()
+    twice = spread(df.select(F.xxhash64(F.col("row_id").cast("string")).alias("h")), n, "h").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    return Deal([stored(spread(df, n, "grp").join(hash_folds(df, folds, f"{seed}|{rep}"), "grp")) for rep in range(repeats)], twice.isEmpty(), n)
 
 
 def _deal(df: DataFrame, options: dict) -> Deal:
@@ -109,7 +112,7 @@ def grouped_cv(df: DataFrame, name: str, features: list[str], folds: int = 5, re
             out = one if out is None else out.unionByName(one)
     if whole.unique and repeats == 1:
         return out.select("row_id", "y", "grp", "oof")
-    return out.groupBy("row_id").agg(F.first("y").alias("y"), F.first("grp").alias("grp"), F.avg("oof").alias("oof"))
+    return spread(out, whole.rows * repeats, "row_id").groupBy("row_id").agg(F.first("y").alias("y"), F.first("grp").alias("grp"), F.avg("oof").alias("oof"))
 
 
 #: Models whose trees need sums of equal rows only, and the parameters for which that holds.
@@ -278,20 +281,36 @@ def forward_blocks(df: DataFrame, name: str, blocks: dict[str, list[str]], toler
     return chosen
 
 
+def permuted_in_folds(dealt: DataFrame, features: list[str], seed: str = "0") -> DataFrame:
+    """fold, y, the features, and each of them shuffled inside its fold as `_m_<name>`, as resampling.permuted() would do fold by fold: a row's place by one hash meets the value of the row with that place by another.
+
+    Places are given for all folds at once and to one feature at a time; what is joined are places and values, not names and rows."""
+    dealt = stored(dealt.select("row_id", "fold", "y", *features))
+
+    def places(values: list[str], salt: str, name: str) -> DataFrame:
+        h = hash32(F.concat_ws("|", F.lit(salt), "row_id"))
+        binned = dealt.select("fold", *(x for x in ("y", *values) if x in values or name == "_k"), "row_id", h.alias("_h"), F.shiftright(h, 18).alias("_bin"))
+        before = binned.groupBy("fold", "_bin").agg(F.count("*").alias("_s"))
+        before = before.select("fold", "_bin", (F.sum("_s").over(Window.partitionBy("fold").orderBy("_bin")) - F.col("_s")).alias("_before"))  # 16,384 rows a fold
+        inside = F.row_number().over(Window.partitionBy("fold", "_bin").orderBy("_h", "row_id", *values)) - 1
+        return binned.withColumn("_n", inside).join(F.broadcast(before), ["fold", "_bin"]).withColumn(name, F.col("_before") + F.col("_n")).drop("_h", "_bin", "_before", "_n", "row_id")
+
+    out = places(features, "rows", "_k")
+    for c in features:
+        out = out.join(places([c], f"{seed}|{c}", "_k2").select("fold", F.col("_k2").alias("_k"), F.col(c).alias(f"_m_{c}")), ["fold", "_k"])
+    return out.drop("_k")
+
+
 def permutation_importance(df: DataFrame, name: str, features: list[str], folds: int = 3, seed: str = "0", **params) -> DataFrame:
     """feature, drop: loss of R2 when a feature is shuffled inside the held-out fold, by rank of a hash."""
-    from .resampling import permuted
-
-    dealt = stored(df.join(hash_folds(df, folds, seed), "grp"))
+    mixed = stored(permuted_in_folds(df.join(hash_folds(df, folds, seed), "grp"), features, seed))
     scored = None
     for k in range(folds):
-        model = pipeline(name, features, **params).fit(dealt.filter(F.col("fold") != k))
-        held = dealt.filter(F.col("fold") == k)
-        one = model.transform(held).select(F.lit("").alias("feature"), "y", F.col("_prediction").alias("p"))
-        for c in features:
-            mixed = permuted(held, "row_id", c, f"{seed}|{c}", []).drop(c).withColumnRenamed(f"{c}_shuffled", c)
-            one = one.unionByName(model.transform(mixed).select(F.lit(c).alias("feature"), "y", F.col("_prediction").alias("p")))
-        scored = one if scored is None else scored.unionByName(one)
+        model = pipeline(name, features, **params).fit(mixed.filter(F.col("fold") != k).select("y", *features))
+        held = mixed.filter(F.col("fold") == k)
+        for c in ["", *features]:
+            one = model.transform(held.select("y", *(F.col(f"_m_{x}" if x == c else x).alias(x) for x in features))).select(F.lit(c).alias("feature"), "y", F.col("_prediction").alias("p"))
+            scored = one if scored is None else scored.unionByName(one)
     by = scored.groupBy("feature").agg(r2("y", "p").alias("r2"))
     base = by.filter("feature = ''").select(F.col("r2").alias("_base"))
     return by.filter("feature <> ''").crossJoin(F.broadcast(base)).select("feature", (F.col("_base") - F.col("r2")).alias("drop"))
@@ -303,10 +322,12 @@ def antisymmetric_cv(pairs: DataFrame, name: str, left: list[str], right: list[s
 
     features = [*left, *right]
     both = reversed_copies(pairs.withColumn("_way", F.lit(1.0)), list(zip(left, right, strict=True)), ["y", "_way"]).withColumn("row_id", F.concat_ws("|", F.col("row_id").cast("string"), F.col("_way").cast("string")))
-    out = grouped_cv(both, name, features, **kwargs)
+    dealt = kwargs.pop("dealt", None) or _deal(both, kwargs)
+    out = grouped_cv(both, name, features, dealt=dealt, **kwargs)
     way = F.when(F.col("row_id").endswith("|1.0"), 1.0).otherwise(-1.0)
     row = F.regexp_replace("row_id", r"\|-?1\.0$", "")
-    return out.select(row.alias("row_id"), (way * F.col("oof")).alias("v"), (way * F.col("y")).alias("y")).groupBy("row_id").agg(F.avg("y").alias("y"), F.avg("v").alias("oof"))
+    turned = out.select(row.alias("row_id"), (way * F.col("oof")).alias("v"), (way * F.col("y")).alias("y"))
+    return spread(turned, dealt.rows, "row_id").groupBy("row_id").agg(F.avg("y").alias("y"), F.avg("v").alias("oof"))
 
 
 def shuffled_control(df: DataFrame, name: str, features: list[str], seed: str = "0", **kwargs) -> tuple[float, float]:

@@ -9,6 +9,7 @@ from ..functions.joins import with_group
 from ..functions.ranks import value_ranks
 from ..functions.tails import normal_tails
 from ..functions.scalars import ratio
+from ..sources.files import stored
 
 
 def logo_lookup(pairs: DataFrame, key: str, y: str = "dy", group: str = "grp") -> DataFrame:
@@ -214,12 +215,22 @@ def transitive_scores(pairs: DataFrame, keys: list[str], a: str, b: str, value:
     return dealt.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", item {kinds[a]}, score double")
 
 
-def seed_ensemble(runs: DataFrame, expected: int, row: str = "row_id", seed: str = "seed", value: str = "oof") -> DataFrame:
-    """Mean over all seeds. A seed given twice for a row, or a value that is not finite, is an error; rows without every seed are left out."""
-    bad = runs.groupBy(row, seed).agg(F.count("*").alias("n"), F.max((F.col(value).isNull() | F.isnan(value) | (F.abs(value) == float("inf"))).cast("int")).alias("odd")).filter("n > 1 or odd = 1").take(1)
+def seed_ensemble(runs: DataFrame, expected: int, row: str | list[str] = "row_id", seed: str = "seed", value: str = "oof") -> DataFrame:
+    """Mean over all seeds. A seed given twice for a row, or a value that is not finite, is an error; rows without every seed are left out.
+
+    row: its columns, if the first of them has already dealt the rows. Means and checks come of one pass."""
+    rows = [row] if isinstance(row, str) else row
+    odd = (F.col(value).isNull() | F.isnan(value) | (F.abs(value) == float("inf"))).cast("int")
+    seeds = F.size(F.array_distinct(F.collect_list(F.struct(seed))))
+    by = stored(runs.groupBy(*rows).agg(F.avg(value).alias(value), F.count("*").alias("_n"), seeds.alias("_seeds"), F.max(odd).alias("_odd")))
+    bad = by.filter("_n > _seeds or _odd = 1").take(1)
     if bad:
-        raise ValueError(f"row {bad[0][row]!r}, seed {bad[0][seed]!r}: {'given twice' if bad[0]['n'] > 1 else 'not finite'}")
-    return runs.groupBy(row).agg(F.avg(value).alias(value), F.count("*").alias("_n")).filter(F.col("_n") == expected).drop("_n")
+        own = runs
+        for c in rows:
+            own = own.filter(F.col(c).eqNullSafe(F.lit(bad[0][c])))
+        first = own.groupBy(seed).agg(F.count("*").alias("n"), F.max(odd).alias("odd")).filter("n > 1 or odd = 1").first()
+        raise ValueError(f"row {bad[0][rows[-1]]!r}, seed {first[seed]!r}: {'given twice' if first['n'] > 1 else 'not finite'}")
+    return by.filter(F.col("_n") == expected).select(*rows, value)
 
 
 def disagreement(df: DataFrame, arms: list[str]) -> DataFrame:
