@@ -100,7 +100,7 @@ def grouped_cv(df: DataFrame, name: str, features: list[str], folds: int = 5, re
             one = _at_once(dealt, name, features, folds, f"{seed}|{rep}", weight, clip, params)
             out = one if out is None else out.unionByName(one)
             continue
-        if set(params) <= ON_SUMS.get(name, set()) and (equal := _equal_rows(dealt, features)) is not None:
+        if name in ON_SUMS and set(params) <= ON_SUMS[name] and (equal := _equal_rows(dealt, features)) is not None:
             one = _on_sums(dealt, equal, name, features, folds, weight, clip, **params)
             out = one if out is None else out.unionByName(one)
             continue
