@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.digests import ordered_digest
-from ..functions.hashes import digits, hash32_rows
+from ..functions.hashes import Tails, digits, hash32_rows
 from ..functions.ranks import numbered, placed
 from ..functions.scalars import hash32, ratio
 from ..sources.files import stored
@@ -86,46 +87,22 @@ def draws(groups: DataFrame, n_draws: int, seed: str, key: str = "grp", collapse
     return times.hint("shuffle_hash").join(names.filter(F.col(key).isNotNull()), "_k").select("draw", key, "times")
 
 
-#: Groups of one block of drawn_sums(); slots that one row hashes; draws whose counts in a block one task adds up.
-BLOCK, SLOTS_A_ROW, DRAWS_A_TASK = 65_536, 1_048_576, 256
+#: Groups of one block of drawn_sums(), slots hashed at a time, draws of one task at most, and bytes of values that a task holds.
+BLOCK, SLOTS_AT_ONCE, DRAWS_A_TASK, HELD = 65_536, 65_536, 256, 160 << 20
 
 
-def _picks(batches, seed: str, n: int):
-    """(block, band, draw, counts) of the slots and draws of each row: how often every place of a block is some slot's hash modulo n, as compressed bytes."""
-    import pyarrow as pa
-
-    for batch in batches:
-        for first, last, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found: dict[int, list[np.ndarray]] = {}
-            for at, draw in digits(np.arange(first, last)):
-                for _, slot in digits(np.arange(low, high)):
-                    head = np.frombuffer(f"{seed}|".encode(), dtype=np.uint8)
-                    a, b, c = len(head), len(head) + draw.shape[1] + 1, len(head) + draw.shape[1] + 1 + slot.shape[1]
-                    rows = np.full((len(draw), len(slot), c), ord("|"), dtype=np.uint8)
-                    rows[:, :, :a], rows[:, :, a : b - 1], rows[:, :, b:] = head, draw[:, None, :], slot
-                    for d, k in zip(at, (hash32_rows(rows.reshape(-1, c)) % n).reshape(len(draw), -1), strict=True):
-                        found.setdefault(first + int(d), []).append(k)
-            out = []
-            for draw, places in found.items():
-                k = np.concatenate(places)
-                block = (k // BLOCK).astype(np.uint16)
-                k = (k % BLOCK)[np.argsort(block, kind="stable")]
-                sizes = np.bincount(block)
-                for of, part in enumerate(np.split(k, np.cumsum(sizes)[:-1])):
-                    counts = np.bincount(part)
-                    while counts.any():
-                        out.append((of, draw // DRAWS_A_TASK, draw, zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)))
-                        counts = counts - np.minimum(counts, 255)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["_block", "_band", "draw", "_counts"])
+def _apart(spark: SparkSession, tasks: int) -> list[int]:
+    """Numbers of which each falls into a partition of its own, of so many, when rows are shuffled by them."""
+    found = spark.range(64 * tasks).groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("_to")).agg(F.min("id").alias("_id")).collect()  # one row a task
+    return [r["_id"] for r in found]
 
 
 def drawn_sums(by: DataFrame, columns: list[str], n_draws: int, seed: str, key: str = "grp", collapse: bool = False) -> DataFrame:
     """draw, times, columns: sums over the groups of each draw, a group as often as drawn; times is the number of groups drawn. The draws are those of draws(); by has a row a group.
 
-    Groups are numbered in order and packed into blocks. Slots are hashed in tasks, a few draws or a part of one at a time, and counted; a draw's counts
-    in a block, compressed to a quarter of a byte a group, meet the block's values, where its sums are counts times values. No task holds more than a
-    block with some draws, and a row a draw and block leaves it. Null values add nothing."""
+    Groups are numbered in order and packed into blocks. Each task gets the values of all groups, or of so many blocks as HELD bytes hold, and a band of
+    draws: it hashes their slots, some at a time, and adds up the values where these point. Neither slots nor counts leave it, only a row a draw. More
+    groups than one task holds are hashed once for each such part. Null values add nothing."""
     import pandas as pd
 
     spark, width = by.sparkSession, len(columns)
@@ -133,38 +110,56 @@ def drawn_sums(by: DataFrame, columns: list[str], n_draws: int, seed: str, key:
     named = rows.filter(F.col(key).isNotNull()).select((F.col("_k") % BLOCK).cast("int").alias("_place"), F.floor(F.col("_k") / BLOCK).alias("_block"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.zeros((int(rows["_place"].max()) + 1, width + 1))
-        values[rows["_place"], 0], values[rows["_place"], 1:] = 1, rows[columns]
+        values = np.zeros((width + 1, int(rows["_place"].max()) + 1))
+        values[0, rows["_place"]], values[1:, rows["_place"]] = 1, rows[columns].T
         return pd.DataFrame({"_block": rows["_block"][:1], "_values": [values.tobytes()]})
 
-    bands = range(-(-n_draws // DRAWS_A_TASK))
-    blocks = named.groupBy("_block").applyInPandas(pack, "_block long, _values binary").withColumn("_band", F.explode(F.array(*(F.lit(b).cast("long") for b in bands))))
-    some = max(1, min(n_draws, SLOTS_A_ROW // max(n, 1)))
-    pieces, parts = -(-n // SLOTS_A_ROW), -(-n_draws // some)
-    task = spark.range(pieces * parts, numPartitions=max(1, min(pieces * parts, 4096)))
-    draw, slot = F.floor(F.col("id") / max(pieces, 1)) * some, (F.col("id") % max(pieces, 1)) * SLOTS_A_ROW
-    task = task.select(draw, F.least(draw + some, F.lit(n_draws)), slot, F.least(slot + SLOTS_A_ROW, F.lit(n)))
-    counts = task.mapInArrow(lambda batches: _picks(batches, seed, n), "_block long, _band long, draw long, _counts binary")
-
-    def add(drawn: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(drawn) or not len(block):
-            return pd.DataFrame(columns=["draw", "times", *columns])
-        values = np.frombuffer(block["_values"].iloc[0]).reshape(-1, width + 1)
-        finite, out = np.isfinite(values).all(), []
-        for of, rows in drawn.groupby("draw"):
-            counts = np.zeros(BLOCK)
-            for packed in rows["_counts"]:
-                one = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
-                counts[: len(one)] += one
-            counts = counts[: len(values)]
+    block_size, slots, most = BLOCK, SLOTS_AT_ONCE, HELD
+    held = max(1, most // (8 * block_size * (width + 1)))
+    room = held * block_size
+    parts = max(1, -(-n // room))
+    some = min(DRAWS_A_TASK, max(1, -(-n_draws // (2 * spark.sparkContext.defaultParallelism))))
+    bands = -(-n_draws // some)
+    at = sorted(_apart(spark, bands * parts))
+    blocks = stored(named.groupBy("_block").applyInPandas(pack, "_block long, _values binary"))
+    task = F.element_at(F.lit(at), (F.floor(F.col("_block") / held) * bands + F.col("_band") + 1).cast("int"))
+    sent = blocks.withColumn("_band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))).withColumn("_task", task)
+    batch_of = {t: divmod(k, bands) for k, t in enumerate(at)}
+
+    def add(name: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, band = batch_of[name[0].as_py()]
+        low, size = part * room, min(room, n - part * room)
+        values = np.zeros((width + 1, size))
+        for batch in batches:
+            for block, packed in zip(batch["_block"].to_pylist(), batch["_values"], strict=True):
+                one = np.frombuffer(packed.as_buffer()).reshape(width + 1, -1)
+                values[:, block * block_size - low :][:, : one.shape[1]] = one
+        same = [float(v[0]) if np.isfinite(v[0]) and v.min() == v.max() else None for v in values]
+        draws = np.arange(band * some, min((band + 1) * some, n_draws))
+        sums = np.zeros((width + 1, len(draws)))
+        step = max(1, most // size) if collapse else len(draws)
+        for begin in range(0, len(draws), step):
+            seen = np.zeros((len(draws[begin : begin + step]), size), dtype=bool) if collapse else None
+            for first in range(0, n, slots):
+                for _, slot in digits(np.arange(first, min(first + slots, n))):
+                    tails = Tails(slot)
+                    for row, draw in enumerate(draws[begin : begin + step].tolist()):
+                        k = tails.hash32(f"{seed}|{draw}|".encode())
+                        k = (k % np.uint32(n) if n >> 32 == 0 else k).astype(np.int64)
+                        if parts > 1:
+                            k = k[(k >= low) & (k < low + size)] - low
+                        if collapse:
+                            seen[row, k] = True
+                            continue
+                        for v, alike, total in zip(values, same, sums, strict=True):
+                            total[begin + row] += v.take(k).sum() if alike is None else alike * len(k)
             if collapse:
-                counts = np.minimum(counts, 1)
-            on = slice(None) if finite else counts > 0  # 0 times infinity is no 0
-            out.append((of, *(counts[on] @ values[on])))
-        return pd.DataFrame(out, columns=["draw", "times", *columns])
+                for row, on in enumerate(seen):
+                    sums[:, begin + row] = values[:, on].sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(draws), *map(pa.array, sums)], names=["draw", "times", *columns])
 
     schema = "draw long, " + ", ".join(f"{c} double" for c in ("times", *columns))
-    sums = counts.groupBy("_block", "_band").cogroup(blocks.groupBy("_block", "_band")).applyInPandas(add, schema)
+    sums = sent.repartition(bands * parts, "_task").groupBy("_task").applyInArrow(add, schema)
     return sums.groupBy("draw").agg(*(F.sum(c).alias(c) for c in ("times", *columns))).filter("times > 0")
 
 
